@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import mixing, pieces
+from convspan.llm import fingerprints, mixing, pieces
 from convspan.llm.common import table
 
 
@@ -32,8 +32,12 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op6_entropy_mixing)}
+    return {f.__name__: f for f in (op3_sentencepiece, op6_entropy_mixing, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
