@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import fingerprints, mixing, neardup, pieces, toxicity
+from convspan.llm import fingerprints, mixing, neardup, passages, pieces, toxicity
 from convspan.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_components(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,7 +52,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_minhash_components, op6_entropy_mixing, op8_weak_toxicity, op10_weighted_fingerprints)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
