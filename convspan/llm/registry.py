@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import fingerprints, mixing, neardup, passages, pieces, toxicity
+from convspan.llm import fingerprints, mixing, neardup, passages, pieces, suffixes, toxicity
 from convspan.llm.common import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return encoded.select(
@@ -52,7 +57,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op10_weighted_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_strings, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
