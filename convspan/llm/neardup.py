@@ -4,8 +4,10 @@ A document's set holds its distinct shingles of five words. Documents with the s
 goes on. Bands of minima of many universal hashes put classes into buckets. In a bucket every class is paired with two centres, chosen
 by hash, not with all others; pairs whose signatures agree well enough are confirmed on the full sets, and the confirmed links give
 components. What the centres leave open is closed by a second pass: where a bucket still holds several components, the classes outside
-its most frequent one are compared with all others of the bucket, by signature inside the join, and what passes is again confirmed on
-the full sets. So no link between classes that share a bucket is lost, and no group is expanded into all its pairs.
+its most frequent one are compared with all others of the bucket. In small buckets that is a join with the signatures in its
+condition, and what passes is again confirmed on the full sets. Large buckets with the same most frequent component, mostly the same
+classes again and again, are put together, cut into square blocks of classes with their full sets, and only links leave a block. So
+no link between classes that share a bucket is lost, and no group is expanded into all its pairs.
 
 A link of similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.75, 0.99999 at 0.8.
 """
@@ -34,6 +36,8 @@ BROADCAST_ROWS = 2_000_000
 _rng = np.random.default_rng(75)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 ADDED = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+#: Classes in a bucket up to which its open pairs come from a join; larger ones go through blocks, of so many classes a side.
+SMALL_BUCKET, BLOCK = 24, 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -118,17 +122,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k1", "k2", "shingles"])
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs of sets those that are links."""
     for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[k] = 100 * common >= SIMILARITY * (len(a) + len(b) - common)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+        keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _block_links(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between a block's classes outside the main component (side 0) and its classes (side 1), of different components."""
+    main, side = key[0].as_py(), table.column("side").to_numpy()
+    rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
+    sketch = np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+    every, found = np.flatnonzero(side == 1), []
+    for i in np.flatnonzero(side == 0).tolist():
+        other = every[(component[every] != component[i]) & ((component[every] == main) | (rep[every] > rep[i]))]
+        other = other[np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * SIMILARITY]
+        other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(1) <= MOST_DIFFERENT]
+        found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in other.tolist() if _linked(sets[i], sets[j])]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
 def _alike(a: str, b: str) -> Column:
@@ -138,18 +159,38 @@ def _alike(a: str, b: str) -> Column:
     return sizes & (different <= MOST_DIFFERENT)
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among pairs(u, v) of classes, from the full sets of their texts."""
-    pairs = checkpointed(pairs)
-    ids = checkpointed(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles of the classes whose rep is among ids(id)."""
+    ids = checkpointed(ids.distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(ids, "id")
     sets = texts.mapInArrow(_sets, "id long, k1 long, k2 long, shingles binary")
-    sets = sets.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"]).select("id", "shingles").dropDuplicates(["id"])
+    return sets.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"]).select("id", "shingles").dropDuplicates(["id"])
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among pairs(u, v) of classes, from the full sets of their texts."""
+    pairs = checkpointed(pairs)
+    sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     return checkpointed(both.select("u", "v", "a", "b").mapInArrow(_overlaps, "u long, v long"))
 
 
+def _links_in_blocks(docs: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """Links of several(main, rep, component): of each main's classes outside it with all of its classes.
+
+    Both sides are dealt into blocks of about BLOCK classes by hash, and every block of the one meets every block of the other.
+    """
+    rows = several.join(_full_sets(docs, classes, several.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep").join(classes.select("rep", "n", *SKETCH), "rep")
+    outside = F.col("component") != F.col("main")
+    sizes = several.groupBy("main").agg(F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("few"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"))
+    rows = rows.join(sizes, "main")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    one = rows.where(outside).withColumns({"side": F.lit(0), "x": block("few")}).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+    two = rows.withColumns({"side": F.lit(1), "y": block("all")}).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    return checkpointed(one.unionByName(two).groupBy("main", "x", "y").applyInArrow(_block_links, "u long, v long"))
+
+
 def find_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
 
@@ -179,13 +220,16 @@ def find_components(docs: DataFrame) -> DataFrame:
     # Buckets that still hold several components: classes outside the most frequent one, against all.
     placed = members.join(centres.select("bucket"), "bucket", "left_semi").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     placed = checkpointed(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
-    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    several = placed.join(shares, "bucket").join(sketches, "rep")
-    fewer, every = several.where("component <> main").alias("a"), several.alias("b")
+    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    shares = shares.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).where("parts > 1").drop("parts")
+    several = placed.join(shares, "bucket")
+    small = several.where(F.col("size") <= SMALL_BUCKET).join(sketches, "rep")
+    fewer, every = small.where("component <> main").alias("a"), small.alias("b")
     new = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
     more = fewer.join(every, (F.col("a.bucket") == F.col("b.bucket")) & new & _alike("a", "b"))
     more = more.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    links = links.unionByName(_confirmed(docs, classes, more))
+    large = checkpointed(several.where(F.col("size") > SMALL_BUCKET).select("main", "rep", "component").distinct())
+    links = links.unionByName(_confirmed(docs, classes, more)).unionByName(_links_in_blocks(docs, classes, large))
     component = connected_components(links)
 
     named = names.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
