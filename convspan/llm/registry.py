@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import fingerprints, mixing, neardup, passages, pieces, suffixes, toxicity
+from convspan.llm import fingerprints, mixing, neardup, pagetext, passages, pieces, suffixes, toxicity
 from convspan.llm.common import table
 
 
@@ -52,12 +52,16 @@ def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_strings, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op10_weighted_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_strings, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
