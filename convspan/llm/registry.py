@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import fingerprints, mixing, neardup, pagetext, passages, pieces, suffixes, toxicity
+from convspan.llm import fingerprints, mixing, neardup, pagetext, passages, pieces, pii, suffixes, toxicity
 from convspan.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op1_suffix_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return encoded.select(
@@ -61,7 +69,7 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_strings, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
