@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from convspan.llm.common import partitions, text_or_empty
 
 #: Blocks, and buckets, for each shuffle partition.
-PER_PARTITION = 2
+PER_PARTITION = 1
 LAST = (1 << 63) - 1
 #: A shared hash that more blocks than this hold is hot.
 HOT_BLOCKS = 256

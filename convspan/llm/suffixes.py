@@ -4,7 +4,9 @@ Two equal strings of LENGTH bytes have the same least hash among their runs of G
 this least hash form one stretch, and stretches with the same least hash meet in one bucket; there the suffixes of their different
 contents are sorted, equal strings become neighbours in suffix order, and the least document of each run of neighbours is found.
 Before that, documents' least hashes are announced, so that only stretches go on whose hash another document has too; equal contents
-travel once per block.
+travel once per block. As all strings of a stretch hold the run with the least hash, it travels and is sorted as one symbol, unless it
+occurs twice; and as one side of it then has half of a string's other bytes, contents that agree with no other one in these bytes on
+either side of it share no string and are not sorted.
 
 Suffixes are sorted by grouping (linear construction): suffixes start in groups by their first symbol and groups are processed from
 the greatest down. Each suffix of the current group points to the last suffix before it that is in a lower group; suffixes pointed to
@@ -16,18 +18,25 @@ takes its group's next place when the suffix behind its Lyndon prefix is read. N
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from convspan.llm import blocks
-from convspan.llm.textarrays import byte_sums, chunks, runs, utf8
+from convspan.llm.textarrays import BYTE_VALUES, Sums, byte_sums, chunks, mix, runs, utf8
 
 LENGTH = 50
 GRAM = 26
 #: Symbols of the strings whose suffixes are sorted together, a longer string alone.
-SORTED_TOGETHER = 20_000
+SORTED_TOGETHER = 8_000
+SPAN = LENGTH - GRAM + 1
+#: The bytes on one side of the run that two contents with a common string must share.
+HALF = (LENGTH - GRAM) // 2
+#: The symbol of the run.
+RUN = 300
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -110,53 +119,86 @@ def _invert(counts: dict[int, int]) -> dict[int, list[int]]:
     return out
 
 
-def least_owner(strings: list[bytes], owners: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string and each of its substrings of this length: the least owner of a string that holds it."""
-    symbols: list[int] = []
-    starts = []
-    for x in strings:
-        starts.append(len(symbols))
-        symbols += [b + 1 for b in x]
-        symbols.append(0)
-    data = b"\0".join(strings)
+def least_owner(strings: list[np.ndarray], owners: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """For each array of positive symbols and each of its substrings of this length: the least owner of a string that holds it."""
+    sizes = np.array(list(map(len, strings))) + 1
+    starts = np.cumsum(sizes) - sizes
+    symbols = np.zeros(sizes.sum() + length, np.int64)
+    symbols[runs(starts, sizes - 1)] = np.concatenate(strings)
     room = np.zeros(len(symbols), bool)
-    owner = np.empty(len(symbols), np.int64)
-    for at, x, who in zip(starts, strings, owners, strict=True):
-        room[at : at + len(x) - length + 1] = True
-        owner[at : at + len(x) + 1] = who
-    order = np.array(suffix_order(symbols), np.int64)
+    room[runs(starts, np.maximum(sizes - length, 0))] = True
+    order = np.array(suffix_order(symbols[: sizes.sum()].tolist()), np.int64)
     order = order[room[order]]
     found = np.full(len(symbols), blocks.LAST)
     if len(order):
-        views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
-        new = np.append(True, (views[order[1:]] != views[order[:-1]]).any(1))
+        windows = np.lib.stride_tricks.sliding_window_view(symbols, length)
+        new = np.append(True, (windows[order[1:]] != windows[order[:-1]]).any(1))
+        owner = np.repeat(np.array(owners, np.int64), sizes)
         found[order] = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return [found[at : at + len(x) - length + 1] for at, x in zip(starts, strings, strict=True)]
-
-
-def _stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """least hash, first and last start, and row of every stretch of starts; and a hash for every start and size."""
-    sums = byte_sums(data)
-    grams = sums.windows(GRAM)
-    span = LENGTH - GRAM + 1
-    if len(grams) < span:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, sums
-    least, size = grams, 1
-    while size < span:  # least of size, then of twice as many, up to span
-        step = min(size, span - size)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        size += step
-    starts = np.arange(len(least))
-    room = np.repeat(offsets[1:], np.diff(offsets))[: len(least)] - starts >= LENGTH
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    starts = starts[room]
-    if not len(starts):
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, sums
-    key, row = least[starts], row[starts]
-    new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return key[first], starts[first], starts[last], row[first], sums
+    return [found[at : at + max(n - length, 0)] for at, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
+@dataclass
+class Stretches:
+    """Of a range of a block's texts: least hash, first and last start, row and hash of the content of each stretch."""
+
+    key: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    row: np.ndarray
+    name: np.ndarray
+    #: Where the run with the least hash begins, from the first start on; -1 if it occurs twice.
+    run: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray, with_run: bool = False) -> Stretches:
+        none = np.zeros(0, np.int64)
+        empty = cls(np.zeros(0, np.uint64), none, none, none, none, none)
+        sums = byte_sums(data)
+        grams = sums.windows(GRAM)
+        if len(grams) < SPAN:
+            return empty
+        least, size = grams, 1
+        while size < SPAN:  # least of size, then of twice as many, up to SPAN
+            step = min(size, SPAN - size)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            size += step
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
+        starts = np.flatnonzero(offsets[1:][rows] - np.arange(len(least)) >= LENGTH)
+        if not len(starts):
+            return empty
+        key, row = least[starts], rows[starts]
+        new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
+        at = np.flatnonzero(new)
+        first, last = starts[at], starts[np.append(at[1:], len(starts)) - 1]
+        key = key[at]
+        run = np.full(len(key), -1)
+        if with_run:
+            times = np.where(last - first >= SPAN, 2, 0)
+            for k in range(2 * SPAN - 1):
+                some = np.flatnonzero((first + k <= last + SPAN - 1) & (times < 2))
+                hit = some[grams[first[some] + k] == key[some]]
+                times[hit] += 1
+                run[hit] = k
+            run[times != 1] = -1
+        return cls(key, first, last, row[at], sums.slices(first, last + LENGTH).view(np.int64), run)
+
+    def used(self, shared: np.ndarray, hot: np.ndarray, data: np.ndarray) -> Stretches:
+        """The shared ones, hot ones start by start and keyed by their content."""
+        out = Stretches(*(getattr(self, f.name)[shared] for f in fields(self)))
+        many = hot[shared]
+        if not many.any():
+            return out
+        sizes = np.where(many, out.last - out.first + 1, 1)
+        each = np.repeat(np.arange(len(many)), sizes)
+        single, starts = many[each], runs(out.first, sizes)
+        name = np.where(single, byte_sums(data).slices(starts, np.minimum(starts + LENGTH, len(data))).view(np.int64), out.name[each])
+        key = np.where(single, name.view(np.uint64), out.key[each])
+        return Stretches(key, starts, np.where(single, starts, out.last[each]), out.row[each], name, np.where(single, -1, out.run[each]))
+
+
+def _block(texts: pa.Array, with_run: bool = False) -> list[tuple[int, Stretches]]:
+    return [(a, Stretches.of(*utf8(texts.slice(a, b - a)), with_run)) for a, b in chunks(texts)]
 
 
 def _texts(table: pa.Table) -> pa.Array:
@@ -164,14 +206,10 @@ def _texts(table: pa.Table) -> pa.Array:
     return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
 
 
-def _announced(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _different(stretches: list[tuple[int, Stretches]], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's different least hashes, and whether several of its documents have them."""
-    texts, docs, keys, own = _texts(table), table.column("doc").to_numpy(), [], []
-    for a, b in chunks(texts):
-        key, _, _, row, _ = _stretches(*utf8(texts.slice(a, b - a)))
-        keys.append(key)
-        own.append(docs[a + row])
-    key, doc = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *own])
+    key = np.concatenate([np.zeros(0, np.uint64), *(x.key for _, x in stretches)])
+    doc = np.concatenate([np.zeros(0, np.int64), *(docs[a + x.row] for a, x in stretches)])
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     new = np.append(True, key[1:] != key[:-1])[: len(key)]
@@ -180,25 +218,20 @@ def _announced(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.logical_or.reduceat(other, at) if len(at) else other
 
 
-def _pieces(texts: pa.Array, different: np.ndarray, shared: np.ndarray, hot: np.ndarray):
-    """(first row, bytes, meeting hash, first start, number of starts, row, content hash) of shared stretches; hot ones start by start."""
-    for a, b in chunks(texts):
-        data, offsets = utf8(texts.slice(a, b - a))
-        key, first, last, row, sums = _stretches(data, offsets)
-        if not len(key):
-            continue
-        at = np.searchsorted(different, key)
-        use = shared[at]
-        many = hot[at][use]
-        key, first, last, row = key[use], first[use], last[use], row[use]
-        if many.any():
-            sizes = np.where(many, last - first + 1, 1)
-            each = np.repeat(np.arange(len(key)), sizes)
-            single, starts = many[each], runs(first, sizes)
-            last = np.where(single, starts, last[each])
-            key = np.where(single, sums.slices(starts, np.minimum(starts + LENGTH, len(data))), key[each])
-            first, row = starts, row[each]
-        yield a, data, key, first, last - first + 1, row, sums.slices(first, last + LENGTH)
+def _announced(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _different(_block(_texts(table)), table.column("doc").to_numpy())
+
+
+def _used(texts: pa.Array, docs: np.ndarray, answers: pa.Table, buckets: int, with_run: bool = False) -> Iterator[tuple[int, np.ndarray, Stretches]]:
+    """(first row, bytes, shared stretches) of ranges of a block's texts."""
+    stretches = _block(texts, with_run)
+    different, _ = _different(stretches, docs)
+    shared, hot = blocks.marks(answers, different, buckets)
+    for (a, b), (_, every) in zip(chunks(texts), stretches, strict=True):
+        at = np.searchsorted(different, every.key)
+        if len(at):
+            data, _ = utf8(texts.slice(a, b - a))
+            yield a, data, every.used(shared[at], hot[at], data)
 
 
 def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -206,75 +239,106 @@ def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Tab
     if not len(rows) or not len(answers):
         return blocks.messages(block, [])
     texts, docs = _texts(rows), rows.column("doc").to_numpy()
-    different, _ = _announced(rows)
     known: dict[int, int] = {}
     keys, names, least, sizes, contents = [], [], [], [], []
-    for a, data, key, first, count, row, name in _pieces(texts, different, *blocks.marks(answers, different, buckets)):
-        order = np.lexsort((docs[a + row], name))
-        at = order[np.append(True, name[order][1:] != name[order][:-1])]
+    for a, data, found in _used(texts, docs, answers, buckets, with_run=True):
+        order = np.lexsort((docs[a + found.row], found.name))
+        at = order[np.append(True, found.name[order][1:] != found.name[order][:-1])[: len(order)]]
         raw = data.tobytes()
-        for k, x, y, n, d in zip(key[at].tolist(), name[at].tolist(), first[at].tolist(), count[at].tolist(), docs[a + row[at]].tolist(), strict=True):
+        for k, x, y, z, r, d in zip(*(v[at].tolist() for v in (found.key, found.name, found.first, found.last, found.run)), docs[a + found.row[at]].tolist(), strict=True):
             if (seen := known.get(x)) is None:
                 known[x] = len(keys)
                 keys.append(k)
                 names.append(x)
                 least.append(d)
-                sizes.append(n + LENGTH - 1)
-                contents.append(raw[y : y + n + LENGTH - 1])
+                sizes.append((z - y + LENGTH) << 8 | r + 1)  # a run that is left out begins within 2 * SPAN
+                contents.append(raw[y : z + LENGTH] if r < 0 else raw[y : y + r] + raw[y + r + GRAM : z + LENGTH])
             elif d < least[seen]:
                 least[seen] = d
-    key, meta = np.array(keys, np.uint64), np.array([np.array(names, np.uint64).view(np.int64), least, sizes], np.int64)
+    key, meta = np.array(keys, np.uint64), np.array([names, least, sizes], np.int64)
     return blocks.messages(block, [(b, [key[at].tobytes(), np.ascontiguousarray(meta[:, at]).tobytes(), b"".join(map(contents.__getitem__, at.tolist()))]) for b, at in blocks.by_bucket(key, buckets)])
 
 
+def _alike(key: np.ndarray, sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a slice has HALF bytes and another one of the same key is equal."""
+    whole = np.flatnonzero(ends - starts >= HALF)
+    pair = mix(sums.slices(starts[whole], ends[whole]) ^ mix(key[whole]))
+    _, which, held = np.unique(pair, return_inverse=True, return_counts=True)
+    out = np.zeros(len(key), bool)
+    out[whole] = held[which] > 1
+    return out
+
+
 def _owners(key: tuple, table: pa.Table) -> pa.Table:
     """Answers each block with the least doc of every string in the stretches it sent, where another document may have it."""
     keys = blocks.received(table, "a", np.uint64)
     meta = [x.reshape(3, -1) for x in blocks.received(table, "b", np.int64)]
     counts = list(map(len, keys))
-    block = np.repeat(np.arange(len(keys)), counts)
-    every, (name, doc, size) = np.concatenate(keys), np.concatenate(meta, axis=1)
-    at = np.concatenate([np.cumsum(m[2]) - m[2] for m in meta])
-    raw = [x.as_buffer().to_pybytes() for x in table.column("c")]
+    every, (name, doc, packed) = np.concatenate(keys), np.concatenate(meta, axis=1)
+    size, run = packed >> 8, (packed & 255) - 1
+    sent = np.where(run < 0, size, size - GRAM)
+    data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("c")])
+    at = np.cumsum(sent) - sent
     _, same, held = np.unique(name, return_inverse=True, return_counts=True)
     least = np.full(len(held), blocks.LAST)
     np.minimum.at(least, same, doc)
     first = np.full(len(held), len(name))
     np.minimum.at(first, same, np.arange(len(name)))  # one entry stands for all with its content
-    contents: list[np.ndarray | int] = least.tolist()
-    order = first[np.argsort(every[first], kind="stable")]
-    cuts = np.flatnonzero(every[order][1:] != every[order][:-1]) + 1
-    batch: list[int] = []
-    batch_size = 0
-
-    def sort() -> None:
-        owners = least_owner([raw[block[k]][at[k] : at[k] + size[k]] for k in batch], [int(least[same[k]]) for k in batch])
-        for k, found in zip(batch, owners, strict=True):
-            contents[same[k]] = found
-
-    for met in np.split(order, cuts):
-        if len(met) > 1:
-            batch += met.tolist()
-            batch_size += int(size[met].sum())
-            if batch_size >= SORTED_TOGETHER:
-                sort()
-                batch, batch_size = [], 0
-    if batch:
-        sort()
-    out: list[list] = [[] for _ in keys]
-    for k, (b, s, n) in enumerate(zip(block.tolist(), same.tolist(), name.tolist(), strict=True)):
-        found = contents[s]
-        if isinstance(found, int):
-            if held[s] == 1:
-                continue  # the block takes the least doc of its own
-            out[b].append((n, [int(size[k]) - LENGTH + 1], [found]))
-        else:
-            edge = np.append(0, np.flatnonzero(found[1:] != found[:-1]) + 1)
-            out[b].append((n, np.diff(np.append(edge, len(found))).tolist(), found[edge].tolist()))
+    found: dict[int, np.ndarray] = {}
+    grams: dict[np.uint64, np.ndarray] = {}
+
+    def sort(entries: np.ndarray, cut: bool) -> None:
+        at_, stop, run_ = at[entries].tolist(), (at + sent)[entries].tolist(), run[entries].tolist()
+        strings = [data[x:y].astype(np.int64) + 1 for x, y in zip(at_, stop, strict=True)]
+        middles = [[RUN]] * len(strings) if cut else [grams.get(k) for k in every[entries]]
+        strings = [x if r < 0 else np.concatenate([x[:r], m, x[r:]]) for x, r, m in zip(strings, run_, middles, strict=True)]
+        for k, owners in zip(same[entries].tolist(), least_owner(strings, least[same[entries]].tolist(), SPAN if cut else LENGTH), strict=True):
+            found[k] = owners
+
+    # Contents whose run was left out are sorted with it as one symbol, if all that meet are such.
+    _, met, several = np.unique(every[first], return_inverse=True, return_counts=True)
+    full = np.zeros(len(several), bool)
+    full[met[run[first] < 0]] = True
+    mixed = several[met] > 1
+    contracted = first[mixed & ~full[met]]
+    if len(contracted):
+        sums = Sums(BYTE_VALUES[data])
+        middle = at[contracted] + run[contracted]
+        left = _alike(every[contracted], sums, np.maximum(middle - HALF, at[contracted]), middle)
+        right = _alike(every[contracted], sums, middle, np.minimum(middle + HALF, (at + sent)[contracted]))
+        contracted = contracted[left | right]
+    others = first[mixed & full[met]]
+    for entries, cut in ((contracted, True), (others, False)):
+        entries = entries[np.argsort(every[entries], kind="stable")]
+        if not cut:
+            grams = {}
+            for k in entries[run[entries] < 0].tolist():  # such a content holds the run that the others go without
+                if every[k] not in grams:
+                    own = data[at[k] : at[k] + sent[k]]
+                    grams |= {every[k]: own[p : p + GRAM].astype(np.int64) + 1 for p in np.flatnonzero(byte_sums(own).windows(GRAM) == every[k])[:1].tolist()}
+        edges = np.flatnonzero(every[entries][1:] != every[entries][:-1]) + 1
+        weight = np.add.reduceat(sent[entries], np.append(0, edges)) if len(entries) else np.zeros(0, np.int64)
+        cuts = edges[np.flatnonzero(np.diff(np.cumsum(weight) // SORTED_TOGETHER) > 0)] if len(edges) else edges
+        for part in np.split(entries, cuts):
+            if len(part):
+                sort(part, cut)
+    tell = np.flatnonzero((held[same] > 1) | np.isin(same, np.fromiter(found, np.int64, len(found))))
+    block = np.repeat(np.arange(len(keys)), counts)
     parts = []
-    for told in out:
-        told.sort()
-        parts.append((np.array([x[0] for x in told], np.int64).tobytes(), np.array([len(x[1]) for x in told], np.int32).tobytes(), np.array([y for x in told for y in x[1]], np.int32).tobytes(), np.array([y for x in told for y in x[2]], np.int64).tobytes()))
+    for k in range(len(keys)):
+        own = tell[np.searchsorted(block[tell], k) : np.searchsorted(block[tell], k + 1)]
+        lengths, owners, steps = [], [], []
+        for entry, s in zip(own.tolist(), same[own].tolist(), strict=True):
+            if (owner := found.get(s)) is None:
+                steps.append(1)
+                lengths.append(int(size[entry]) - LENGTH + 1)
+                owners.append(int(least[s]))
+            else:
+                edge = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
+                steps.append(len(edge))
+                lengths += np.diff(np.append(edge, len(owner))).tolist()
+                owners += owner[edge].tolist()
+        parts.append((name[own].tobytes(), np.array(steps, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), np.array(owners, np.int64).tobytes()))
     columns = [table.column("block").combine_chunks(), pa.array([key[0].as_py()] * len(parts), pa.int64())]
     columns += [pa.array([x[k] for x in parts], pa.binary()) for k in range(4)]
     return pa.table(columns, ["block", "bucket", *blocks.PARTS])
@@ -297,9 +361,8 @@ def _cut(block: int, rows: pa.Table, answers: pa.Table, marks: pa.Table, buckets
     texts, docs = _texts(rows), rows.column("doc").to_numpy()
     found = {}
     if len(marks):
-        different, _ = _announced(rows)
-        for a, _, _, first, count, row, name in _pieces(texts, different, *blocks.marks(marks, different, buckets)):
-            found[a] = first, count, docs[a + row], name.view(np.int64)
+        for a, _, x in _used(texts, docs, marks, buckets):
+            found[a] = x.first, x.last - x.first + 1, docs[a + x.row], x.name
     every = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in found.values())])
     doc = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in found.values())])
     own, which = np.unique(every, return_inverse=True)
