@@ -9,6 +9,8 @@ from convspan.llm.common import checkpointed
 
 #: Components of a path of n nodes need about log2(n) rounds; more rounds than this mean that something is wrong.
 MOST_ROUNDS = 60
+#: Edges (16 bytes each) that one partition holds.
+EDGES_PER_PART = 200_000
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,20 +31,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads to a node that leads no further."""
+    onward = edges.select(F.col("u").alias("v")).distinct()
+    return edges.join(onward, "v", "left_semi").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, component of every node of links(u, v), two long columns; a component's name is its least node.
 
-    Rounds end when the edges stay as they are, a star around each component's least node. Every round's edges, fewer than nodes and
-    links together, are written to the checkpoint folder. Links of a node with itself add nothing; an empty table gives an empty one.
+    Rounds end when the edges are a star around each component's least node. Every round's edges, fewer than nodes and links together,
+    are written to the checkpoint folder, in as many parts as they need. Links of a node with itself add nothing; an empty table gives
+    an empty one.
     """
     edges = checkpointed(links.select("u", "v").where("u <> v").distinct())
-    seen = None
     for _ in range(MOST_ROUNDS):
-        edges = checkpointed(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        parts = 1 + edges.count() // EDGES_PER_PART
+        edges = edges.coalesce(parts)
+        edges = checkpointed(_small_star(_large_star(edges).coalesce(parts)).coalesce(parts))
+        if _settled(edges):
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -37,7 +37,7 @@ _rng = np.random.default_rng(75)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 ADDED = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 #: Classes in a bucket up to which its open pairs come from a join; larger ones go through blocks, of so many classes a side.
-SMALL_BUCKET, BLOCK = 24, 256
+SMALL_BUCKET, BLOCK = 24, 1024
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -209,8 +209,8 @@ def find_components(docs: DataFrame) -> DataFrame:
     # Two centres a bucket, each by one hash for all buckets, so that few different pairs arise.
     order = lambda seed: F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("order"), "rep"))
     centres = members.groupBy("bucket").agg(order(1).alias("one"), order(2).alias("two"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = members.join(centres.select("bucket", F.col("one.rep").alias("one"), F.col("two.rep").alias("two")), "bucket")
-    stars = stars.select("rep", F.explode(F.array("one", "two")).alias("centre")).where("rep <> centre")
+    shared = checkpointed(members.join(centres.select("bucket", F.col("one.rep").alias("one"), F.col("two.rep").alias("two")), "bucket"))
+    stars = shared.select("rep", F.explode(F.array("one", "two")).alias("centre")).where("rep <> centre")
     pairs = stars.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
     pairs = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.rep")).join(sketches.alias("b"), F.col("v") == F.col("b.rep"))
     tried = checkpointed(pairs.where(_alike("a", "b")).select("u", "v"))
@@ -218,7 +218,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     component = connected_components(links)
 
     # Buckets that still hold several components: classes outside the most frequent one, against all.
-    placed = members.join(centres.select("bucket"), "bucket", "left_semi").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = shared.select("bucket", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     placed = checkpointed(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
     shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     shares = shares.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).where("parts > 1").drop("parts")
