@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from convspan.llm.common import partitions, text_or_empty
 
-#: Blocks, and buckets, for each shuffle partition.
-PER_PARTITION = 1
+#: Blocks, which hold text, and buckets, which hold hashes, for each shuffle partition.
+BLOCKS_PER_PARTITION, BUCKETS_PER_PARTITION = 2, 1
 LAST = (1 << 63) - 1
 #: A shared hash that more blocks than this hold is hot.
 HOT_BLOCKS = 256
@@ -27,14 +27,15 @@ PARTS = ["a", "b", "c", "d"]
 
 
 def count(spark: SparkSession) -> int:
-    return PER_PARTITION * partitions(spark)
+    """Number of buckets."""
+    return BUCKETS_PER_PARTITION * partitions(spark)
 
 
 def deal(docs: DataFrame) -> DataFrame:
     """block, doc_id, doc, text: a null text is empty; doc is doc_id for comparison, a null one coming after all others."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = docs.select("doc_id", doc.alias("doc"), text_or_empty().alias("text"))
-    return rows.select(F.pmod(F.xxhash64("doc"), F.lit(count(docs.sparkSession))).alias("block"), "doc_id", "doc", "text")
+    return rows.select(F.pmod(F.xxhash64("doc"), F.lit(BLOCKS_PER_PARTITION * partitions(docs.sparkSession))).alias("block"), "doc_id", "doc", "text")
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from convspan.llm import blocks
-from convspan.llm.textarrays import BYTE_VALUES, Sums, byte_sums, chunks, mix, runs, utf8
+from convspan.llm.textarrays import byte_sums, chunks, mix, runs, utf8
 
 LENGTH = 50
 GRAM = 26
@@ -59,41 +59,65 @@ def suffix_order(symbols: list[int]) -> list[int]:
     if above:
         above[-1] = -1
     processed, smaller = bytearray(n), [-1] * n
+    live = list(map(len, members))  # of a group's members those that have not left it
     current, order = len(members) - 1, []
+
+    def leave(starts: list[int], step: int) -> None:
+        split: dict[int, int] = {}
+        for i in starts:
+            old = group[i]
+            new = split.get(old)
+            if new is None:
+                new = split[old] = len(members)
+                members.append([])
+                live.append(0)
+                length.append(length[old] + step)
+                below.append(old)
+                above.append(above[old])
+                below[above[old]] = new
+                above[old] = new
+            group[i] = new
+            members[new].append(i)
+            live[old] -= 1
+            live[new] += 1
+
     while current >= 0:
-        own = sorted(i for i in members[current] if group[i] == current)
-        members[current] = own
-        if own:
+        if live[current]:
+            own = members[current]
+            if len(own) > 1:
+                own = members[current] = sorted([i for i in own if group[i] == current])
             order.append(current)
-        pointed: dict[int, int] = {}
-        for i in own:
-            processed[i] = 1
-        for i in own:
-            at = i - 1
-            while at >= 0 and processed[at]:
-                at = smaller[at]
-            smaller[i] = at
-            if at >= 0:
-                pointed[at] = pointed.get(at, 0) + 1
-        if pointed:
-            often = max(pointed.values())
-            by_count = [(1, list(pointed))] if often == 1 else [(k, [i for i, c in pointed.items() if c == k]) for k in range(often, 0, -1)] if often < 8 else sorted(_invert(pointed).items(), reverse=True)
             step = length[current]
-            for times, starts in by_count:
-                split: dict[int, int] = {}
-                for i in starts:
-                    old = group[i]
-                    new = split.get(old)
-                    if new is None:
-                        new = split[old] = len(members)
-                        members.append([])
-                        length.append(length[old] + times * step)
-                        below.append(old)
-                        above.append(above[old])
-                        below[above[old]] = new
-                        above[old] = new
-                    group[i] = new
-                    members[new].append(i)
+            for i in own:
+                processed[i] = 1
+            if len(own) == 1:
+                i = own[0]
+                at = i - 1
+                while at >= 0 and processed[at]:
+                    at = smaller[at]
+                smaller[i] = at
+                if at >= 0:
+                    old = group[at]
+                    if live[old] == 1:  # the whole group goes up, to where it is
+                        length[old] += step
+                        members[old] = [at]
+                    else:
+                        leave([at], step)
+            else:
+                pointed: dict[int, int] = {}
+                for i in own:
+                    at = i - 1
+                    while at >= 0 and processed[at]:
+                        at = smaller[at]
+                    smaller[i] = at
+                    if at >= 0:
+                        pointed[at] = pointed.get(at, 0) + 1
+                if pointed:
+                    if max(pointed.values()) == 1:
+                        leave(list(pointed), step)
+                    else:
+                        for times, starts in sorted(_invert(pointed).items(), reverse=True):
+                            leave(starts, times * step)
         current = below[current]
     order.reverse()
     place, waiting, at = {}, defaultdict(list), 0
@@ -163,15 +187,18 @@ class Stretches:
             step = min(size, SPAN - size)
             least = np.minimum(least[: len(least) - step], least[step:])
             size += step
-        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-        starts = np.flatnonzero(offsets[1:][rows] - np.arange(len(least)) >= LENGTH)
-        if not len(starts):
+        change = np.zeros(len(least), bool)
+        change[1:] = least[1:] != least[:-1]
+        change[offsets[:-1][offsets[:-1] < len(least)]] = True
+        first = np.flatnonzero(change)
+        row = np.searchsorted(offsets, first, "right") - 1
+        room = offsets[row + 1] - LENGTH
+        last = np.minimum(np.append(first[1:], len(least)) - 1, room)
+        fits = first <= room
+        first, last, row = first[fits], last[fits], row[fits]
+        if not len(first):
             return empty
-        key, row = least[starts], rows[starts]
-        new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-        at = np.flatnonzero(new)
-        first, last = starts[at], starts[np.append(at[1:], len(starts)) - 1]
-        key = key[at]
+        key = least[first]
         run = np.full(len(key), -1)
         if with_run:
             times = np.where(last - first >= SPAN, 2, 0)
@@ -181,7 +208,7 @@ class Stretches:
                 times[hit] += 1
                 run[hit] = k
             run[times != 1] = -1
-        return cls(key, first, last, row[at], sums.slices(first, last + LENGTH).view(np.int64), run)
+        return cls(key, first, last, row, sums.slices(first, last + LENGTH).view(np.int64), run)
 
     def used(self, shared: np.ndarray, hot: np.ndarray, data: np.ndarray) -> Stretches:
         """The shared ones, hot ones start by start and keyed by their content."""
@@ -210,12 +237,10 @@ def _different(stretches: list[tuple[int, Stretches]], docs: np.ndarray) -> tupl
     """A block's different least hashes, and whether several of its documents have them."""
     key = np.concatenate([np.zeros(0, np.uint64), *(x.key for _, x in stretches)])
     doc = np.concatenate([np.zeros(0, np.int64), *(docs[a + x.row] for a, x in stretches)])
-    order = np.lexsort((doc, key))
+    order = np.argsort(key)
     key, doc = key[order], doc[order]
-    new = np.append(True, key[1:] != key[:-1])[: len(key)]
-    other = np.append(False, (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]))[: len(key)]
-    at = np.flatnonzero(new)
-    return key[at], np.logical_or.reduceat(other, at) if len(at) else other
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
 
 
 def _announced(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +284,16 @@ def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Tab
     return blocks.messages(block, [(b, [key[at].tobytes(), np.ascontiguousarray(meta[:, at]).tobytes(), b"".join(map(contents.__getitem__, at.tolist()))]) for b, at in blocks.by_bucket(key, buckets)])
 
 
-def _alike(key: np.ndarray, sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a slice has HALF bytes and another one of the same key is equal."""
-    whole = np.flatnonzero(ends - starts >= HALF)
-    pair = mix(sums.slices(starts[whole], ends[whole]) ^ mix(key[whole]))
+def _alike(key: np.ndarray, data: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether the HALF bytes from a start on are there (whole) and are those of another one with the same key."""
+    some = np.flatnonzero(whole)
+    pair = mix(key[some])
+    for part in range(0, HALF, 4):
+        four = data[starts[some][:, None] + np.arange(part, part + 4)].view(np.uint32)[:, 0]
+        pair = mix(pair ^ four)
     _, which, held = np.unique(pair, return_inverse=True, return_counts=True)
     out = np.zeros(len(key), bool)
-    out[whole] = held[which] > 1
+    out[some] = held[which] > 1
     return out
 
 
@@ -302,10 +330,9 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     mixed = several[met] > 1
     contracted = first[mixed & ~full[met]]
     if len(contracted):
-        sums = Sums(BYTE_VALUES[data])
-        middle = at[contracted] + run[contracted]
-        left = _alike(every[contracted], sums, np.maximum(middle - HALF, at[contracted]), middle)
-        right = _alike(every[contracted], sums, middle, np.minimum(middle + HALF, (at + sent)[contracted]))
+        keys_, middle = every[contracted], at[contracted] + run[contracted]
+        left = _alike(keys_, data, middle - HALF, run[contracted] >= HALF)
+        right = _alike(keys_, data, middle, middle + HALF <= (at + sent)[contracted])
         contracted = contracted[left | right]
     others = first[mixed & full[met]]
     for entries, cut in ((contracted, True), (others, False)):
