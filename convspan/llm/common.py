@@ -17,14 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and read back; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named (tests on one machine) a temporary one is set.
+    Only where none is named (tests on one machine) a temporary one is set.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared checkpoint folder and read back; its lineage ends there."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

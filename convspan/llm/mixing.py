@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     per = per.withColumn("words", F.sum("source_size").over(every))
     per = per.withColumn("left", F.col("words") - F.coalesce(F.sum("most").over(before), F.lit(0))).withColumn("weights", F.sum("weight").over(after))
     per = per.withColumn("full", F.col("most") * F.col("weights") <= F.col("weight") * F.col("left"))
-    per = per.withColumn("left", F.min(F.when(~F.col("full"), F.col("left"))).over(every)).withColumn("weights", F.max(F.when(~F.col("full"), F.col("weights"))).over(every))
+    per = per.withColumn("left", F.max(F.when(~F.col("full"), F.col("left"))).over(every)).withColumn("weights", F.max(F.when(~F.col("full"), F.col("weights"))).over(every))
     per = per.withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * F.col("left") / F.col("weights")))
     step = lambda tilt, _: tilt - 1 + F.try_divide(F.col("target"), F.col("source_size")) * F.exp(-tilt)
     tilt = F.aggregate(F.sequence(F.lit(1), F.lit(ITERATIONS)), F.lit(0.0), step)
@@ -95,7 +95,7 @@ weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1)
 level AS (SELECT *, source_size * 3 AS most, sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
     sum(weight) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM weighed),
 capped AS (SELECT *, most * weights <= weight * rest AS filled FROM level),
-targets AS (SELECT source, source_size, CASE WHEN filled THEN CAST(most AS DOUBLE) ELSE CAST(weight * min(rest) FILTER (NOT filled) OVER () AS DOUBLE) / CAST(max(weights) FILTER (NOT filled) OVER () AS DOUBLE) END AS target FROM capped),
+targets AS (SELECT source, source_size, CASE WHEN filled THEN CAST(most AS DOUBLE) ELSE CAST(weight * max(rest) FILTER (NOT filled) OVER () AS DOUBLE) / CAST(max(weights) FILTER (NOT filled) OVER () AS DOUBLE) END AS target FROM capped),
 rates AS (SELECT *, CASE WHEN target > 0 THEN least(round(target / source_size, 9), 3) ELSE 0 END AS rate FROM targets),
 runs AS (SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM sizes s)
 SELECT doc_id, size, source_size, target,
