@@ -5,8 +5,8 @@ this least hash form one stretch, and stretches with the same least hash meet in
 contents are sorted, equal strings become neighbours in suffix order, and the least document of each run of neighbours is found.
 Before that, documents' least hashes are announced, so that only stretches go on whose hash another document has too; equal contents
 travel once per block. As all strings of a stretch hold the run with the least hash, it travels and is sorted as one symbol, unless it
-occurs twice; and as one side of it then has half of a string's other bytes, contents that agree with no other one in these bytes on
-either side of it share no string and are not sorted.
+occurs twice. Contents with a common string then agree around that symbol in one of a few ways, by how the string's other bytes lie on
+its sides; those that agree with no other content in any of them are not sorted.
 
 Suffixes are sorted by grouping (linear construction): suffixes start in groups by their first symbol and groups are processed from
 the greatest down. Each suffix of the current group points to the last suffix before it that is in a lower group; suffixes pointed to
@@ -31,10 +31,10 @@ from convspan.llm.textarrays import byte_sums, chunks, mix, runs, utf8
 LENGTH = 50
 GRAM = 26
 #: Symbols of the strings whose suffixes are sorted together, a longer string alone.
-SORTED_TOGETHER = 8_000
+SORTED_TOGETHER = 4_000
 SPAN = LENGTH - GRAM + 1
-#: The bytes on one side of the run that two contents with a common string must share.
-HALF = (LENGTH - GRAM) // 2
+#: Bytes before and after the run that two contents with a common string share, for every split of its LENGTH - GRAM other bytes one of these.
+SIDES = ((24, 0), (18, 1), (12, 7), (6, 13), (1, 19), (0, 24))
 #: The symbol of the run.
 RUN = 300
 
@@ -179,7 +179,7 @@ class Stretches:
         none = np.zeros(0, np.int64)
         empty = cls(np.zeros(0, np.uint64), none, none, none, none, none)
         sums = byte_sums(data)
-        grams = sums.windows(GRAM)
+        grams = sums.windows(GRAM, mixed=False)
         if len(grams) < SPAN:
             return empty
         least, size = grams, 1
@@ -208,7 +208,7 @@ class Stretches:
                 times[hit] += 1
                 run[hit] = k
             run[times != 1] = -1
-        return cls(key, first, last, row, sums.slices(first, last + LENGTH).view(np.int64), run)
+        return cls(mix(key), first, last, row, sums.slices(first, last + LENGTH).view(np.int64), run)
 
     def used(self, shared: np.ndarray, hot: np.ndarray, data: np.ndarray) -> Stretches:
         """The shared ones, hot ones start by start and keyed by their content."""
@@ -284,13 +284,13 @@ def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Tab
     return blocks.messages(block, [(b, [key[at].tobytes(), np.ascontiguousarray(meta[:, at]).tobytes(), b"".join(map(contents.__getitem__, at.tolist()))]) for b, at in blocks.by_bucket(key, buckets)])
 
 
-def _alike(key: np.ndarray, data: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Whether the HALF bytes from a start on are there (whole) and are those of another one with the same key."""
+def _alike(key: np.ndarray, data: np.ndarray, starts: np.ndarray, size: int, whole: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a start on are all there (whole) and are those of another one with the same key."""
     some = np.flatnonzero(whole)
     pair = mix(key[some])
-    for part in range(0, HALF, 4):
-        four = data[starts[some][:, None] + np.arange(part, part + 4)].view(np.uint32)[:, 0]
-        pair = mix(pair ^ four)
+    for part in range(0, size, 4):
+        part = min(part, size - 4)
+        pair = mix(pair ^ data[starts[some][:, None] + np.arange(part, part + 4)].view(np.uint32)[:, 0])
     _, which, held = np.unique(pair, return_inverse=True, return_counts=True)
     out = np.zeros(len(key), bool)
     out[some] = held[which] > 1
@@ -331,9 +331,11 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     contracted = first[mixed & ~full[met]]
     if len(contracted):
         keys_, middle = every[contracted], at[contracted] + run[contracted]
-        left = _alike(keys_, data, middle - HALF, run[contracted] >= HALF)
-        right = _alike(keys_, data, middle, middle + HALF <= (at + sent)[contracted])
-        contracted = contracted[left | right]
+        use = np.zeros(len(contracted), bool)
+        for before, after in SIDES:
+            whole = (run[contracted] >= before) & (middle + after <= (at + sent)[contracted])
+            use |= _alike(keys_, data, middle - before, before + after, whole)
+        contracted = contracted[use]
     others = first[mixed & full[met]]
     for entries, cut in ((contracted, True), (others, False)):
         entries = entries[np.argsort(every[entries], kind="stable")]

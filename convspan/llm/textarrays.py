@@ -48,10 +48,14 @@ class Sums:
         raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(STEP))
 
-    def windows(self, size: int) -> np.ndarray:
-        """Of every slice of this size; empty if there is none."""
+    def windows(self, size: int, mixed: bool = True) -> np.ndarray:
+        """Of every slice of this size; empty if there is none. Only the high bits of unmixed ones are good."""
         n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:n]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        raw = self.sums[size:] - self.sums[:n]
+        raw *= self.back[:n]
+        return mix(raw) if mixed else raw
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
