@@ -1,0 +1,61 @@
+"""Strict recipes: every key known, defaults resolved, and an identity that does not depend on what was spelled out."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field, fields
+
+
+@dataclass(frozen=True)
+class Data:
+    source: str
+    adapter: str = "messages"
+    renderer: str = "olmo2_instruct"
+    max_length: int = 256
+    truncation: str = "right"
+    min_context: int = 0
+    seed: int = 0
+
+
+@dataclass(frozen=True)
+class Objective:
+    conflict: str = "last_match"
+    rules: tuple = field(default_factory=tuple)
+
+
+@dataclass(frozen=True)
+class Recipe:
+    data: Data
+    objective: Objective = field(default_factory=Objective)
+    schema_version: int = 1
+
+    @property
+    def identity(self) -> str:
+        """Hash of the resolved recipe as canonical JSON."""
+        text = json.dumps(asdict(self), sort_keys=True, separators=(",", ":"))
+        return hashlib.sha256(b"convspan-recipe\0" + text.encode()).hexdigest()
+
+
+def _section(kind: type, given: object, name: str):
+    if not isinstance(given, dict):
+        raise ValueError(f"{name} must be a mapping")
+    if unknown := set(given) - {f.name for f in fields(kind)}:
+        raise ValueError(f"{name} has unknown keys {sorted(unknown)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def load(text: str) -> Recipe:
+    """A recipe from JSON text; duplicate and unknown keys are errors."""
+
+    def unique(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError(f"duplicate keys in {[k for k, _ in pairs]}")
+        return dict(pairs)
+
+    raw = json.loads(text, object_pairs_hook=unique)
+    if unknown := set(raw) - {f.name for f in fields(Recipe)}:
+        raise ValueError(f"the recipe has unknown keys {sorted(unknown)}")
+    if raw.get("schema_version", 1) != 1:
+        raise ValueError("only schema_version 1 is known")
+    return Recipe(_section(Data, raw.get("data"), "data"), _section(Objective, raw.get("objective", {}), "objective"))
