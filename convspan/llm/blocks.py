@@ -56,6 +56,8 @@ def received(table: pa.Table, part: str, kind: type) -> list[np.ndarray]:
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its hashes) for those that have any, places in the order given."""
+    if not len(hashes):
+        return
     bucket = bucket_of(hashes, buckets).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     names, at = np.unique(bucket[order], return_index=True)

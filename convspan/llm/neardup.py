@@ -140,7 +140,7 @@ def _block_links(key: tuple, table: pa.Table) -> pa.Table:
     """Links between a block's classes outside the main component (side 0) and its classes (side 1), of different components."""
     main, side = key[0].as_py(), table.column("side").to_numpy()
     rep, component, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
-    sketch = np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1)
+    sketch = np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1).view(np.uint64)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
     every, found = np.flatnonzero(side == 1), []
     for i in np.flatnonzero(side == 0).tolist():

@@ -173,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
             bits = np.packbits(model.votes(batch.column(0)), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in bits], pa.binary()), batch.column(1)], ["bits", "toxic"])
 
-    rows = sample.mapInArrow(vote, "bits binary, toxic boolean").orderBy("bits", "toxic").collect()
+    rows = sample.mapInArrow(vote, "bits binary, toxic boolean").groupBy("bits", "toxic").agg(F.count(F.lit(1)).alias("times")).collect()
+    rows.sort(key=lambda r: (bytes(r.bits), r.toxic))
+    rows = [r for r in rows for _ in range(r.times)]
     bits = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint8).reshape(len(rows), -1)
     votes = np.unpackbits(bits, axis=1)[:, : len(model.weights)].astype(bool)
     label = np.array([r.toxic for r in rows])
