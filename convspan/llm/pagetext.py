@@ -182,7 +182,7 @@ def main_text(root: Node, dropped: frozenset[str] | set[str]) -> str:
             elif isinstance(part, str):
                 own.append(part)
             elif part.bad or part.path in dropped:
-                if part.tag not in INLINE:
+                if part.tag not in INLINE and part.tag not in RAW:
                     flush()
             elif part.tag == "br":
                 own.append(" ")
@@ -243,8 +243,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # What varies inside articles elsewhere is content here too, even on a host whose pages are copies of each other.
     article = F.col("path").rlike(r"/(article|main)(\.[^/]*)?/") & (F.col("every") >= CONTENT_ELSEWHERE)
     low = ~article & (F.greatest(mixed("own", "every"), mixed("shape", "every_shape")) < LEAST_IMPORTANCE) & (F.col("times") >= LEAST_PAGES)
+    # An element that holds an important one is as important as that.
+    rated = both.select("host", "path", low.alias("low"))
+    names = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
+    holders = rated.where(~F.col("low")).select("host", F.explode(above).alias("path")).distinct()
     # A path holds at most DEPTH short names and a host's different paths are the layouts of its site, not its pages.
-    return both.where(low).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("dropped"))
+    return rated.where("low").join(holders, ["host", "path"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("dropped"))
 
 
 def host_of(url: str = "url") -> object:

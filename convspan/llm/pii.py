@@ -5,7 +5,7 @@ document that hold a digit or an @ (the others are other words by definition). I
 its neighbours, transitions between such words close to each other, and skip potentials between distant words that are alike: the same
 letters and digits, or the same last digits of longer numbers. Each word is joined with the next one like it, so a word that occurs n
 times has n - 1 skip edges. Loopy message passing over a whole batch of documents gives marginals; what a base pattern found is given.
-Words that reach a label's threshold outside base spans become further spans: "key" for secrets, "similar" for repetitions of personal
+Words that reach a label's threshold outside base spans, and that messages reach from a word a pattern found, become further spans: "key" for secrets, "similar" for repetitions of personal
 data in a form that the patterns miss.
 
 The field is fitted by the base patterns' own labels on a bounded sample of words; finding runs over all rows, whole texts.
@@ -228,17 +228,27 @@ def fit(docs: DataFrame, rows: int = FITTED_ROWS) -> Field:
     return _fitted(np.concatenate(xs), *(np.concatenate(v).astype(np.int64) for v in (ys, chains, skips)))
 
 
+def evidence_reaches(g: Graph) -> np.ndarray:
+    """Which words messages can reach, in ROUNDS, from a word that a pattern has found."""
+    reached = np.array(g.given, np.int64) > 0
+    edges = np.array(g.chain + g.skip, np.int64).reshape(-1, 2)
+    for _ in range(ROUNDS if len(edges) else 0):
+        both = reached[edges].any(1)
+        reached[edges[both].ravel()] = True
+    return reached
+
+
 def find_all(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(base spans, further spans as (start, end, name)) of each text."""
     bases = [base_spans(x) for x in texts]
     g = graph(texts, bases)
-    best = field.marginals(g)
+    best, reached = field.marginals(g), evidence_reaches(g)
     further: list[list] = [[] for _ in texts]
     label = best[:, 1:].argmax(1) + 1 if len(best) else np.zeros(0, np.int64)
     key = LABELS.index("key")
     for k in np.flatnonzero((best[:, 1:].sum(1) if len(best) else label) >= THRESHOLD).tolist():
-        if 0 < g.given[k] < key:
-            continue  # inside a base span
+        if 0 < g.given[k] < key or not reached[k]:
+            continue  # inside a base span, or nothing but its own look speaks for it
         text, a, b = texts[g.row[k]], g.start[k], g.end[k]
         core = re.search(r"[0-9A-Za-z].*[0-9A-Za-z]|[0-9A-Za-z]", text[a:b])
         if core:
