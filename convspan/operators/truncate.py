@@ -76,15 +76,17 @@ def semantic_loss_aware(weighed: DataFrame, length: int) -> DataFrame:
     b = blocks.withColumn("before", F.coalesce(F.sum("weight").over(Window.partitionBy("sample_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     b = b.withColumn("through", F.max("last").over(Window.partitionBy("sample_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
     b = b.withColumn("onward", F.min("first").over(Window.partitionBy("sample_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)))
-    i, j = b.alias("i"), b.alias("j")
-    runs = i.join(j, (F.col("i.sample_id") == F.col("j.sample_id")) & (F.col("i.block") <= F.col("j.block")) & (F.col("j.stop") - F.col("i.start") <= length))
-    target = F.coalesce(F.col("i.second"), F.col("i.onward"))
+    # A sample's blocks, as many as its messages, are gathered into one array, and runs come from it; no row meets another sample's.
+    b = b.withColumn("weighted", F.sum("weight").over(Window.partitionBy("sample_id")) > 0)
+    one = b.groupBy("sample_id", "weighted").agg(F.array_sort(F.collect_list(F.struct("block", "start", "stop", "weight", "head", "second", "before", "through", "onward"))).alias("blocks"))
+    one = one.select("sample_id", "weighted", "blocks", F.posexplode("blocks").alias("at", "i"))
+    reach = F.filter(F.slice("blocks", F.col("at") + 1, F.size("blocks")), lambda j: j["stop"] - F.col("i.start") <= length)
+    runs = one.select("sample_id", "weighted", "i", F.explode_outer(reach).alias("j"))
     score = F.col("j.before") + F.col("j.weight") - F.col("i.before") - F.col("i.head")
     runs = runs.select(
-        F.col("i.sample_id").alias("sample_id"), F.col("i.start").alias("start"), F.col("j.stop").alias("stop"), F.col("i.block").alias("first_block"), F.col("j.block").alias("last_block"), score.alias("score"),
-        F.when(score > 0, F.col("j.through")).otherwise(-1).alias("latest"), F.when(score > 0, target - F.col("i.start")).otherwise(0).alias("context"),
-    )
-    has = blocks.groupBy("sample_id").agg((F.sum("weight") > 0).alias("weighted"))
-    best = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("latest"), F.desc("context"), F.desc(F.col("stop") - F.col("start")), "start")
-    found = runs.join(has, "sample_id").where(~F.col("weighted") | (F.col("score") > 0)).withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    return has.select("sample_id").join(found.select("sample_id", "start", "stop", "first_block", "last_block", "score"), "sample_id", "left")
+        "sample_id", "weighted", F.col("i.start").alias("start"), F.col("j.stop").alias("stop"), F.col("i.block").alias("first_block"), F.col("j.block").alias("last_block"), score.alias("score"),
+        F.when(score > 0, F.col("j.through")).otherwise(-1).alias("latest"), F.when(score > 0, F.coalesce("i.second", "i.onward") - F.col("i.start")).otherwise(0).alias("context"),
+    ).withColumn("fits", F.col("stop").isNotNull() & (~F.col("weighted") | (F.col("score") > 0)))
+    best = Window.partitionBy("sample_id").orderBy(F.desc("fits"), F.desc("score"), F.desc("latest"), F.desc("context"), F.desc(F.col("stop") - F.col("start")), "start")
+    picked = runs.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    return picked.select("sample_id", *[F.when(F.col("fits"), F.col(c)).alias(c) for c in ("start", "stop", "first_block", "last_block", "score")])

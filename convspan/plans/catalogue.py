@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convspan.operators import adapters, batch, classify, params, render, stats, tokens, tool_units, truncate
+from convspan.operators import adapters, batch, classify, params, render, render_tools, stats, tokens, tool_units, truncate
 from convspan.plans import oracle
 from convspan.sources import recipe, tables
 
@@ -168,6 +169,24 @@ def tool_units_fixture(spark, sf_dir):
     return tool_units.tool_units(rows)
 
 
+#: A row of the messages dialect with tools, reasoning, parallel calls and results.
+TOOL_ROW = {
+    "id": "tools",
+    "tools": [{"type": "function", "function": {"name": "weather", "description": "Look up", "parameters": '{"type": "object"}'}}],
+    "messages": [
+        {"role": "user", "content": "Oslo and Rome?"},
+        {"role": "assistant", "reasoning_content": "look up", "tool_calls": [{"id": c, "type": "function", "function": {"name": "weather", "arguments": f'{{"city": "{n}"}}'}} for c, n in (("c1", "Oslo"), ("c2", "Rome"))]},
+        {"role": "tool", "content": "12", "tool_call_id": "c1"}, {"role": "tool", "content": "20", "tool_call_id": "c2"}, {"role": "assistant", "content": "Cold and warm."},
+    ],
+}
+
+
+def render_qwen35_tools(spark, sf_dir):
+    row = spark.createDataFrame([(json.dumps(TOOL_ROW),)], "value string").select(F.from_json("value", tables.DIALECTS["messages"]).alias("row")).select("row.*")
+    samples = adapters.messages_adapter(row).withColumnRenamed("id", "sample_id")
+    return render_tools.qwen3_5_with_tools(samples).select("span_index", "message_index", "span_class", _role(), "text", "default_weight", "call_id")
+
+
 def _classified(spark, sf_dir):
     rows = adapters.ultrachat_200k_adapter(_rows(spark, sf_dir)).select(F.col("conv_id").alias("sample_id"), "reason")
     w = _weighed(spark, sf_dir)
@@ -316,7 +335,7 @@ def metrics_rollup(spark, sf_dir):
 def queries() -> dict[str, Query]:
     named = [
         adapt_messages_roles, adapt_ultrachat_reject, adapter_reason_counts, adapt_prompt_completion, adapt_sharegpt_alias, sample_id_fallback, render_span_inventory, span_ranges, alignment_left_vs_right, rule_match_counts,
-        require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
+        require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, render_qwen35_tools, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
         resume_cursor, explain_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, recipe_identity, metrics_rollup,
     ]
     return {"flagship": flagship} | {f.__name__: f for f in named} | {
