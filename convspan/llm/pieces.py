@@ -34,7 +34,7 @@ HASH_STEP, HASH_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD9
 #: Strings from this length on are merged one by one, with a heap.
 LONG = 40
 #: Characters of text that one output batch holds, longer texts alone.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once, longer texts alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 STEP = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20_240_501)
 #: A random number for each byte value.
