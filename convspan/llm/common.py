@@ -41,3 +41,13 @@ def text_or_empty(name: str = "text") -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its user sets in proportion to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_sample(frame: DataFrame, rows: int, key: str) -> DataFrame:
+    """At most `rows` rows, those whose key has the least hashes modulo the table's size; reruns agree.
+
+    About twice as many pass a filter first, so what is sorted does not grow with the table or its partitions.
+    """
+    total = max(frame.count(), 1)
+    order = F.pmod(F.xxhash64(key), F.lit(total))
+    return frame.where(order < 2 * rows).orderBy(order, key).limit(rows)

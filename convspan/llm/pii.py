@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspan.llm.common import text_or_empty
+from convspan.llm.common import hash_sample, text_or_empty
 
 #: Kinds in the order of the contract, and their patterns (an @ with its domain; the local part is read backwards).
 KINDS = ("email", "ip", "card", "phone")
@@ -207,7 +207,7 @@ def _fitted(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -
 def fit(docs: DataFrame, rows: int = FITTED_ROWS) -> Field:
     """The field, from at most `rows` texts with a digit or an @ and FITTED_WORDS marked words of each; the driver gets these words' features."""
     marked = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]"))
-    sample = marked.select(F.xxhash64("doc_id").alias("order"), "text").orderBy("order", F.xxhash64("text")).limit(rows)
+    sample = hash_sample(marked, rows, "doc_id").select(F.xxhash64("doc_id").alias("order"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspan.llm.common import text_or_empty
+from convspan.llm.common import hash_sample, text_or_empty
 from convspan.llm.textarrays import byte_sums, chunks, spans, utf8
 
 #: Labelled rows that are learned from, at most: those whose doc_id has the least hashes.
@@ -90,7 +90,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """text, toxic of at most limit rows that are not held out; of a doc_id's labels the greatest counts."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = hash_sample(known, limit, "doc_id")
     return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")  # limit rows of 9 bytes
 
 
