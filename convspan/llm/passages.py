@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from convspan.llm import blocks
 from convspan.llm.textarrays import BYTE_VALUES, Sums, chunks, runs, utf8, words
