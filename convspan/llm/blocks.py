@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm.common import partitions, text_or_empty
+from convspan.llm.common import partitions, small_arrow_batches, text_or_empty
 
 #: Blocks, which hold text, and buckets, which hold hashes, for each shuffle partition.
 BLOCKS_PER_PARTITION, BUCKETS_PER_PARTITION = 2, 1
@@ -33,6 +33,7 @@ def count(spark: SparkSession) -> int:
 
 def deal(docs: DataFrame) -> DataFrame:
     """block, doc_id, doc, text: a null text is empty; doc is doc_id for comparison, a null one coming after all others."""
+    small_arrow_batches(docs)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = docs.select("doc_id", doc.alias("doc"), text_or_empty().alias("text"))
     return rows.select(F.pmod(F.xxhash64("doc"), F.lit(BLOCKS_PER_PARTITION * partitions(docs.sparkSession))).alias("block"), "doc_id", "doc", "text")

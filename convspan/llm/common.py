@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Space and the five ASCII control characters that end a word.
 SPACES = r"[\x20\x09-\x0D]"
+#: Rows of an Arrow batch between the JVM and Python, at most; with the default of 10,000 a batch of long texts is tens of MB on both sides.
+ARROW_ROWS = 1_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -34,6 +36,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def small_arrow_batches(frame: DataFrame) -> None:
+    """Asks the session for Arrow batches of at most ARROW_ROWS rows, as texts are long; fewer stay as they are."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

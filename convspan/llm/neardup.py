@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspan.llm.common import checkpointed, text_or_empty
+from convspan.llm.common import checkpointed, small_arrow_batches, text_or_empty
 from convspan.llm.components import connected_components
 from convspan.llm.textarrays import BYTE_VALUES, STEP, Sums, chunks, mix, utf8, words
 
@@ -199,6 +199,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     row with a null doc_id, whose component_id is null and which is kept. Repeated rows have the same result; rows of one doc_id with
     different texts are judged by their own texts. Other columns are ignored; an empty table gives an empty one.
     """
+    small_arrow_batches(docs)
     facts = checkpointed(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_facts, FACTS))
     linked = facts.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     names = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

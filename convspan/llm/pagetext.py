@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspan.llm.common import checkpointed, text_or_empty
+from convspan.llm.common import checkpointed, small_arrow_batches, text_or_empty
 
 #: Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,6 +264,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     html is empty; a page without a host shares the style tree of all such pages; repeated rows have the same text (and count as
     pages of their host); other columns are ignored; an empty table gives an empty one.
     """
+    small_arrow_batches(pages)
     rows = pages.select("page_id", "url", host_of().alias("host"), text_or_empty("html").alias("html"))
     dropped = checkpointed(style_tree(rows.select("host", "html")))
     size = dropped.agg(F.sum(F.length("host") + F.length(F.array_join("dropped", "")))).first()[0] or 0

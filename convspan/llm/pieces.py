@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convspan.llm.common import small_arrow_batches
+
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
@@ -428,6 +430,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", decod
     table gives an empty one, and columns of docs that have one of the new names are replaced. The model file (a few hundred KB to a
     few MB) is read by the driver and travels with the tasks.
     """
+    small_arrow_batches(docs)
     model_bytes = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     new = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("ends", T.ArrayType(T.IntegerType(), False))]
     new += [T.StructField("decoded", T.StringType())] * decoded

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspan.llm.common import hash_sample, text_or_empty
+from convspan.llm.common import hash_sample, small_arrow_batches, text_or_empty
 
 #: Kinds in the order of the contract, and their patterns (an @ with its domain; the local part is read backwards).
 KINDS = ("email", "ip", "card", "phone")
@@ -206,6 +206,7 @@ def _fitted(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -
 
 def fit(docs: DataFrame, rows: int = FITTED_ROWS) -> Field:
     """The field, from at most `rows` texts with a digit or an @ and FITTED_WORDS marked words of each; the driver gets these words' features."""
+    small_arrow_batches(docs)
     marked = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]"))
     sample = hash_sample(marked, rows, "doc_id").select(F.xxhash64("doc_id").alias("order"), "text")
 
@@ -266,6 +267,7 @@ def find_personal_data(docs: DataFrame, field: Field, text: str = "text") -> Dat
     key, similar). A null or empty text has none; repeated rows have the same; an empty table gives an empty one; columns that have
     one of the new names are replaced.
     """
+    small_arrow_batches(docs)
     keep = [c for c in docs.columns if c not in ("base", "spans")]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias("__text"))
     order = {k: n for n, k in enumerate((*KINDS, "key", "similar"))}

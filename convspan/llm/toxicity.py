@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from convspan.llm.common import hash_sample, text_or_empty
+from convspan.llm.common import hash_sample, small_arrow_batches, text_or_empty
 from convspan.llm.textarrays import byte_sums, chunks, spans, utf8
 
 #: Labelled rows that are learned from, at most: those whose doc_id has the least hashes.
@@ -162,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
 
     The driver gets the voters and, of the limit rows, the votes as bits.
     """
+    small_arrow_batches(docs)
     sample = _labelled(docs, labels, limit)
     model = Model(_mine(sample), np.zeros(0), 0.0)
     model.weights = np.zeros(len(model.voters) + len(SEVERAL))
@@ -189,6 +190,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     A null or empty text has no votes and scores what such texts do; repeated rows score alike; an empty table gives an empty one;
     columns that have one of the new names are replaced.
     """
+    small_arrow_batches(docs)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias("__text"))
