@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import fingerprints, mixing, neardup, pagetext, passages, pieces, pii, suffixes, toxicity
+from convspan.llm import fingerprints, mixing, neardup, pagetext, passages, pieces, pii, suffixes, topk, toxicity
 from convspan.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -69,8 +73,8 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints)}
+    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op7_multi_index_topk, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_entropy_mixing": mixing.MIX_SQL}
+    return {"op6_entropy_mixing": mixing.MIX_SQL, "op7_multi_index_topk": topk.TOP_K_SQL}
