@@ -49,8 +49,8 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_lora(weights: DataFrame, a: DataFrame, b: DataFrame, alpha: float, rank: int) -> DataFrame:
-    """weights plus (alpha / rank) times a x b, where a path has adapters."""
-    delta = matmul(a, b).withColumnRenamed("value", "delta")
+    """weights plus (alpha / rank) times a x b, where a path has adapters; b, of rank rows, is the small side."""
+    delta = matmul(a, F.broadcast(b)).withColumnRenamed("value", "delta")
     return weights.join(delta, ["path", "i", "j"], "left").select("path", "i", "j", (F.col("value") + F.coalesce(F.col("delta") * (alpha / rank), F.lit(0.0))).alias("value"))
 
 

@@ -244,9 +244,18 @@ def resume_cursor(spark, sf_dir):
     return _order(spark, sf_dir).where((batch.rank_of(F.col("position"), 4) == 1) & (F.col("position") >= 1 + 3 * 4)).select("sample_id", "position")
 
 
+def _explained(weighed: DataFrame) -> DataFrame:
+    return weighed.select("sample_id", F.col("pos").cast("long"), "token", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "span_class", _role(), "weight")
+
+
 def explain_tokens(spark, sf_dir):
-    w = _weighed(spark, sf_dir).where("sample_id = 0")
-    return w.select(F.col("pos").cast("long"), "token", F.col("start").alias("start_char"), F.col("end").alias("end_char"), "span_class", _role(), "weight")
+    """The tokens of conversation 0, which its twin names."""
+    return _explained(_weighed(spark, sf_dir).where("sample_id = 0")).drop("sample_id")
+
+
+def explain_all_tokens(spark, sf_dir):
+    """The tokens of every conversation."""
+    return _explained(_weighed(spark, sf_dir))
 
 
 def _logits(spark, sf_dir):
@@ -306,18 +315,34 @@ def adamw_step(spark, sf_dir):
     return moved.groupBy("path").agg(F.round(F.sum("value"), 4).alias("value"), F.round(F.sum("m"), 4).alias("m"), F.round(F.sum("v"), 4).alias("v"))
 
 
-def _matrices(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "embeddings").where("vec_id < 64")
-    w = e.select(F.lit("w").alias("path"), F.col("vec_id").cast("int").alias("i"), F.posexplode("embedding").alias("j", "x")).withColumn("value", F.col("x").cast("double")).drop("x")
+def _matrices(spark, sf_dir, rows=None):
+    """W of the vectors with vec_id < rows (of all without rows), A of its first 4 columns, B of its first 4 rows."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    e = e if rows is None else e.where(F.col("vec_id") < rows)
+    w = e.select(F.lit("w").alias("path"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).withColumn("value", F.col("x").cast("double")).drop("x")
     return w, w.where("j < 4"), w.where("i < 4")
 
 
-def lora_merge(spark, sf_dir):
-    w, a, b = _matrices(spark, sf_dir)
+def _merged(w: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return params.merge_lora(w, a, b, 8.0, 4).select(F.col("i").cast("long"), F.col("j").cast("long"), F.round("value", 6).alias("value"))
 
 
+def lora_merge(spark, sf_dir):
+    """The merge of the 64 vectors that its twin names."""
+    return _merged(*_matrices(spark, sf_dir, 64))
+
+
 def lora_param_count(spark, sf_dir):
+    _, a, b = _matrices(spark, sf_dir, 64)
+    return params.parameter_count(a, b)
+
+
+def lora_merge_all(spark, sf_dir):
+    """The merge of all vectors."""
+    return _merged(*_matrices(spark, sf_dir))
+
+
+def lora_param_count_all(spark, sf_dir):
     _, a, b = _matrices(spark, sf_dir)
     return params.parameter_count(a, b)
 
@@ -336,7 +361,7 @@ def queries() -> dict[str, Query]:
     named = [
         adapt_messages_roles, adapt_ultrachat_reject, adapter_reason_counts, adapt_prompt_completion, adapt_sharegpt_alias, sample_id_fallback, render_span_inventory, span_ranges, alignment_left_vs_right, rule_match_counts,
         require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, render_qwen35_tools, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
-        resume_cursor, explain_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, recipe_identity, metrics_rollup,
+        resume_cursor, explain_tokens, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
     ]
     return {"flagship": flagship} | {f.__name__: f for f in named} | {
         "render_olmo2_text": _text_query("olmo2_instruct"), "render_math_text": _text_query("qwen2_5_math"), "render_qwen35_text": _text_query("qwen3_5_text"),

@@ -27,3 +27,13 @@ def test_rows_only_queries(spark):
     assert units["chained", 1].last_message == 6 and units["chained", 1].has_tool_call
     assert all(units[name, None].reason for name in ("unknown", "open", "outside", "again"))
     assert catalogue.queries()["recipe_identity"](spark, SF).first().same
+
+
+def test_whole_tables(spark):
+    """No vector and no conversation is left out."""
+    vectors, turns = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("embeddings", "conversations"))
+    n = vectors.count()
+    assert n > 64 and catalogue.queries()["lora_merge_all"](spark, SF).count() == n * 64
+    assert catalogue.queries()["lora_param_count_all"](spark, SF).first().parameters == n * 4 + 4 * 64
+    told = catalogue.queries()["explain_all_tokens"](spark, SF)
+    assert told.select("sample_id").distinct().count() == turns.select("conv_id").distinct().count() > 1
