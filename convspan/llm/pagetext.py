@@ -5,8 +5,11 @@ classes from the body down, and holds how often the host's pages have it, which
 and which texts stand in it (content). A node whose presentation and content vary from page to page tells something of its page; one
 that is alike everywhere is the site's own. Importance is the normalised entropy of both, and elements of low importance are removed
 from each page together with what is below them. Hosts with few pages say little, so a host's counts are added to those of the same path
-over all hosts, as a prior; and what the language says of an element (navigation, header, footer, aside, form, script, style, menu or
-comment by class or id) removes it whatever its entropy, while an article or main element, if a page has one, bounds its content.
+over all hosts, as a prior; and what the language says of an element by its tag, role or hiding (navigation, header, footer, aside,
+form, script, style) removes it whatever its entropy, while an article or main element, if a page has one, bounds its content.
+
+Words of a class or id (menu, sidebar, comments) are a prior only: they count as pages of no importance, and what is left after that
+has to be high. They say nothing of html, body, main and article and of an element that holds a main or article.
 
 Statistics come from two aggregations over all pages: of node texts' hashes, then of nodes. Both are partial before they shuffle.
 """
@@ -40,6 +43,10 @@ SPACE = re.compile(r"\s+")
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
 #: Weight of what all hosts say of a path, in pages.
 PRIOR_PAGES = 3.0
+#: Weight of what the words of a class or id say, in pages of no importance, and the importance from which an element stays in spite of them.
+WORD_PAGES, HIGH_IMPORTANCE = 3.0, 0.8
+#: Elements of which such words say nothing, like what holds one of HELD.
+WHOLE, HELD = frozenset("html body main article".split()), ("article", "main")
 DEPTH = 12
 #: Entropy over all hosts from which a path inside an article is content on every host.
 CONTENT_ELSEWHERE = 0.5
@@ -48,29 +55,28 @@ BROADCAST_BYTES = 32_000_000
 
 
 class Node:
-    __slots__ = ("tag", "path", "parts", "parent", "bad")
+    __slots__ = ("tag", "path", "parts", "parent", "bad", "worded")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, bad: bool):
-        self.tag, self.parent, self.bad = tag, parent, bad
+    def __init__(self, tag: str, name: str, parent: Node | None, bad: bool, worded: bool):
+        self.tag, self.parent, self.bad, self.worded = tag, parent, bad, worded
         depth = parent.path.count("/") if parent else 0
         self.path = f"{parent.path}/{name}" if parent and depth < DEPTH else (parent.path if parent else name)
         self.parts: list = []
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """Class for the node's name; whether the attributes say that it is no content."""
+def _attributes(raw: str) -> tuple[str, bool, bool]:
+    """Class for the node's name; whether the attributes say that it is no content; whether words of its classes or id do."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
     kind = found.get("class", "").split()
     role = found.get("role", "").lower()
     bad = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form")
     bad = bad or "display:none" in found.get("style", "").replace(" ", "").lower()
-    bad = bad or any(NOT_MAIN.search(x) for x in (*kind, found.get("id", "")))
-    return kind[0][:40] if kind else "", bad
+    return kind[0][:40] if kind else "", bad, any(NOT_MAIN.search(x) for x in (*kind, found.get("id", "")))
 
 
 def parse(html: str) -> Node:
     """The page's tree; unclosed and misnested elements end where the language lets them end."""
-    root = node = Node("", "", None, False)
+    root = node = Node("", "", None, False, False)
     at = 0
     for found in TOKEN.finditer(html):
         if found.start() < at:
@@ -95,9 +101,13 @@ def parse(html: str) -> Node:
         elif tag == "body":
             node = _close(node, {"head"}, {"html"})
         raw = found[3] or found[6] or ""
-        kind, bad = _attributes(raw)
-        new = Node(tag, f"{tag}.{kind}" if kind else tag, node, bad or tag in NEVER_TEXT)
+        kind, bad, worded = _attributes(raw)
+        new = Node(tag, f"{tag}.{kind}" if kind else tag, node, bad or tag in NEVER_TEXT, worded and tag not in WHOLE)
         node.parts.append(new)
+        if tag in HELD and not new.bad:
+            up = node
+            while up and up.tag not in HELD and not up.bad:
+                up.worded, up = False, up.parent
         if tag in VOID or raw.endswith("/") and tag not in INLINE | CLOSES_P:
             continue
         if tag in RAW:
@@ -141,12 +151,15 @@ def nodes(root: Node) -> Iterator[Node]:
         stack += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.bad]
 
 
-def statistics(root: Node) -> Iterator[tuple[str, str, str]]:
-    """path, presentation, content of every block element that can be content."""
+def statistics(root: Node) -> Iterator[tuple[str, str, str, bool]]:
+    """path, presentation, content of every block element that can be content; whether words speak against it or what holds it."""
+    under: set[Node] = set()
     for node in nodes(root):
-        if node.tag and node.tag not in INLINE:
+        if node.worded or node.parent in under:
+            under.add(node)
+        if node.tag and (node.tag not in INLINE or node.worded):
             shape = ",".join(dict.fromkeys(x.path.rsplit("/", 1)[-1] for x in node.parts if isinstance(x, Node)))
-            yield node.path, shape, _clean("".join(_texts(node)))
+            yield node.path, shape, _clean("".join(_texts(node))), node in under
 
 
 def _texts(node: Node) -> Iterator[str]:
@@ -156,14 +169,17 @@ def _texts(node: Node) -> Iterator[str]:
         part = stack.pop()
         if isinstance(part, str):
             yield part
-        elif not part.bad and part.tag in INLINE:
+        elif not part.bad and not part.worded and part.tag in INLINE:
             stack += reversed(part.parts)
         else:
             yield " "
 
 
-def main_text(root: Node, dropped: frozenset[str] | set[str]) -> str:
-    """Blocks of text in page order, joined by a line feed, without elements that are no content or whose path is dropped."""
+def main_text(root: Node, dropped: frozenset[str] | set[str], kept: frozenset[str] | set[str] = frozenset()) -> str:
+    """Blocks of text in page order, joined by a line feed, without elements that are no content or whose path is dropped.
+
+    An element that the words of its class or id speak against stays if its path is kept.
+    """
     tops = [x for x in nodes(root) if x.tag in ("article", "main") and not _within(x, ("article", "main"))] or [root]
     blocks: list[str] = []
     own: list[str] = []
@@ -181,7 +197,7 @@ def main_text(root: Node, dropped: frozenset[str] | set[str]) -> str:
                 flush()
             elif isinstance(part, str):
                 own.append(part)
-            elif part.bad or part.path in dropped:
+            elif part.bad or part.path in dropped or part.worded and part.path not in kept:
                 if part.tag not in INLINE and part.tag not in RAW:
                     flush()
             elif part.tag == "br":
@@ -206,7 +222,7 @@ def _within(node: Node, tags: tuple[str, ...]) -> bool:
 
 
 def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, hash of presentation, hash of content, number of times: of each batch's different pages together."""
+    """host, path, hash of presentation, hash of content, number of times, whether worded: of each batch's different pages together."""
     from collections import Counter
     from hashlib import blake2b
 
@@ -214,42 +230,49 @@ def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for path, shape, text in statistics(parse(html)):
-                found[host, path, short(shape), short(text)] += 1
-        columns = list(zip(*((*k, v) for k, v in found.items()), strict=True)) or [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "shape", "content", "times"])
+            for path, shape, text, worded in statistics(parse(html)):
+                found[host, path, short(shape), short(text), worded] += 1
+        columns = list(zip(*((*k, v) for k, v in found.items()), strict=True)) or [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "shape", "content", "worded", "times"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, dropped: the paths that are a host's own, of low importance on enough of its pages.
+    """host, dropped, kept: the paths that are a host's own, of low importance on enough of its pages, and those of high importance
+    in spite of the words of a class or id of theirs or of what holds them.
 
     pages has host and html. A path's importance is the greater of the normalised entropies (0 to 1) of its presentations and of its
     contents over the host's elements, each mixed with the same over all hosts in the ratio of their number to PRIOR_PAGES.
     """
-    seen = pages.mapInArrow(_node_rows, "host string, path string, shape long, content long, times long")
-    seen = seen.groupBy("host", "path", "shape", "content").agg(F.sum("times").alias("times"))
+    seen = pages.mapInArrow(_node_rows, "host string, path string, shape long, content long, worded boolean, times long")
+    seen = checkpointed(seen.groupBy("host", "path", "shape", "content").agg(F.sum("times").alias("times"), F.max("worded").alias("worded")))
 
     def entropy(keys: list[str], value: str, name: str) -> DataFrame:
-        per = seen.groupBy(*keys, value).agg(F.sum("times").alias("n"))
+        per = seen.groupBy(*keys, value).agg(F.sum("times").alias("n"), F.max("worded").alias("worded"))
         total = F.sum("n")
         bits = F.log(total) - F.sum(F.col("n") * F.log("n")) / total
-        return per.groupBy(*keys).agg((bits / F.greatest(F.log(total), F.lit(1e-9))).alias(name), total.alias("times"))
+        return per.groupBy(*keys).agg((bits / F.greatest(F.log(total), F.lit(1e-9))).alias(name), total.alias("times"), F.max("worded").alias("worded"))
 
-    own = entropy(["host", "path"], "content", "own").join(entropy(["host", "path"], "shape", "shape").drop("times"), ["host", "path"])
-    every = entropy(["path"], "content", "every").join(entropy(["path"], "shape", "every_shape").drop("times"), ["path"])
-    both = own.join(every.drop("times"), "path")
+    own = entropy(["host", "path"], "content", "own").join(entropy(["host", "path"], "shape", "shape").drop("times", "worded"), ["host", "path"])
+    every = entropy(["path"], "content", "every").join(entropy(["path"], "shape", "every_shape").drop("times", "worded"), ["path"])
+    both = own.join(every.drop("times", "worded"), "path")
     mixed = lambda a, b: (F.col(a) * F.col("times") + F.col(b) * PRIOR_PAGES) / (F.col("times") + PRIOR_PAGES)
     # What varies inside articles elsewhere is content here too, even on a host whose pages are copies of each other.
     article = F.col("path").rlike(r"/(article|main)(\.[^/]*)?/") & (F.col("every") >= CONTENT_ELSEWHERE)
-    low = ~article & (F.greatest(mixed("own", "every"), mixed("shape", "every_shape")) < LEAST_IMPORTANCE) & (F.col("times") >= LEAST_PAGES)
+    importance = F.greatest(mixed("own", "every"), mixed("shape", "every_shape"))
+    low = ~article & (importance < LEAST_IMPORTANCE) & (F.col("times") >= LEAST_PAGES)
+    weight = F.col("times") + PRIOR_PAGES
+    high = F.col("worded") & (importance * weight / (weight + WORD_PAGES) >= HIGH_IMPORTANCE)
     # An element that holds an important one is as important as that.
-    rated = both.select("host", "path", low.alias("low"))
+    rated = both.select("host", "path", low.alias("low"), high.alias("high"))
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
     holders = rated.where(~F.col("low")).select("host", F.explode(above).alias("path")).distinct()
+    low_paths = rated.where("low").join(holders, ["host", "path"], "left_anti").withColumn("stays", F.lit(False))
+    high_paths = rated.where("high").select("host", F.explode(above).alias("path")).distinct().withColumn("stays", F.lit(True))
     # A path holds at most DEPTH short names and a host's different paths are the layouts of its site, not its pages.
-    return rated.where("low").join(holders, ["host", "path"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("dropped"))
+    paths = lambda stays: F.sort_array(F.collect_set(F.when(F.col("stays") == stays, F.col("path"))))
+    return low_paths.select("host", "path", "stays").unionByName(high_paths).groupBy("host").agg(paths(False).alias("dropped"), paths(True).alias("kept"))
 
 
 def host_of(url: str = "url") -> object:
@@ -267,13 +290,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     small_arrow_batches(pages)
     rows = pages.select("page_id", "url", host_of().alias("host"), text_or_empty("html").alias("html"))
     dropped = checkpointed(style_tree(rows.select("host", "html")))
-    size = dropped.agg(F.sum(F.length("host") + F.length(F.array_join("dropped", "")))).first()[0] or 0
+    size = dropped.agg(F.sum(F.length("host") + F.length(F.array_join(F.concat("dropped", "kept"), "")))).first()[0] or 0
     dropped = F.broadcast(dropped) if size <= BROADCAST_BYTES else dropped
-    rows = rows.join(dropped, "host", "left").select("page_id", "url", "html", F.coalesce("dropped", F.array().cast("array<string>")).alias("dropped"))
+    some = lambda name: F.coalesce(name, F.array().cast("array<string>")).alias(name)
+    rows = rows.join(dropped, "host", "left").select("page_id", "url", "html", some("dropped"), some("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(parse(html), set(paths)) for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(parse(html), set(low), set(high)) for html, low, high in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

@@ -141,6 +141,29 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert {r.text for r in got} == {f"story number {k} tells of {k * 7}" for k in range(40)}
 
 
+WRAPPERS = ["no-sidebar", "has-sidebar", "header-fixed", "layout-sidebar-left", "comments-open"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_words_of_wrappers(name):
+    for holder in ("article", "main"):
+        for page in (
+            f"<html class={name}><body><{holder}><p>story</p></{holder}></body></html>", f"<html><body class='x {name}'><{holder}><p>story</p></{holder}></body></html>",
+            f"<body><div id={name}><div class={name}><{holder} class={name} id={name}><p>story</p></{holder}></div></div><div class=sidebar>other</div></body>",
+        ):
+            assert pagetext.main_text(pagetext.parse(page), set()) == "story"
+    assert pagetext.main_text(pagetext.parse(f"<html id={name}><body class={name}><p>story</p><div class=menu>other</div></body></html>"), set()) == "story"
+
+
+def test_words_of_classes_are_a_prior(spark):
+    """Without article or main: what varies from page to page stays in spite of its words, what does not or is too rare goes."""
+    page = "<body class=no-sidebar><div class=has-sidebar><div class=menu>site menu</div><div class=story>story {0} of {1}</div></div></body>"
+    rows = [(k, f"http://h.example/{k}", page.format(k, k * 7)) for k in range(40)] + [(99, "http://few.example/", page.replace("story", "tale").format(1, 2) + "<p>few</p>")]
+    got = {r.page_id: r.text for r in pagetext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k} of {k * 7}" for k in range(40))
+    assert got[99] == "few"
+
+
 def test_pages_of_the_table(spark):
     from html import unescape
 
