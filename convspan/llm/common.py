@@ -47,6 +47,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Names of the two longs that row_key adds.
+KEY = ("row_key_1", "row_key_2")
+
+
+def row_key(frame: DataFrame) -> DataFrame:
+    """The frame with KEY, never null: alike for rows that agree in all columns, nulls included, else different (128 bits of hashes)."""
+    parts = [*frame.columns, *(F.col(c).isNull() for c in frame.columns)]
+    return frame.withColumns({name: F.xxhash64(F.lit(k), *parts) for k, name in enumerate(KEY)})
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its user sets in proportion to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

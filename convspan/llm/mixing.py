@@ -53,17 +53,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return per.select("source", "source_size", "target", F.least(rate, F.lit(float(cap))).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, taken, copies of every row of docs(doc_id, text, source).
 
     size is the number of words, taken the words of the row that the mix takes (repeats counted, at most cap times size), copies the
     nearest number of whole copies. A null or empty text has size 0 and is taken 0 times; a null source is a source of its own,
     after all others; a null doc_id hashes as an empty id; repeated rows are rows of their own; an empty table gives an empty one.
-    Ties in the hash order fall to doc_id, then size. Other columns are ignored. Runs on the same rows agree.
+    Ties in the hash order fall to doc_id, then size, then keys, columns of docs that the rows bring along, after the others.
+    Other columns are ignored. Runs on the same rows agree.
     """
     count = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sizes = docs.select("doc_id", "source", count.alias("size"), order.alias("order"))
+    sizes = docs.select("doc_id", "source", count.alias("size"), order.alias("order"), *keys)
     sizes = checkpointed(sizes.withColumn("slice", F.substring("order", 1, DIGITS)))
     # A key that a null source has too, for joins.
     named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
@@ -74,7 +75,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     slices = sizes.withColumn("named", named).groupBy("named", "slice").agg(F.sum("size").alias("slice_size"))
     slices = slices.withColumn("earlier", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)))
     slices = slices.join(targets, "named").withColumn("missing", missing)
-    here = Window.partitionBy("named", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("named", "slice").orderBy("order", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     rows = sizes.withColumn("named", named).join(slices, ["named", "slice"])
     rows = rows.withColumn("before", F.col("earlier") + F.coalesce(F.sum("size").over(here), F.lit(0)))
     more = F.least(F.greatest(F.col("missing") - F.col("before"), F.lit(0)), F.col("size"))
@@ -83,6 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
         "doc_id", "source", "size", "source_size", "target", "rate",
         (whole * F.col("size") + F.col("more")).alias("taken"),
         F.when(F.col("size") > 0, whole + (F.col("more") * 2 > F.col("size")).cast("long")).otherwise(F.lit(0)).alias("copies"),
+        *keys,
     )
 
 

@@ -108,9 +108,10 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[some], sketch[some] = _signatures([sets[k] for k in some])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
             k1, k2 = _keys(sets)
+            own = range(2, batch.num_columns)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, last - first), pa.array(n), pa.array(k1), pa.array(k2), flat, *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(LONGS))],
-                ["doc_id", "n", "k1", "k2", "bands", *SKETCH],
+                [ids.slice(first, last - first), pa.array(n), pa.array(k1), pa.array(k2), flat, *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(LONGS)), *(batch.column(k).slice(first, last - first) for k in own)],
+                ["doc_id", "n", "k1", "k2", "bands", *SKETCH, *(batch.schema.names[k] for k in own)],
             )
 
 
@@ -119,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last in chunks(batch.column(1)):
             sets = list(shingle_sets(batch.column(1).slice(first, last - first)))
             k1, k2 = _keys(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "k1", "k2", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "k1", "k2", "shingles"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -161,11 +162,12 @@ def _alike(a: str, b: str) -> Column:
 
 def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, shingles of the classes whose rep is among ids(id)."""
-    ids = checkpointed(ids.distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).join(ids, "id")
-    sets = texts.mapInArrow(_sets, "id long, k1 long, k2 long, shingles binary")
-    return sets.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"]).select("id", "shingles").dropDuplicates(["id"])
+    wanted = checkpointed(classes.select(F.col("rep").alias("id"), "doc", "k1", "k2").join(ids.distinct(), "id"))
+    own = wanted.select("doc").distinct()
+    own = F.broadcast(own) if wanted.count() <= BROADCAST_ROWS else own
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).join(own, "doc")
+    sets = texts.mapInArrow(_sets, "doc long, k1 long, k2 long, shingles binary")
+    return sets.join(wanted, ["doc", "k1", "k2"]).select("id", "shingles").dropDuplicates(["id"])
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -191,8 +193,8 @@ def _links_in_blocks(docs: DataFrame, classes: DataFrame, several: DataFrame) ->
     return checkpointed(one.unionByName(two).groupBy("main", "x", "y").applyInArrow(_block_links, "u long, v long"))
 
 
-def find_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
+def find_components(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text), then keys, long columns of docs that the rows bring along.
 
     Rows whose texts' sets have 100 * intersection >= 75 * union are linked; component_id is the least doc_id that links reach from a
     row, its own included, and kept says whether it is its own. A text without words (null, empty) is linked with nothing, likewise a
@@ -200,10 +202,18 @@ def find_components(docs: DataFrame) -> DataFrame:
     different texts are judged by their own texts. Other columns are ignored; an empty table gives an empty one.
     """
     small_arrow_batches(docs)
-    facts = checkpointed(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_facts, FACTS))
+    facts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *keys).mapInArrow(_facts, ", ".join([FACTS, *(f"{k} long" for k in keys)]))
+    facts = checkpointed(facts)
     linked = facts.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    names = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = checkpointed(linked.withColumnRenamed("doc_id", "rep").join(names, ["rep", "k1", "k2"]).dropDuplicates(["rep", "k1", "k2"]))
+    # A class is named by its least doc_id; of several classes with the same one the first is, the others by a hash.
+    names = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"))
+    firsts = names.groupBy("doc").agg(F.min(F.struct("k1", "k2")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    firsts = checkpointed(firsts)
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    other = F.col("first").isNotNull() & (F.struct("k1", "k2") != F.col("first"))
+    names = names.join(firsts, "doc", "left").select("k1", "k2", "doc", F.when(other, F.xxhash64("doc", "k1", "k2")).otherwise(F.col("doc")).alias("rep"))
+    classes = linked.drop(*keys).withColumnRenamed("doc_id", "doc").join(names, ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"])
+    classes = checkpointed(classes)
     sketches = classes.select("rep", "n", *SKETCH)
     members = classes.select("rep", F.explode("bands").alias("bucket"))
 
@@ -233,7 +243,12 @@ def find_components(docs: DataFrame) -> DataFrame:
     links = links.unionByName(_confirmed(docs, classes, more)).unionByName(_links_in_blocks(docs, classes, large))
     component = connected_components(links)
 
-    named = names.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    rows = facts.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = names.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "doc", F.coalesce("component", "rep").alias("component"))
+    # Components whose least node is no doc_id, or not their least.
+    least = checkpointed(named.groupBy("component").agg(F.min("doc").alias("least")).where("least <> component"))
+    least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
+    named = named.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "component").alias("component_id"))
+    rows = facts.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", *keys).join(named, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", own.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return rows.withColumn("component_id", own.cast("long")).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *keys)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspan.llm import mixing, neardup, pieces, pii, toxicity
-from convspan.llm.common import shared_folder, table
+from convspan.llm.common import KEY, WORDS, row_key, shared_folder, table
 from convspan.llm.registry import tokenizer_path
 
 
@@ -23,13 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id; of its repeated rows one.
+    """One row of each group of near-duplicates, one with the least doc_id, and of several such the one with the least row key.
 
     Rows that are in no group (without words, or without a doc_id) all stay.
     """
-    found = neardup.find_components(docs).where("kept").select("doc_id", "n_shingles").distinct()
-    alone = docs.where(F.col("doc_id").isNull())
-    kept = docs.join(found, "doc_id").dropDuplicates(["doc_id"])
+    keyed = row_key(docs)
+    found = neardup.find_components(keyed, KEY).where("kept and doc_id is not null and n_shingles > 0")
+    chosen = found.groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("least")).select(*(F.col("least")[k].alias(k) for k in KEY))
+    kept = keyed.join(chosen, list(KEY)).dropDuplicates(list(KEY))
+    alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORDS), F.lit(False)))
     return kept.select(*docs.columns).unionByName(alone)
 
 
@@ -40,11 +42,15 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix of its sources to the target weights takes it; documents taken 0 times go."""
-    copies = mixing.mix_sources(docs).select("doc_id", "source", "size", "copies").dropDuplicates(["doc_id"])
-    copies = copies.withColumn("at", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("at", "copies")
-    rows = docs.withColumn("at", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(copies, "at")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*docs.columns)
+    """Every document as many times as the mix of its sources to the target weights takes it; documents taken 0 times go.
+
+    Rows that agree in all columns come together as many times as the mix takes all of them.
+    """
+    keyed = row_key(docs)
+    taken = mixing.mix_sources(keyed, keys=KEY).groupBy(*KEY).agg(F.sum("copies").alias("taken_copies"), F.count(F.lit(1)).alias("taken_rows"))
+    rows = keyed.join(taken.where("taken_copies > 0"), list(KEY))
+    rows = rows.where("taken_rows = 1").unionByName(rows.where("taken_rows > 1").dropDuplicates(list(KEY)))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

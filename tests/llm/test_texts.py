@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from convspan.llm import fingerprints, mixing, pagetext, pieces, pii, registry, toxicity
+from convspan.llm import fingerprints, mixing, neardup, pagetext, pieces, pii, registry, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -292,3 +292,42 @@ def test_pipeline_stages_with_odd_rows(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def row_counts(frame):
+    return collections.Counter(map(tuple, frame.collect()))
+
+
+def test_pipeline_keeps_rows_of_one_id_apart(spark):
+    """Null ids and one id with several texts, in the mix and among near duplicates, against plain versions."""
+    from test_repeats import plain_components
+
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text("a", 40), "en", "one", 1), (None, "", "en", "one", 2), (None, text("b", 40), "en", "two", 3), (None, text("b", 40), "en", None, 3), (None, None, None, None, None), (5, text("c", 60), "en", "one", 4)]
+    rows += [(5, text("d", 60), "en", "two", 5), (5, text("d", 60), "en", "two", 5), (3, text("c", 59), "en", "three", 6), (9, text("d", 61), "en", "one", 7), (7, text("e", 30), "en", "three", 8), (7, " ", "en", "two", 9)]
+    rows += [(8, text("f", 50), "en", "one", 10), (8, text("f", 51), "en", "one", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    kept = row_counts(corpus_pipeline.drop_near_duplicates(spark, docs, SF))
+    named = plain_components([(k, r[1]) for k, r in enumerate(rows) if r[0] is not None])
+    groups = collections.defaultdict(list)
+    for place, size, component, _ in named:
+        if size:
+            groups[component].append(rows[place])
+    alone = [r for r in rows if r[0] is None or not (r[1] or "").strip()]
+    assert sum(kept.values()) == len(alone) + len(groups) and all(kept[r] == n for r, n in collections.Counter(alone).items())
+    for members in groups.values():
+        (one,) = [r for r in set(members) if kept[r]]
+        assert one[0] == min(m[0] for m in members) and kept[one] == 1
+    assert {(r.doc_id, r.component_id) for r in neardup.find_components(docs).collect() if r.doc_id == 5} == {(5, 3), (5, 5)}
+
+    mixed = row_counts(corpus_pipeline.mix_to_weights(spark, docs, SF))
+    assert mixed == row_counts(corpus_pipeline.mix_to_weights(spark, docs.repartition(5), SF))
+    copies = collections.Counter()
+    for r in mixing.mix_sources(docs.withColumn("place", F.xxhash64("text", "source", "doc_id")), keys=("place",)).collect():
+        copies[r.doc_id, r.source, r.size] += r.copies
+    wanted = collections.Counter()
+    for r, n in mixed.items():
+        wanted[r[0], r[3], len((r[1] or "").split())] += n
+    assert +copies == +wanted
+
