@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from convspan.llm import fingerprints, mixing, neardup, pagetext, pieces, pii, registry, toxicity
+from convspan.llm import fingerprints, mixing, neardup, pieces, pii, registry, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,59 +121,6 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.score_documents(empty, toxicity.fit(empty, none)).count() == 0
 
 
-PAGE = """<html><head><title>T</title></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>Head &amp; tail</h1><p>One<b>two</b> three
-four<p>Five <script>x("</p>")</script>six<ul><li>a<li>b</ul><section class="comments"><p>c1</p></section><form><input></form></article><footer>f</footer></body></html>"""
-
-
-def test_main_text(spark):
-    assert pagetext.main_text(pagetext.parse(PAGE), set()) == "Head & tail\nOnetwo three four\nFive six\na\nb"
-    rows = [(k, f"http://h.example/{k}", f"<body><div><p>About our site</p></div><div class=x><p>story number {k} tells of {k * 7}</p></div></body>") for k in range(12)]
-    rows += [(90, None, None), (91, "x", ""), (92, "http://h.example/0", rows[0][2]), (93, "http://one.example/", "plain < text & more")]
-    got = {r.page_id: r for r in pagetext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3].text.endswith("story number 3 tells of 21") and got[3].n_chars == len(got[3].text)
-    assert got[90].text == got[91].text == "" and got[0].text == got[92].text and got[93].text == "plain < text & more"
-    assert pagetext.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_style_tree_drops_what_a_site_repeats(spark):
-    rows = [(k, f"http://h.example/{k}", f"<body><div class=top>About our site</div><div class=story>story number {k} tells of {k * 7}</div></body>") for k in range(40)]
-    got = pagetext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.text for r in got} == {f"story number {k} tells of {k * 7}" for k in range(40)}
-
-
-WRAPPERS = ["no-sidebar", "has-sidebar", "header-fixed", "layout-sidebar-left", "comments-open"]
-
-
-@pytest.mark.parametrize("name", WRAPPERS)
-def test_words_of_wrappers(name):
-    for holder in ("article", "main"):
-        for page in (
-            f"<html class={name}><body><{holder}><p>story</p></{holder}></body></html>", f"<html><body class='x {name}'><{holder}><p>story</p></{holder}></body></html>",
-            f"<body><div id={name}><div class={name}><{holder} class={name} id={name}><p>story</p></{holder}></div></div><div class=sidebar>other</div></body>",
-        ):
-            assert pagetext.main_text(pagetext.parse(page), set()) == "story"
-    assert pagetext.main_text(pagetext.parse(f"<html id={name}><body class={name}><p>story</p><div class=menu>other</div></body></html>"), set()) == "story"
-
-
-def test_words_of_classes_are_a_prior(spark):
-    """Without article or main: what varies from page to page stays in spite of its words, what does not or is too rare goes."""
-    page = "<body class=no-sidebar><div class=has-sidebar><div class=menu>site menu</div><div class=story>story {0} of {1}</div></div></body>"
-    rows = [(k, f"http://h.example/{k}", page.format(k, k * 7)) for k in range(40)] + [(99, "http://few.example/", page.replace("story", "tale").format(1, 2) + "<p>few</p>")]
-    got = {r.page_id: r.text for r in pagetext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == f"story {k} of {k * 7}" for k in range(40))
-    assert got[99] == "few"
-
-
-def test_pages_of_the_table(spark):
-    from html import unescape
-
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    for r in pagetext.extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        inside = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
-        blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1|li|ul|div)>|<br>", inside)]
-        assert r.text == "\n".join(x for x in blocks if x)
-
-
 def test_fingerprints(spark, real):
     got = {r.doc_id: r for r in fingerprints.fingerprint_with_edits(real).collect()}
     rows = sorted((r.doc_id, r.text or "") for r in real.collect())
