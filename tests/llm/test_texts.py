@@ -96,14 +96,6 @@ def test_field_and_mask(spark, docs, empty):
     assert pii.find_personal_data(docs.withColumn("spans", F.lit(0)), field).count() == docs.count() and pii.find_personal_data(empty, pii.fit(empty)).count() == 0
 
 
-def test_skip_edges_carry_labels(spark):
-    """A number written otherwise is labelled because the same digits are a phone number elsewhere."""
-    field = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    alone, repeated = "see 9745553436 here", "see 9745553436 here, or call +19745553436 today"
-    found = pii.find_all([alone, repeated], field)
-    assert not found[0][1] and [x[2] for x in found[1][1]] == ["similar"]
-
-
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
