@@ -19,7 +19,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspan.llm.common import checkpointed
+from convspan.llm.common import checkpointed, partitions
 
 #: Bits of a segment, at most: the values at one distance are a row of up to C(22, 11) longs.
 MOST_BITS = 22
@@ -58,7 +58,7 @@ def search_codes(queries: DataFrame, codes: DataFrame, bits: int, segments: int,
     best, unsettled = None, checkpointed(queries.select("code", F.lit(None).cast("long").alias("bound")))
     for radius in range(bits + 1):
         masks = spark.createDataFrame([(radius, _masks(bits, radius))], "radius int, masks array<long>")
-        asked = unsettled.withColumn("radius", F.lit(radius)).join(F.broadcast(masks), "radius")
+        asked = unsettled.repartition(partitions(spark), "code").withColumn("radius", F.lit(radius)).join(F.broadcast(masks), "radius")
         probes = asked.select("code", "bound", F.posexplode("code").alias("segment", "value"), "masks").select("code", "bound", "segment", "value", F.explode("masks").alias("mask"))
         probes = probes.select("code", "bound", "segment", (F.call_function("shiftleft", F.col("segment").cast("long"), F.lit(MOST_BITS)) + F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
         apart = [F.bit_count(F.col("code")[s].bitwiseXOR(F.col("other")[s])) for s in range(segments)]
