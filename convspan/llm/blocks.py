@@ -20,6 +20,8 @@ from convspan.llm.common import partitions, small_arrow_batches, text_or_empty
 #: Blocks, which hold text, and buckets, which hold hashes, for each shuffle partition.
 BLOCKS_PER_PARTITION, BUCKETS_PER_PARTITION = 2, 1
 LAST = (1 << 63) - 1
+#: From here on doc is that of rows with a null doc_id.
+FIRST_NULL = 1 << 62
 #: A shared hash that more blocks than this hold is hot.
 HOT_BLOCKS = 256
 MESSAGE = "block long, bucket long, a binary, b binary, c binary, d binary"
@@ -32,9 +34,13 @@ def count(spark: SparkSession) -> int:
 
 
 def deal(docs: DataFrame) -> DataFrame:
-    """block, doc_id, doc, text: a null text is empty; doc is doc_id for comparison, a null one coming after all others."""
+    """block, doc_id, doc, text: a null text is empty; doc is doc_id for comparison.
+
+    Rows with a null doc_id come after all others (below 2 ** 62), in the order of a hash of their texts, so many such rows fall into
+    many blocks; those with equal texts count as one document.
+    """
     small_arrow_batches(docs)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_NULL) + F.shiftrightunsigned(F.xxhash64(text_or_empty()), 3))
     rows = docs.select("doc_id", doc.alias("doc"), text_or_empty().alias("text"))
     return rows.select(F.pmod(F.xxhash64("doc"), F.lit(BLOCKS_PER_PARTITION * partitions(docs.sparkSession))).alias("block"), "doc_id", "doc", "text")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from convspan.llm.common import checkpointed, small_arrow_batches, text_or_empty
 from convspan.llm.components import connected_components
-from convspan.llm.textarrays import BYTE_VALUES, STEP, Sums, chunks, mix, utf8, words
+from convspan.llm.textarrays import STEP, chunks, digests, mix, utf8, windows, word_digests, words
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
@@ -48,14 +48,13 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         data, offsets = utf8(texts.slice(first, last - first))
         data = LOWER[data]
         begins, ends, runs = words(data, offsets)
-        word = Sums(BYTE_VALUES[data]).slices(begins, ends) if len(data) else np.zeros(0, np.uint64)
-        sums = Sums(word)
-        every = sums.windows(SHINGLE)
+        word = word_digests(data, begins, ends)
+        every = windows(word, SHINGLE)
         for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
             if b - a >= SHINGLE:
                 yield np.unique(every[a : b - SHINGLE + 1])
             elif b > a:
-                yield sums.slices(np.array([a]), np.array([b])) ^ np.uint64(b - a)
+                yield digests([word[a:b].tobytes()])
             else:
                 yield np.zeros(0, np.uint64)
 

@@ -3,8 +3,11 @@
 Positions of words are covered where they are, modulo 13, in the difference cover {0, 1, 3, 9}: whatever the positions of two equal
 windows of 20 words, some shift below 13 takes both to covered positions. So it is enough to hash the 8 words from each covered
 position on: two equal windows share one such anchor at the same place in them. Blocks of documents announce their anchors; those
-that occur once in the corpus are done with. Where an anchor is shared, the windows that hold it are the extensions to test: their
-full hashes are exchanged, and all but a window's first occurrence (least doc_id, then earliest start) mark their words for removal.
+that occur once in the corpus are done with. Where an anchor is shared, it is extended by the words on its sides to all windows that
+hold it; these are compared, and all but a window's first occurrence (least doc_id, then earliest start) mark their words for removal.
+
+Words are told apart by a cryptographic hash, and windows by two hashes of their words, made apart from each other by mixing at each
+step (128 bits), so no repetitive text makes unlike windows agree, and chance does so once in 10 ** 12 corpora of 10 ** 13 windows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from convspan.llm import blocks
-from convspan.llm.textarrays import BYTE_VALUES, Sums, chunks, runs, utf8, words
+from convspan.llm.textarrays import chunks, groups, runs, utf8, windows, word_digests, words
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -36,7 +39,7 @@ class Words:
         for a, b in chunks(texts):
             data, offsets = utf8(texts.slice(a, b - a))
             begins, ends, own = words(data, offsets)
-            hashes.append(Sums(BYTE_VALUES[data]).slices(begins, ends) if len(data) else np.zeros(0, np.uint64))
+            hashes.append(word_digests(data, begins, ends))
             counts.append(np.diff(own))
         return cls(np.concatenate([np.zeros(0, np.uint64), *hashes]), np.cumsum(np.concatenate([[0], *counts])).astype(np.int64))
 
@@ -45,15 +48,19 @@ class Words:
         """Each word's number within its row."""
         return np.arange(len(self.hashes)) - np.repeat(self.first[:-1], np.diff(self.first))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows that lie within a row, and a hash for every start in the block."""
+    def starts(self, size: int) -> np.ndarray:
+        """Of the windows of this size that lie within a row."""
         room = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.hashes))
-        return np.flatnonzero(room >= size), Sums(self.hashes).windows(size)
+        return np.flatnonzero(room >= size)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        starts, hashes = self.windows(ANCHOR)
+        starts = self.starts(ANCHOR)
         starts = starts[np.isin(self.place[starts] % PERIOD, COVER)]
-        return starts, hashes[starts]
+        return starts, windows(self.hashes, ANCHOR)[starts]
+
+    def extended(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes of the windows with these starts."""
+        return windows(self.hashes, WINDOW)[starts], windows(self.hashes, WINDOW, salt=1)[starts]
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -78,14 +85,15 @@ def _windows(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.
     marked = np.zeros(len(text.hashes) + PERIOD + 1, np.int32)
     marked[1 + starts[shared]] = 1
     total = np.cumsum(marked)
-    starts, hashes = text.windows(WINDOW)
+    starts = text.starts(WINDOW)
     starts = starts[total[starts + PERIOD] > total[starts]]  # an anchor within the first PERIOD words of the window
     doc = np.repeat(rows.column("doc").to_numpy(), np.diff(text.first))[starts]
-    found, at, which, held = np.unique(hashes[starts], return_index=True, return_inverse=True, return_counts=True)
-    least = np.full(len(found), blocks.LAST)
+    one, two = text.extended(starts)
+    at, which, held = groups(one, two)
+    least = np.full(len(at), blocks.LAST)
     np.minimum.at(least, which, doc)
-    out = [(b, [found[k].tobytes(), least[k].tobytes(), np.packbits(held[k] > 1).tobytes()]) for b, k in blocks.by_bucket(found, buckets)]
-    return blocks.messages(block, out)
+    one, two = one[at], two[at]
+    return blocks.messages(block, [(b, [one[k].tobytes(), least[k].tobytes(), np.packbits(held[k] > 1).tobytes(), two[k].tobytes()]) for b, k in blocks.by_bucket(one, buckets)])
 
 
 def _firsts(key: tuple, table: pa.Table) -> pa.Table:
@@ -93,15 +101,16 @@ def _firsts(key: tuple, table: pa.Table) -> pa.Table:
     hashes, docs = blocks.received(table, "a", np.uint64), blocks.received(table, "b", np.int64)
     sizes = list(map(len, hashes))
     again = np.concatenate([np.unpackbits(x, count=n) for x, n in zip(blocks.received(table, "c", np.uint8), sizes, strict=True)]).astype(bool)
-    every, doc = np.concatenate(hashes), np.concatenate(docs)
-    _, which, held = np.unique(every, return_inverse=True, return_counts=True)
+    others = blocks.received(table, "d", np.uint64)
+    doc = np.concatenate(docs)
+    _, which, held = groups(np.concatenate(hashes), np.concatenate(others))
     least = np.full(len(held), blocks.LAST)
     np.minimum.at(least, which, doc)
     tell, first = (held > 1)[which] | again, doc == least[which]
     cuts = np.cumsum(sizes)[:-1]
-    out = [(h[t].tobytes(), np.packbits(f[t]).tobytes()) for h, t, f in zip(hashes, np.split(tell, cuts), np.split(first, cuts), strict=True)]
+    out = [(h[t].tobytes(), np.packbits(f[t]).tobytes(), o[t].tobytes()) for h, o, t, f in zip(hashes, others, np.split(tell, cuts), np.split(first, cuts), strict=True)]
     columns = [table.column("block").combine_chunks(), pa.array([key[0].as_py()] * len(out), pa.int64())]
-    columns += [pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)] + [pa.nulls(len(out), pa.binary())] * 2
+    columns += [pa.array([x[k] for x in out], pa.binary()) for k in range(3)] + [pa.nulls(len(out), pa.binary())]
     return pa.table(columns, ["block", "bucket", *blocks.PARTS])
 
 
@@ -113,11 +122,17 @@ def _remove(block: int, rows: pa.Table, answers: pa.Table) -> pa.Table:
     told = np.concatenate([np.zeros(0, np.uint64), *blocks.received(answers, "a", np.uint64)])
     if len(told):
         own = np.concatenate([np.unpackbits(x, count=len(h)) for x, h in zip(blocks.received(answers, "b", np.uint8), blocks.received(answers, "a", np.uint64), strict=True)]).astype(bool)
-        order = np.argsort(told)
-        told, own = told[order], own[order]
-        starts, hashes = text.windows(WINDOW)
-        at = np.minimum(np.searchsorted(told, hashes[starts]), len(told) - 1)
-        hit = told[at] == hashes[starts]
+        other = np.concatenate(blocks.received(answers, "c", np.uint64))
+        order = np.argsort(told, kind="stable")
+        told, other, own = told[order], other[order], own[order]
+        starts = text.starts(WINDOW)
+        one, two = text.extended(starts)
+        at = np.searchsorted(told, one)
+        last = len(told) - 1
+        while (on := (at <= last) & (told[np.minimum(at, last)] == one) & (other[np.minimum(at, last)] != two)).any():  # alike by one hash alone
+            at = at + on
+        at = np.minimum(at, last)
+        hit = (told[at] == one) & (other[at] == two)
         starts, at = starts[hit], at[hit]
         doc = np.repeat(rows.column("doc").to_numpy(), np.diff(text.first))[starts]
         place = text.place[starts]
@@ -154,8 +169,8 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
 
     kept is the row's words, joined by one space, without those covered by a window of 20 words that also starts earlier: in a row of
     smaller doc_id, or in a row of the same doc_id at an earlier word. Windows are judged on the input. A null or empty text has no
-    words; a null doc_id comes after all others; repeated rows have the same result; other columns are ignored; an empty table gives
-    an empty one.
+    words; rows with a null doc_id come after all others, in the order of a hash of their texts; repeated rows have the same result;
+    other columns are ignored; an empty table gives an empty one.
     """
     buckets = blocks.count(docs.sparkSession)
     dealt = blocks.deal(docs)

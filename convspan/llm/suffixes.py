@@ -8,6 +8,10 @@ travel once per block. As all strings of a stretch hold the run with the least h
 occurs twice. Contents with a common string then agree around that symbol in one of a few ways, by how the string's other bytes lie on
 its sides; those that agree with no other content in any of them are not sorted.
 
+Contents are told apart by their least hash and by a cryptographic hash of their bytes (128 bits together); what is equal by these is
+one content with several owners, and most of what exact copies share is settled so, before any sorting. Within a bucket the bytes of
+equal contents are compared as well.
+
 Suffixes are sorted by grouping (linear construction): suffixes start in groups by their first symbol and groups are processed from
 the greatest down. Each suffix of the current group points to the last suffix before it that is in a lower group; suffixes pointed to
 equally often leave their group together, for a new one right above it, those pointed to more often ending higher. When all groups are
@@ -19,14 +23,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from convspan.llm import blocks
-from convspan.llm.textarrays import byte_sums, chunks, mix, runs, utf8
+from convspan.llm.textarrays import byte_sums, chunks, digests, groups, mix, runs, utf8
 
 LENGTH = 50
 GRAM = 26
@@ -164,22 +168,21 @@ def least_owner(strings: list[np.ndarray], owners: list[int], length: int = LENG
 
 @dataclass
 class Stretches:
-    """Of a range of a block's texts: least hash, first and last start, row and hash of the content of each stretch."""
+    """Of a range of a block's texts: least hash, first and last start, row of each stretch; of used ones also a hash of the content."""
 
     key: np.ndarray
     first: np.ndarray
     last: np.ndarray
     row: np.ndarray
-    name: np.ndarray
     #: Where the run with the least hash begins, from the first start on; -1 if it occurs twice.
     run: np.ndarray
+    name: np.ndarray | None = None
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray, with_run: bool = False) -> Stretches:
         none = np.zeros(0, np.int64)
-        empty = cls(np.zeros(0, np.uint64), none, none, none, none, none)
-        sums = byte_sums(data)
-        grams = sums.windows(GRAM, mixed=False)
+        empty = cls(np.zeros(0, np.uint64), none, none, none, none)
+        grams = byte_sums(data).windows(GRAM, mixed=False)
         if len(grams) < SPAN:
             return empty
         least, size = grams, 1
@@ -208,20 +211,23 @@ class Stretches:
                 times[hit] += 1
                 run[hit] = k
             run[times != 1] = -1
-        return cls(mix(key), first, last, row, sums.slices(first, last + LENGTH).view(np.int64), run)
+        return cls(mix(key), first, last, row, run)
 
     def used(self, shared: np.ndarray, hot: np.ndarray, data: np.ndarray) -> Stretches:
         """The shared ones, hot ones start by start and keyed by their content."""
-        out = Stretches(*(getattr(self, f.name)[shared] for f in fields(self)))
+        first, last, row, key, run = (x[shared] for x in (self.first, self.last, self.row, self.key, self.run))
         many = hot[shared]
-        if not many.any():
-            return out
-        sizes = np.where(many, out.last - out.first + 1, 1)
-        each = np.repeat(np.arange(len(many)), sizes)
-        single, starts = many[each], runs(out.first, sizes)
-        name = np.where(single, byte_sums(data).slices(starts, np.minimum(starts + LENGTH, len(data))).view(np.int64), out.name[each])
-        key = np.where(single, name.view(np.uint64), out.key[each])
-        return Stretches(key, starts, np.where(single, starts, out.last[each]), out.row[each], name, np.where(single, -1, out.run[each]))
+        if many.any():
+            sizes = np.where(many, last - first + 1, 1)
+            each = np.repeat(np.arange(len(many)), sizes)
+            single, starts = many[each], runs(first, sizes)
+            last, row, run = np.where(single, starts, last[each]), row[each], np.where(single, -1, run[each])
+            first, key = starts, key[each]
+        raw = data.tobytes()
+        name = digests([raw[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+        if many.any():
+            key = np.where(single, name, key)
+        return Stretches(key, first, last, row, run, name.view(np.int64))
 
 
 def _block(texts: pa.Array, with_run: bool = False) -> list[tuple[int, Stretches]]:
@@ -264,15 +270,16 @@ def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Tab
     if not len(rows) or not len(answers):
         return blocks.messages(block, [])
     texts, docs = _texts(rows), rows.column("doc").to_numpy()
-    known: dict[int, int] = {}
+    known: dict[tuple[int, int], int] = {}
     keys, names, least, sizes, contents = [], [], [], [], []
     for a, data, found in _used(texts, docs, answers, buckets, with_run=True):
-        order = np.lexsort((docs[a + found.row], found.name))
-        at = order[np.append(True, found.name[order][1:] != found.name[order][:-1])[: len(order)]]
+        _, which, held = groups(found.key, found.name)
+        order = np.lexsort((docs[a + found.row], which))
+        at = order[np.cumsum(held) - held]
         raw = data.tobytes()
         for k, x, y, z, r, d in zip(*(v[at].tolist() for v in (found.key, found.name, found.first, found.last, found.run)), docs[a + found.row[at]].tolist(), strict=True):
-            if (seen := known.get(x)) is None:
-                known[x] = len(keys)
+            if (seen := known.get((k, x))) is None:
+                known[k, x] = len(keys)
                 keys.append(k)
                 names.append(x)
                 least.append(d)
@@ -307,11 +314,14 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     sent = np.where(run < 0, size, size - GRAM)
     data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("c")])
     at = np.cumsum(sent) - sent
-    _, same, held = np.unique(name, return_inverse=True, return_counts=True)
+    first, same, held = groups(every, name)  # one entry stands for all with its content
+    raw = data.tobytes()
+    for k in np.flatnonzero(first[same] != np.arange(len(same))).tolist():
+        x, y, n = int(at[k]), int(at[first[same[k]]]), int(sent[k])
+        if sent[first[same[k]]] != n or raw[x : x + n] != raw[y : y + n]:
+            raise RuntimeError("two contents share both hashes")
     least = np.full(len(held), blocks.LAST)
     np.minimum.at(least, same, doc)
-    first = np.full(len(held), len(name))
-    np.minimum.at(first, same, np.arange(len(name)))  # one entry stands for all with its content
     found: dict[int, np.ndarray] = {}
     grams: dict[np.uint64, np.ndarray] = {}
 
@@ -391,22 +401,25 @@ def _cut(block: int, rows: pa.Table, answers: pa.Table, marks: pa.Table, buckets
     found = {}
     if len(marks):
         for a, _, x in _used(texts, docs, marks, buckets):
-            found[a] = x.first, x.last - x.first + 1, docs[a + x.row], x.name
+            found[a] = x.first, x.last - x.first + 1, docs[a + x.row], x.name, x.key
     every = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in found.values())])
     doc = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in found.values())])
-    own, which = np.unique(every, return_inverse=True)
-    least = np.full(len(own), blocks.LAST)
+    different, which, _ = groups(np.concatenate([np.zeros(0, np.uint64), *(x[4] for x in found.values())]), every)
+    least = np.full(len(different), blocks.LAST)
     np.minimum.at(least, which, doc)
+    at_ = 0
     names, at, offset, length, owner = _told(answers)
     kept, removed, spans = [], [], []
     for a, b in chunks(texts):
         data, offsets = utf8(texts.slice(a, b - a))
         gone = np.zeros(len(data) + 1, np.int32)
         if a in found:
-            first, count, doc, name = found[a]
+            first, count, doc, name, _ = found[a]
+            least_here = least[which[at_ : at_ + len(first)]]
+            at_ += len(first)
             k = np.minimum(np.searchsorted(names, name), max(len(names) - 1, 0))
             hit = names[k] == name if len(names) else np.zeros(len(name), bool)
-            local = ~hit & (least[np.searchsorted(own, name)] < doc)
+            local = ~hit & (least_here < doc)
             begins, ends = [first[local]], [first[local] + count[local]]
             sizes = (at[k + 1] - at[k])[hit] if len(names) else np.zeros(0, np.int64)
             if len(sizes):
@@ -438,9 +451,9 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row of docs(doc_id, text).
 
     kept is the text's UTF-8 bytes without each byte that is covered by a string of 50 bytes which also starts in a row of smaller
-    doc_id; n_spans counts the maximal removed runs. Strings never cross rows and are judged on the input. A null text is empty; a
-    null doc_id comes after all others; rows of one doc_id remove nothing from each other; repeated rows have the same result; other
-    columns are ignored; an empty table gives an empty one.
+    doc_id; n_spans counts the maximal removed runs. Strings never cross rows and are judged on the input. A null text is empty; rows
+    with a null doc_id come after all others, in the order of a hash of their texts; rows of one doc_id remove nothing from each other;
+    repeated rows have the same result; other columns are ignored; an empty table gives an empty one.
     """
     buckets = blocks.count(docs.sparkSession)
     dealt = blocks.deal(docs)

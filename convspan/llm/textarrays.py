@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,52 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(~IS_SPACE[data], offsets)
 
 
+def digests(contents: list[bytes]) -> np.ndarray:
+    """64 bits of a cryptographic hash of each content."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in contents]), np.uint64)
+
+
+def word_digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """digests of words, the slices between begins and ends; each different word is hashed once."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    sizes = ends - begins
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[runs(begins, sizes)]))])
+    found = raw.dictionary_encode()
+    return digests(found.dictionary.to_pylist())[found.indices.to_numpy()]
+
+
+def windows(values: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """A hash for every `size` consecutive values, from hashes of halves, mixed at each step; no sum that unlike windows can share."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    part, width, out, done = mix(values ^ np.uint64(salt)), 1, None, 0
+    while True:
+        if size & width:
+            here = part[done : done + n]
+            out, done = here if out is None else mix(out * np.uint64(STEP) + here), done + width
+        if done == size:
+            return out
+        part = mix(part[: len(part) - width] * np.uint64(STEP) + part[width:])
+        width *= 2
+
+
+def groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of numbers: one place of each different pair, which of these each pair is, and how often it occurs."""
+    order = np.argsort(first, kind="stable")
+    same = first[order][1:] == first[order][:-1]
+    if (same & (second[order][1:] != second[order][:-1])).any():
+        order = np.lexsort((second, first))
+        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    new = np.append(True, ~same)[: len(order)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], which, np.diff(np.append(starts, len(order)))
+
+
 def byte_sums(data: np.ndarray) -> Sums:
     return Sums(BYTE_VALUES[data])
 

@@ -8,26 +8,31 @@ import string
 import numpy as np
 import pytest
 
-from convspan.llm import blocks, components, neardup, passages, suffixes
+from convspan.llm import blocks, components, neardup, passages, suffixes, textarrays
 
 LAST = blocks.LAST
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def ordered(frame):
+    """[(place in the order of doc_id, doc_id, text)]; null ids come last, by a hash of the text."""
+    return [(r.doc, r.doc_id, r.text) for r in blocks.deal(frame).collect()]
+
+
 def plain_strings(rows):
     """[(doc_id, n_bytes, n_removed, n_spans, kept)] by looking every string up."""
     starts: dict[bytes, int] = {}
-    for doc, text in rows:
+    for at, _, text in rows:
         data = (text or "").encode()
         for k in range(len(data) - 49):
             key = data[k : k + 50]
-            starts[key] = min(starts.get(key, LAST), LAST if doc is None else doc)
+            starts[key] = min(starts.get(key, LAST), at)
     out = []
-    for doc, text in rows:
+    for at, doc, text in rows:
         data = (text or "").encode()
         gone = bytearray(len(data))
         for k in range(len(data) - 49):
-            if starts[data[k : k + 50]] < (LAST if doc is None else doc):
+            if starts[data[k : k + 50]] < at:
                 gone[k : k + 50] = b"\1" * 50
         out.append((doc, len(data), sum(gone), sum(1 for z, _ in itertools.groupby(gone) if z), bytes(b for b, z in zip(data, gone) if not z)))
     return sorted(out, key=repr)
@@ -35,7 +40,7 @@ def plain_strings(rows):
 
 def plain_passages(rows):
     firsts: dict[tuple, tuple] = {}
-    split = [(LAST if d is None else d, d, WORD.findall(t or "")) for d, t in rows]
+    split = [(at, d, WORD.findall(t or "")) for at, d, t in rows]
     for at, _, words in split:
         for k in range(len(words) - 19):
             key = tuple(words[k : k + 20])
@@ -78,11 +83,11 @@ def found(frame):
 @pytest.mark.parametrize("hot", [256, 0])
 def test_strings(docs, hot, monkeypatch):
     monkeypatch.setattr(blocks, "HOT_BLOCKS", hot)
-    assert found(suffixes.remove_repeated_strings(docs)) == plain_strings(pairs(docs))
+    assert found(suffixes.remove_repeated_strings(docs)) == plain_strings(ordered(docs))
 
 
 def test_strings_of_real_rows(real):
-    assert found(suffixes.remove_repeated_strings(real)) == plain_strings(pairs(real))
+    assert found(suffixes.remove_repeated_strings(real)) == plain_strings(ordered(real))
 
 
 def test_hot_strings(monkeypatch):
@@ -103,7 +108,7 @@ def test_suffix_order():
 
 def test_passages(docs, real):
     for frame in (docs, real):
-        assert found(passages.remove_repeated_passages(frame)) == plain_passages(pairs(frame))
+        assert found(passages.remove_repeated_passages(frame)) == plain_passages(ordered(frame))
 
 
 @pytest.mark.parametrize("small,block", [(24, 1024), (1, 4)])
@@ -163,3 +168,49 @@ def test_extra_columns_with_the_same_names(docs):
     assert found(suffixes.remove_repeated_strings(odd)) == found(suffixes.remove_repeated_strings(docs))
     assert found(passages.remove_repeated_passages(odd)) == found(passages.remove_repeated_passages(docs))
     assert found(neardup.find_components(odd)) == found(neardup.find_components(docs))
+
+
+def thue_morse(n):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_texts_that_sums_of_powers_take_for_equal(spark, n):
+    """A sum over powers of an odd number modulo 2 ** 64 has one value for these two words; no operator may take them for one."""
+    one, two = thue_morse(n)
+    sums = [textarrays.byte_sums(np.frombuffer(x.encode(), np.uint8)).slices(np.array([0]), np.array([n])) for x in (one, two)]
+    assert sums[0] == sums[1]
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(words[:10] + [x] + words[10:10])) for k, x in enumerate((one, two))]
+    rows += [(2, " ".join([*["same"] * 3, one, "end"])), (3, " ".join([*["same"] * 3, two, "end"])), (4, " ".join(words[:15] + [one] + words[15:])), (5, " ".join(words[:15] + [two] + words[15:])), (6, one), (7, two)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(passages.remove_repeated_passages(frame)) == plain_passages(ordered(frame))
+    assert found(suffixes.remove_repeated_strings(frame)) == plain_strings(ordered(frame))
+    assert found(neardup.find_components(frame)) == plain_components(rows)
+
+
+def test_groups_and_windows():
+    rng = np.random.default_rng(1)
+    for top in (2, 50):
+        one, two = rng.integers(0, top, 300).astype(np.uint64), rng.integers(0, top, 300)
+        at, which, held = textarrays.groups(one, two)
+        pairs_ = list(zip(one.tolist(), two.tolist()))
+        assert sorted(pairs_[k] for k in at) == sorted(set(pairs_)) and [pairs_[at[k]] for k in which] == pairs_
+        assert [pairs_.count(pairs_[k]) for k in at] == held.tolist()
+    values = rng.integers(0, 3, 400).astype(np.uint64)
+    for size in (1, 5, 8, 20):
+        every = textarrays.windows(values, size)
+        by_hash, by_content = {}, {}
+        for k, h in enumerate(every.tolist()):
+            by_hash.setdefault(h, set()).add(tuple(values[k : k + size]))
+            by_content.setdefault(tuple(values[k : k + size]), set()).add(h)
+        assert len(every) == 401 - size and all(len(x) == 1 for x in [*by_hash.values(), *by_content.values()])
+    assert len(textarrays.windows(values[:4], 5)) == 0
+
+
+def test_many_rows_without_an_id_are_spread(spark):
+    frame = spark.createDataFrame([(None, f"text {k} " + "common words of all these rows that go on for more than fifty bytes " * 2) for k in range(64)], "doc_id long, text string")
+    assert blocks.deal(frame).select("block").distinct().count() > 8
+    assert found(suffixes.remove_repeated_strings(frame)) == plain_strings(ordered(frame))
+    assert found(passages.remove_repeated_passages(frame)) == plain_passages(ordered(frame))
