@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, which the session names in spark.checkpoint.dir.
 
-    Only where none is named (tests on one machine) a temporary one is set.
+    Where none is named, one machine that is driver and executors in one (tests) gets a temporary one; a cluster has to name one.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -47,14 +50,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-#: Names of the two longs that row_key adds.
-KEY = ("row_key_1", "row_key_2")
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened as long as the frame has a column of that name."""
+    taken = {c.lower() for c in frame.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
-def row_key(frame: DataFrame) -> DataFrame:
-    """The frame with KEY, never null: alike for rows that agree in all columns, nulls included, else different (128 bits of hashes)."""
-    parts = [*frame.columns, *(F.col(c).isNull() for c in frame.columns)]
-    return frame.withColumns({name: F.xxhash64(F.lit(k), *parts) for k, name in enumerate(KEY)})
+def row_key(frame: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with two more columns, longs, and their names; together they are alike for rows that agree in all columns, nulls
+    included, else different (128 bits of hashes)."""
+    parts = [x for c in frame.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    names = unused(frame, "row_key_1", "row_key_2")
+    return frame.withColumns({name: F.xxhash64(F.lit(k), *parts) for k, name in enumerate(names)}), names
 
 
 def partitions(spark: SparkSession) -> int:

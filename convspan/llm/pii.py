@@ -182,7 +182,7 @@ def mentioned_again(text: str) -> tuple[str, list[tuple[int, int, int]], list[tu
     found = [(a, b, k) for a, b, k in base_spans(text)]
     for m in MARKED.finditer(text):
         core = m[0].strip(".,;!*#$%&")
-        if text[: m.start()].rstrip()[-1:] in ("=", ":") and KEY.fullmatch(core) and re.search("[A-Za-z]", core):
+        if text[max(0, m.start() - 40) : m.start()].rstrip()[-1:] in ("=", ":") and KEY.fullmatch(core) and re.search("[A-Za-z]", core):
             found.append((m.start(), m.start() + len(core), len(KINDS)))
     gaps = [m.start() for m in re.finditer(r" (?=[^\x20\x09-\x0D])", text)]
     gaps = [x for x in gaps if not any(a - 2 <= x <= b + 2 for a, b, _ in found)] if len(found) <= MENTIONS else gaps[::2]
@@ -342,15 +342,16 @@ def find_all(texts: list[str], field: Field) -> list[tuple[list, list]]:
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def find_personal_data(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """docs with base and spans, arrays of (kind, start, end): the base patterns' spans, and these with the field's further ones.
+def find_personal_data(docs: DataFrame, field: Field, text: str = "text", names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """docs with base and spans, under these names, arrays of (kind, start, end): the base patterns' spans, and these with the field's
+    further ones.
 
     Positions are characters of the whole text, ends exclusive; spans are in the order of start, then kind (email, ip, card, phone,
     key, similar). A null or empty text has none; repeated rows have the same; an empty table gives an empty one; columns that have
     one of the new names are replaced.
     """
     small_arrow_batches(docs)
-    keep = [c for c in docs.columns if c not in ("base", "spans")]
+    keep = [c for c in docs.columns if c not in names]
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias("__text"))
     order = {k: n for n, k in enumerate((*KINDS, "key", "similar"))}
 
@@ -370,9 +371,9 @@ def find_personal_data(docs: DataFrame, field: Field, text: str = "text") -> Dat
                 for k, (own, further) in zip(some.tolist(), find_all([texts[k].as_py() for k in some.tolist()], field), strict=True):
                     base[k] = [(a, b, KINDS[kind]) for a, b, kind in own]
                     spans[k] = sorted(base[k] + further, key=lambda x: (x[0], order[x[2]]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], arrays(base), arrays(spans)], [*keep, "base", "spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], arrays(base), arrays(spans)], [*keep, *names])
 
-    return source.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("base", SPAN), T.StructField("spans", SPAN)]))
+    return source.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, SPAN) for name in names]))
 
 
 def mask(text: str = "text", spans: str = "spans") -> Column:

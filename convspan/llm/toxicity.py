@@ -184,21 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     return model
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on) of each row's whole text.
+def score_documents(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from THRESHOLD on) of each row's whole text, under these names.
 
     A null or empty text has no votes and scores what such texts do; repeated rows score alike; an empty table gives an empty one;
     columns that have one of the new names are replaced.
     """
     small_arrow_batches(docs)
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    keep = [c for c in docs.columns if c not in names]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     source = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.scores(batch.column(batch.num_columns - 1))
             columns = [*batch.columns[:-1], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     return source.mapInArrow(run, schema)

@@ -233,6 +233,39 @@ def test_pipeline_stages_with_odd_rows(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+ODD = ("at", "copies", "rows", "copy", "n_shingles", "component_id", "kept", "predicted", "score", "base", "spans", "row_key_1", "row_key_2", "size", "taken", "slice", "named", "order", "k1", "bands", "rep", "u")
+
+
+def test_pipeline_stages_with_clashing_columns(spark, docs):
+    """Every stage but the last returns further columns, whatever their names, as they were, and decides as without them."""
+    marked = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in ODD})
+    for name, stage in corpus_pipeline.STAGES:
+        plain, got = row_counts(stage(spark, docs, SF)), stage(spark, marked, SF)
+        if name == "pieces":
+            assert row_counts(got) == plain
+            continue
+        assert got.columns == marked.columns
+        assert row_counts(got.select(*docs.columns)) == plain
+        assert all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in got.collect() for c in ODD)
+
+
+def test_stages_agree_on_reruns(spark, real):
+    for _, stage in corpus_pipeline.STAGES:
+        assert row_counts(stage(spark, real, SF)) == row_counts(stage(spark, real.repartition(3), SF))
+
+
+def test_a_cluster_has_to_name_its_folder(monkeypatch):
+    from convspan.llm import common
+
+    class Context:
+        master = "spark://somewhere"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError):
+        common.shared_folder(type("Session", (), {"sparkContext": Context}))
+
+
 def row_counts(frame):
     return collections.Counter(map(tuple, frame.collect()))
 
