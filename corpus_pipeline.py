@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspan.llm import mixing, neardup, pieces, pii, toxicity
-from convspan.llm.common import KEY, WORDS, row_key, shared_folder, table
+from convspan.llm.common import WORDS, row_key, shared_folder, table, unused
 from convspan.llm.registry import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fitted on the labels of these documents, does not reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+    score, predicted = unused(docs, "score", "predicted")
+    return toxicity.score_documents(docs, model, names=(score, predicted)).where(F.col(predicted) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +28,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that are in no group (without words, or without a doc_id) all stay.
     """
-    keyed = row_key(docs)
-    found = neardup.find_components(keyed, KEY).where("kept and doc_id is not null and n_shingles > 0")
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("least")).select(*(F.col("least")[k].alias(k) for k in KEY))
-    kept = keyed.join(chosen, list(KEY)).dropDuplicates(list(KEY))
+    keyed, key = row_key(docs)
+    found = neardup.find_components(keyed, tuple(key)).where("kept and doc_id is not null and n_shingles > 0")
+    chosen = found.groupBy("component_id").agg(F.min(F.struct(*key)).alias("least")).select(*(F.col("least")[k].alias(k) for k in key))
+    kept = keyed.join(chosen, key).dropDuplicates(key)
     alone = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORDS), F.lit(False)))
     return kept.select(*docs.columns).unionByName(alone)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every span of personal data replaced by its kind in brackets; n_chars follows the text."""
-    found = pii.find_personal_data(docs, pii.fit(docs)).withColumn("text", pii.mask())
+    base, spans = unused(docs, "base", "spans")
+    found = pii.find_personal_data(docs, pii.fit(docs), names=(base, spans)).withColumn("text", pii.mask(spans=spans))
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -46,11 +48,12 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows that agree in all columns come together as many times as the mix takes all of them.
     """
-    keyed = row_key(docs)
-    taken = mixing.mix_sources(keyed, keys=KEY).groupBy(*KEY).agg(F.sum("copies").alias("taken_copies"), F.count(F.lit(1)).alias("taken_rows"))
-    rows = keyed.join(taken.where("taken_copies > 0"), list(KEY))
-    rows = rows.where("taken_rows = 1").unionByName(rows.where("taken_rows > 1").dropDuplicates(list(KEY)))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select(*docs.columns)
+    keyed, key = row_key(docs)
+    copies, rows, copy = unused(docs, "copies", "rows", "copy")
+    taken = mixing.mix_sources(keyed, keys=tuple(key)).groupBy(*key).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    found = keyed.join(taken.where(F.col(copies) > 0), key)
+    found = found.where(F.col(rows) == 1).unionByName(found.where(F.col(rows) > 1).dropDuplicates(key))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
