@@ -64,6 +64,22 @@ def row_key(frame: DataFrame) -> tuple[DataFrame, list[str]]:
     return frame.withColumns({name: F.xxhash64(F.lit(k), *parts) for k, name in enumerate(names)}), names
 
 
+#: Rows with one key from which a join sends them to no common task; rows (a few longs each) up to which a table is broadcast.
+HUB_ROWS, BROADCAST_ROWS = 10_000, 500_000
+
+
+def join_hubs(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left.join(right, key), where right has one row for each key and left has so many rows.
+
+    Keys with more than HUB_ROWS rows of left get their rows of right by a broadcast, of rows / HUB_ROWS rows at most, so no task
+    receives all rows of such a key. A table that has no room for one is joined as it is.
+    """
+    if rows <= HUB_ROWS or rows // HUB_ROWS > BROADCAST_ROWS:
+        return left.join(right, key)
+    hubs = left.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > HUB_ROWS).select(key)
+    return left.join(F.broadcast(right.join(F.broadcast(hubs), key)), key).unionByName(left.join(F.broadcast(hubs), key, "left_anti").join(right, key))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which its user sets in proportion to the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

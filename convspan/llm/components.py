@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspan.llm.common import checkpointed
+from convspan.llm.common import checkpointed, join_hubs
 
 #: Components of a path of n nodes need about log2(n) rounds; more rounds than this mean that something is wrong.
 MOST_ROUNDS = 60
@@ -13,20 +13,20 @@ MOST_ROUNDS = 60
 EDGES_PER_PART = 200_000
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the least neighbour of u, itself included, as m."""
+def _least(edges: DataFrame, rows: int) -> DataFrame:
+    """Edges (u, v), so many of them, with the least neighbour of u, itself included, as m."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("m", "u"))
+    return join_hubs(edges, least, "u", rows).withColumn("m", F.least("m", "u"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    found = _least(down)
+    found = _least(down, rows)
     others = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
 
@@ -46,9 +46,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = checkpointed(links.select("u", "v").where("u <> v").distinct())
     for _ in range(MOST_ROUNDS):
-        parts = 1 + edges.count() // EDGES_PER_PART
-        edges = edges.coalesce(parts)
-        edges = checkpointed(_small_star(_large_star(edges).coalesce(parts)).coalesce(parts))
+        rows = edges.count()
+        parts = 1 + rows // EDGES_PER_PART
+        edges = checkpointed(_large_star(edges.coalesce(parts), rows).coalesce(parts))
+        edges = checkpointed(_small_star(edges, rows).coalesce(parts))
         if _settled(edges):
             break
     else:

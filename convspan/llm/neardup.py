@@ -9,7 +9,11 @@ condition, and what passes is again confirmed on the full sets. Large buckets wi
 classes again and again, are put together, cut into square blocks of classes with their full sets, and only links leave a block. So
 no link between classes that share a bucket is lost, and no group is expanded into all its pairs.
 
-A link of similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.75, 0.99999 at 0.8.
+A link of similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS: 0.0000023 at 0.75, 0.0000008 at 0.76, less beyond,
+and its signatures are too unlike with about the same.
+
+Shingles are told apart by 64 bits made from a cryptographic hash of each word, so no repetitive text makes unlike ones agree, and a
+full set of 10,000 shingles holds two that agree by chance once in 10 ** 11 sets.
 """
 
 from __future__ import annotations
@@ -21,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspan.llm.common import checkpointed, small_arrow_batches, text_or_empty
+from convspan.llm.common import BROADCAST_ROWS, checkpointed, join_hubs, small_arrow_batches, text_or_empty
 from convspan.llm.components import connected_components
 from convspan.llm.textarrays import STEP, chunks, digests, mix, utf8, windows, word_digests, words
 
 SHINGLE = 5
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 48, 5
 #: A link has at least this similarity, in hundredths.
 SIMILARITY = 75
-#: Two bits of each minimum; a pair is confirmed if at most so many of all bits differ: similarity 0.75 less 3.4 standard errors.
-MOST_DIFFERENT = int(BANDS * ROWS * 2 * (1 - 0.63) / 2)
-#: Rows of ids (16 bytes each) up to which they are broadcast to the documents; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Two bits of each minimum; a pair is confirmed if at most so many of all bits differ: similarity 0.75 less 4.7 standard errors.
+MOST_DIFFERENT = int(BANDS * ROWS * 2 * (1 - 0.58) / 2)
+#: Bytes of full sets that are compared in one group, about.
+GROUP_BYTES = 16_000_000
 _rng = np.random.default_rng(75)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 ADDED = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -129,11 +133,14 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY * (len(a) + len(b) - common)
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of sets those that are links."""
-    for batch in batches:
-        keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _group_links(key: tuple, table: pa.Table) -> pa.Table:
+    """The links among a group's pairs; a row without v brings u's set, one with v that of v."""
+    u, sets = table.column("u").to_pylist(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+    v = table.column("v").to_pylist()
+    centres = {a: s for a, b, s in zip(u, v, sets, strict=True) if b is None}
+    found = [(a, b) for a, b, s in zip(u, v, sets, strict=True) if b is not None and _linked(centres[a], s)]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
 def _block_links(key: tuple, table: pa.Table) -> pa.Table:
@@ -170,11 +177,22 @@ def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among pairs(u, v) of classes, from the full sets of their texts."""
+    """The links among pairs(u, v, nv) of classes, nv being the size of v's set, from the full sets of their texts.
+
+    A v is in few pairs, a u may be in very many: the pairs of one u are dealt by v into parts of about GROUP_BYTES, and u's set goes
+    once to each group that has a part of it.
+    """
     pairs = checkpointed(pairs)
+    rows, size = pairs.agg(F.count(F.lit(1)), F.sum("nv")).first()
+    groups = 1 + (size or 0) * 8 // GROUP_BYTES
     sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("id")))
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    return checkpointed(both.select("u", "v", "a", "b").mapInArrow(_overlaps, "u long, v long"))
+    parts = pairs.groupBy("u").agg(F.ceil(F.sum("nv") * 8 / GROUP_BYTES).alias("parts")).where("parts > 1")
+    dealt = pairs.join(F.broadcast(parts) if groups <= BROADCAST_ROWS else parts, "u", "left")  # fewer such u than groups
+    part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)).cast("long"))
+    dealt = dealt.select("u", "v", F.pmod(F.xxhash64("u", part), F.lit(groups)).alias("group"))
+    one = dealt.select("group", "u", F.lit(None).cast("long").alias("v")).distinct().join(sets.withColumnRenamed("id", "u"), "u")
+    two = dealt.join(sets.withColumnRenamed("id", "v"), "v")
+    return checkpointed(one.select("group", "u", "v", "shingles").unionByName(two.select("group", "u", "v", "shingles")).groupBy("group").applyInArrow(_group_links, "u long, v long"))
 
 
 def _links_in_blocks(docs: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
@@ -221,9 +239,12 @@ def find_components(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     centres = members.groupBy("bucket").agg(order(1).alias("one"), order(2).alias("two"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = checkpointed(members.join(centres.select("bucket", F.col("one.rep").alias("one"), F.col("two.rep").alias("two")), "bucket"))
     stars = shared.select("rep", F.explode(F.array("one", "two")).alias("centre")).where("rep <> centre")
-    pairs = stars.select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
-    pairs = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.rep")).join(sketches.alias("b"), F.col("v") == F.col("b.rep"))
-    tried = checkpointed(pairs.where(_alike("a", "b")).select("u", "v"))
+    # A pair of two centres comes once; the centre, which may have very many others, is u.
+    pairs = stars.groupBy(F.least("rep", "centre").alias("low"), F.greatest("rep", "centre").alias("high")).agg(F.min("centre").alias("u"))
+    pairs = checkpointed(pairs.select("u", F.when(F.col("u") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("v")))
+    a, b = (sketches.select(F.col("rep").alias(side), F.struct("n", *SKETCH).alias(name)) for side, name in (("u", "a"), ("v", "b")))
+    pairs = join_hubs(pairs, a, "u", pairs.count()).join(b, "v").where(_alike("a", "b"))
+    tried = checkpointed(pairs.select("u", "v", F.col("b.n").alias("nv")))
     links = _confirmed(docs, classes, tried)
     component = connected_components(links)
 
@@ -237,7 +258,9 @@ def find_components(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     fewer, every = small.where("component <> main").alias("a"), small.alias("b")
     new = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.rep") < F.col("b.rep")))
     more = fewer.join(every, (F.col("a.bucket") == F.col("b.bucket")) & new & _alike("a", "b"))
-    more = more.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    more = more.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"), F.col("b.n").alias("nv")).distinct()
+    known = tried.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("pair")).select("pair.u", "pair.v")
+    more = more.join(known, ["u", "v"], "left_anti")
     large = checkpointed(several.where(F.col("size") > SMALL_BUCKET).select("main", "rep", "component").distinct())
     links = links.unionByName(_confirmed(docs, classes, more)).unionByName(_links_in_blocks(docs, classes, large))
     component = connected_components(links)

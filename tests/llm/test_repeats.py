@@ -140,7 +140,7 @@ def test_second_pass_closes_open_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_confirmed", none_at_first)
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    assert found(neardup.find_components(frame)) == wanted
+    assert found(neardup.find_components(frame)) == wanted and len(calls) == 2
 
 
 def test_star_components(spark):
@@ -214,3 +214,19 @@ def test_many_rows_without_an_id_are_spread(spark):
     assert blocks.deal(frame).select("block").distinct().count() > 8
     assert found(suffixes.remove_repeated_strings(frame)) == plain_strings(ordered(frame))
     assert found(passages.remove_repeated_passages(frame)) == plain_passages(ordered(frame))
+
+
+def test_hubs(spark, monkeypatch):
+    """A centre with many partners, dealt into parts, and joins of its rows, give what they give without."""
+    from convspan.llm import common
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(w if rng.random() > 0.004 else f"x{rng.random()}" for w in words)) for k in range(90)] + [(200 + k, f"alone {k} " * 6) for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "HUB_ROWS", 3)
+    monkeypatch.setattr(neardup, "GROUP_BYTES", 5_000)
+    assert found(neardup.find_components(frame)) == plain_components(rows)
+    left = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(60)], "u long, x long")
+    right = spark.createDataFrame([(k, k * k) for k in range(5)], "u long, y long")
+    assert sorted(map(tuple, common.join_hubs(left, right, "u", 60).collect())) == sorted(map(tuple, left.join(right, "u").collect()))
