@@ -168,23 +168,22 @@ def least_owner(strings: list[np.ndarray], owners: list[int], length: int = LENG
 
 @dataclass
 class Stretches:
-    """Of a range of a block's texts: least hash, first and last start, row of each stretch; of used ones also a hash of the content."""
+    """Of a range of a block's texts: least hash, first and last start, row of each stretch; of used ones also where the run is and a hash of the content."""
 
     key: np.ndarray
     first: np.ndarray
     last: np.ndarray
     row: np.ndarray
     #: Where the run with the least hash begins, from the first start on; -1 if it occurs twice.
-    run: np.ndarray
+    run: np.ndarray | None = None
     name: np.ndarray | None = None
 
     @classmethod
-    def of(cls, data: np.ndarray, offsets: np.ndarray, with_run: bool = False) -> Stretches:
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Stretches:
         none = np.zeros(0, np.int64)
-        empty = cls(np.zeros(0, np.uint64), none, none, none, none)
         grams = byte_sums(data).windows(GRAM, mixed=False)
         if len(grams) < SPAN:
-            return empty
+            return cls(np.zeros(0, np.uint64), none, none, none)
         least, size = grams, 1
         while size < SPAN:  # least of size, then of twice as many, up to SPAN
             step = min(size, SPAN - size)
@@ -194,34 +193,32 @@ class Stretches:
         change[1:] = least[1:] != least[:-1]
         change[offsets[:-1][offsets[:-1] < len(least)]] = True
         first = np.flatnonzero(change)
-        row = np.searchsorted(offsets, first, "right") - 1
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(first, offsets)))
         room = offsets[row + 1] - LENGTH
         last = np.minimum(np.append(first[1:], len(least)) - 1, room)
         fits = first <= room
-        first, last, row = first[fits], last[fits], row[fits]
-        if not len(first):
-            return empty
-        key = least[first]
+        return cls(mix(least[first[fits]]), first[fits], last[fits], row[fits])
+
+    def used(self, shared: np.ndarray, hot: np.ndarray, data: np.ndarray, with_run: bool = False) -> Stretches:
+        """The shared ones, hot ones start by start and keyed by their content."""
+        first, last, row, key = (x[shared] for x in (self.first, self.last, self.row, self.key))
+        many = hot[shared]
         run = np.full(len(key), -1)
         if with_run:
-            times = np.where(last - first >= SPAN, 2, 0)
+            grams = byte_sums(data).windows(GRAM, mixed=False)
+            times = np.where(many | (last - first >= SPAN), 2, 0)
+            at = np.flatnonzero(times < 2)
             for k in range(2 * SPAN - 1):
-                some = np.flatnonzero((first + k <= last + SPAN - 1) & (times < 2))
-                hit = some[grams[first[some] + k] == key[some]]
+                at = at[first[at] + k <= last[at] + SPAN - 1]
+                hit = at[mix(grams[first[at] + k]) == key[at]]
                 times[hit] += 1
                 run[hit] = k
             run[times != 1] = -1
-        return cls(mix(key), first, last, row, run)
-
-    def used(self, shared: np.ndarray, hot: np.ndarray, data: np.ndarray) -> Stretches:
-        """The shared ones, hot ones start by start and keyed by their content."""
-        first, last, row, key, run = (x[shared] for x in (self.first, self.last, self.row, self.key, self.run))
-        many = hot[shared]
         if many.any():
             sizes = np.where(many, last - first + 1, 1)
             each = np.repeat(np.arange(len(many)), sizes)
             single, starts = many[each], runs(first, sizes)
-            last, row, run = np.where(single, starts, last[each]), row[each], np.where(single, -1, run[each])
+            last, row, run = np.where(single, starts, last[each]), row[each], run[each]
             first, key = starts, key[each]
         raw = data.tobytes()
         name = digests([raw[x:y] for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
@@ -230,8 +227,8 @@ class Stretches:
         return Stretches(key, first, last, row, run, name.view(np.int64))
 
 
-def _block(texts: pa.Array, with_run: bool = False) -> list[tuple[int, Stretches]]:
-    return [(a, Stretches.of(*utf8(texts.slice(a, b - a)), with_run)) for a, b in chunks(texts)]
+def _block(texts: pa.Array) -> list[tuple[int, Stretches]]:
+    return [(a, Stretches.of(*utf8(texts.slice(a, b - a)))) for a, b in chunks(texts)]
 
 
 def _texts(table: pa.Table) -> pa.Array:
@@ -239,8 +236,14 @@ def _texts(table: pa.Table) -> pa.Array:
     return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
 
 
-def _different(stretches: list[tuple[int, Stretches]], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _different(stretches: list[tuple[int, Stretches]]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's different least hashes, and which of them each stretch has."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.key for _, x in stretches)]), return_inverse=True)
+
+
+def _announced(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A block's different least hashes, and whether several of its documents have them."""
+    docs, stretches = table.column("doc").to_numpy(), _block(_texts(table))
     key = np.concatenate([np.zeros(0, np.uint64), *(x.key for _, x in stretches)])
     doc = np.concatenate([np.zeros(0, np.int64), *(docs[a + x.row] for a, x in stretches)])
     order = np.argsort(key)
@@ -249,20 +252,18 @@ def _different(stretches: list[tuple[int, Stretches]], docs: np.ndarray) -> tupl
     return key[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
 
 
-def _announced(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return _different(_block(_texts(table)), table.column("doc").to_numpy())
-
-
-def _used(texts: pa.Array, docs: np.ndarray, answers: pa.Table, buckets: int, with_run: bool = False) -> Iterator[tuple[int, np.ndarray, Stretches]]:
+def _used(texts: pa.Array, answers: pa.Table, buckets: int, with_run: bool = False) -> Iterator[tuple[int, np.ndarray, Stretches]]:
     """(first row, bytes, shared stretches) of ranges of a block's texts."""
-    stretches = _block(texts, with_run)
-    different, _ = _different(stretches, docs)
+    stretches = _block(texts)
+    different, which = _different(stretches)
     shared, hot = blocks.marks(answers, different, buckets)
+    done = 0
     for (a, b), (_, every) in zip(chunks(texts), stretches, strict=True):
-        at = np.searchsorted(different, every.key)
+        at = which[done : done + len(every.key)]
+        done += len(at)
         if len(at):
             data, _ = utf8(texts.slice(a, b - a))
-            yield a, data, every.used(shared[at], hot[at], data)
+            yield a, data, every.used(shared[at], hot[at], data, with_run)
 
 
 def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -272,7 +273,7 @@ def _send(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Tab
     texts, docs = _texts(rows), rows.column("doc").to_numpy()
     known: dict[tuple[int, int], int] = {}
     keys, names, least, sizes, contents = [], [], [], [], []
-    for a, data, found in _used(texts, docs, answers, buckets, with_run=True):
+    for a, data, found in _used(texts, answers, buckets, with_run=True):
         _, which, held = groups(found.key, found.name)
         order = np.lexsort((docs[a + found.row], which))
         at = order[np.cumsum(held) - held]
@@ -400,7 +401,7 @@ def _cut(block: int, rows: pa.Table, answers: pa.Table, marks: pa.Table, buckets
     texts, docs = _texts(rows), rows.column("doc").to_numpy()
     found = {}
     if len(marks):
-        for a, _, x in _used(texts, docs, marks, buckets):
+        for a, _, x in _used(texts, marks, buckets):
             found[a] = x.first, x.last - x.first + 1, docs[a + x.row], x.name, x.key
     every = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in found.values())])
     doc = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in found.values())])

@@ -93,9 +93,9 @@ def test_strings_of_real_rows(real):
 def test_hot_strings(monkeypatch):
     """The answers for hot hashes, start by start, inside one block."""
     data = np.frombuffer(("x" * 30 + "".join(map(chr, range(33, 123)))).encode(), np.uint8)
-    every = suffixes.Stretches.of(data, np.array([0, len(data)]), with_run=True)
+    every = suffixes.Stretches.of(data, np.array([0, len(data)]))
     yes = np.ones(len(every.key), bool)
-    hot = every.used(yes, yes, data)
+    hot = every.used(yes, yes, data, with_run=True)
     assert (hot.first == np.arange(len(data) - 49)).all() and (hot.first == hot.last).all() and (hot.run == -1).all()
 
 
