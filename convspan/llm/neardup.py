@@ -12,8 +12,8 @@ no link between classes that share a bucket is lost, and no group is expanded in
 A link of similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS: 0.0000023 at 0.75, 0.0000008 at 0.76, less beyond,
 and its signatures are too unlike with about the same.
 
-Shingles are told apart by 64 bits made from a cryptographic hash of each word, so no repetitive text makes unlike ones agree, and a
-full set of 10,000 shingles holds two that agree by chance once in 10 ** 11 sets.
+Shingles are told apart by 64 bits, mixed at each word and within words (long ones have a cryptographic hash), so no repetitive text
+makes unlike ones agree, and a full set of 10,000 shingles holds two that agree by chance once in 10 ** 11 sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from convspan.llm.common import BROADCAST_ROWS, checkpointed, join_hubs, small_arrow_batches, text_or_empty
 from convspan.llm.components import connected_components
-from convspan.llm.textarrays import STEP, chunks, digests, mix, utf8, windows, word_digests, words
+from convspan.llm.textarrays import STEP, chunks, digests, mix, utf8, windows, word_hashes, words
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
@@ -52,7 +52,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         data, offsets = utf8(texts.slice(first, last - first))
         data = LOWER[data]
         begins, ends, runs = words(data, offsets)
-        word = word_digests(data, begins, ends)
+        word = word_hashes(data, begins, ends)
         every = windows(word, SHINGLE)
         for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
             if b - a >= SHINGLE:

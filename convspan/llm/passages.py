@@ -6,8 +6,9 @@ position on: two equal windows share one such anchor at the same place in them.
 that occur once in the corpus are done with. Where an anchor is shared, it is extended by the words on its sides to all windows that
 hold it; these are compared, and all but a window's first occurrence (least doc_id, then earliest start) mark their words for removal.
 
-Words are told apart by a cryptographic hash, and windows by two hashes of their words, made apart from each other by mixing at each
-step (128 bits), so no repetitive text makes unlike windows agree, and chance does so once in 10 ** 12 corpora of 10 ** 13 windows.
+Words are told apart by 64-bit hashes (of short words never alike, of long ones cryptographic), and windows by two hashes of their
+words, made apart from each other by mixing at each step (128 bits), so no repetitive text makes unlike windows agree, and chance does
+so once in 10 ** 12 corpora of 10 ** 13 windows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from convspan.llm import blocks
-from convspan.llm.textarrays import chunks, groups, runs, utf8, windows, word_digests, words
+from convspan.llm.textarrays import chunks, groups, runs, utf8, windows, word_hashes, words
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -39,7 +40,7 @@ class Words:
         for a, b in chunks(texts):
             data, offsets = utf8(texts.slice(a, b - a))
             begins, ends, own = words(data, offsets)
-            hashes.append(word_digests(data, begins, ends))
+            hashes.append(word_hashes(data, begins, ends))
             counts.append(np.diff(own))
         return cls(np.concatenate([np.zeros(0, np.uint64), *hashes]), np.cumsum(np.concatenate([[0], *counts])).astype(np.int64))
 

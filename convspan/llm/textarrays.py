@@ -16,6 +16,9 @@ _rng = np.random.default_rng(20_240_501)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a word up to which it is hashed 8 at a time.
+MIXED_BYTES = 64
+ALL_BITS = np.uint64(0xFFFFFFFFFFFFFFFF)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -107,15 +110,27 @@ def digests(contents: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in contents]), np.uint64)
 
 
-def word_digests(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """digests of words, the slices between begins and ends; each different word is hashed once."""
-    if not len(begins):
-        return np.zeros(0, np.uint64)
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, the slice between its begin and end: mixed after every 8 bytes, of words over MIXED_BYTES cryptographic.
+
+    Words of one length up to 8 bytes never share one.
+    """
     sizes = ends - begins
-    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
-    raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[runs(begins, sizes)]))])
-    found = raw.dictionary_encode()
-    return digests(found.dictionary.to_pylist())[found.indices.to_numpy()]
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    out = mix(sizes.astype(np.uint64))
+    at = np.arange(len(sizes))
+    for done in range(0, MIXED_BYTES, 8):
+        at = at[sizes[at] > done] if done else at
+        if not len(at):
+            break
+        left = np.minimum(sizes[at] - done, 8).astype(np.uint64)
+        lane = eights[begins[at] + done] & (ALL_BITS >> (np.uint64(64) - np.uint64(8) * left))
+        out[at] = mix(out[at] * np.uint64(STEP) ^ lane)
+    long = np.flatnonzero(sizes > MIXED_BYTES)
+    if len(long):
+        out[long] = digests([data[x:y].tobytes() for x, y in zip(begins[long].tolist(), ends[long].tolist(), strict=True)])
+    return out
 
 
 def windows(values: np.ndarray, size: int, salt: int = 0) -> np.ndarray:

@@ -190,6 +190,19 @@ def test_texts_that_sums_of_powers_take_for_equal(spark, n):
     assert found(neardup.find_components(frame)) == plain_components(rows)
 
 
+def test_word_hashes():
+    rng = random.Random(9)
+    parts = ["a", "b", "ab", "ba", "é", "aaaaaaaa", "bbbbbbbbbbbbbbbb", "x" * 64]
+    every = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(4000)] + [x for n in (64, 128, 1024) for x in thue_morse(n)]
+    data = np.frombuffer(" ".join(every).encode(), np.uint8)
+    begins, ends, _ = textarrays.words(data, np.array([0, len(data)]))
+    by_word = {}
+    for word, h in zip(every, textarrays.word_hashes(data, begins, ends).tolist(), strict=True):
+        assert by_word.setdefault(word, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    assert len(textarrays.word_hashes(data[:0], begins[:0], ends[:0])) == 0
+
+
 def test_groups_and_windows():
     rng = np.random.default_rng(1)
     for top in (2, 50):
