@@ -28,48 +28,49 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{STRIP}|{STRIP}$", "")
 
 
-def _span(span_class: str, text: Column, weight: Column | float = 0.0) -> Column:
+def span(span_class: str, text: Column, weight: Column | float = 0.0) -> Column:
     weight = weight if isinstance(weight, Column) else F.lit(float(weight))
     return F.struct(F.lit(span_class).alias("span_class"), text.alias("text"), weight.alias("default_weight"))
 
 
-def _spans(messages: DataFrame, each: list[Column], first: Column | None) -> DataFrame:
-    """The spans of every message, and before the first message of a sample one that no message owns."""
+def spans_of(messages: DataFrame, each: list[Column], first: Column | None, generation: str = "") -> DataFrame:
+    """The spans of every message, before the first message of a sample one that no message owns, and behind the last the start of an answer."""
     own = messages.select("sample_id", "message_index", "role", F.posexplode(F.array(*each)).alias("at", "span"))
     own = own.withColumn("order", F.col("message_index") * PER_MESSAGE + F.col("at"))
+    edge = lambda where, role, text, order: messages.where(where).select("sample_id", F.lit(None).cast("int").alias("message_index"), F.lit(role).cast("string").alias("role"), F.lit(0).alias("at"), text.alias("span"), order.alias("order"))
     if first is not None:
-        head = messages.where("message_index = 0").select("sample_id", F.lit(None).cast("int").alias("message_index"), F.lit(None).cast("string").alias("role"), F.lit(0).alias("at"), first.alias("span"), F.lit(-1).alias("order"))
-        own = own.unionByName(head)
+        own = own.unionByName(edge("message_index = 0", None, first, F.lit(-1)))
+    if generation:
+        own = own.unionByName(edge("message_index + 1 = n_messages", "assistant", span("generation_prompt", F.lit(generation)), F.col("n_messages") * PER_MESSAGE))
     own = own.where("length(span.text) > 0")
     index = F.row_number().over(Window.partitionBy("sample_id").orderBy("order")) - 1
     return own.select("sample_id", index.alias("span_index"), "message_index", F.col("span.span_class").alias("span_class"), "role", F.col("span.text").alias("text"), F.col("span.default_weight").alias("default_weight"))
 
 
-
 def _by_assistant() -> Column:
     return F.when(F.col("role") == "assistant", 1.0).otherwise(0.0)
 
 
-def olmo2_instruct(messages: DataFrame) -> DataFrame:
+def olmo2_instruct(messages: DataFrame, generation_prompt: bool = False) -> DataFrame:
     """Begin token; per message a role header, the untrimmed text, and an end."""
     last = F.col("message_index") + 1 == F.col("n_messages")
     assistant = F.col("role") == "assistant"
     end = F.when(assistant, F.concat(F.lit(BOS), F.when(last, "").otherwise("\n"))).otherwise("\n")
-    each = [_span("role_header", F.concat(F.lit("<|"), "role", F.lit("|>\n"))), _span("content", F.col("text"), _by_assistant()), _span("assistant_end", F.when(assistant, end).otherwise(""), 1.0), _span("turn_end", F.when(assistant, "").otherwise(end))]
-    return _spans(messages, each, _span("bos", F.lit(BOS)))
+    each = [span("role_header", F.concat(F.lit("<|"), "role", F.lit("|>\n"))), span("content", F.col("text"), _by_assistant()), span("assistant_end", F.when(assistant, end).otherwise(""), 1.0), span("turn_end", F.when(assistant, "").otherwise(end))]
+    return spans_of(messages, each, span("bos", F.lit(BOS)), "<|assistant|>\n" if generation_prompt else "")
 
 
-def qwen2_5_math(messages: DataFrame) -> DataFrame:
+def qwen2_5_math(messages: DataFrame, generation_prompt: bool = False) -> DataFrame:
     """A default system turn unless the sample brings one; the assistant's end marker carries weight, the line feed after it none."""
     assistant = F.col("role") == "assistant"
     each = [
-        _span("role_header", F.concat(F.lit(START), "role", F.lit("\n"))), _span("content", F.col("text"), _by_assistant()),
-        _span("assistant_end", F.when(assistant, END).otherwise(""), 1.0), _span("turn_end", F.when(assistant, "").otherwise(END)), _span("turn_end", F.lit("\n")),
+        span("role_header", F.concat(F.lit(START), "role", F.lit("\n"))), span("content", F.col("text"), _by_assistant()),
+        span("assistant_end", F.when(assistant, END).otherwise(""), 1.0), span("turn_end", F.when(assistant, "").otherwise(END)), span("turn_end", F.lit("\n")),
     ]
-    return _spans(messages, each, _span("template_control", F.when(F.col("role") != "system", MATH_SYSTEM).otherwise("")))
+    return spans_of(messages, each, span("template_control", F.when(F.col("role") != "system", MATH_SYSTEM).otherwise("")), START + "assistant\n" if generation_prompt else "")
 
 
-def qwen3_5(messages: DataFrame) -> DataFrame:
+def qwen3_5(messages: DataFrame, generation_prompt: bool = False, thinking: bool = False) -> DataFrame:
     """Plain chat: trimmed texts; after the last user query an assistant turn opens with an empty thinking block."""
     query = (F.col("role") == "user") & ~(strip(F.col("text")).startswith("<tool_response>") & strip(F.col("text")).endswith("</tool_response>"))
     last = F.max(F.when(query, F.col("message_index"))).over(Window.partitionBy("sample_id"))
@@ -77,10 +78,10 @@ def qwen3_5(messages: DataFrame) -> DataFrame:
     assistant = F.col("role") == "assistant"
     think = assistant & (F.col("message_index") > F.col("query"))
     each = [
-        _span("role_header", F.concat(F.lit(START), "role", F.lit("\n"))), _span("reasoning_control", F.when(think, THINK).otherwise("")), _span("reasoning_control", F.when(think, NO_THINK).otherwise("")),
-        _span("content", strip(F.col("text")), _by_assistant()), _span("assistant_end", F.when(assistant, END + "\n").otherwise(""), 1.0), _span("turn_end", F.when(assistant, "").otherwise(END + "\n")),
+        span("role_header", F.concat(F.lit(START), "role", F.lit("\n"))), span("reasoning_control", F.when(think, THINK).otherwise("")), span("reasoning_control", F.when(think, NO_THINK).otherwise("")),
+        span("content", strip(F.col("text")), _by_assistant()), span("assistant_end", F.when(assistant, END + "\n").otherwise(""), 1.0), span("turn_end", F.when(assistant, "").otherwise(END + "\n")),
     ]
-    return _spans(rows, each, None)
+    return spans_of(rows, each, None, START + "assistant\n" + THINK + ("" if thinking else NO_THINK) if generation_prompt else "")
 
 
 RENDERERS: dict[str, Callable[[DataFrame], DataFrame]] = {"olmo2_instruct": olmo2_instruct, "qwen2_5_math": qwen2_5_math, "qwen3_5_text": qwen3_5}
@@ -92,6 +93,19 @@ def get_renderer(name: str) -> Callable[[DataFrame], DataFrame]:
     return RENDERERS[name]
 
 
+#: Roles and kinds of parts that a template without tools can show.
+TEXT_ROLES, TEXT_PARTS = ("system", "user", "assistant"), ("text", "code")
+
+
+def text_template_errors(samples: DataFrame) -> DataFrame:
+    """sample_id, error of samples(sample_id, messages, tools) in the message model that the templates without tools would not show whole."""
+    roles = F.transform("messages", lambda m: m["role"])
+    kinds = F.flatten(F.transform("messages", lambda m: F.transform(m["parts"], lambda p: p["kind"])))
+    error = F.when(F.coalesce(F.size("tools"), F.lit(0)) > 0, "the template has no tool definitions").when(F.exists(roles, lambda r: ~r.isin(*TEXT_ROLES)), "the template has no such role")
+    error = error.when(F.exists(kinds, lambda k: ~k.isin(*TEXT_PARTS)), "the template shows text only")
+    return samples.select("sample_id", error.alias("error")).where("error is not null")
+
+
 def documents(spans: DataFrame) -> DataFrame:
     """sample_id, text: the rendered text of each sample."""
     parts = F.array_sort(F.collect_list(F.struct("span_index", "text")))

@@ -12,7 +12,7 @@ from convspan.operators import render
 #: A lossless tokenizer: runs of words and of white space.
 WORDS = r"[^ \t\n\r]+|[ \t\n\r]+"
 CHARACTERS = r"[\s\S]"
-FIELDS = ("role", "span_class", "message_index")
+FIELDS = ("role", "span_class", "message_index", "part_kind", "part_index", "call_id", "tool_name", "tags")
 
 
 def tokenize(documents: DataFrame, pattern: str = WORDS) -> DataFrame:
@@ -29,14 +29,29 @@ def tokenize(documents: DataFrame, pattern: str = WORDS) -> DataFrame:
 def align(tokens: DataFrame, spans: DataFrame, owner: str = "right") -> DataFrame:
     """Tokens with the span that owns them: of the spans they overlap the last (right) or the first (left).
 
-    A sample's spans follow each other without gaps, so that is the span with the token's last or first character. The join's keys are
-    the samples; a sample's tokens meet its spans only.
+    A sample's spans follow each other without gaps, so that is the span with the token's last or first character, and the last one
+    that begins at it or before: spans and tokens are put in one order, and each token takes the span before it. Fields that only
+    some spans have (FIELDS) come along.
     """
-    at = {"right": F.col("t.end") - 1, "left": F.col("t.start")}[owner]
-    s = render.ranges(spans).select("sample_id", "span_index", "message_index", "span_class", "role", "default_weight", "left", "right")
-    return tokens.alias("t").join(s.alias("s"), (F.col("t.sample_id") == F.col("s.sample_id")) & (F.col("s.left") <= at) & (at < F.col("s.right"))).select(
-        "t.*", "s.span_index", "s.message_index", "s.span_class", "s.role", "s.default_weight"
-    )
+    at = {"right": F.col("end") - 1, "left": F.col("start")}[owner]
+    more = [c for c in FIELDS if c in spans.columns and c not in ("role", "span_class", "message_index")]
+    own = F.struct("span_index", "message_index", "span_class", "role", "default_weight", *more)
+    starts = render.ranges(spans).where("right > left").select("sample_id", F.col("left").alias("__at"), own.alias("__span"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in tokens.schema) + ">").alias("__token"))
+    every = tokens.select("sample_id", at.cast("long").alias("__at"), F.lit(None).cast(starts.schema["__span"].dataType).alias("__span"), F.struct(*tokens.columns).alias("__token")).unionByName(starts)
+    order = Window.partitionBy("sample_id").orderBy("__at", F.col("__token").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("__span", F.last("__span", ignorenulls=True).over(order)).where("__token is not null and __span is not null")
+    return found.select("__token.*", "__span.*")
+
+
+def alignment_faults(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """sample_id, pos, fault of tokens that have no characters, lie outside their sample's text, or cross from one span into another."""
+    size = spans.groupBy("sample_id").agg(F.sum(F.length("text")).alias("size"))
+    t = tokens.join(size, "sample_id", "left")
+    sound = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.col("size"))
+    fault = F.when((F.col("start") < 0) | (F.col("end") > F.coalesce("size", F.lit(0))), "a token lies outside the text").when(F.col("end") <= F.col("start"), "a token has no characters")
+    left, right = (align(t.where(sound).select("sample_id", "pos", "start", "end"), spans, o).select("sample_id", "pos", F.col("span_index").alias(o)) for o in ("left", "right"))
+    crossing = left.join(right, ["sample_id", "pos"]).where("left <> right").select("sample_id", "pos", F.lit("a token crosses spans").alias("fault"))
+    return t.select("sample_id", "pos", fault.alias("fault")).where("fault is not null").unionByName(crossing)
 
 
 @dataclass(frozen=True)
@@ -46,6 +61,7 @@ class Rule:
     weight: float
     match: dict[str, object] = field(default_factory=dict)
     require_match: bool = False
+    name: str = ""
 
     def __post_init__(self) -> None:
         if not 0 <= self.weight < float("inf"):
@@ -56,10 +72,30 @@ class Rule:
     def matches(self) -> Column:
         found = F.lit(True)
         for name, value in self.match.items():
+            if name == "tags":  # a set of tags matches any of its members
+                found &= F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, value if isinstance(value, (list, tuple)) else [value]))), F.lit(False))
+                continue
             found &= F.coalesce(F.col(name).isin(*value), F.lit(False)) if isinstance(value, (list, tuple)) else F.col(name).eqNullSafe(F.lit(value))
         return found
 
 
+def rules_of(config: dict) -> tuple[tuple[Rule, ...], str]:
+    """(rules, conflict mode) of an objective's configuration; unknown keys are errors."""
+    if unknown := set(config) - {"conflict_mode", "rules"}:
+        raise ValueError(f"the objective has unknown keys {sorted(unknown)}")
+    conflict = config.get("conflict_mode", "last_match")
+    if conflict not in ("last_match", "multiply", "error"):
+        raise ValueError(f"unknown conflict mode {conflict!r}")
+    found = []
+    for k, raw in enumerate(config.get("rules", ())):
+        if not isinstance(raw, dict) or "weight" not in raw:
+            raise ValueError(f"rule {k} has to be a mapping with a weight")
+        if unknown := set(raw) - {"name", "select", "weight", "require_match"}:
+            raise ValueError(f"rule {k} has unknown keys {sorted(unknown)}")
+        found.append(Rule(float(raw["weight"]), dict(raw.get("select", {})), bool(raw.get("require_match", False)), str(raw.get("name", f"rule_{k}"))))
+    return tuple(found), conflict
+
+
 #: The rules of the registered queries.
 DEFAULT_RULES = (Rule(0.0), Rule(1.0, {"role": "assistant", "span_class": "content"}, require_match=True), Rule(0.5, {"role": "assistant", "span_class": ["assistant_end", "role_header"]}))
 OVERLAPPING_RULES = (Rule(2.0, {"role": "assistant"}), Rule(0.5, {"span_class": "content"}))
@@ -71,7 +107,7 @@ def weigh(aligned: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, conflict:
     last_match takes the last matching rule's weight, multiply the default weight times all of theirs, error the only one's: there a
     token that several rules match has a null weight. Without a match the default weight stays.
     """
-    numbers = F.filter(F.array(*[F.when(r.matches(), F.lit(k)) for k, r in enumerate(rules)]), lambda x: x.isNotNull())
+    numbers = F.filter(F.array(*[F.when(r.matches(), F.lit(k)) for k, r in enumerate(rules)]).cast("array<int>"), lambda x: x.isNotNull())
     if conflict == "multiply":
         weight = F.col("default_weight")
         for r in rules:

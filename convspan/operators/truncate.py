@@ -66,27 +66,104 @@ def message_blocks(weighed: DataFrame) -> DataFrame:
     )
 
 
-def semantic_loss_aware(weighed: DataFrame, length: int) -> DataFrame:
-    """sample_id, start, stop, first_block, last_block, score of the best run of whole messages within length; null if there is none.
-
-    Ties go to the latest weighted token, the greatest context, the longest run, the earliest start. Runs without weight after their
-    first token are skipped if the sample has any weight. A sample's blocks meet each other only within the length.
+def ownership_faults(weighed: DataFrame) -> DataFrame:
+    """sample_id, fault of samples in which a message owns two runs of tokens, or messages are out of order, or none owns any."""
+    by = Window.partitionBy("sample_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = weighed.withColumn("most", F.max("message_index").over(by))
+    seen = rows.groupBy("sample_id").agg(F.count("message_index").alias("owned"), F.count_if(F.col("message_index") < F.col("most")).alias("back"))
+    fault = F.when(F.col("owned") == 0, "no message owns a token").when(F.col("back") > 0, "a message does not own one run of tokens in order")
+    return seen.select("sample_id", fault.alias("fault")).where("fault is not null")
+
+
+def semantic_loss_aware(weighed: DataFrame, length: int, units: DataFrame | None = None, min_context: int = 0) -> DataFrame:
+    """The best run of whole units within length: sample_id, start, stop, first_block, last_block, score, context, relaxed, n_units, kept_units,
+    n_exchanges, kept_exchanges; start to score null if there is none.
+
+    A unit is a message, or what units(sample_id, message_index, unit, tool_exchange) puts together; its messages follow each other.
+    Samples that units lacks are left out. Ties go to the latest weighted token, the greatest context, the longest run, the earliest
+    start. Runs without weight after their first token are skipped if the sample has any weight; runs with less than min_context
+    tokens before their first weighted one count only if there is no other (relaxed). If tokens that no message owns are of the class
+    tool_preamble or tool_definition, a run that leaves out the first unit, and so them, holds no tool exchange.
+
+    As weights are not negative, of the runs from one start only the longest can be best. Where it ends, and the sums up to there, are
+    windows over the starts in reach, so a sample costs a sort and no unit meets another.
     """
     blocks = message_blocks(weighed)
-    b = blocks.withColumn("before", F.coalesce(F.sum("weight").over(Window.partitionBy("sample_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    b = b.withColumn("through", F.max("last").over(Window.partitionBy("sample_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("onward", F.min("first").over(Window.partitionBy("sample_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)))
-    # A sample's blocks, as many as its messages, are gathered into one array, and runs come from it; no row meets another sample's.
-    b = b.withColumn("weighted", F.sum("weight").over(Window.partitionBy("sample_id")) > 0)
-    one = b.groupBy("sample_id", "weighted").agg(F.array_sort(F.collect_list(F.struct("block", "start", "stop", "weight", "head", "second", "before", "through", "onward"))).alias("blocks"))
-    one = one.select("sample_id", "weighted", "blocks", F.posexplode("blocks").alias("at", "i"))
-    reach = F.filter(F.slice("blocks", F.col("at") + 1, F.size("blocks")), lambda j: j["stop"] - F.col("i.start") <= length)
-    runs = one.select("sample_id", "weighted", "i", F.explode_outer(reach).alias("j"))
-    score = F.col("j.before") + F.col("j.weight") - F.col("i.before") - F.col("i.head")
-    runs = runs.select(
-        "sample_id", "weighted", F.col("i.start").alias("start"), F.col("j.stop").alias("stop"), F.col("i.block").alias("first_block"), F.col("j.block").alias("last_block"), score.alias("score"),
-        F.when(score > 0, F.col("j.through")).otherwise(-1).alias("latest"), F.when(score > 0, F.coalesce("i.second", "i.onward") - F.col("i.start")).otherwise(0).alias("context"),
-    ).withColumn("fits", F.col("stop").isNotNull() & (~F.col("weighted") | (F.col("score") > 0)))
-    best = Window.partitionBy("sample_id").orderBy(F.desc("fits"), F.desc("score"), F.desc("latest"), F.desc("context"), F.desc(F.col("stop") - F.col("start")), "start")
-    picked = runs.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    return picked.select("sample_id", *[F.when(F.col("fits"), F.col(c)).alias(c) for c in ("start", "stop", "first_block", "last_block", "score")])
+    if units is None:
+        blocks = blocks.withColumns({"unit": F.col("block"), "tool_exchange": F.lit(False)})
+    else:
+        blocks = blocks.join(units.select("sample_id", F.col("message_index").alias("block"), "unit", "tool_exchange"), ["sample_id", "block"])
+    first = lambda c: F.min_by(c, "start")
+    b = blocks.groupBy("sample_id", "unit").agg(
+        F.min("block").alias("low"), F.max("block").alias("high"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("weight").alias("weight"), first("head").alias("head"),
+        F.max("last").alias("last"), F.min("first").alias("first"), F.min(F.struct("start", "second", "first")).alias("lead"), F.array_sort(F.collect_list("first")).alias("firsts"), F.max("tool_exchange").alias("tool_exchange"),
+    )
+    # The first weighted token after the unit's own first token.
+    b = b.withColumn("second", F.coalesce(F.col("lead.second"), F.get(F.filter("firsts", lambda x: x > F.col("start")), F.lit(0))))
+    if "span_class" in weighed.columns:
+        ahead = weighed.where(F.col("message_index").isNull() & F.col("span_class").isin("tool_preamble", "tool_definition")).select("sample_id", F.lit(True).alias("preamble")).distinct()
+        b = b.join(ahead, "sample_id", "left").withColumn("preamble", F.coalesce("preamble", F.lit(False)))
+    else:
+        b = b.withColumn("preamble", F.lit(False))
+    every = Window.partitionBy("sample_id")
+    order = every.orderBy("start")
+    b = b.withColumns({
+        "before": F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "latest_before": F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)),
+        "onward": F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)), "number": F.row_number().over(order), "exchanges_before": F.count_if("tool_exchange").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tool_exchange").cast("int"),
+        "total": F.sum("weight").over(every), "latest": F.coalesce(F.max("last").over(every), F.lit(-1)), "n_tokens": F.max("stop").over(every), "n_units": F.count(F.lit(1)).over(every), "n_exchanges": F.count_if("tool_exchange").over(every), "last_block": F.max("high").over(every),
+    })
+    # What a run has if it ends where a unit starts; a run to the end has the sample's own.
+    edge = ("start", "before", "latest_before", "number", "exchanges_before", "low_before")
+    b = b.withColumn("low_before", F.lag("high").over(order))
+    here = F.struct(*edge)
+    reach = F.max(here).over(order.rangeBetween(0, length))
+    to_exchange = F.min(F.when(F.col("tool_exchange"), here)).over(order.rowsBetween(0, Window.unboundedFollowing))
+    end = F.struct(F.col("n_tokens").alias("start"), F.col("total").alias("before"), F.col("latest").alias("latest_before"), (F.col("n_units") + 1).alias("number"), F.col("n_exchanges").alias("exchanges_before"), F.col("last_block").alias("low_before"))
+    b = b.withColumn("to", F.when(F.col("n_tokens") <= F.col("start") + length, end).otherwise(reach))
+    b = b.withColumn("exchange", to_exchange)
+    b = b.withColumn("to", F.when(F.col("preamble") & (F.col("number") > 1) & (F.col("exchange.start") < F.col("to.start")), F.col("exchange")).otherwise(F.col("to")))
+    target = F.coalesce("second", "onward")
+    b = b.withColumns({"score": F.col("to.before") - F.col("before") - F.col("head"), "context": F.when(target < F.col("to.start"), target - F.col("start")).otherwise(0)})
+    b = b.withColumn("fits", (F.col("to.start") > F.col("start")) & ((F.col("total") <= 0) | ((F.col("score") > 0) & (target < F.col("to.start")))))
+    b = b.withColumns({"far": F.when(F.col("to.latest_before") > F.col("start"), F.col("to.latest_before")).otherwise(-1), "enough": F.col("context") >= min_context})
+    best = every.orderBy(F.desc("fits"), F.desc("enough"), F.desc("score"), F.desc("far"), F.desc("context"), F.desc(F.col("to.start") - F.col("start")), "start")
+    picked = b.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    kept = {"start": F.col("start"), "stop": F.col("to.start"), "first_block": F.col("low"), "last_block": F.col("to.low_before"), "score": F.col("score"), "context": F.col("context"), "relaxed": ~F.col("enough"), "kept_units": F.col("to.number") - F.col("number"), "kept_exchanges": F.col("to.exchanges_before") - F.col("exchanges_before")}
+    return picked.select("sample_id", "n_tokens", "n_units", "n_exchanges", *[F.when(F.col("fits"), c).alias(n) for n, c in kept.items()])
+
+
+def records(weighed: DataFrame, windows: DataFrame, policy: str, length: int, min_context: int = 0) -> DataFrame:
+    """A row for each sample longer than length with the window that a truncation left of it: what it had, what it keeps.
+
+    windows is what plain, loss_aware or semantic_loss_aware gives. Message lists and counts of units are those of whole messages,
+    and empty unless the policy keeps such.
+    """
+    semantic = "kept_units" in windows.columns
+    w = windows.where("stop > start")
+    w = w.select("sample_id", F.col("start").alias("from"), F.col("stop").alias("to"), *[F.col(c) if c in w.columns else F.lit(d).alias(c) for c, d in (("context", 0), ("relaxed", False), ("n_units", 0), ("kept_units", 0), ("n_exchanges", 0), ("kept_exchanges", 0))])
+    inside = (F.col("pos") >= F.col("from")) & (F.col("pos") < F.col("to"))
+    counted = inside & (F.col("pos") > F.col("from"))
+    rows = weighed.join(w, "sample_id").groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("original_length"), *[F.first(c).alias(c) for c in w.columns[1:]], F.count_if(F.col("weight") > 0).alias("original_selected"), F.count_if(counted & (F.col("weight") > 0)).alias("retained_selected"),
+        F.sum("weight").alias("original_weight"), F.coalesce(F.sum(F.when(counted, F.col("weight"))), F.lit(0.0)).alias("retained_weight"),
+        F.array_sort(F.collect_set("message_index")).alias("messages"), F.array_sort(F.collect_set(F.when(inside, F.col("message_index")))).alias("kept"),
+    ).where(F.col("original_length") > length)
+    none = F.array().cast("array<int>")
+    return rows.select(
+        "sample_id", F.lit(policy).alias("policy"), "original_length", F.col("from").alias("start"), F.col("to").alias("stop"), "original_selected", "retained_selected", "original_weight", "retained_weight",
+        F.lit(min_context).alias("minimum_context"), F.col("context").alias("retained_context"), (~F.col("relaxed")).alias("context_satisfied"),
+        *[(c if semantic else none).alias(n) for n, c in (("original_messages", F.col("messages")), ("retained_messages", F.col("kept")), ("dropped_messages", F.array_except("messages", "kept")))],
+        F.col("n_units").alias("original_units"), F.col("kept_units").alias("retained_units"), F.col("n_exchanges").alias("original_exchanges"), F.col("kept_exchanges").alias("retained_exchanges"),
+    )
+
+
+def record_faults(found: DataFrame) -> DataFrame:
+    """sample_id, fault of truncation records that contradict themselves."""
+    fault = F.when((F.col("start") < 0) | (F.col("start") >= F.col("stop")) | (F.col("stop") > F.col("original_length")), "no window of the sample").when(F.col("retained_selected") > F.col("original_selected"), "selected tokens were added")
+    fault = fault.when(F.col("retained_weight") > F.col("original_weight") + 1e-12, "weight was added").when((F.col("minimum_context") < 0) | (F.col("retained_context") < 0), "a context is negative")
+    fault = fault.when(F.col("context_satisfied") & (F.col("retained_context") < F.col("minimum_context")), "the context is below its minimum")
+    semantic = F.col("policy") == "semantic_loss_aware"
+    joined = F.array_sort(F.concat("retained_messages", "dropped_messages"))
+    fault = fault.when(semantic & (joined != F.array_sort("original_messages")), "kept and dropped messages are not all messages once").when(F.col("retained_units") > F.col("original_units"), "units were added").when(F.col("retained_exchanges") > F.col("original_exchanges"), "tool exchanges were added")
+    fault = fault.when(~semantic & ((F.size("original_messages") > 0) | (F.col("original_units") > 0)), "only semantic truncation keeps messages")
+    return found.select("sample_id", fault.alias("fault")).where("fault is not null")
