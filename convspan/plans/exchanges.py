@@ -138,40 +138,33 @@ def truncation_records(spark, sf_dir):
     )
 
 
-def _classified(spark, sf_dir, policy: str) -> DataFrame:
-    """Rows of the exchanges under a policy; samples of a multiple of 13 have a role that no adapter knows."""
-    messages, w = tool_messages(spark, sf_dir), _tool_tokens(spark, sf_dir)
-    rows = messages.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("role") == "assistant").alias("answers"))
-    rows = rows.withColumns({"reason": F.when(F.col("sample_id") % 13 == 0, "unknown message role"), "missing_match": F.col("answers") == 0})
-    if policy == "semantic_loss_aware":
-        windows = _tool_windows(spark, sf_dir)
-        rows = rows.join(windows.select("sample_id", "start", "stop", "n_tokens", "relaxed", "kept_exchanges", F.col("kept_units").isNotNull().alias("found")), "sample_id", "left")
-        rows = rows.withColumns({"semantic_rejected": F.col("found").isNull() | ((F.col("n_tokens") > LENGTH) & ~F.col("found")), "length_rejected": F.lit(False)})
-        # Windows are of samples that are too long; others stay whole.
-        rows = rows.withColumns({"start": F.when(F.col("n_tokens") > LENGTH, F.col("start")).otherwise(0), "stop": F.when(F.col("n_tokens") > LENGTH, F.col("stop")).otherwise(F.col("n_tokens"))})
-    else:
-        windows = truncate.plain(w, LENGTH, policy)
-        rows = rows.join(windows.select("sample_id", "start", "stop", "n_tokens"), "sample_id", "left").withColumns({"semantic_rejected": F.lit(False), "length_rejected": F.lit(policy == "reject") & (F.col("stop") == 0), "relaxed": F.lit(False), "kept_exchanges": F.lit(0)})
-    bounds = rows.select("sample_id", F.col("start").alias("from"), F.col("stop").alias("to"))
-    inside = (F.col("pos") > F.col("from")) & (F.col("pos") < F.col("to"))
-    kept = w.join(bounds, "sample_id").groupBy("sample_id").agg(
-        F.count_if(F.col("weight") > 0).alias("all_selected"), F.count_if(inside & (F.col("weight") > 0)).alias("selected"), F.sum("weight").alias("all_weight"), F.coalesce(F.sum(F.when(inside, F.col("weight"))), F.lit(0.0)).alias("kept_weight"),
-        F.count_distinct("message_index").alias("all_messages"), F.count_distinct(F.when((F.col("pos") >= F.col("from")) & (F.col("pos") < F.col("to")), F.col("message_index"))).alias("kept_messages"),
-    )
-    rows = rows.join(kept, "sample_id").withColumns({"policy": F.lit(policy), "truncated": F.col("n_tokens") > LENGTH, "kept_tokens": F.col("stop") - F.col("start")})
-    return classify.classify(rows)
-
-
 POLICIES = ("reject", "right", "semantic_loss_aware")
 
 
 def _policies(spark, sf_dir) -> DataFrame:
-    every = [_classified(spark, sf_dir, p) for p in POLICIES]
-    columns = ["sample_id", "policy", "reason", "class", "truncated", "n_tokens", "kept_tokens", "relaxed", "kept_exchanges", "all_selected", "selected", "all_weight", "kept_weight", "all_messages", "kept_messages"]
-    found = every[0].select(columns)
-    for f in every[1:]:
-        found = found.unionByName(f.select(columns))
-    return found
+    """Every sample under every policy, with class and what it keeps.
+
+    Samples of a multiple of 13 have a role that no adapter knows; under "right" a rule is required that matches system messages only.
+    """
+    messages, w = tool_messages(spark, sf_dir), _tool_tokens(spark, sf_dir)
+    found = _tool_windows(spark, sf_dir).select("sample_id", F.col("start").alias("s"), F.col("stop").alias("e"), "relaxed", "kept_exchanges", F.lit(True).alias("sound"))
+    rows = truncate.plain(w, LENGTH, "right").select("sample_id", "n_tokens").join(found, "sample_id", "left")
+    rows = rows.join(messages.groupBy("sample_id").agg(F.count_if(F.col("role") == "system").alias("systems")), "sample_id")
+    rows = rows.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("truncated", F.col("n_tokens") > LENGTH)
+    is_ = {p: F.col("policy") == p for p in POLICIES}
+    whole = is_["semantic_loss_aware"] & F.col("truncated")
+    rows = rows.withColumns({
+        "from": F.when(whole, F.col("s")).otherwise(0), "to": F.when(whole, F.col("e")).when(is_["right"], F.least("n_tokens", F.lit(LENGTH))).when(is_["reject"] & F.col("truncated"), 0).otherwise(F.col("n_tokens")),
+        "reason": F.when(F.col("sample_id") % 13 == 0, "unknown message role"), "missing_match": is_["right"] & (F.col("systems") == 0), "length_rejected": is_["reject"] & F.col("truncated"),
+        "semantic_rejected": is_["semantic_loss_aware"] & (F.col("sound").isNull() | F.col("truncated") & F.col("s").isNull()), "relaxed": whole & F.coalesce("relaxed", F.lit(False)), "kept_exchanges": F.when(whole, F.coalesce("kept_exchanges", F.lit(0))).otherwise(0),
+    })
+    inside = (F.col("pos") >= F.col("from")) & (F.col("pos") < F.col("to"))
+    counted = inside & (F.col("pos") > F.col("from")) & (F.col("weight") > 0)
+    kept = w.join(rows.select("sample_id", "policy", "from", "to"), "sample_id").groupBy("sample_id", "policy").agg(
+        F.count_if(F.col("weight") > 0).alias("all_selected"), F.count_if(counted).alias("selected"), F.sum("weight").alias("all_weight"), F.coalesce(F.sum(F.when(counted, F.col("weight"))), F.lit(0.0)).alias("kept_weight"),
+        F.count_distinct("message_index").alias("all_messages"), F.count_distinct(F.when(inside, F.col("message_index"))).alias("kept_messages"),
+    )
+    return classify.classify(rows.join(kept, ["sample_id", "policy"]).withColumn("kept_tokens", F.col("to") - F.col("from")))
 
 
 def classify_policies(spark, sf_dir):
@@ -190,7 +183,7 @@ bounds AS (SELECT sample_id, 'reject' AS policy, 0 AS s, CASE WHEN n_tokens <= 9
   UNION ALL SELECT f.sample_id, 'semantic_loss_aware', CASE WHEN f.n_tokens > 96 THEN start ELSE 0 END, CASE WHEN f.n_tokens > 96 THEN stop ELSE f.n_tokens END, w.sample_id IS NULL OR (f.n_tokens > 96 AND start IS NULL), false, relaxed, kept_exchanges FROM facts f LEFT JOIN wins w USING (sample_id)),
 kept AS (SELECT b.policy, b.sample_id, any_value(b.s) AS s, any_value(b.e) AS e, any_value(semantic) AS semantic, any_value(length) AS length, any_value(relaxed) AS relaxed, any_value(kept_exchanges) AS kept_exchanges, count(*) FILTER (pos > s AND pos < e AND weight > 0) AS selected, coalesce(sum(weight) FILTER (pos > s AND pos < e), 0) AS kept_weight,
   count(DISTINCT i) FILTER (pos >= s AND pos < e) AS kept_messages FROM bounds b JOIN tw USING (sample_id) GROUP BY 1, 2),
-cls AS (SELECT kept.*, n_tokens, all_selected, all_weight, all_messages, CASE WHEN sample_id % 13 = 0 THEN 'adapter_error' WHEN NOT EXISTS (SELECT 1 FROM tm WHERE tm.sample_id = kept.sample_id AND role = 'assistant') THEN 'fatal' WHEN semantic THEN 'semantic_rejection' WHEN length THEN 'length_rejection' WHEN selected = 0 THEN 'zero_objective' ELSE 'emitted' END AS class FROM kept JOIN facts USING (sample_id))"""
+cls AS (SELECT kept.*, n_tokens, all_selected, all_weight, all_messages, CASE WHEN sample_id % 13 = 0 THEN 'adapter_error' WHEN policy = 'right' AND NOT EXISTS (SELECT 1 FROM tm WHERE tm.sample_id = kept.sample_id AND role = 'system') THEN 'fatal' WHEN semantic THEN 'semantic_rejection' WHEN length THEN 'length_rejection' WHEN selected = 0 THEN 'zero_objective' ELSE 'emitted' END AS class FROM kept JOIN facts USING (sample_id))"""
 CUT = "n_tokens > 96 AND class IN ('zero_objective', 'emitted')"
 
 
