@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,33 @@ def read_tape(spark, path: str) -> DataFrame:
     """A tape whose rows still have their digests; reading a changed row fails."""
     rows = spark.read.parquet(path)
     return rows.where(F.assert_true(F.col("digest") == row_digest(), F.lit("a tape row differs from its digest")).isNull()).drop("digest")
+
+
+def flat_index(accumulation: int, processes: int, devices: int, examples: int) -> Column:
+    """A row's number from its step, accumulation, process, device and example: the inverse of index_columns."""
+    e, d, p = examples, examples * devices, examples * devices * processes
+    return F.col("step") * (p * accumulation) + F.col("accumulation") * p + F.col("process") * d + F.col("device") * e + F.col("example")
+
+
+def manifest(tape: DataFrame) -> DataFrame:
+    """step, rows, identity of each step of a tape: the hash of its rows' digests in the order of their items, one row a step."""
+    listed = F.array_sort(F.collect_list(F.struct("item", row_digest().alias("digest"))))
+    return tape.groupBy("step").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), ","), 256).alias("identity"))
+
+
+def audit(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """step, item, fault of rows that a tape lacks, has beyond another, has twice, or has with other arrays."""
+    own = lambda t, name: t.groupBy("step", "item").agg(F.min(row_digest()).alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
+    both = own(expected, "wanted").join(own(found, "present"), ["step", "item"], "full_outer")
+    fault = F.when(F.col("present").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("present_rows") > 1, "twice").when(F.col("present") != F.col("wanted"), "changed")
+    return both.select("step", "item", fault.alias("fault")).where("fault is not null")
+
+
+def synthetic(spark: SparkSession, rows: int, length: int, vocabulary: int, seed: int) -> DataFrame:
+    """item, input_ids, attention_mask, loss_weights of rows of made-up tokens; the last half of each carries weight."""
+    token = lambda p: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), p.cast("string")), 256), 1, 8), 16, 10).cast("long") % vocabulary
+    places = F.sequence(F.lit(0), F.lit(length - 1))
+    return spark.range(rows).select(
+        F.col("id").alias("item"), F.transform(places, lambda p: token(p).cast("int")).alias("input_ids"), F.transform(places, lambda p: F.lit(True)).alias("attention_mask"),
+        F.transform(places, lambda p: F.when(p >= length // 2, 1.0).otherwise(0.0).cast("float")).alias("loss_weights"),
+    )

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspan.operators import adapters, batch, classify, params, render, render_tools, stats, tokens, tool_units, truncate
-from convspan.plans import dialects, exchanges, oracle
+from convspan.plans import dialects, exchanges, oracle, tensors
 from convspan.sources import recipe, tables
+from convspan.streaming import cursor
 
 Query = Callable[[SparkSession, str], DataFrame]
 LENGTH, CONTEXT, SEED = 64, 8, 17
@@ -240,8 +241,21 @@ def tape_validation(spark, sf_dir):
 
 
 def resume_cursor(spark, sf_dir):
-    """What rank 1 of 4 sees after 3 rows of its first epoch."""
-    return _order(spark, sf_dir).where((batch.rank_of(F.col("position"), 4) == 1) & (F.col("position") >= 1 + 3 * 4)).select("sample_id", "position")
+    """What rank 1 of 4 sees after 3 rows of its first epoch, up to the epoch's end."""
+    samples = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id")).distinct()
+    size = samples.count()
+    left = max(-(-(size - 1) // 4) - 3, 0)
+    found = cursor.take(samples, cursor.Cursor(0, 3, 1, 4, SEED, "words"), left, size)
+    return found.select("sample_id", "position")
+
+
+def epoch_rollover(spark, sf_dir):
+    """What rank 1 of 4 takes next from 3 rows into its first epoch, as many rows as two epochs and a half have."""
+    samples = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id")).distinct()
+    size = samples.count()
+    per_epoch = max(-(-(size - 1) // 4), 1)
+    found = cursor.take(samples, cursor.Cursor(0, 3, 1, 4, SEED, "words"), per_epoch * 5 // 2, size)
+    return found.select(F.col("epoch").cast("long"), "sample_id", "position")
 
 
 def _explained(weighed: DataFrame) -> DataFrame:
@@ -361,9 +375,9 @@ def queries() -> dict[str, Query]:
     named = [
         adapt_messages_roles, adapt_ultrachat_reject, adapter_reason_counts, adapt_prompt_completion, adapt_sharegpt_alias, sample_id_fallback, render_span_inventory, span_ranges, alignment_left_vs_right, rule_match_counts,
         require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, render_qwen35_tools, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
-        resume_cursor, explain_tokens, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
+        resume_cursor, epoch_rollover, explain_tokens, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
     ]
-    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | dialects.queries() | {
+    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | dialects.queries() | tensors.queries() | {
         "render_olmo2_text": _text_query("olmo2_instruct"), "render_math_text": _text_query("qwen2_5_math"), "render_qwen35_text": _text_query("qwen3_5_text"),
         "tokens_char_owner": _owner_query(tokens.CHARACTERS), "tokens_regex_owner": _owner_query(tokens.WORDS),
         "weights_last_match": _weights_query("last_match", tokens.DEFAULT_RULES), "weights_multiply": _weights_query("multiply", tokens.OVERLAPPING_RULES), "weights_conflicts": _weights_query("error", tokens.OVERLAPPING_RULES),
@@ -372,4 +386,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | exchanges.SQL | dialects.SQL
+    return oracle.SQL | exchanges.SQL | dialects.SQL | tensors.SQL

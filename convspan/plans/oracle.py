@@ -115,6 +115,7 @@ SQL = {
   total AS (SELECT sample_id, sum(weight) AS weight FROM w GROUP BY 1),
   r AS (SELECT c.*, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, latest DESC, coalesce(earliest - start, 0) DESC, stop - start DESC, start) AS k FROM c JOIN total USING (sample_id) WHERE weight = 0 OR score > 0)
   SELECT total.sample_id, start, stop, first_block, last_block, CAST(score AS DOUBLE) AS score FROM total LEFT JOIN (SELECT * FROM r WHERE k = 1) r USING (sample_id)"""),
+    "tool_units_fixture": "SELECT * FROM (VALUES ('chained', 0, 0, 0, false, NULL), ('chained', 1, 1, 6, true, NULL), ('chained', 2, 7, 7, false, NULL), ('unknown', NULL, NULL, NULL, NULL, 'a result has an unknown id'), ('open', NULL, NULL, NULL, NULL, 'a tool exchange has no final answer'), ('outside', NULL, NULL, NULL, NULL, 'a tool call is outside an assistant message'), ('again', NULL, NULL, NULL, NULL, 'a call id is used again')) t(sample_id, unit, first_message, last_message, has_tool_call, reason)",
     "classify_rows": _with(CLASSES, "SELECT sample_id, class FROM classed"),
     "stream_counters": _with(CLASSES, "SELECT CAST(count(*) AS BIGINT) AS rows_seen, " + ", ".join(f"CAST(count(*) FILTER (class = '{c}') AS BIGINT) AS {c}" for c in ("adapter_error", "fatal", "semantic_rejection", "length_rejection", "zero_objective", "emitted")) + ", CAST(count(*) FILTER (n_tokens > 64 AND class IN ('zero_objective', 'emitted')) AS BIGINT) AS truncated_samples, CAST(coalesce(sum(n_tokens - (stop - start)) FILTER (n_tokens > 64 AND class IN ('zero_objective', 'emitted')), 0) AS BIGINT) AS tokens_dropped FROM classed"),
     "shuffle_rank_split": _with(ORDER, "SELECT sample_id, position, position % 4 AS rank FROM o"),
@@ -123,6 +124,7 @@ SQL = {
     "padded_batches": _with(PADDED, "SELECT sample_id, CAST(64 AS BIGINT) AS length, CAST(sum(token_id * (place + 1)) AS BIGINT) AS ids, CAST(count(*) AS BIGINT) AS real, CAST(sum(weight) AS DOUBLE) AS weight FROM inside GROUP BY 1"),
     "tape_validation": "SELECT DISTINCT conv_id AS item, 'a weight is negative or no number' AS fault FROM conversations WHERE conv_id % 4 = 1",
     "resume_cursor": _with(ORDER, "SELECT sample_id, position FROM o WHERE position % 4 = 1 AND position >= 13"),
+    "epoch_rollover": "WITH o AS (SELECT epoch, conv_id AS sample_id, row_number() OVER (PARTITION BY epoch ORDER BY sha256((17 + epoch) || ':' || conv_id), conv_id) - 1 AS position, count(*) OVER (PARTITION BY epoch) AS n FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT range AS epoch FROM range(4))), r AS (SELECT *, row_number() OVER (ORDER BY epoch, position) AS k, (n - 1 + 3) // 4 AS per FROM o WHERE position % 4 = 1) SELECT epoch, sample_id, position FROM r WHERE k > 3 AND k <= 3 + per * 5 // 2",
     "explain_tokens": _with(WEIGHED, f"SELECT pos, token, CAST(s AS BIGINT) AS start_char, e AS end_char, span_class, {ROLE}, CAST(weight AS DOUBLE) AS weight FROM w WHERE sample_id = 0"),
     "explain_all_tokens": _with(WEIGHED, f"SELECT sample_id, pos, token, CAST(s AS BIGINT) AS start_char, e AS end_char, span_class, {ROLE}, CAST(weight AS DOUBLE) AS weight FROM w"),
     "loss_statistics": _with(LOGITS, "SELECT round(sum(loss * weight), 3) AS numerator, sum(weight) AS denominator, sum(CASE WHEN list_position(x, list_max(x)) - 1 = target THEN weight ELSE 0 END) AS correct_weight, CAST(count(*) FILTER (weight > 0) AS BIGINT) AS token_count, round(sum(loss * weight) / greatest(sum(weight), 1e-12), 5) AS loss FROM loss"),

@@ -43,6 +43,8 @@ def take(samples: DataFrame, cursor: Cursor, rows: int, size: int) -> DataFrame:
     """
     per_epoch = -(-(size - cursor.rank) // cursor.world_size)
     found, epoch, skip = None, cursor.epoch, cursor.rows_in_epoch
+    if rows <= 0 or per_epoch <= 0:
+        return batch.shuffled(samples, cursor.seed, epoch).withColumn("epoch", F.lit(epoch)).limit(0)
     while rows > 0:
         here = min(rows, per_epoch - skip)
         first = cursor.rank + skip * cursor.world_size
