@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
 def _settled(edges: DataFrame) -> bool:
     """Whether every edge leads to a node that leads no further."""
     onward = edges.select(F.col("u").alias("v")).distinct()
-    return edges.join(onward, "v", "left_semi").isEmpty()
+    return edges.select("v").distinct().join(onward, "v", "left_semi").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:

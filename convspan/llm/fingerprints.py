@@ -27,6 +27,8 @@ QUANTILES = 256
 #: Cells for each shuffle partition.
 CELLS = 8
 LAST = (1 << 63) - 1
+#: From here on rows without a doc_id have their places.
+FIRST_NULL = 1 << 62
 
 
 def _cell(docs: DataFrame, cells: int) -> Column:
@@ -46,10 +48,12 @@ def _cell(docs: DataFrame, cells: int) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """cell, place, guest, doc_id, text, next_text of every row; a guest is a copy of the next cell's first row.
 
-    Rows are in the order of doc_id (null last), then text; the row after the last one is the first.
+    Rows are in the order of doc_id, then text; those without a doc_id come last, in the order of a hash of their texts, so that many
+    of them fall into many cells. The row after the last one is the first.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    last = F.lit(FIRST_NULL) + F.shiftrightunsigned(F.xxhash64("text"), 3)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("at", F.coalesce(F.col("doc_id").cast("long"), last))
     rows = rows.withColumn("cell", _cell(rows, CELLS * partitions(spark)))
     # One row per cell: at most 2 * CELLS * partitions and 16 bytes each, so the window over all and the broadcast are small.
     firsts = rows.groupBy("cell").agg(F.min("at").alias("at"))
@@ -91,8 +95,8 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 2) characters replaced by the first as many of the next row's. A text
     without words (null, empty, white space) has the empty fingerprint. Equal texts have equal fingerprints, repeated rows included;
-    the next of a repeated row is its repetition. A null doc_id comes after all others. Other columns are ignored; an empty table
-    gives an empty one.
+    the next of a repeated row is its repetition. Rows with a null doc_id come after all others, in the order of a hash of their
+    texts. Other columns are ignored; an empty table gives an empty one.
     """
     half = F.floor(F.length("text") / 2).cast("int")
     pairs = with_next(docs).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))

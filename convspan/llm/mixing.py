@@ -58,12 +58,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
     size is the number of words, taken the words of the row that the mix takes (repeats counted, at most cap times size), copies the
     nearest number of whole copies. A null or empty text has size 0 and is taken 0 times; a null source is a source of its own,
-    after all others; a null doc_id hashes as an empty id; repeated rows are rows of their own; an empty table gives an empty one.
+    after all others; a row with a null doc_id has the place of its text's hash; repeated rows are rows of their own; an empty table gives an empty one.
     Ties in the hash order fall to doc_id, then size, then keys, columns of docs that the rows bring along, after the others.
     Other columns are ignored. Runs on the same rows agree.
     """
     count = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
     sizes = docs.select("doc_id", "source", count.alias("size"), order.alias("order"), *keys)
     sizes = checkpointed(sizes.withColumn("slice", F.substring("order", 1, DIGITS)))
     # A key that a null source has too, for joins.
@@ -91,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 #: The same mix in DuckDB, with the closed form target / source_size in place of Newton's iterations.
 MIX_SQL = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
+    md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS ord FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM per),
 level AS (SELECT *, source_size * 3 AS most, sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspan.llm.common import BROADCAST_ROWS, checkpointed, join_hubs, small_arrow_batches, text_or_empty
+from convspan.llm.common import BROADCAST_ROWS, HUB_ROWS, checkpointed, join_hubs, small_arrow_batches, text_or_empty
 from convspan.llm.components import connected_components
 from convspan.llm.textarrays import STEP, chunks, digests, mix, utf8, windows, word_hashes, words
 
@@ -237,7 +237,11 @@ def find_components(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     # Two centres a bucket, each by one hash for all buckets, so that few different pairs arise.
     order = lambda seed: F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("order"), "rep"))
     centres = members.groupBy("bucket").agg(order(1).alias("one"), order(2).alias("two"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = checkpointed(members.join(centres.select("bucket", F.col("one.rep").alias("one"), F.col("two.rep").alias("two")), "bucket"))
+    centres = checkpointed(centres.select("bucket", F.col("one.rep").alias("one"), F.col("two.rep").alias("two"), "size"))
+    # Buckets of very many classes are told their centres by a broadcast, as their classes would all meet in one task.
+    large = F.broadcast(centres.where(F.col("size") > HUB_ROWS).drop("size"))
+    rest = members.join(large.select("bucket"), "bucket", "left_anti").join(centres.drop("size"), "bucket")
+    shared = checkpointed(members.join(large, "bucket").unionByName(rest))
     stars = shared.select("rep", F.explode(F.array("one", "two")).alias("centre")).where("rep <> centre")
     # A pair of two centres comes once; the centre, which may have very many others, is u.
     pairs = stars.groupBy(F.least("rep", "centre").alias("low"), F.greatest("rep", "centre").alias("high")).agg(F.min("centre").alias("u"))

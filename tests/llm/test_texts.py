@@ -303,3 +303,99 @@ def test_pipeline_keeps_rows_of_one_id_apart(spark):
         wanted[r[0], r[3], len((r[1] or "").split())] += n
     assert +copies == +wanted
 
+
+
+def test_votes_against_plain_words(real):
+    """Voters and votes by dictionaries of plain words; scores from them."""
+    texts = [r.text or "" for r in real.collect()] + ["", "Idiot idiot IDIOT", "Été x", "a1b2", "word " * 50_000]
+    import pyarrow as pa
+
+    from convspan.llm.textarrays import byte_sums
+
+    name = lambda x, n=0: int((byte_sums(np.frombuffer(x, np.uint8)).slices(np.array([0]), np.array([len(x)])) ^ np.uint64(n)).view(np.int64)[0])
+
+    def plain(text):
+        found = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()):
+            found.add(name(word))
+            found |= {name(word[:n], n) for n in toxicity.BEGINNINGS if len(word) > n}
+        return found
+
+    held = [plain(x) for x in texts]
+    counts = collections.Counter(f for x in held for f in x)
+    voters = np.sort(np.array([f for f, _ in counts.most_common(60)] + [1, 2], np.int64))
+    model = toxicity.Model(voters, np.linspace(-1, 1, len(voters) + len(toxicity.SEVERAL)), -0.3)
+    votes = model.votes(pa.array(texts))
+    for row, own in zip(votes, held, strict=True):
+        want = [v in own for v in voters.tolist()]
+        assert row.tolist() == want + [sum(want) >= n for n in toxicity.SEVERAL]
+    assert np.allclose(model.scores(pa.array(texts)), 1 / (1 + np.exp(-(votes @ model.weights + model.bias))))
+
+
+def test_mined_voters_against_plain_counts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    sample = toxicity._labelled(docs, labels, toxicity.LABELLED)
+    got = toxicity._mine(sample)
+    import pyarrow as pa
+
+    rows = [(r.text, r.toxic) for r in sample.collect()]
+    held, hit = collections.Counter(), collections.Counter()
+    for text, toxic in rows:
+        for f in {int(f) for _, _, _, found in toxicity._features(pa.array([text])) for f in found}:
+            held[f] += 1
+            hit[f] += toxic
+    share = sum(t for _, t in rows) / len(rows)
+    excess = {f: (hit[f] - n * share) / (n * share) ** 0.5 for f, n in held.items() if hit[f] >= toxicity.LEAST_ROWS and hit[f] * (1 - share) >= toxicity.LEAST_LIFT * share * (n - hit[f])}
+    want = sorted(excess, key=lambda f: (-excess[f], f))[: toxicity.VOTERS]
+    assert len(want) > 10 and len(set(want) ^ set(got.tolist())) <= 2  # ties of the excess may round either way
+
+
+def test_labels_agree_with_the_model_where_voters_are_sound():
+    """The label model finds mislabelled rows when voters have known, independent rates."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.2
+    votes = np.stack([np.where(truth, rng.random(4000) < 0.7, rng.random(4000) < 0.05) for _ in range(12)], axis=1)
+    label = truth ^ (rng.random(4000) < 0.05)
+    posterior = toxicity._label_model(votes, label)
+    assert ((posterior > 0.5) != truth).mean() < 0.01 < (label != truth).mean()
+
+
+def test_samples_against_a_plain_sampler(spark):
+    """Likenesses from fingerprints equal those of a sampler that keeps each sample's word and grid place."""
+    import math
+
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(w,) for w in words], "word string").withColumn("h", F.xxhash64("word"))
+    seeds = {r.word: (r.x, r.y) for r in known.select("word", F.array(*[F.xxhash64("h", F.lit(k)) for k in range(fingerprints.SAMPLES)]).alias("x"), F.array(*[F.xxhash64("h", F.lit(-1 - k)) for k in range(fingerprints.SAMPLES)]).alias("y")).collect()}
+
+    def sample(text, k):
+        best = []
+        for word, n in collections.Counter(text.split()).items():
+            x, y = (v[k] & (1 << 64) - 1 for v in seeds[word])
+            r = -math.log(((x >> 42) + 0.5) * ((x >> 21 & (1 << 21) - 1) + 0.5) * 2.0**-43)
+            b = ((x & (1 << 21) - 1) + 0.5) * 2.0**-21
+            c = -math.log(((y >> 32) + 0.5) * ((y & (1 << 32) - 1) + 0.5) * 2.0**-64)
+            place = math.floor(math.log(n) / r + b)
+            best.append((math.log(c) - r * (place - b + 1), word, place))
+        return min(best)[1:]
+
+    plain = [[sample(t, k) for k in range(fingerprints.SAMPLES)] for _, t in rows]
+    got = {r.doc_id: r.near_next for r in fingerprints.fingerprint_with_edits(frame).collect()}
+    for k in range(30):
+        want = sum(a == b for a, b in zip(plain[k], plain[(k + 1) % 30])) / fingerprints.SAMPLES
+        assert abs(got[k] - want) < 0.03
+    assert sum(abs(got[k] - sum(a == b for a, b in zip(plain[k], plain[(k + 1) % 30])) / fingerprints.SAMPLES) < 1e-9 for k in range(30)) >= 28
+
+
+def test_very_long_texts(spark):
+    """A text of a few MB beside short ones, for the operators that work text by text."""
+    long = "some words that go on " * 150_000
+    frame = spark.createDataFrame([(1, long), (2, "short"), (3, long), (None, long)], "doc_id long, text string").withColumn("source", F.lit("a"))
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_edits(frame).collect()}
+    assert got[1].fingerprint == got[3].fingerprint == got[None].fingerprint and got[1].n_chars == len(long)
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(len(toxicity.SEVERAL)), 0.0)
+    assert [r.score for r in toxicity.score_documents(frame, model).collect()] == [0.5] * 4
+    assert {r.size for r in mixing.mix_sources(frame).collect()} == {750_000, 1}
