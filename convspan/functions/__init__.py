@@ -1 +1 @@
-"""Functions of the engine."""
+"""Functions on columns that operators and sources share."""
