@@ -32,6 +32,11 @@ def clip(gradients: DataFrame, limit: float) -> DataFrame:
     return gradients.crossJoin(F.broadcast(global_norm(gradients))).withColumn("grad", F.col("grad") * scale).drop("norm")
 
 
+def adamw_init(weights: DataFrame) -> DataFrame:
+    """weights(path, ndim, i, j, value) with moments of zero."""
+    return weights.withColumns({"m": F.lit(0.0), "v": F.lit(0.0)})
+
+
 def adamw_step(state: DataFrame, step: int, rate: float, h: AdamW = AdamW()) -> DataFrame:
     """state(path, ndim, i, j, value, grad, m, v) after a step; only tensors of two dimensions or more decay."""
     moved = clip(state, h.max_grad_norm)

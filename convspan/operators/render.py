@@ -87,7 +87,12 @@ def qwen3_5(messages: DataFrame, generation_prompt: bool = False, thinking: bool
 RENDERERS: dict[str, Callable[[DataFrame], DataFrame]] = {"olmo2_instruct": olmo2_instruct, "qwen2_5_math": qwen2_5_math, "qwen3_5_text": qwen3_5}
 
 
+#: Short names of renderers.
+SHORT_NAMES = {"olmo2": "olmo2_instruct", "qwen2": "qwen2_5_math", "qwen3_5": "qwen3_5_text"}
+
+
 def get_renderer(name: str) -> Callable[[DataFrame], DataFrame]:
+    name = SHORT_NAMES.get(name, name)
     if name not in RENDERERS:
         raise KeyError(f"unknown renderer {name!r}; known: {sorted(RENDERERS)}")
     return RENDERERS[name]

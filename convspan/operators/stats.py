@@ -28,6 +28,21 @@ def loss_statistics(rows: DataFrame) -> DataFrame:
     )
 
 
+def causal(rows: DataFrame) -> DataFrame:
+    """rows(sample_id, pos, logits, token, weight) as rows of loss_statistics: each place's target and weight are the next place's."""
+    order = Window.partitionBy("sample_id").orderBy("pos")
+    return rows.select("sample_id", "pos", "logits", F.lead("token").over(order).alias("target"), F.lead("weight").over(order).alias("weight")).where("target is not null")
+
+
+def error_report(errors: DataFrame) -> DataFrame:
+    """One row: paired and unpaired steps, greatest and mean errors, and the step of the greatest relative one, of compare_trajectories."""
+    paired = lambda c: F.when(F.col("paired"), F.col(c))
+    return errors.agg(
+        F.count_if("paired").alias("paired_steps"), F.count_if(~F.col("paired")).alias("unpaired_steps"), F.max(paired("abs_error")).alias("most_abs"), F.avg(paired("abs_error")).alias("mean_abs"), F.max(paired("rel_error")).alias("most_rel"),
+        F.avg(paired("rel_error")).alias("mean_rel"), F.max_by("step", F.struct(paired("rel_error").alias("e"), -F.col("step"))).alias("worst_step"),
+    )
+
+
 def cosine_rate(step: Column, peak: float, total: int, warmup: int, least: float = 0.1) -> Column:
     """Linear warm-up to peak, then half a cosine down to least * peak."""
     if not 0 <= warmup < total:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convspan.operators import batch, low_rank
+from convspan.operators import batch, low_rank, params, stats
 from convspan.sources import tables
 
 RANK, SEED = 4, 23
@@ -108,8 +108,31 @@ def key_audit(spark, sf_dir):
     return tell(d.intersect(l), "both").unionByName(tell(d.exceptAll(l), "documents only")).unionByName(tell(l.exceptAll(d), "labels only"))
 
 
+def loss_statistics_causal(spark, sf_dir):
+    """Vectors as logits of samples of ten places: each place tells the next one's label."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    rows = e.select(F.floor(F.col("vec_id") / 10).alias("sample_id"), (F.col("vec_id") % 10).alias("pos"), F.col("embedding").alias("logits"), F.col("label").alias("token"), (F.col("vec_id") % 4).cast("double").alias("weight"))
+    s = stats.loss_statistics(stats.causal(rows))
+    return s.select(F.round("numerator", 3).alias("numerator"), "denominator", "correct_weight", "token_count")
+
+
+def trajectory_report(spark, sf_dir):
+    """Errors between the daily sums of even and odd events."""
+    e = tables.table(spark, sf_dir, "events").withColumn("step", F.floor(F.unix_timestamp("ts") / 86400).cast("long"))
+    daily = lambda side: e.where(F.col("event_id") % 2 == side).groupBy("step").agg(F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("value"))
+    found = stats.error_report(stats.compare_trajectories(daily(0), daily(1)))
+    return found.select("paired_steps", "unpaired_steps", *[F.round(c, 4).alias(c) for c in ("most_abs", "mean_abs", "most_rel", "mean_rel")], "worst_step")
+
+
+def adamw_first_step(spark, sf_dir):
+    """The first step from moments of zero."""
+    weights = _rows(spark, sf_dir).withColumns({"ndim": F.lit(2), "grad": F.col("value") * 0.25})
+    moved = params.adamw_step(params.adamw_init(weights), 1, 0.1)
+    return moved.groupBy("path").agg(F.round(F.sum("value"), 4).alias("value"), F.round(F.sum("m"), 5).alias("m"), F.round(F.sum("v"), 7).alias("v"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (lora_init, lora_faults, lora_linear, parameter_names, dtype_histogram, synthetic_batches, tape_audit, tape_identities, flatten_batch, source_report, key_audit)}
+    return {f.__name__: f for f in (lora_init, lora_faults, lora_linear, parameter_names, dtype_histogram, synthetic_batches, tape_audit, tape_identities, flatten_batch, source_report, key_audit, loss_statistics_causal, trajectory_report, adamw_first_step)}
 
 
 SHAPES = "s AS (SELECT 'layers[' || label || '].attention.kernel' AS path, label, count(*) + 4 AS n_in, label % 5 + 4 AS n_out FROM embeddings GROUP BY label)"
@@ -125,6 +148,9 @@ SQL = {
     "tape_audit": "WITH i AS (SELECT range AS item FROM range(512)), f AS (SELECT item, 'missing' AS fault FROM i WHERE item % 16 IN (1, 2) UNION ALL SELECT item + 10000, 'unexpected' FROM i WHERE item % 16 = 2 UNION ALL SELECT item, 'changed' FROM i WHERE item % 16 = 3 UNION ALL SELECT item, 'twice' FROM i WHERE item % 16 = 4) SELECT fault, CAST(count(*) AS BIGINT) AS rows, CAST(sum(item) AS BIGINT) AS items FROM f GROUP BY 1",
     "tape_identities": "SELECT range AS step, CAST(32 AS BIGINT) AS rows, CAST(1 AS BIGINT) AS identities FROM range(32)",
     "flatten_batch": "WITH o AS (SELECT conv_id AS sample_id, row_number() OVER (ORDER BY sha256('17:' || conv_id), conv_id) - 1 AS position FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT sample_id, position AS flat, position FROM o",
+    "loss_statistics_causal": "WITH l AS (SELECT vec_id // 10 AS s, CAST(embedding AS DOUBLE[]) AS x, lead(label) OVER w AS target, CAST(lead(vec_id % 4) OVER w AS DOUBLE) AS weight FROM embeddings WINDOW w AS (PARTITION BY vec_id // 10 ORDER BY vec_id)), loss AS (SELECT *, ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[target + 1] AS loss FROM l WHERE target IS NOT NULL) SELECT round(sum(loss * weight), 3) AS numerator, sum(weight) AS denominator, sum(CASE WHEN list_position(x, list_max(x)) - 1 = target THEN weight ELSE 0 END) AS correct_weight, CAST(count(*) FILTER (weight > 0) AS BIGINT) AS token_count FROM loss",
+    "trajectory_report": "WITH d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS step, event_id % 2 AS side, CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) AS value FROM events GROUP BY 1, 2), e AS (SELECT coalesce(a.step, b.step) AS step, abs(a.value - b.value) AS ab, abs(a.value - b.value) / greatest(abs(b.value), 1e-12) AS re FROM (SELECT * FROM d WHERE side = 0) a FULL JOIN (SELECT * FROM d WHERE side = 1) b ON a.step = b.step) SELECT CAST(count(ab) AS BIGINT) AS paired_steps, CAST(count(*) - count(ab) AS BIGINT) AS unpaired_steps, round(max(ab), 4) AS most_abs, round(avg(ab), 4) AS mean_abs, round(max(re), 4) AS most_rel, round(avg(re), 4) AS mean_rel, (SELECT step FROM e ORDER BY re DESC NULLS LAST, step LIMIT 1) AS worst_step FROM e",
+    "adamw_first_step": "WITH s AS (SELECT CAST(v AS DOUBLE) AS value, CAST(v AS DOUBLE) * 0.25 AS grad FROM (SELECT unnest(embedding) AS v FROM embeddings)), g AS (SELECT sqrt(sum(grad * grad)) AS norm FROM s), c AS (SELECT value, grad * least(1.0, 1.0 / (norm + 1e-6)) AS grad FROM s, g) SELECT 'w' AS path, round(sum(value - 0.1 * (grad / (sqrt(grad * grad) + 1e-8) + 0.1 * value)), 4) AS value, round(sum(0.1 * grad), 5) AS m, round(sum(0.05 * grad * grad), 7) AS v FROM c",
     "source_report": "SELECT source, CAST(count(*) AS BIGINT) AS rows, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(sha256(coalesce(text, '')), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM documents GROUP BY 1",
     "key_audit": "WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), l AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL), b AS (SELECT coalesce(d.doc_id, l.doc_id) AS id, d.doc_id IS NOT NULL AS ind, l.doc_id IS NOT NULL AS inl FROM d FULL JOIN l USING (doc_id)), k(name, a, c) AS (VALUES ('both', true, true), ('documents only', true, false), ('labels only', false, true)) SELECT name AS keys, CAST(count(id) AS BIGINT) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM k LEFT JOIN b ON ind = a AND inl = c GROUP BY 1",
 }

@@ -20,17 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows(spark: SparkSession, path: str, dialect: str) -> DataFrame:
-    """JSON-lines rows of a dialect."""
+def rows(spark: SparkSession, path: str, dialect: str, one_row: bool = False) -> DataFrame:
+    """JSON-lines rows of a dialect, or files of one row each, whose JSON may stretch over lines."""
     if dialect not in DIALECTS:
         raise KeyError(f"unknown dialect {dialect!r}; known: {sorted(DIALECTS)}")
-    return spark.read.schema(DIALECTS[dialect]).json(path)
+    return spark.read.schema(DIALECTS[dialect]).json(path, multiLine=one_row)
+
+
+def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A manifest, a JSON object that may stretch over lines; keys that the schema lacks are passed over, text that is no JSON is an error."""
+    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """event, line of a log's JSON lines; lines that are no JSON object with a string event are skipped."""
-    lines = spark.read.text(path)
-    return lines.select(F.get_json_object(F.when(F.is_valid_utf8("value"), F.col("value")), "$.event").alias("event"), F.col("value").alias("line")).where("event is not null")
+    lines = spark.read.text(path).where(F.is_valid_utf8("value"))
+    event = F.try_variant_get(F.try_parse_json("value"), "$.event", "variant")
+    return lines.where(F.schema_of_variant(event) == "STRING").select(F.try_variant_get(event, "$", "string").alias("event"), F.col("value").alias("line"))
 
 
 def message_table(conversations: DataFrame) -> DataFrame:

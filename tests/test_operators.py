@@ -2,11 +2,12 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from convspan.operators import adapters, batch, params, render, stats, tokens, tool_units
+from convspan.operators import adapters, batch, params, render, stats, tokens, tool_units, truncate, typed_blocks
 from convspan.sources import recipe, tables
 from convspan.streaming import cursor
 
@@ -47,15 +48,97 @@ def test_rules_are_strict():
         tokens.Rule(1.0, {"colour": "red"})
 
 
-def test_tool_unit_faults():
-    good = (["user", "assistant", "tool", "assistant"], [[], ["c"], [], []], [[], [], ["c"], []])
-    assert list(tool_units.fold(*good)) == [(0, 0, False), (1, 3, True)]
-    for roles, calls, results in (
-        (["tool"], [[]], [["c"]]), (["tool"], [[]], [[]]), (["assistant", "tool"], [["c"], []], [[], ["c"]]), (["assistant", "assistant"], [["c"], []], [[], []]),
+MESSAGES = "sample_id string, message_index int, role string, call_ids array<string>, result_ids array<string>"
+
+
+def plain_units(messages):
+    """Units of one sample's (role, calls, results) by walking it; None if a rule is broken."""
+    seen, answered, pending, units, unit_open = set(), set(), set(), [], False
+    for role, calls, results in messages:
+        if calls and (role != "assistant" or "" in calls or len(set(calls)) < len(calls) or seen & set(calls)):
+            return None
+        if role == "tool":
+            if len(results) != 1 or not unit_open or results[0] not in pending | answered or results[0] in answered or results[0] not in pending:
+                return None
+            pending.discard(results[0])
+            answered.add(results[0])
+        elif unit_open and (pending or role != "assistant"):
+            return None
+        if unit_open:
+            units[-1] += 1
+        else:
+            units.append(1)
+        seen |= set(calls)
+        pending |= set(calls)
+        unit_open = bool(calls) or role == "tool"
+    return None if unit_open else units
+
+
+def test_tool_units_like_a_walk(spark):
+    cases = [
+        (["user", "assistant", "tool", "assistant"], [[], ["c"], [], []], [[], [], ["c"], []]), (["tool"], [[]], [["c"]]), (["tool"], [[]], [[]]), (["assistant", "tool"], [["c"], []], [[], ["c"]]), (["assistant", "assistant"], [["c"], []], [[], []]),
         (["assistant"], [["c", "c"]], [[]]), (["assistant"], [[""]], [[]]), (["user"], [["c"]], [[]]), (["assistant", "tool", "tool"], [["c"], [], []], [[], ["c"], ["c"]]),
-    ):
+    ]
+    samples = {f"case{k}": list(zip(*c)) for k, c in enumerate(cases)}
+    rng = random.Random(3)
+    for k in range(1500):
+        out, number = [], 0
+        for _ in range(rng.randint(1, 4)):
+            if rng.random() < 0.6:
+                ids = [f"i{number + j}" for j in range(rng.randint(1, 2))]
+                number += rng.choice([2, 2, 2, 0])
+                out += [("assistant", ids, [])] + [("tool", [], [x]) for x in rng.sample(ids, len(ids))] + [("assistant", [], [])]
+            else:
+                out.append((rng.choice(["user", "assistant"]), [], []))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice([[], [out[at]] * 2, [("tool", [], ["i0"])], [("user", [], [])], [("assistant", ["i0", ""], [])]])
+        if out:
+            samples[f"r{k}"] = out
+    rows = [(name, i, *m) for name, messages in samples.items() for i, m in enumerate(messages)]
+    frame = spark.createDataFrame(rows, MESSAGES)
+    got = {}
+    for r in tool_units.tool_units(frame).orderBy("sample_id", "unit").collect():
+        got.setdefault(r.sample_id, []).append(None if r.reason else r.last_message - r.first_message + 1)
+    want = {name: plain_units(m) or [None] for name, m in samples.items()}
+    assert got == want and sum(v == [None] for v in want.values()) > 300
+
+
+def test_records_and_ownership(spark):
+    weighed = spark.createDataFrame([("a", p, 1.0 if p % 3 else 0.0, p // 4) for p in range(20)] + [("b", p, 1.0, [0, 1, 0][p]) for p in range(3)] + [("c", 0, 1.0, None)], "sample_id string, pos int, weight double, message_index int")
+    assert {(r.sample_id, r.fault) for r in truncate.ownership_faults(weighed).collect()} == {("b", "a message does not own one run of tokens in order"), ("c", "no message owns a token")}
+    one = weighed.where("sample_id = 'a'")
+    found = truncate.records(one, truncate.semantic_loss_aware(one, 8), "semantic_loss_aware", 8)
+    r = found.first()
+    assert (r.original_length, r.start, r.stop, r.retained_messages, r.dropped_messages) == (20, 12, 20, [3, 4], [0, 1, 2]) and truncate.record_faults(found).isEmpty()
+    assert truncate.records(one, truncate.plain(one, 8, "right"), "right", 8).first().retained_messages == []
+    for column, value in (("stop", 30), ("retained_selected", 99), ("retained_weight", 99.0), ("retained_context", -1), ("dropped_messages", []), ("retained_units", 99), ("policy", "right")):
+        broken = found.withColumn(column, F.lit(value) if value != [] else F.array().cast("array<int>"))
+        assert truncate.record_faults(broken).count() == 1, column
+
+
+def test_rules_from_configuration():
+    rules, conflict = tokens.rules_of({"conflict_mode": "multiply", "rules": [{"select": {"tags": ["a", "b"]}, "weight": 2, "require_match": True}]})
+    assert conflict == "multiply" and rules[0].weight == 2.0 and rules[0].require_match and rules[0].name == "rule_0"
+    for bad in ({"rule": []}, {"conflict_mode": "none"}, {"rules": [{"select": {}}]}, {"rules": [{"weight": 1, "colour": 2}]}, {"rules": [{"weight": -1}]}, {"rules": [{"weight": 1, "select": {"colour": 1}}]}):
         with pytest.raises(ValueError):
-            list(tool_units.fold(roles, calls, results))
+            tokens.rules_of(bad)
+
+
+def test_typed_blocks(spark):
+    good = '{"messages":[{"role":"user","content":"[1]"},{"role":"assistant","content":[{"type":"tool_use","id":"a","name":"f","input":{"b":1,"a":[]}}],"tool_calls":[{"id":"b","name":"g","arguments":"{\\"x\\": 2}"}]},{"role":"tool","call_id":"a","content":[{"type":"tool_result","content":"r"},{"type":"image","url":"u"}]},{"role":"gpt","content":null,"reasoning_content":"h"}],"tools":[{"name":"f","parameters":{}}]}'
+    bad = {
+        '{"messages":[]}': "messages must be a non-empty list", '{"messages":[{"role":"user","content":5}]}': "content must be a string, null or a list of blocks", '{"messages":[{"role":"user","content":["x"]}]}': "a block must be a mapping",
+        '{"messages":[{"role":"user","content":[{"type":"text","text":3}]}]}': "a text block needs a string", '{"messages":[{"role":"assistant","content":[{"type":"tool_use","id":7,"name":"f"}]}]}': "an identifier must be a non-empty string",
+        '{"messages":[{"role":"assistant","content":"x","tool_calls":[{"name":"f","arguments":"{"}]}]}': "arguments are invalid JSON", '{"messages":[{"role":"tool","tool_call_id":"a","content":[{"type":"tool_result","tool_use_id":"b","content":"r"}]}]}': "conflicting call ids of a result",
+        '{"messages":[{"role":"user","content":"x"}],"tools":[{"name":"f","parameters":3}]}': "a tool's parameters must be a mapping", '{"messages":[{"role":"user","content":"x"}],"tools":[{"description":"d"}]}': "a tool needs a name",
+    }
+    rows = spark.createDataFrame([(x,) for x in (good, *bad)], "row string").select("row", F.from_json("row", typed_blocks.ROW).alias("r")).select("row", "r.*")
+    got = {r.row: r for r in typed_blocks.typed_messages_adapter(rows).collect()}
+    assert {k: got[k].reason for k in bad} == bad and got[good].reason is None
+    parts = [[(p.kind, p.value, p.call_id, p.tool_name) for p in m.parts] for m in got[good].messages]
+    assert parts[0] == [("text", "[1]", None, None)] and parts[1] == [("tool_call", '{"a":[],"b":1}', "a", "f"), ("tool_call", '{"x":2}', "b", "g")]
+    assert parts[2][0] == ("tool_result", "r", "a", None) and parts[2][1][0] == "media" and parts[3] == [("reasoning", "h", None, None)] and got[good].tools[0].function.name == "f"
 
 
 def test_tape_round_trip_and_tampering(spark, tmp_path):
@@ -130,10 +213,17 @@ def test_trajectory_stability(spark):
 
 def test_event_log(spark, tmp_path):
     path = tmp_path / "log"
-    path.write_text('{"event": "step", "x": 1}\nnot json\n{"x": 2}\n')
+    path.write_text('{"event": "step", "x": 1}\nnot json\n{"x": 2}\n{"event": 3}\n{"event": {"a": 1}}\n{"event": null}\n[1]\n')
     assert [r.event for r in tables.events(spark, str(path)).collect()] == ["step"]
 
 
+def test_files_of_one_object(spark, tmp_path):
+    path = tmp_path / "one.json"
+    path.write_text('{\n "id": "a",\n "prompt": "p",\n "completion": "c"\n}\n')
+    assert tables.rows(spark, str(path), "prompt_completion", one_row=True).first().completion == "c"
+    assert tables.manifest(spark, str(path), "id string").first().id == "a"
+
+
 def test_streaming_counts(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     folder = str(tmp_path / "in")
