@@ -2,8 +2,11 @@
 
 Rows fall into blocks by a hash of doc_id, a few MB of text each. A block names what it holds by hashes; a hash belongs to a bucket, to
 which every block sends its different hashes as one packed row. A bucket, knowing all blocks' hashes, answers every block with one
-packed row. A frequent hash is so one entry per block that holds it, however many documents do. Number of blocks and buckets follow
-the session's shuffle partitions, so both stay as small as the partitions are meant to be.
+packed row. A frequent hash is so one entry per block that holds it, however many documents do.
+
+There are as many blocks and buckets as keep a block at about BLOCK_BYTES of text, and at least as many as the session's shuffle
+partitions ask for; beyond some tens of GB fewer, so that a message from a block to a bucket, of which there is one for each pair,
+stands for MESSAGE_BYTES of text: both then grow with the square root of the text (32 MB of text a block for 1 TB, 320 MB for 100 TB).
 """
 
 from __future__ import annotations
@@ -12,13 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convspan.llm.common import partitions, small_arrow_batches, text_or_empty
 
 #: Blocks, which hold text, and buckets, which hold hashes, for each shuffle partition.
 BLOCKS_PER_PARTITION, BUCKETS_PER_PARTITION = 2, 1
+BLOCK_BYTES, MESSAGE_BYTES = 8_000_000, 1_000
 LAST = (1 << 63) - 1
 #: From here on doc is that of rows with a null doc_id.
 FIRST_NULL = 1 << 62
@@ -28,21 +32,24 @@ MESSAGE = "block long, bucket long, a binary, b binary, c binary, d binary"
 PARTS = ["a", "b", "c", "d"]
 
 
-def count(spark: SparkSession) -> int:
-    """Number of buckets."""
-    return BUCKETS_PER_PARTITION * partitions(spark)
+def counts(size: int, partitions: int) -> tuple[int, int]:
+    """Numbers of blocks and of buckets for so many bytes of text."""
+    most = min(size // BLOCK_BYTES, int((size / MESSAGE_BYTES) ** 0.5))
+    return max(BLOCKS_PER_PARTITION * partitions, most), max(BUCKETS_PER_PARTITION * partitions, most // 2)
 
 
-def deal(docs: DataFrame) -> DataFrame:
-    """block, doc_id, doc, text: a null text is empty; doc is doc_id for comparison.
+def deal(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(block, doc_id, doc, text), number of buckets: a null text is empty; doc is doc_id for comparison.
 
     Rows with a null doc_id come after all others (below 2 ** 62), in the order of a hash of their texts, so many such rows fall into
     many blocks; those with equal texts count as one document.
     """
     small_arrow_batches(docs)
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    blocks, buckets = counts(size, partitions(docs.sparkSession))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_NULL) + F.shiftrightunsigned(F.xxhash64(text_or_empty()), 3))
     rows = docs.select("doc_id", doc.alias("doc"), text_or_empty().alias("text"))
-    return rows.select(F.pmod(F.xxhash64("doc"), F.lit(BLOCKS_PER_PARTITION * partitions(docs.sparkSession))).alias("block"), "doc_id", "doc", "text")
+    return rows.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "doc_id", "doc", "text"), buckets
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -97,14 +104,12 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table(columns, ["block", "bucket", *PARTS])
 
 
-def shared_hashes(dealt: DataFrame, hashes_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def shared_hashes(dealt: DataFrame, buckets: int, hashes_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """The answers to every block's announcement of hashes_of(rows): (different hashes, whether each counts as shared already).
 
     Two hashes that agree in their bucket and 32 more bits count as one; such a chance meeting marks a hash as shared that is not,
     which callers find out later.
     """
-    buckets = count(dealt.sparkSession)
-
     def tell(key: tuple, table: pa.Table) -> pa.Table:
         return announce(key[0].as_py(), *hashes_of(table), buckets)
 

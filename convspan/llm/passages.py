@@ -173,9 +173,8 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
     words; rows with a null doc_id come after all others, in the order of a hash of their texts; repeated rows have the same result;
     other columns are ignored; an empty table gives an empty one.
     """
-    buckets = blocks.count(docs.sparkSession)
-    dealt = blocks.deal(docs)
-    anchors = blocks.shared_hashes(dealt, _anchors)
+    dealt, buckets = blocks.deal(docs)
+    anchors = blocks.shared_hashes(dealt, buckets, _anchors)
     windows = blocks.answered(dealt, anchors, lambda block, rows, told: _windows(block, rows, told, buckets), blocks.MESSAGE)
     firsts = windows.groupBy("bucket").applyInArrow(_firsts, blocks.MESSAGE)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -17,9 +17,10 @@ personal data. What such a word looks like says little; what it repeats decides.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -185,7 +186,9 @@ def mentioned_again(text: str) -> tuple[str, list[tuple[int, int, int]], list[tu
         if text[max(0, m.start() - 40) : m.start()].rstrip()[-1:] in ("=", ":") and KEY.fullmatch(core) and re.search("[A-Za-z]", core):
             found.append((m.start(), m.start() + len(core), len(KINDS)))
     gaps = [m.start() for m in re.finditer(r" (?=[^\x20\x09-\x0D])", text)]
-    gaps = [x for x in gaps if not any(a - 2 <= x <= b + 2 for a, b, _ in found)] if len(found) <= MENTIONS else gaps[::2]
+    found.sort()
+    starts, ends = [a for a, _, _ in found], list(accumulate((b for _, b, _ in found), max))
+    gaps = [x for x in gaps if not (k := bisect_right(starts, x + 2)) or x > ends[k - 1] + 2]
     inserts: dict[int, tuple[str, int]] = {}
     for a, b, kind in sorted(found, key=lambda x: crc32(text[x[0] : x[1]].encode()))[:MENTIONS]:
         word, seed = text[a:b], crc32(text[a:b].encode())

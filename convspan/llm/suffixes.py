@@ -456,9 +456,8 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     with a null doc_id come after all others, in the order of a hash of their texts; rows of one doc_id remove nothing from each other;
     repeated rows have the same result; other columns are ignored; an empty table gives an empty one.
     """
-    buckets = blocks.count(docs.sparkSession)
-    dealt = blocks.deal(docs)
-    shared = blocks.shared_hashes(dealt, _announced)
+    dealt, buckets = blocks.deal(docs)
+    shared = blocks.shared_hashes(dealt, buckets, _announced)
     sent = blocks.answered(dealt, shared, lambda block, rows, told: _send(block, rows, told, buckets), blocks.MESSAGE)
     owners = sent.groupBy("bucket").applyInArrow(_owners, blocks.MESSAGE)
     both = shared.withColumn("bucket", -1 - shared.bucket).unionByName(owners)

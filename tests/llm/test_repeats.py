@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def ordered(frame):
     """[(place in the order of doc_id, doc_id, text)]; null ids come last, by a hash of the text."""
-    return [(r.doc, r.doc_id, r.text) for r in blocks.deal(frame).collect()]
+    return [(r.doc, r.doc_id, r.text) for r in blocks.deal(frame)[0].collect()]
 
 
 def plain_strings(rows):
@@ -224,7 +224,7 @@ def test_groups_and_windows():
 
 def test_many_rows_without_an_id_are_spread(spark):
     frame = spark.createDataFrame([(None, f"text {k} " + "common words of all these rows that go on for more than fifty bytes " * 2) for k in range(64)], "doc_id long, text string")
-    assert blocks.deal(frame).select("block").distinct().count() > 8
+    assert blocks.deal(frame)[0].select("block").distinct().count() > 8
     assert found(suffixes.remove_repeated_strings(frame)) == plain_strings(ordered(frame))
     assert found(passages.remove_repeated_passages(frame)) == plain_passages(ordered(frame))
 
@@ -243,3 +243,14 @@ def test_hubs(spark, monkeypatch):
     left = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(60)], "u long, x long")
     right = spark.createDataFrame([(k, k * k) for k in range(5)], "u long, y long")
     assert sorted(map(tuple, common.join_hubs(left, right, "u", 60).collect())) == sorted(map(tuple, left.join(right, "u").collect()))
+
+
+def test_sizes_of_blocks(real, monkeypatch):
+    """More text, more blocks, never more than messages are worth; results do not depend on it."""
+    assert blocks.counts(0, 8) == (16, 8)
+    for size in (10**9, 10**12, 10**14):
+        n, buckets = blocks.counts(size, 8)
+        assert size / n <= max(8.1e6, (size * 1.1e3) ** 0.5) and n * buckets <= max(size / 1e3, 128)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 5_000)
+    assert found(passages.remove_repeated_passages(real)) == plain_passages(ordered(real))
+    assert found(suffixes.remove_repeated_strings(real)) == plain_strings(ordered(real))
