@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convspan.operators import adapters, batch, classify, params, render, render_tools, stats, tokens, tool_units, truncate
@@ -189,11 +189,14 @@ def render_qwen35_tools(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
+    """Every sample with its window, and whether a required rule matches none of its tokens, from one reading of the tokens."""
     rows = adapters.ultrachat_200k_adapter(_rows(spark, sf_dir)).select(F.col("conv_id").alias("sample_id"), "reason")
-    w = _weighed(spark, sf_dir)
-    missing = require_match_failures(spark, sf_dir).withColumn("missing_match", F.lit(True))
-    window = truncate.loss_aware(w, LENGTH)
-    found = rows.join(missing, "sample_id", "left").join(window, "sample_id", "left")
+    needed = [k for k, r in enumerate(tokens.DEFAULT_RULES) if r.require_match]
+    missing = F.lit(False)
+    for k in needed:
+        missing |= ~F.max(F.array_contains("matched", k)).over(Window.partitionBy("sample_id"))
+    window = truncate.loss_aware(_weighed(spark, sf_dir).withColumn("missing_match", missing), LENGTH, keep=("missing_match",))
+    found = rows.join(window, "sample_id", "left")
     found = found.withColumns({"semantic_rejected": F.lit(False), "length_rejected": F.lit(False), "truncated": F.col("n_tokens") > LENGTH, "kept_tokens": F.col("stop") - F.col("start")})
     return classify.classify(found)
 
