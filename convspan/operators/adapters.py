@@ -28,6 +28,13 @@ def sample_id(repo: str, revision: str, config: str, split: str, row_index: Colu
     return F.coalesce(F.concat(F.lit(f"{repo}:{split}:"), given), place)
 
 
+def source(repo: str, revision: str, config: str, split: str, row_index: Column, *ids: Column) -> Column:
+    """Where a row comes from: a struct of repo, revision, config, split, row_index and row_id, the first of ids that is there."""
+    row_id = F.coalesce(*[i.cast("string") for i in ids]) if ids else F.lit(None).cast("string")
+    given = {"repo": repo, "revision": revision, "config": config, "split": split}
+    return F.struct(*[F.lit(v).alias(k) for k, v in given.items()], row_index.cast("long").alias("row_index"), row_id.alias("row_id"))
+
+
 def _part(kind: str, value: Column, call_id: Column | None = None, tool_name: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(F.lit(kind).alias("kind"), value.alias("value"), (none if call_id is None else call_id).alias("call_id"), (none if tool_name is None else tool_name).alias("tool_name"))

@@ -7,6 +7,8 @@ out. Long form: a sample's spans follow each other by span_index and their texts
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,6 +123,14 @@ def template_hash(renderer: str, version: int, text: Column) -> Column:
     return F.sha2(F.concat_ws("\0", F.lit(renderer), F.lit(str(version)), text), 256)
 
 
+def renderer_identity(name: str, version: int = 1, **options: object) -> str:
+    """Hash of what decides how a renderer shows a sample: its name, version and options, whatever their order."""
+    if name not in RENDERERS and SHORT_NAMES.get(name) not in RENDERERS:
+        raise KeyError(f"unknown renderer {name!r}")
+    text = json.dumps({"renderer": SHORT_NAMES.get(name, name), "version": version, "options": options}, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(b"convspan-renderer\0" + text.encode()).hexdigest()
+
+
 def ranges(spans: DataFrame) -> DataFrame:
     """Spans with the character range [left, right) that each covers in its sample's text."""
     before = Window.partitionBy("sample_id").orderBy("span_index").rowsBetween(Window.unboundedPreceding, 0)

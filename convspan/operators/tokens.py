@@ -126,3 +126,12 @@ def weigh(aligned: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, conflict:
 def match_counts(weighed: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """sample_id and for each rule k the number rule_k of tokens that it matches."""
     return weighed.groupBy("sample_id").agg(*[F.count_if(F.array_contains("matched", k)).alias(f"rule_{k}") for k in range(len(rules))])
+
+
+def faults(weighed: DataFrame) -> DataFrame:
+    """sample_id, pos, fault of tokens that break a rule of a tokenized sample; empty for sound ones."""
+    order = Window.partitionBy("sample_id").orderBy("pos")
+    rows = weighed.select("sample_id", "pos", "start", "end", "weight", (F.row_number().over(order) - 1).alias("place"), F.coalesce(F.lag("end").over(order), F.lit(0)).alias("before"))
+    fault = F.when(F.col("pos") != F.col("place"), "positions have gaps").when((F.col("start") >= F.col("end")) | (F.col("start") < F.col("before")), "an offset is empty or goes back")
+    fault = fault.when(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0) | (F.col("weight") == float("inf")), "a weight is negative or no number").when((F.col("place") == 0) & (F.col("weight") != 0), "a first token has weight")
+    return rows.select("sample_id", "pos", fault.alias("fault")).where("fault is not null")

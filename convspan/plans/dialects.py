@@ -77,13 +77,21 @@ def _prompt_sql(body: str, suffix: str) -> str:
     return f"WITH {body} SELECT sample_id, CAST(length(text || {suffix}) AS BIGINT) AS chars, sha256(text || {suffix}) AS text_sha FROM docs"
 
 
+def sample_sources(spark, sf_dir):
+    """Where each sample comes from, ids of odd conversations being unknown."""
+    c = tables.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    given = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id"))
+    return c.select("conv_id", adapters.source("repo", "main", "default", "train", F.col("conv_id"), given).alias("s")).select("conv_id", "s.*")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (adapt_typed_blocks, typed_block_rejects, renderer_rejects)} | {
+    return {f.__name__: f for f in (adapt_typed_blocks, typed_block_rejects, renderer_rejects, sample_sources)} | {
         "generation_prompt_olmo2": _prompted("olmo2_instruct"), "generation_prompt_math": _prompted("qwen2_5_math"), "generation_prompt_qwen35": _prompted("qwen3_5_text"), "generation_prompt_thinking": _prompted("qwen3_5_text", thinking=True),
     }
 
 
 SQL = {
+    "sample_sources": "SELECT DISTINCT conv_id, 'repo' AS repo, 'main' AS revision, 'default' AS config, 'train' AS split, conv_id AS row_index, CASE WHEN conv_id % 2 = 0 THEN CAST(conv_id AS VARCHAR) END AS row_id FROM conversations",
     "adapt_typed_blocks": f"WITH {TYPED} SELECT sample_id, message_index, role, CAST(part_index AS BIGINT) AS part_index, kind, sha256(value) AS value_sha, call_id, tool_name FROM parts",
     "typed_block_rejects": f"WITH {TYPED} SELECT reason, CAST(count(*) AS BIGINT) AS rows FROM reasons WHERE reason IS NOT NULL GROUP BY 1",
     "renderer_rejects": f"WITH {TYPED}, e AS (SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN 'the template has no tool definitions' WHEN bool_or(role NOT IN ('system', 'user', 'assistant')) THEN 'the template has no such role' WHEN bool_or(role = 'assistant') THEN 'the template shows text only' END AS error FROM ok GROUP BY 1) SELECT error, CAST(count(*) AS BIGINT) AS samples FROM e WHERE error IS NOT NULL GROUP BY 1",

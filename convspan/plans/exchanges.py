@@ -209,8 +209,16 @@ def alignment_faults(spark, sf_dir):
     return tokens.alignment_faults(t, spans).groupBy("fault").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("sample_id").alias("samples"))
 
 
+def token_faults(spark, sf_dir):
+    """Rules of tokenized samples that samples break, each damaged in one way by its number."""
+    kind, at = F.col("sample_id") % 6, F.col("pos")
+    w = _tool_tokens(spark, sf_dir).where(~((kind == 1) & (at == 2)))
+    w = w.withColumns({"end": F.when((kind == 2) & (at == 4), F.col("start")).otherwise(F.col("end")), "weight": F.when((kind == 3) & (at % 50 == 7), -F.col("weight") - 1).when((kind == 4) & (at == 0), 1.0).otherwise(F.col("weight"))})
+    return tokens.faults(w).groupBy("fault").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("sample_id").alias("samples"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (tool_unit_rejects, tool_unit_messages, tool_links, trunc_semantic_tools, truncation_records, classify_policies, stream_counters_all, tags_and_parts, alignment_faults)}
+    return {f.__name__: f for f in (tool_unit_rejects, tool_unit_messages, tool_links, trunc_semantic_tools, truncation_records, classify_policies, stream_counters_all, tags_and_parts, alignment_faults, token_faults)}
 
 
 def _with(body: str, query: str) -> str:
@@ -222,6 +230,8 @@ def _list(condition: str) -> str:
 
 
 SQL = {
+    "token_faults": _with(TOKENS + ", n AS (SELECT sample_id, count(*) AS n FROM tw GROUP BY 1), y AS (SELECT 'positions have gaps' AS fault, sample_id, n - 3 AS k FROM n WHERE sample_id % 6 = 1 AND n > 3 UNION ALL SELECT 'an offset is empty or goes back', sample_id, 1 FROM n WHERE sample_id % 6 = 2 AND n > 4 "
+                          "UNION ALL SELECT 'a weight is negative or no number', sample_id, (n - 8) // 50 + 1 FROM n WHERE sample_id % 6 = 3 AND n > 7 UNION ALL SELECT 'a first token has weight', sample_id, 1 FROM n WHERE sample_id % 6 = 4)", "SELECT fault, CAST(sum(k) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS samples FROM y GROUP BY 1"),
     "tool_unit_rejects": _with(AUDIT, "SELECT * FROM bad"),
     "tool_unit_messages": _with(AUDIT, "SELECT sample_id, i AS message_index, unit, tool_exchange FROM units"),
     "tool_links": _with(TOOLS + ", c AS (SELECT sample_id, i, unnest(calls) AS id FROM tm WHERE sample_id % 11 NOT IN (4, 5, 8)), r AS (SELECT sample_id, i, unnest(results) AS id FROM tm WHERE sample_id % 11 NOT IN (4, 5, 8))",

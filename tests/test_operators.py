@@ -117,6 +117,13 @@ def test_records_and_ownership(spark):
         assert truncate.record_faults(broken).count() == 1, column
 
 
+def test_renderer_identity():
+    one = render.renderer_identity("olmo2", generation_prompt=True, thinking=False)
+    assert one == render.renderer_identity("olmo2_instruct", thinking=False, generation_prompt=True) != render.renderer_identity("olmo2_instruct", generation_prompt=False, thinking=False)
+    with pytest.raises(KeyError):
+        render.renderer_identity("x")
+
+
 def test_rules_from_configuration():
     rules, conflict = tokens.rules_of({"conflict_mode": "multiply", "rules": [{"select": {"tags": ["a", "b"]}, "weight": 2, "require_match": True}]})
     assert conflict == "multiply" and rules[0].weight == 2.0 and rules[0].require_match and rules[0].name == "rule_0"
