@@ -183,7 +183,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     once to each group that has a part of it.
     """
     pairs = checkpointed(pairs)
-    rows, size = pairs.agg(F.count(F.lit(1)), F.sum("nv")).first()
+    size = pairs.agg(F.sum("nv")).first()[0]
     groups = 1 + (size or 0) * 8 // GROUP_BYTES
     sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     parts = pairs.groupBy("u").agg(F.ceil(F.sum("nv") * 8 / GROUP_BYTES).alias("parts")).where("parts > 1")

@@ -5,7 +5,6 @@ import re
 import time
 from collections import Counter, defaultdict
 from html import unescape
-from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
