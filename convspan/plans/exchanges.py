@@ -7,7 +7,7 @@ modulo 11, so that every rule is broken by some.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convspan.operators import classify, render, tokens, tool_units, truncate
