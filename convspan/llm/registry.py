@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import filters, fingerprints, mixing, neardup, pagetext, passages, pieces, pii, suffixes, topk, toxicity
+from convspan.llm import bytepairs, filters, fingerprints, mixing, neardup, pagetext, passages, pieces, pii, suffixes, topk, toxicity
 from convspan.llm.common import table
 
 
@@ -72,12 +72,21 @@ def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_tree_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bytepairs.encode_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, columns=("packed", "decoded"))
+    tokens = F.floor(F.octet_length("packed") / 4).cast("long")
+    return encoded.select("doc_id", tokens.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op7_multi_index_topk, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints, op13_filter_orders)}
+    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op7_multi_index_topk, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints, op11_tree_bytepairs, op13_filter_orders)}
 
 
 def oracle_sql() -> dict[str, str]:
