@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspan.llm import bytepairs, filters, fingerprints, mixing, neardup, pagetext, passages, pieces, pii, suffixes, topk, toxicity
-from convspan.llm.common import table
+from convspan.llm import bytepairs, filters, fingerprints, mixing, neardup, pagetext, passages, periods, pieces, pii, suffixes, topk, toxicity
+from convspan.llm.common import WORDS, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -81,12 +81,40 @@ def op11_tree_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", tokens.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text; where the hash of doc_id says so, the words from some place on repeat the first few of them to the end."""
+    h, words = F.crc32(F.col("doc_id").cast("string")), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    chosen = chosen.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again), F.lit(1), n)
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_recompressed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("longest", F.when(F.size("runs") > 0, longest))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op7_multi_index_topk, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints, op11_tree_bytepairs, op13_filter_orders)}
+    return {f.__name__: f for f in (op1_suffix_strings, op2_skip_chain_pii, op3_sentencepiece, op4_minhash_components, op5_cover_passages, op6_entropy_mixing, op7_multi_index_topk, op8_weak_toxicity, op9_style_tree_text, op10_weighted_fingerprints, op11_tree_bytepairs, op12_recompressed_runs, op13_filter_orders)}
 
 
 def oracle_sql() -> dict[str, str]:
