@@ -7,25 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Role names and what other dialects call them.
-ROLES = ("system", "developer", "user", "assistant", "tool")
-ALIASES = {"human": "user", "gpt": "assistant", "function": "tool"}
-
-
-def role_of(name: Column) -> Column:
-    """The role a dialect's name stands for; null if it is none."""
-    known = {r: r for r in ROLES} | ALIASES
-    return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[name]
-
+from convspan.operators import typed_blocks
 
 def sample_id(repo: str, revision: str, config: str, split: str, row_index: Column, *ids: Column) -> Column:
-    """repo:split:id of the first non-empty id, else the hash of where the row stands.
+    """repo:split:id of the first non-empty id, else repo:split: and the hash of where the row stands.
 
     row_index is a stable number of the row in its source, so an id does not depend on ranks or shuffles.
     """
     given = F.coalesce(*[F.nullif(i.cast("string"), F.lit("")) for i in ids]) if ids else F.lit(None).cast("string")
     place = F.sha2(F.concat_ws("\0", F.lit(repo), F.lit(revision), F.lit(config), F.lit(split), row_index.cast("string")), 256)
-    return F.coalesce(F.concat(F.lit(f"{repo}:{split}:"), given), place)
+    return F.concat(F.lit(f"{repo}:{split}:"), F.coalesce(given, place))
 
 
 def source(repo: str, revision: str, config: str, split: str, row_index: Column, *ids: Column) -> Column:
@@ -35,65 +26,32 @@ def source(repo: str, revision: str, config: str, split: str, row_index: Column,
     return F.struct(*[F.lit(v).alias(k) for k, v in given.items()], row_index.cast("long").alias("row_index"), row_id.alias("row_id"))
 
 
-def _part(kind: str, value: Column, call_id: Column | None = None, tool_name: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(F.lit(kind).alias("kind"), value.alias("value"), (none if call_id is None else call_id).alias("call_id"), (none if tool_name is None else tool_name).alias("tool_name"))
-
-
-def _parts(m: Column, full: bool) -> Column:
-    """Reasoning first, then content, tool calls last; a tool message's content is a tool result with the message's call id."""
-    role = role_of(m["role"])
-    call = m["tool_call_id"] if full else F.lit(None).cast("string")
-    content = F.when(role == "tool", _part("tool_result", m["content"], call)).otherwise(_part("text", m["content"]))
-    parts = [F.when(m["content"].isNotNull(), F.array(content)).otherwise(F.array().cast("array<struct<kind:string,value:string,call_id:string,tool_name:string>>"))]
-    if full:
-        reasoning = _part("reasoning", m["reasoning_content"])
-        calls = F.transform(m["tool_calls"], lambda c: _part("tool_call", c["function"]["arguments"], c["id"], c["function"]["name"]))
-        empty = F.array().cast("array<struct<kind:string,value:string,call_id:string,tool_name:string>>")
-        parts = [F.when(m["reasoning_content"].isNotNull() & (role == "assistant"), F.array(reasoning)).otherwise(empty), *parts, F.coalesce(calls, empty)]
-    return F.concat(*parts)
-
-
-def _bad_calls(m: Column) -> Column:
-    """Whether a message's tool calls or its call id break the rules: ids and names are non-empty, arguments are JSON."""
-    bad = lambda c: (F.coalesce(c["id"], F.lit("x")) == "") | (F.coalesce(c["function"]["name"], F.lit("")) == "") | F.try_parse_json(c["function"]["arguments"]).isNull()
-    return F.coalesce(F.exists(m["tool_calls"], bad), F.lit(False)) | (F.coalesce(m["tool_call_id"], F.lit("x")) == "")
-
-
-def messages_adapter(rows: DataFrame, full: bool = True) -> DataFrame:
-    """Rows with messages (and tools) as they are; full rows have reasoning, tool calls and tools."""
-    model = F.transform("messages", lambda m: F.struct(role_of(m["role"]).alias("role"), _parts(m, full).alias("parts")))
-    reason = F.when(F.col("messages").isNull() | (F.size("messages") == 0), "messages must be a non-empty list")
-    reason = reason.when(F.exists("messages", lambda m: role_of(m["role"]).isNull()), "unknown message role")
-    if full:
-        reason = reason.when(F.exists("messages", _bad_calls), "identifiers must be a non-empty string and arguments JSON")
-        reason = reason.when(F.coalesce(F.exists("tools", lambda t: F.coalesce(t["function"]["name"], F.lit("")) == ""), F.lit(False)), "tool needs a name")
-    return rows.withColumn("reason", reason).withColumn("messages", model)
+def messages_adapter(rows: DataFrame) -> DataFrame:
+    """Rows with messages, and tools if they have them, in the message model; see typed_blocks for what may stand where."""
+    return typed_blocks.typed_messages_adapter(rows)
 
 
 def ultrachat_200k_adapter(rows: DataFrame) -> DataFrame:
     """Rows whose prompt is the first user message and that hold only user and assistant turns."""
+    found = messages_adapter(rows)
+    strings = F.when(F.col("prompt").isNull(), "prompt must be a string").when(F.col("prompt_id").isNull(), "prompt_id must be a string")
     first = F.get("messages", F.lit(0))
-    reason = F.when(F.col("prompt").isNull(), "prompt must be a string").when(F.col("prompt_id").isNull(), "prompt_id must be a string")
-    reason = reason.when(F.coalesce(first["role"], F.lit("")) != "user", "first message must be user")
-    reason = reason.when(first["content"] != F.col("prompt"), "prompt must equal the first user message")
-    reason = reason.when(F.exists("messages", lambda m: ~m["role"].isin("user", "assistant")), "only user and assistant roles are supported")
-    found = messages_adapter(rows.withColumn("own_reason", reason), full=False)
-    return found.withColumn("reason", F.coalesce("own_reason", "reason")).drop("own_reason")
+    own = F.when(first["role"] != "user", "first message must be user").when(F.get(first["parts"], F.lit(0))["value"] != F.col("prompt"), "prompt must equal the first user message")
+    own = own.when(F.exists("messages", lambda m: ~m["role"].isin("user", "assistant")), "only user and assistant roles are supported")
+    return found.withColumn("reason", F.coalesce(strings, "reason", own))
 
 
 def prompt_completion_adapter(rows: DataFrame) -> DataFrame:
     """Two strings as a user and an assistant message."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
     bad = F.when(F.col("prompt").isNull() | F.col("completion").isNull(), "prompt and completion must be strings")
-    found = messages_adapter(rows.withColumn("messages", F.array(message("user", "prompt"), message("assistant", "completion"))), full=False)
+    found = messages_adapter(rows.withColumn("messages", F.array(message("user", "prompt"), message("assistant", "completion"))))
     return found.withColumn("reason", F.coalesce(bad, "reason"))
 
 
 def sharegpt_adapter(rows: DataFrame) -> DataFrame:
-    """conversations of (from, value) under the other dialect's names; nothing but them and id survives."""
-    renamed = F.transform("conversations", lambda m: F.struct(m["from"].alias("role"), m["value"].alias("content")))
-    return messages_adapter(rows.select("id", renamed.alias("messages")), full=False)
+    """conversations under the other dialect's names, (from, value) or any that messages may have; nothing but them and id survives."""
+    return messages_adapter(rows.select("id", F.col("conversations").alias("messages")))
 
 
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {

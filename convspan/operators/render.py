@@ -23,8 +23,6 @@ NO_THINK = "\n</think>\n\n"
 #: The white space that a template's strip removes: all of Unicode's, and the separators 1C to 1F.
 STRIP = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 
-PER_MESSAGE = 10
-
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{STRIP}|{STRIP}$", "")
@@ -38,14 +36,14 @@ def span(span_class: str, text: Column, weight: Column | float = 0.0) -> Column:
 def spans_of(messages: DataFrame, each: list[Column], first: Column | None, generation: str = "") -> DataFrame:
     """The spans of every message, before the first message of a sample one that no message owns, and behind the last the start of an answer."""
     own = messages.select("sample_id", "message_index", "role", F.posexplode(F.array(*each)).alias("at", "span"))
-    own = own.withColumn("order", F.col("message_index") * PER_MESSAGE + F.col("at"))
-    edge = lambda where, role, text, order: messages.where(where).select("sample_id", F.lit(None).cast("int").alias("message_index"), F.lit(role).cast("string").alias("role"), F.lit(0).alias("at"), text.alias("span"), order.alias("order"))
+    own = own.withColumn("message", F.col("message_index").cast("long"))
+    edge = lambda where, role, text, message: messages.where(where).select("sample_id", F.lit(None).cast("int").alias("message_index"), F.lit(role).cast("string").alias("role"), F.lit(0).alias("at"), text.alias("span"), message.cast("long").alias("message"))
     if first is not None:
         own = own.unionByName(edge("message_index = 0", None, first, F.lit(-1)))
     if generation:
-        own = own.unionByName(edge("message_index + 1 = n_messages", "assistant", span("generation_prompt", F.lit(generation)), F.col("n_messages") * PER_MESSAGE))
+        own = own.unionByName(edge("message_index + 1 = n_messages", "assistant", span("generation_prompt", F.lit(generation)), F.col("n_messages")))
     own = own.where("length(span.text) > 0")
-    index = F.row_number().over(Window.partitionBy("sample_id").orderBy("order")) - 1
+    index = F.row_number().over(Window.partitionBy("sample_id").orderBy("message", "at")) - 1
     return own.select("sample_id", index.alias("span_index"), "message_index", F.col("span.span_class").alias("span_class"), "role", F.col("span.text").alias("text"), F.col("span.default_weight").alias("default_weight"))
 
 
@@ -73,10 +71,14 @@ def qwen2_5_math(messages: DataFrame, generation_prompt: bool = False) -> DataFr
 
 
 def qwen3_5(messages: DataFrame, generation_prompt: bool = False, thinking: bool = False) -> DataFrame:
-    """Plain chat: trimmed texts; after the last user query an assistant turn opens with an empty thinking block."""
+    """Plain chat: trimmed texts; after the last user query an assistant turn opens with an empty thinking block.
+
+    Samples that plain_refusals has, such as one without a user query, have no spans.
+    """
     query = (F.col("role") == "user") & ~(strip(F.col("text")).startswith("<tool_response>") & strip(F.col("text")).endswith("</tool_response>"))
     last = F.max(F.when(query, F.col("message_index"))).over(Window.partitionBy("sample_id"))
-    rows = messages.withColumn("query", last)
+    late = F.max((F.col("role") == "system") & (F.col("message_index") > 0)).over(Window.partitionBy("sample_id"))
+    rows = messages.withColumns({"query": last, "late": late}).where("query is not null and not late")
     assistant = F.col("role") == "assistant"
     think = assistant & (F.col("message_index") > F.col("query"))
     each = [
@@ -104,15 +106,32 @@ def get_renderer(name: str) -> Callable[[DataFrame], DataFrame]:
 TEXT_ROLES, TEXT_PARTS = ("system", "user", "assistant"), ("text", "code")
 
 
-def text_template_errors(samples: DataFrame) -> DataFrame:
-    """sample_id, error of samples(sample_id, messages, tools) in the message model that the templates without tools would not show whole."""
+def text_template_errors(samples: DataFrame, renderer: str = "olmo2_instruct") -> DataFrame:
+    """sample_id, error of samples(sample_id, messages, tools) in the message model that a template without tools would not show whole.
+
+    The plain chat template also wants a user query, and a system message first.
+    """
     roles = F.transform("messages", lambda m: m["role"])
     kinds = F.flatten(F.transform("messages", lambda m: F.transform(m["parts"], lambda p: p["kind"])))
     error = F.when(F.coalesce(F.size("tools"), F.lit(0)) > 0, "the template has no tool definitions").when(F.exists(roles, lambda r: ~r.isin(*TEXT_ROLES)), "the template has no such role")
     error = error.when(F.exists(kinds, lambda k: ~k.isin(*TEXT_PARTS)), "the template shows text only")
+    if SHORT_NAMES.get(renderer, renderer) == "qwen3_5_text":
+        shown = lambda m: strip(F.array_join(F.transform(m["parts"], lambda p: p["value"]), ""))
+        query = lambda m: (m["role"] == "user") & ~(shown(m).startswith("<tool_response>") & shown(m).endswith("</tool_response>"))
+        error = error.when(~F.exists("messages", query), "at least one user query is required").when(F.array_contains(F.slice(roles, F.lit(2), F.greatest(F.size(roles) - 1, F.lit(0))), "system"), "system message must be first")
     return samples.select("sample_id", error.alias("error")).where("error is not null")
 
 
+def plain_refusals(messages: DataFrame) -> DataFrame:
+    """sample_id, error of the samples of a message table that the plain chat template refuses."""
+    text = strip(F.col("text"))
+    query = (F.col("role") == "user") & ~(text.startswith("<tool_response>") & text.endswith("</tool_response>"))
+    late = (F.col("role") == "system") & (F.col("message_index") > 0)
+    found = messages.groupBy("sample_id").agg(F.count_if(query).alias("queries"), F.count_if(late).alias("late"))
+    error = F.when(F.col("queries") == 0, "at least one user query is required").when(F.col("late") > 0, "system message must be first")
+    return found.select("sample_id", error.alias("error")).where("error is not null")
+
+
 def documents(spans: DataFrame) -> DataFrame:
     """sample_id, text: the rendered text of each sample."""
     parts = F.array_sort(F.collect_list(F.struct("span_index", "text")))

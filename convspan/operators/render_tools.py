@@ -25,7 +25,6 @@ TOOL_INSTRUCTIONS = (
     "- If there is no function call available, answer the question like normal with your current knowledge and do not tell the user about function calls\n</IMPORTANT>"
 )
 SPAN = "struct<span_class:string,text:string,default_weight:double,part_index:int,part_kind:string,call_id:string,tool_name:string>"
-PER_MESSAGE = 1000
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -119,7 +118,7 @@ def qwen3_5_with_tools(samples: DataFrame) -> DataFrame:
         F.when(is_["tool"], _spans_of("result", "tool_result", 0.0)).otherwise(none), _one(is_["tool"], _span("tool_result_control", F.lit("\n</tool_response>"))),
         _one(is_["tool"] & (F.coalesce("following", F.lit("")) != "tool"), _span("turn_end", F.lit(END + "\n"))),
     )
-    body = m.select("sample_id", F.col("message_index").alias("message_index"), "role", F.posexplode(spans).alias("at", "span")).withColumn("order", F.col("message_index") * PER_MESSAGE + F.col("at"))
+    body = m.select("sample_id", F.col("message_index").alias("message_index"), "role", F.posexplode(spans).alias("at", "span")).withColumn("order", F.struct(F.lit(1).alias("after_tools"), F.col("message_index").alias("number"), "at")).drop("at")
     # Before the messages: the tools, and the end of their turn unless a system message ends it.
     tools = samples.where(F.size("tools") > 0).select("sample_id", F.posexplode("tools").alias("at", "tool"), F.size("tools").alias("n"), (F.col("messages")[0]["role"] != "system").alias("alone"))
     tools = tools.withColumn("definition", _definition("tool.function.name", "tool.function.description", "tool.function.parameters"))
@@ -127,8 +126,8 @@ def qwen3_5_with_tools(samples: DataFrame) -> DataFrame:
         _one(F.col("at") == 0, _span("tool_preamble", F.lit(START + "system\n" + TOOL_PREAMBLE))), F.array(_span("tool_definition", F.concat(F.lit("\n"), "definition"))),
         _one(F.col("at") + 1 == F.col("n"), _span("tool_preamble", F.lit(TOOL_INSTRUCTIONS))), _one((F.col("at") + 1 == F.col("n")) & F.col("alone"), _span("turn_end", F.lit(END + "\n"))),
     )
-    first = tools.select("sample_id", F.lit(None).cast("int").alias("message_index"), F.lit("system").alias("role"), (F.col("at") * 4 - 4 * F.col("n") - 4).alias("base"), F.posexplode(head).alias("at", "span"))
-    first = first.withColumn("order", F.col("base") + F.col("at")).drop("base")
+    first = tools.select("sample_id", F.lit(None).cast("int").alias("message_index"), F.lit("system").alias("role"), F.col("at").alias("number"), F.posexplode(head).alias("at", "span"))
+    first = first.withColumn("order", F.struct(F.lit(0).alias("after_tools"), "number", "at")).drop("number", "at")
     every = body.unionByName(first).where("length(span.text) > 0")
     index = F.row_number().over(by.orderBy("order")) - 1
     return every.select("sample_id", index.alias("span_index"), "message_index", "role", "span.*")

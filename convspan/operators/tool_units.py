@@ -72,6 +72,14 @@ def tool_units(messages: DataFrame) -> DataFrame:
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """sample_id, call_id, call_message, result_message of every call and every result of messages; a side without the other is null."""
-    side = lambda ids, name: messages.select("sample_id", F.explode(ids).alias("call_id"), F.col("message_index").alias(name))
-    return side("call_ids", "call_message").join(side("result_ids", "result_message"), ["sample_id", "call_id"], "full_outer")
+    """sample_id, call_id, occurrence, call_message, result_message of every call and every result of messages; a side without the other is null.
+
+    The n-th call with an id belongs to the n-th result with it, in the order of messages and of their lists, so ids that come again meet once.
+    """
+
+    def side(ids: str, name: str) -> DataFrame:
+        rows = messages.select("sample_id", F.col("message_index").alias(name), F.posexplode(ids).alias("at", "call_id"))
+        nth = F.row_number().over(Window.partitionBy("sample_id", "call_id").orderBy(name, "at"))
+        return rows.withColumn("occurrence", nth).drop("at")
+
+    return side("call_ids", "call_message").join(side("result_ids", "result_message"), ["sample_id", "call_id", "occurrence"], "full_outer")

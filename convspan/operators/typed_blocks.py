@@ -1,7 +1,8 @@
-"""Messages whose content is a string, null, or a list of typed blocks, as public tool-use sets have it.
+"""Messages whose content is a string, null, or a list of typed blocks, as public chat and tool-use sets have it.
 
-Content is a variant, so a string that looks like a list stays a string. Rows are (sample_id, messages, tools) with messages of
-role, name, content (variant), reasoning_content, tool_calls, tool_call_id; a row that breaks a rule has a reason and no messages.
+Rows have messages (and tools) as arrays of structs with any of the fields of ROW; fields that are missing count as null, role may be
+called from and content value. Content is a string or a variant, so a string that looks like a list stays a string. Arguments and
+parameters are text of JSON, which keeps the order of keys, or variants. A row that breaks a rule has a reason and no messages.
 """
 
 from __future__ import annotations
@@ -9,16 +10,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspan.operators.adapters import role_of
+from pyspark.sql import types as T
+
+from convspan.operators.roles import role_of
 
 #: The names that block types go by.
 TEXT, REASONING, CALL, RESULT, MEDIA = ("text", "output_text", "input_text"), ("thinking", "reasoning"), ("tool_use", "tool_call"), ("tool_result",), ("image", "image_url", "video")
-CALLS = "array<struct<id:string,name:string,arguments:variant,function:struct<name:string,arguments:variant>>>"
-#: Schema of the JSON of a row. A call's name and arguments may stand in a function or beside its id; arguments may be a string of JSON.
-ROW = f"messages array<struct<role:string,name:string,content:variant,reasoning_content:variant,tool_calls:{CALLS},tool_call_id:string,call_id:string>>, tools array<struct<name:string,description:string,parameters:variant,function:struct<name:string,description:string,parameters:variant>>>"
+CALLS = "array<struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>>"
+#: Schema of the JSON of a row. A call's name and arguments may stand in a function or beside its id; arguments may be an object or a string of JSON, read alike.
+ROW = f"messages array<struct<role:string,name:string,content:variant,reasoning_content:variant,tool_calls:{CALLS},tool_call_id:string,call_id:string>>, tools array<struct<name:string,description:string,parameters:string,function:struct<name:string,description:string,parameters:string>>>"
 PART = "struct<kind:string,value:string,call_id:string,tool_name:string,fault:string>"
 
 
+def _fields(kind: T.DataType) -> dict[str, T.DataType]:
+    """Fields of a struct, or of the structs of an array."""
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    return {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+
+
+def _completed(value: Column, have: dict[str, T.DataType], want: dict[str, T.DataType], other: dict[str, str]) -> Column:
+    """A struct with all wanted fields: those that it has, under their name or another, else null."""
+
+    def one(name: str, kind: T.DataType) -> Column:
+        own = [c for c in (name, other.get(name)) if c in have]
+        found = [F.lit(None).cast(kind) if isinstance(have[c], T.NullType) else _shaped(value[c], have[c], kind, other) for c in own]
+        return (F.coalesce(*found) if found else F.lit(None).cast(kind)).alias(name)
+
+    return F.struct(*[one(name, kind) for name, kind in want.items()])
+
+
+def _shaped(value: Column, have: T.DataType, want: T.DataType, other: dict[str, str]) -> Column:
+    if isinstance(want, T.StructType):
+        return F.when(value.isNotNull(), _completed(value, _fields(have), _fields(want), other))
+    if isinstance(want, T.ArrayType):
+        return F.transform(value, lambda x: _shaped(x, have.elementType, want.elementType, other))
+    if isinstance(want, T.StringType) and isinstance(have, T.VariantType):
+        return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string")).when(_kind(value) != "VOID", F.to_json(value))
+    return value if have == want else value.cast(want)
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """rows whose messages and tools have all fields of ROW."""
+    want = {f.name: f.dataType for f in T._parse_datatype_string(ROW).fields}
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    for name, kind in want.items():
+        known = name in have and isinstance(have[name], T.ArrayType)
+        rows = rows.withColumn(name, _shaped(F.col(name), have[name], kind, {"role": "from", "content": "value"}) if known else F.lit(None).cast(kind))
+    return rows
+
+
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
@@ -62,13 +102,16 @@ def _block(b: Column) -> Column:
     )
 
 
+def _compact(json: Column) -> Column:
+    """JSON text without the white space outside its strings; keys keep their order and numbers their digits."""
+    return F.regexp_replace(json, r'("(?:[^"\\]++|\\.)*+")|\s+', "$1")
+
+
 def _call(c: Column) -> Column:
     """An entry of tool_calls as a part."""
     name, arguments = F.when(c["function"].isNotNull(), c["function"]["name"]).otherwise(c["name"]), F.when(c["function"].isNotNull(), c["function"]["arguments"]).otherwise(c["arguments"])
-    text = F.try_variant_get(arguments, "$", "string")
-    is_text = F.coalesce(_kind(arguments) == "STRING", F.lit(False))
-    value = F.when(is_text, F.to_json(F.try_parse_json(text))).otherwise(F.coalesce(F.to_json(arguments), F.lit("{}")))
-    fault = F.when(F.coalesce(name, F.lit("")) == "", "a call needs a name").when(is_text & F.try_parse_json(text).isNull(), "arguments are invalid JSON").when(F.coalesce(c["id"], F.lit("x")) == "", "an identifier must be a non-empty string")
+    value = F.coalesce(_compact(arguments), F.lit("{}"))
+    fault = F.when(F.coalesce(name, F.lit("")) == "", "a call needs a name").when(F.try_parse_json(value).isNull(), "arguments are invalid JSON").when(F.coalesce(c["id"], F.lit("x")) == "", "an identifier must be a non-empty string")
     return _part("tool_call", value, c["id"], name, fault)
 
 
@@ -92,12 +135,12 @@ def _message(m: Column) -> Column:
 
 def typed_messages_adapter(rows: DataFrame) -> DataFrame:
     """rows with reason, and messages and tools in the message model: the earliest message's earliest fault is the reason."""
-    model = rows.withColumn("messages", F.transform("messages", _message))
+    model = completed(rows).withColumn("messages", F.transform("messages", _message))
     faults = F.flatten(F.transform("messages", lambda m: F.concat(F.array(m["fault"]), F.transform(m["parts"], lambda p: p["fault"]))))
     tool = lambda t, c: F.coalesce(t["function"][c], t[c])
-    tools = F.transform("tools", lambda t: F.struct(F.lit("function").alias("type"), F.struct(tool(t, "name").alias("name"), tool(t, "description").alias("description"), F.coalesce(F.to_json(tool(t, "parameters")), F.lit("{}")).alias("parameters")).alias("function")))
+    tools = F.transform("tools", lambda t: F.struct(F.lit("function").alias("type"), F.struct(tool(t, "name").alias("name"), tool(t, "description").alias("description"), F.coalesce(tool(t, "parameters"), F.lit("{}")).alias("parameters")).alias("function")))
     nameless = F.coalesce(F.exists("tools", lambda t: F.coalesce(tool(t, "name"), F.lit("")) == ""), F.lit(False))
-    shapeless = F.coalesce(F.exists("tools", lambda t: ~F.coalesce(_kind(tool(t, "parameters")), F.lit("OBJECT")).startswith("OBJECT")), F.lit(False))
+    shapeless = F.coalesce(F.exists("tools", lambda t: ~F.coalesce(_kind(F.try_parse_json(F.coalesce(tool(t, "parameters"), F.lit("{}")))), F.lit("VOID")).startswith("OBJECT")), F.lit(False))
     reason = F.when(F.coalesce(F.size("messages"), F.lit(0)) <= 0, "messages must be a non-empty list")
     reason = F.coalesce(reason, F.get(F.filter(faults, lambda f: f.isNotNull()), F.lit(0)), F.when(nameless, "a tool needs a name").when(shapeless, "a tool's parameters must be a mapping"))
     shown = F.transform("messages", lambda m: m.withField("parts", F.transform(m["parts"], lambda p: p.dropFields("fault"))).dropFields("fault"))

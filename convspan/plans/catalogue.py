@@ -54,7 +54,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adapt_messages_roles(spark, sf_dir):
-    found = adapters.messages_adapter(_rows(spark, sf_dir), full=False).where("reason is null")
+    found = adapters.messages_adapter(_rows(spark, sf_dir)).where("reason is null")
     m = found.select("conv_id", F.posexplode("messages").alias("at", "m"))
     return m.select("conv_id", F.col("at").cast("long").alias("message_index"), "m.role", F.size("m.parts").cast("long").alias("parts"), F.length(F.col("m.parts")[0]["value"]).cast("long").alias("chars"))
 

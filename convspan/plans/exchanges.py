@@ -78,7 +78,7 @@ def tool_unit_messages(spark, sf_dir):
 
 def tool_links(spark, sf_dir):
     """Calls without results, results without calls, and both, per kind."""
-    found = tool_units.links(tool_messages(spark, sf_dir).where("sample_id % 11 not in (4, 5, 8)"))
+    found = tool_units.links(tool_messages(spark, sf_dir))
     kind = F.when(F.col("call_message").isNull(), "result without call").when(F.col("result_message").isNull(), "call without result").otherwise("linked")
     return found.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("result_message") - F.col("call_message")).cast("long").alias("distance"))
 
@@ -234,8 +234,8 @@ SQL = {
                           "UNION ALL SELECT 'a weight is negative or no number', sample_id, (n - 8) // 50 + 1 FROM n WHERE sample_id % 6 = 3 AND n > 7 UNION ALL SELECT 'a first token has weight', sample_id, 1 FROM n WHERE sample_id % 6 = 4)", "SELECT fault, CAST(sum(k) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS samples FROM y GROUP BY 1"),
     "tool_unit_rejects": _with(AUDIT, "SELECT * FROM bad"),
     "tool_unit_messages": _with(AUDIT, "SELECT sample_id, i AS message_index, unit, tool_exchange FROM units"),
-    "tool_links": _with(TOOLS + ", c AS (SELECT sample_id, i, unnest(calls) AS id FROM tm WHERE sample_id % 11 NOT IN (4, 5, 8)), r AS (SELECT sample_id, i, unnest(results) AS id FROM tm WHERE sample_id % 11 NOT IN (4, 5, 8))",
-                        "SELECT CASE WHEN c.i IS NULL THEN 'result without call' WHEN r.i IS NULL THEN 'call without result' ELSE 'linked' END AS kind, CAST(count(*) AS BIGINT) AS links, CAST(sum(r.i - c.i) AS BIGINT) AS distance FROM c FULL JOIN r USING (sample_id, id) GROUP BY 1"),
+    "tool_links": _with(TOOLS + ", c0 AS (SELECT sample_id, i, unnest(calls) AS id, generate_subscripts(calls, 1) AS k FROM tm), r0 AS (SELECT sample_id, i, unnest(results) AS id, generate_subscripts(results, 1) AS k FROM tm), c AS (SELECT *, row_number() OVER (PARTITION BY sample_id, id ORDER BY i, k) AS nth FROM c0), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, id ORDER BY i, k) AS nth FROM r0)",
+                        "SELECT CASE WHEN c.i IS NULL THEN 'result without call' WHEN r.i IS NULL THEN 'call without result' ELSE 'linked' END AS kind, CAST(count(*) AS BIGINT) AS links, CAST(sum(r.i - c.i) AS BIGINT) AS distance FROM c FULL JOIN r USING (sample_id, id, nth) GROUP BY 1"),
     "trunc_semantic_tools": _with(TOKENS, "SELECT sample_id, start, stop, CAST(low AS BIGINT) AS first_block, CAST(high AS BIGINT) AS last_block, CAST(score AS DOUBLE) AS score, CAST(context AS BIGINT) AS context, relaxed, CAST(kept_units AS BIGINT) AS kept_units, CAST(kept_exchanges AS BIGINT) AS kept_exchanges FROM wins"),
     "truncation_records": _with(TOKENS, "SELECT sample_id, 'semantic_loss_aware' AS policy, n_tokens AS original_length, start, stop, selected AS original_selected, kept_selected AS retained_selected, CAST(all_weight AS DOUBLE) AS original_weight, CAST(score AS DOUBLE) AS retained_weight, CAST(context AS BIGINT) AS retained_context, NOT relaxed AS context_satisfied, "
                                 f"{_list('')} AS original_messages, {_list(' AND tm.i BETWEEN low AND high')} AS retained_messages, {_list(' AND tm.i NOT BETWEEN low AND high')} AS dropped_messages, CAST(n_units AS BIGINT) AS original_units, CAST(kept_units AS BIGINT) AS retained_units, CAST(n_exchanges AS BIGINT) AS original_exchanges, CAST(kept_exchanges AS BIGINT) AS retained_exchanges, CAST(NULL AS VARCHAR) AS fault FROM wins WHERE n_tokens > 96 AND start IS NOT NULL"),

@@ -89,7 +89,7 @@ SQL = {
     "adapter_reason_counts": _with(REASONS, "SELECT reason, CAST(count(*) AS BIGINT) AS rows FROM reasons WHERE reason IS NOT NULL GROUP BY 1"),
     "adapt_prompt_completion": "SELECT conv_id, sha256(arg_min(text, turn) FILTER (role = 'user')) AS user_sha, sha256(arg_min(text, turn) FILTER (role = 'assistant')) AS assistant_sha FROM conversations GROUP BY 1 HAVING bool_or(role = 'user') AND bool_or(role = 'assistant')",
     "adapt_sharegpt_alias": "SELECT role, CAST(count(*) AS BIGINT) AS messages FROM conversations GROUP BY 1",
-    "sample_id_fallback": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'repo:train:' || conv_id ELSE sha256('repo' || chr(0) || 'main' || chr(0) || 'default' || chr(0) || 'train' || chr(0) || conv_id) END AS sample_id FROM conversations",
+    "sample_id_fallback": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'repo:train:' || conv_id ELSE 'repo:train:' || sha256('repo' || chr(0) || 'main' || chr(0) || 'default' || chr(0) || 'train' || chr(0) || conv_id) END AS sample_id FROM conversations",
     "render_olmo2_text": _with(OLMO_SPANS, TEXT.format("olmo2_instruct")),
     "render_math_text": _with(MATH_SPANS, TEXT.format("qwen2_5_math")),
     "render_qwen35_text": _with(QWEN_DOCS, TEXT.format("qwen3_5_text")),

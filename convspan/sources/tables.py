@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOOL_CALL = "struct<id:string,type:string,function:struct<name:string,arguments:string>>"
+from convspan.operators import typed_blocks
+
 #: One schema per dialect; JSON-valued fields stay strings. Nothing is inferred.
 DIALECTS = {
-    "messages": f"id string, prompt_id string, messages array<struct<role:string,content:string,reasoning_content:string,tool_calls:array<{TOOL_CALL}>,tool_call_id:string>>, tools array<struct<type:string,function:struct<name:string,description:string,parameters:string>>>",
-    "ultrachat_200k": "prompt string, prompt_id string, messages array<struct<role:string,content:string>>",
+    "messages": f"id string, prompt_id string, {typed_blocks.ROW}",
+    "ultrachat_200k": "prompt string, prompt_id string, messages array<struct<role:string,content:variant>>",
     "prompt_completion": "id string, prompt string, completion string",
-    "sharegpt": "id string, conversations array<struct<from:string,value:string>>",
+    "sharegpt": "id string, conversations array<struct<from:string,value:variant,role:string,content:variant>>",
 }
 
 

@@ -27,6 +27,47 @@ def test_tool_call_adapter(spark, tmp_path):
         adapters.get_adapter("guess")
 
 
+def adapted(spark, tmp_path, name, *rows):
+    path = tmp_path / f"{name}.jsonl"
+    path.write_text("\n".join(json.dumps(r) for r in rows))
+    return {r.id: r for r in adapters.get_adapter(name)(tables.rows(spark, str(path), name)).collect()}
+
+
+def test_registered_adapters(spark, tmp_path):
+    """Each dialect by its registered name: what is optional may be missing, what belongs to an assistant stays with it."""
+    user, plain = {"role": "user", "content": "?"}, {"role": "assistant", "tool_calls": [{"id": "c", "function": {"name": "now"}}]}
+    thinker = {"role": "user", "content": "?", "reasoning_content": "hm"}
+    blocks = {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "tool_use", "id": "d", "name": "f", "input": {}}]}
+    ordered = {"role": "assistant", "tool_calls": [{"id": "e", "function": {"name": "f", "arguments": {"z": 1.50, "a": " x  y "}}}]}
+    found = adapted(spark, tmp_path, "messages", {"id": "no arguments", "messages": [user, plain]}, {"id": "thinking user", "messages": [thinker]}, {"id": "blocks", "messages": [user, blocks]}, {"id": "order", "messages": [user, ordered]}, {"id": "name", "messages": [user | {"name": ""}]})
+    assert found["no arguments"].reason is None and [(p.kind, p.value, p.tool_name) for p in found["no arguments"].messages[1].parts] == [("tool_call", "{}", "now")]
+    assert found["thinking user"].reason == "reasoning belongs to an assistant and is a string" and "identifier" in found["name"].reason
+    assert [(p.kind, p.value) for p in found["blocks"].messages[1].parts] == [("text", "a"), ("tool_call", "{}")]
+    assert found["order"].messages[1].parts[0].value == '{"z":1.5,"a":" x  y "}'
+    found = adapted(spark, tmp_path, "sharegpt", {"id": "s", "conversations": [{"from": "human", "value": "?"}, {"from": "gpt", "value": [{"type": "thinking", "thinking": "t"}, {"type": "text", "text": "!"}]}]}, {"id": "t", "conversations": [{"from": "cat", "value": "x"}]})
+    assert [[(p.kind, p.value) for p in m.parts] for m in found["s"].messages] == [[("text", "?")], [("reasoning", "t"), ("text", "!")]] and found["t"].reason == "unknown message role"
+    rows = [{"prompt": "?", "prompt_id": "u", "messages": [user, {"role": "assistant", "content": "!"}]}, {"prompt": "other", "prompt_id": "v", "messages": [user]}, {"prompt": "?", "prompt_id": "w", "messages": [user, {"role": "system", "content": "x"}]}, {"prompt": "?", "prompt_id": "x", "messages": [{"role": "robot"}]}, {"prompt": "?", "messages": [user]}]
+    (tmp_path / "u.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    reasons = {r.prompt_id: r.reason for r in adapters.get_adapter("ultrachat_200k")(tables.rows(spark, str(tmp_path / "u.jsonl"), "ultrachat_200k")).collect()}
+    assert reasons == {"u": None, "v": "prompt must equal the first user message", "w": "only user and assistant roles are supported", "x": "unknown message role", None: "prompt_id must be a string"}
+
+
+def test_plain_chat_refusals(spark):
+    rows = [("none", 0, "assistant", "x", 1), ("reply", 0, "user", " <tool_response>1</tool_response> ", 1), ("late", 0, "user", "x", 2), ("late", 1, "system", "y", 2), ("ok", 0, "system", "s", 2), ("ok", 1, "user", "x", 2)]
+    m = spark.createDataFrame(rows, "sample_id string, message_index int, role string, text string, n_messages long")
+    assert {r.sample_id: r.error for r in render.plain_refusals(m).collect()} == {"none": "at least one user query is required", "reply": "at least one user query is required", "late": "system message must be first"}
+    assert {r.sample_id for r in render.qwen3_5(m).select("sample_id").collect()} == {"ok"}
+
+
+def test_sample_ids(spark):
+    row = spark.range(1)
+    place = "\0".join(("a/b", "r", "c", "train", "7"))
+    import hashlib
+
+    got = row.select(adapters.sample_id("a/b", "r", "c", "train", F.lit(7)).alias("x"), adapters.sample_id("a/b", "r", "c", "train", F.lit(7), F.lit(""), F.lit("id")).alias("y")).first()
+    assert got.x == "a/b:train:" + hashlib.sha256(place.encode()).hexdigest() and got.y == "a/b:train:id"
+
+
 def test_render_strip_and_boundary(spark):
     m = spark.createDataFrame([("s", 0, "user", "　 hi\n", 2), ("s", 1, "assistant", "yo", 2)], "sample_id string, message_index int, role string, text string, n_messages long")
     assert render.documents(render.qwen3_5(m)).first().text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\nyo<|im_end|>\n"

@@ -56,3 +56,16 @@ def test_errors(spark):
     text = [("text", "x", None, None)]
     rows = [("dev", [("developer", text)], None), ("none", [("assistant", text)], None), ("late", [("user", text), ("system", text)], None), ("call", [("user", text), ("assistant", [("tool_call", "{}", "c", "")])], None), ("ok", [("user", text)], None)]
     assert {r.sample_id for r in render_tools.errors(spark.createDataFrame(rows, schema)).collect()} == {"dev", "none", "late", "call"}
+
+
+def test_calls_of_many_arguments(spark, tmp_path):
+    """Spans stand in the order of their messages, however many a message has."""
+    n = 1500
+    row = {"id": "many", "tools": [TOOL] * 3, "messages": [{"role": "user", "content": "?"}, {"role": "assistant", "content": "x", "tool_calls": [call(1, {f"p{k}": k for k in range(n)})]}, {"role": "tool", "content": "RESULT", "tool_call_id": "c1"}, {"role": "assistant", "content": "done"}]}
+    path = tmp_path / "rows.jsonl"
+    path.write_text(json.dumps(row))
+    samples = adapters.get_adapter("messages")(tables.rows(spark, str(path), "messages")).withColumnRenamed("id", "sample_id")
+    text = render.documents(render_tools.qwen3_5_with_tools(samples)).first().text
+    parameters = "".join(f"<parameter=p{k}>\n{k}\n</parameter>\n" for k in range(n))
+    assert f"<function=weather>\n{parameters}</function>\n</tool_call><|im_end|>\n<|im_start|>user\n<tool_response>\nRESULT\n</tool_response><|im_end|>\n" in text
+    assert text.startswith("<|im_start|>system\n" + render_tools.TOOL_PREAMBLE + "\n{") and text.count('{"type": "function"') == 3 and text.index(render_tools.TOOL_INSTRUCTIONS) < text.index("<|im_start|>user")
