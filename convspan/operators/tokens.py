@@ -8,22 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspan.operators import render
+from convspan.operators.encoders import WORDS, Encoder, as_encoder
 
-#: A lossless tokenizer: runs of words and of white space.
-WORDS = r"[^ \t\n\r]+|[ \t\n\r]+"
 CHARACTERS = r"[\s\S]"
 FIELDS = ("role", "span_class", "message_index", "part_kind", "part_index", "call_id", "tool_name", "tags")
 
 
-def tokenize(documents: DataFrame, pattern: str = WORDS) -> DataFrame:
-    """sample_id, pos, token, token_id, start, end: the tokens of (sample_id, text), ranges in characters.
-
-    token_id is the number in the first seven hexadecimal digits of the token's hash.
-    """
-    found = documents.select("sample_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("pos", "token"))
-    end = F.sum(F.length("token")).over(Window.partitionBy("sample_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    number = F.conv(F.substring(F.sha2("token", 256), 1, 7), 16, 10).cast("int")
-    return found.withColumn("end", end).select("sample_id", "pos", "token", number.alias("token_id"), (F.col("end") - F.length("token")).alias("start"), "end")
+def tokenize(documents: DataFrame, encoder: Encoder | str = WORDS) -> DataFrame:
+    """sample_id, pos, token, token_id, start, end: the tokens of (sample_id, text) by an encoder or a pattern, ranges in characters."""
+    return as_encoder(encoder).tokens(documents)
 
 
 def align(tokens: DataFrame, spans: DataFrame, owner: str = "right") -> DataFrame:
