@@ -35,9 +35,12 @@ def index_columns(flat: Column, accumulation: int, processes: int, devices: int,
     }
 
 
-def padded(tokens: DataFrame, windows: DataFrame, length: int, pad_id: int = 0) -> DataFrame:
-    """sample_id, input_ids, attention_mask, loss_weights of length each, from tokens within their sample's window [start, stop)."""
-    inside = tokens.join(windows.select("sample_id", "start", "stop").withColumnsRenamed({"start": "from", "stop": "to"}), "sample_id").where("pos >= from and pos < to")
+def padded(tokens: DataFrame, windows: DataFrame | None, length: int, pad_id: int = 0) -> DataFrame:
+    """sample_id, input_ids, attention_mask, loss_weights of length each, from tokens within their sample's window [start, stop).
+
+    Without windows the tokens bring theirs as from and to, and only those inside are there, as truncate.within_loss_aware gives them.
+    """
+    inside = tokens if windows is None else tokens.join(windows.select("sample_id", "start", "stop").withColumnsRenamed({"start": "from", "stop": "to"}), "sample_id").where("pos >= from and pos < to")
     weight = F.when(F.col("pos") == F.col("from"), 0.0).otherwise(F.col("weight"))
     rows = inside.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id", weight.alias("weight")))).alias("t"))
     fill = lambda values, pad: F.concat(values, F.array_repeat(pad, F.lit(length) - F.size("t")))

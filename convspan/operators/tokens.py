@@ -36,6 +36,54 @@ def align(tokens: DataFrame, spans: DataFrame, owner: str = "right") -> DataFram
     return found.select("__token.*", "__span.*")
 
 
+OWNERS = ("right", "left", "reject")
+
+
+def owned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """sample_id, pos, span_index, fault of every token, by the boundary owner of each span it overlaps.
+
+    spans are (sample_id, span_index, left, right, boundary_owner), ranges of characters that may overlap, leave gaps or be empty, but begin
+    and end in the order of their indices, which count from 0. A token in one span is its own; in several it is the last one's if all say right,
+    the first one's if all say left, else it is at fault, as are tokens in no span, without characters or before the text, and all tokens of a sample whose spans
+    are out of order. An empty span is overlapped by a token around it.
+
+    A token overlaps the spans that begin before its end less those that end at its start or before, which are a run of indices: one
+    sweep over the edges of spans and tokens in the order of their places counts both for each owner. No span meets a token in a join.
+    """
+    by = Window.partitionBy("sample_id")
+    s = spans.select("sample_id", "span_index", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.coalesce("boundary_owner", F.lit("right")).alias("owner"))
+    order = by.orderBy("span_index")
+    back = (F.col("left") < F.lag("left").over(order)) | (F.col("right") < F.lag("right").over(order)) | (F.col("right") < F.col("left")) | (F.col("span_index") != F.row_number().over(order) - 1)
+    s = s.withColumn("back", F.coalesce(back, F.lit(False)))
+    # At one place spans end first, then tokens start; tokens end before spans begin there.
+    edge = lambda at, kind: F.struct(F.col(at).cast("long").alias("at"), F.lit(kind).alias("kind"))
+    none = F.lit(None).cast("int").alias("pos")
+    of_spans = s.select("sample_id", none, "owner", "back", F.explode(F.array(edge("right", 0), edge("left", 3))).alias("edge"))
+    of_tokens = tokens.select("sample_id", F.col("pos").cast("int").alias("pos"), F.lit(None).cast("string").alias("owner"), F.lit(False).alias("back"), F.explode(F.array(edge("start", 1), edge("end", 2))).alias("edge"))
+    sweep = by.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
+    seen = [F.count_if((F.col("edge.kind") == kind) & (F.col("owner") == owner)).over(sweep).alias(f"{owner}_{kind}") for kind in (0, 3) for owner in OWNERS]
+    rows = of_spans.unionByName(of_tokens).select("sample_id", "pos", "edge", *seen, F.max("back").over(by).alias("disordered")).where("pos is not null")
+    at_start = lambda c: F.max(F.when(F.col("edge.kind") == 1, F.col(c)))
+    at_end = lambda c: F.max(F.when(F.col("edge.kind") == 2, F.col(c)))
+    found = rows.groupBy("sample_id", "pos").agg(
+        at_start("edge.at").alias("start"), at_end("edge.at").alias("end"), F.max("disordered").alias("disordered"),
+        sum((at_start(f"{o}_0") for o in OWNERS[1:]), at_start("right_0")).alias("first"), *[(at_end(f"{o}_3") - at_start(f"{o}_0")).alias(o) for o in OWNERS],
+    )
+    count = F.col("right") + F.col("left") + F.col("reject")
+    fault = F.when((F.col("start") < 0) | (F.col("end") < F.col("start")), "a token has no valid range").when(F.col("end") == F.col("start"), "a token has no characters").when(F.col("disordered"), "spans are out of order")
+    fault = fault.when(count <= 0, "a token lies outside the spans").when((count > 1) & (F.col("right") < count) & (F.col("left") < count), "a token crosses spans without one owner")
+    owner = F.when((count == 1) | (F.col("left") == count), F.col("first")).otherwise(F.col("first") + count - 1)
+    return found.withColumn("fault", fault).select("sample_id", "pos", F.when(F.col("fault").isNull(), owner).cast("int").alias("span_index"), "fault")
+
+
+def align_owned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """Tokens with the fields of the span that owns them by owned(), and fault; tokens at fault have no span."""
+    more = [c for c in FIELDS if c in spans.columns and c not in ("role", "span_class", "message_index")]
+    fields = spans.select("sample_id", "span_index", "message_index", "span_class", "role", "default_weight", *more)
+    placed = spans if "left" in spans.columns else render.ranges(spans)
+    return tokens.join(owned(tokens, placed), ["sample_id", "pos"]).join(fields, ["sample_id", "span_index"], "left")
+
+
 def alignment_faults(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """sample_id, pos, fault of tokens that have no characters, lie outside their sample's text, or cross from one span into another."""
     size = spans.groupBy("sample_id").agg(F.sum(F.length("text")).alias("size"))

@@ -22,32 +22,49 @@ def plain(weighed: DataFrame, length: int, side: str) -> DataFrame:
     return sizes(weighed).select("sample_id", "n_tokens", start.cast("long").alias("start"), stop.cast("long").alias("stop"))
 
 
-def loss_aware(weighed: DataFrame, length: int, min_context: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """sample_id, n_tokens, start, stop, selected, context, relaxed of the window with the greatest score.
+def _starts(weighed: DataFrame, length: int, min_context: int, keep: tuple[str, ...], candidates: bool) -> DataFrame:
+    """Every token as the start of a window, with what the window has and best, a struct that is greatest for the best one; only tokens that
+    may start one if candidates, else the others have a null best.
 
-    Ties go to the latest last weighted token, then to the earliest start. Windows with fewer than min_context tokens before their
-    first weighted one count only if there is no other (relaxed). Running sums, and their values length - 1 rows ahead, give every
-    start's score, so a sample costs one sort. Columns of keep, which are alike on all of a sample's tokens, come along.
+    Running sums, and their values length - 1 rows ahead, give every start's score.
     """
     by = Window.partitionBy("sample_id")
     up = by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     down = by.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     order = by.orderBy("pos")
     positive = F.when(F.col("weight") > 0, F.col("pos"))
-    rows = weighed.select("sample_id", "pos", "weight", *keep, F.count(F.lit(1)).over(by).alias("n_tokens"), F.sum("weight").over(up).alias("total"), F.max(positive).over(up).alias("latest"), F.min(positive).over(down).alias("next"), F.count(positive).over(up).alias("seen"))
+    rows = weighed.select("sample_id", "pos", "weight", *keep, F.count(F.lit(1)).over(by).alias("n_tokens"), F.min(positive).over(down).alias("next"), F.sum("weight").over(up).alias("total"), F.max(positive).over(up).alias("latest"), F.count(positive).over(up).alias("seen"))
     ahead = {c: F.lead(c, length - 1).over(order) for c in ("total", "latest", "seen")} if length > 1 else {}
     last = {c: F.last(c).over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for c in ("total", "latest", "seen")}
-    rows = rows.select("sample_id", "pos", "n_tokens", "next", *keep, *[F.col(c).alias(f"{c}_here") for c in ("total", "seen")], *[F.when(F.col("n_tokens") <= length, last[c]).otherwise(ahead.get(c, F.col(c))).alias(c) for c in ("total", "latest", "seen")])
-    rows = rows.where((F.col("pos") + length <= F.col("n_tokens")) | (F.col("pos") == 0))
+    rows = rows.select("sample_id", "pos", "weight", "n_tokens", "next", *keep, *[F.col(c).alias(f"{c}_here") for c in ("total", "seen")], *[F.when(F.col("n_tokens") <= length, last[c]).otherwise(ahead.get(c, F.col(c))).alias(c) for c in ("total", "latest", "seen")])
+    may = (F.col("pos") + length <= F.col("n_tokens")) | (F.col("pos") == 0)
+    rows = rows.where(may) if candidates else rows
     stop = F.least(F.col("pos") + length, F.col("n_tokens"))
     score, selected = F.col("total") - F.col("total_here"), F.col("seen") - F.col("seen_here")
     context = F.when(selected > 0, F.col("next") - F.col("pos")).otherwise(0)
-    rows = rows.select("sample_id", "n_tokens", *keep, F.col("pos").alias("start"), stop.alias("stop"), score.alias("score"), selected.alias("selected"), context.alias("context"), F.when(selected > 0, F.col("latest")).otherwise(-1).alias("latest"))
-    enough = ((F.col("context") >= min_context) & (F.col("selected") > 0)).cast("int")
-    best = by.orderBy(F.desc(enough), F.desc("score"), F.desc("latest"), "start")
-    picked = rows.withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    enough = ((context >= min_context) & (selected > 0)).cast("int")
+    best = F.when(may, F.struct(enough.alias("enough"), score.alias("score"), F.when(selected > 0, F.col("latest")).otherwise(-1).alias("latest"), (-F.col("pos")).alias("back"), stop.alias("stop"), selected.alias("selected"), context.alias("context")))
+    return rows.withColumn("best", best)
+
+
+def within_loss_aware(weighed: DataFrame, length: int, min_context: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """sample_id, pos, weight, columns of keep, from, to of the tokens in their sample's window by loss_aware, [from, to): tokens and window
+    come from one sort of a sample's tokens, without a join."""
+    rows = _starts(weighed, length, min_context, keep, False).withColumn("best", F.max("best").over(Window.partitionBy("sample_id")))
+    rows = rows.select("sample_id", "pos", "weight", *keep, (-F.col("best.back")).alias("from"), F.col("best.stop").alias("to"))
+    return rows.where("pos >= from and pos < to")
+
+
+def loss_aware(weighed: DataFrame, length: int, min_context: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """sample_id, n_tokens, start, stop, selected, context, relaxed of the window with the greatest score.
+
+    Ties go to the latest last weighted token, then to the earliest start. Windows with fewer than min_context tokens before their
+    first weighted one count only if there is no other (relaxed). Columns of keep, which are alike on all of a sample's tokens, come along.
+    """
+    rows = _starts(weighed, length, min_context, keep, True)
+    picked = rows.groupBy("sample_id").agg(F.max(F.struct("best", "n_tokens", *keep)).alias("b")).select("sample_id", "b.n_tokens", "b.best.*", *[F.col("b")[c].alias(c) for c in keep])
     relaxed = (F.col("n_tokens") > length) & (F.col("selected") > 0) & (F.col("context") < min_context)
-    return picked.select("sample_id", "n_tokens", F.col("start").cast("long"), F.col("stop").cast("long"), "selected", F.col("context").cast("long"), relaxed.alias("relaxed"), *keep)
+    return picked.select("sample_id", "n_tokens", (-F.col("back")).cast("long").alias("start"), F.col("stop").cast("long"), "selected", F.col("context").cast("long"), relaxed.alias("relaxed"), *keep)
 
 
 def message_blocks(weighed: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from convspan.operators import classify, render, tokens, tool_units, truncate
 from convspan.plans.oracle import MESSAGES
 from convspan.sources import tables
+from convspan.sources.stage import staged
 
 LENGTH, CONTEXT = 96, 4
 EMPTY = "array<string>"
@@ -90,13 +91,19 @@ def _transcript(messages: DataFrame) -> DataFrame:
     return render.spans_of(messages, each, render.span("tool_preamble", F.when(F.col("sample_id") % 2 == 0, "<tools> lookup </tools>\n").otherwise("")))
 
 
-def _tool_tokens(spark, sf_dir) -> DataFrame:
-    spans = _transcript(tool_messages(spark, sf_dir))
+def _tool_tokens(messages: DataFrame) -> DataFrame:
+    spans = _transcript(messages)
     return tokens.weigh(tokens.align(tokens.tokenize(render.documents(spans)), spans), ())
 
 
-def _tool_windows(spark, sf_dir, context: int = CONTEXT) -> DataFrame:
-    return truncate.semantic_loss_aware(_tool_tokens(spark, sf_dir), LENGTH, tool_units.units_of_messages(tool_messages(spark, sf_dir)), context)
+def _tool_windows(messages: DataFrame, w: DataFrame, context: int = CONTEXT) -> DataFrame:
+    return truncate.semantic_loss_aware(w, LENGTH, tool_units.units_of_messages(messages), context)
+
+
+def _staged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Messages and their weighed tokens, each made once for all that reads them."""
+    messages = staged(tool_messages(spark, sf_dir))
+    return messages, staged(_tool_tokens(messages))
 
 
 TOKENS = AUDIT + r""",
@@ -121,16 +128,17 @@ wins AS (SELECT totals.sample_id, totals.n_tokens, totals.weight AS all_weight,
 
 
 def trunc_semantic_tools(spark, sf_dir):
-    return _tool_windows(spark, sf_dir).select("sample_id", "start", "stop", F.col("first_block").cast("long"), F.col("last_block").cast("long"), "score", F.col("context").cast("long"), "relaxed", F.col("kept_units").cast("long"), F.col("kept_exchanges").cast("long"))
+    return _tool_windows(*_staged(spark, sf_dir)).select("sample_id", "start", "stop", F.col("first_block").cast("long"), F.col("last_block").cast("long"), "score", F.col("context").cast("long"), "relaxed", F.col("kept_units").cast("long"), F.col("kept_exchanges").cast("long"))
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    return truncate.records(_tool_tokens(spark, sf_dir), _tool_windows(spark, sf_dir), "semantic_loss_aware", LENGTH, CONTEXT)
+    messages, w = _staged(spark, sf_dir)
+    return truncate.records(w, _tool_windows(messages, w), "semantic_loss_aware", LENGTH, CONTEXT)
 
 
 def truncation_records(spark, sf_dir):
     """Every record with its lists as text, and the fault that the checks find (none)."""
-    found = _records(spark, sf_dir)
+    found = staged(_records(spark, sf_dir))
     told = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return found.join(truncate.record_faults(found), "sample_id", "left").select(
         "sample_id", "policy", "original_length", "start", "stop", "original_selected", "retained_selected", "original_weight", "retained_weight", F.col("retained_context").cast("long"), "context_satisfied",
@@ -146,8 +154,8 @@ def _policies(spark, sf_dir) -> DataFrame:
 
     Samples of a multiple of 13 have a role that no adapter knows; under "right" a rule is required that matches system messages only.
     """
-    messages, w = tool_messages(spark, sf_dir), _tool_tokens(spark, sf_dir)
-    found = _tool_windows(spark, sf_dir).select("sample_id", F.col("start").alias("s"), F.col("stop").alias("e"), "relaxed", "kept_exchanges", F.lit(True).alias("sound"))
+    messages, w = _staged(spark, sf_dir)
+    found = _tool_windows(messages, w).select("sample_id", F.col("start").alias("s"), F.col("stop").alias("e"), "relaxed", "kept_exchanges", F.lit(True).alias("sound"))
     rows = truncate.plain(w, LENGTH, "right").select("sample_id", "n_tokens").join(found, "sample_id", "left")
     rows = rows.join(messages.groupBy("sample_id").agg(F.count_if(F.col("role") == "system").alias("systems")), "sample_id")
     rows = rows.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("truncated", F.col("n_tokens") > LENGTH)
@@ -173,7 +181,7 @@ def classify_policies(spark, sf_dir):
 
 def stream_counters_all(spark, sf_dir):
     """All counters of a stream of one epoch, for each policy."""
-    return classify.stream_counters(_policies(spark, sf_dir), ["policy"])
+    return classify.stream_counters(staged(_policies(spark, sf_dir)), ["policy"])
 
 
 POLICY_CLASSES = TOKENS + """,
@@ -212,7 +220,7 @@ def alignment_faults(spark, sf_dir):
 def token_faults(spark, sf_dir):
     """Rules of tokenized samples that samples break, each damaged in one way by its number."""
     kind, at = F.col("sample_id") % 6, F.col("pos")
-    w = _tool_tokens(spark, sf_dir).where(~((kind == 1) & (at == 2)))
+    w = _tool_tokens(tool_messages(spark, sf_dir)).where(~((kind == 1) & (at == 2)))
     w = w.withColumns({"end": F.when((kind == 2) & (at == 4), F.col("start")).otherwise(F.col("end")), "weight": F.when((kind == 3) & (at % 50 == 7), -F.col("weight") - 1).when((kind == 4) & (at == 0), 1.0).otherwise(F.col("weight"))})
     return tokens.faults(w).groupBy("fault").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("sample_id").alias("samples"))
 
