@@ -125,7 +125,6 @@ SQL = {
     "tape_validation": "SELECT DISTINCT conv_id AS item, 'a weight is negative or no number' AS fault FROM conversations WHERE conv_id % 4 = 1",
     "resume_cursor": _with(ORDER, "SELECT sample_id, position FROM o WHERE position % 4 = 1 AND position >= 13"),
     "epoch_rollover": "WITH o AS (SELECT epoch, conv_id AS sample_id, row_number() OVER (PARTITION BY epoch ORDER BY sha256((17 + epoch) || ':' || conv_id), conv_id) - 1 AS position, count(*) OVER (PARTITION BY epoch) AS n FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT range AS epoch FROM range(4))), r AS (SELECT *, row_number() OVER (ORDER BY epoch, position) AS k, (n - 1 + 3) // 4 AS per FROM o WHERE position % 4 = 1) SELECT epoch, sample_id, position FROM r WHERE k > 3 AND k <= 3 + per * 5 // 2",
-    "explain_tokens": _with(WEIGHED, f"SELECT pos, token, CAST(s AS BIGINT) AS start_char, e AS end_char, span_class, {ROLE}, CAST(weight AS DOUBLE) AS weight FROM w WHERE sample_id = 0"),
     "explain_all_tokens": _with(WEIGHED, f"SELECT sample_id, pos, token, CAST(s AS BIGINT) AS start_char, e AS end_char, span_class, {ROLE}, CAST(weight AS DOUBLE) AS weight FROM w"),
     "loss_statistics": _with(LOGITS, "SELECT round(sum(loss * weight), 3) AS numerator, sum(weight) AS denominator, sum(CASE WHEN list_position(x, list_max(x)) - 1 = target THEN weight ELSE 0 END) AS correct_weight, CAST(count(*) FILTER (weight > 0) AS BIGINT) AS token_count, round(sum(loss * weight) / greatest(sum(weight), 1e-12), 5) AS loss FROM loss"),
     "loss_ratio_of_sums": _with(LOGITS + ", p AS (SELECT target, sum(loss * weight) AS n, sum(weight) AS d FROM loss GROUP BY 1)", "SELECT round(sum(n) / sum(d), 5) AS ratio_of_sums, round(avg(n / d), 5) AS mean_of_ratios FROM p"),
