@@ -35,6 +35,38 @@ def index_columns(flat: Column, accumulation: int, processes: int, devices: int,
     }
 
 
+def number_emitted(rows: DataFrame, emitted: Column, order: tuple[str, ...] = ("epoch", "position"), by: tuple[str, ...] = ("rank",), width: int = 4096) -> DataFrame:
+    """rows with emitted_index: how many emitted rows of the same by stand before an emitted one in the order; null for others.
+
+    Ranges of width positions (the last column of order) are counted first, one row each, and their running sums join the counts within each
+    range, so no task numbers all rows and rejected rows leave no gap, across epoch ends too.
+    """
+    keys = [*by, *order[:-1], "__range"]
+    rows = rows.withColumns({"__yes": F.coalesce(emitted, F.lit(False)).cast("int"), "__range": F.floor(F.col(order[-1]) / width)})
+    before = Window.partitionBy(*by).orderBy(*order[:-1], "__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys).agg(F.sum("__yes").alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    within = F.sum("__yes").over(Window.partitionBy(*keys).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("__within", within).join(ranges, keys)
+    return found.withColumn("emitted_index", F.when(F.col("__yes") == 1, F.col("__before") + F.col("__within") - 1)).drop("__yes", "__range", "__before", "__within")
+
+
+#: What a batch is made of.
+ARRAYS = ("input_ids", "attention_mask", "loss_weights")
+
+
+def stack(rows: DataFrame, accumulation: int, devices: int, examples: int, by: tuple[str, ...] = ("rank",)) -> DataFrame:
+    """by, batch, sample_ids and ARRAYS of every whole batch of rows(by, emitted_index, sample_id, ARRAYS), nested as [device, accumulation, example].
+
+    Rows fill a batch accumulation by accumulation, in each device by device. A batch has accumulation * devices * examples rows; rows that
+    make up no whole one are left for the next call.
+    """
+    size, k = accumulation * devices * examples, F.col("emitted_index")
+    place = F.struct((F.floor(k / examples) % devices).alias("device"), (F.floor(k / (devices * examples)) % accumulation).alias("accumulation"), (k % examples).alias("example"))
+    found = rows.where(k.isNotNull()).groupBy(*by, F.floor(k / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "sample_id", *ARRAYS))).alias("x")).where(F.size("x") == size)
+    nest = lambda name: F.transform(F.sequence(F.lit(0), F.lit(devices - 1)), lambda d: F.transform(F.sequence(F.lit(0), F.lit(accumulation - 1)), lambda a: F.transform(F.slice("x", (d * accumulation + a) * examples + 1, F.lit(examples)), lambda r: r[name])))
+    return found.select(*by, "batch", nest("sample_id").alias("sample_ids"), *[nest(c).alias(c) for c in ARRAYS])
+
+
 def padded(tokens: DataFrame, windows: DataFrame | None, length: int, pad_id: int = 0) -> DataFrame:
     """sample_id, input_ids, attention_mask, loss_weights of length each, from tokens within their sample's window [start, stop).
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convspan.operators import adapters, batch, classify, params, render, render_tools, stats, tokens, tool_units, truncate
-from convspan.plans import dialects, encoding, exchanges, oracle, records, tensors
+from convspan.plans import dialects, encoding, epochs, exchanges, oracle, records, tensors
 from convspan.sources import recipe, tables
 from convspan.streaming import cursor
 
@@ -374,7 +374,7 @@ def queries() -> dict[str, Query]:
         require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, render_qwen35_tools, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
         resume_cursor, epoch_rollover, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
     ]
-    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | dialects.queries() | tensors.queries() | {
+    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | {
         "render_olmo2_text": _text_query("olmo2_instruct"), "render_math_text": _text_query("qwen2_5_math"), "render_qwen35_text": _text_query("qwen3_5_text"),
         "tokens_char_owner": _owner_query(tokens.CHARACTERS), "tokens_regex_owner": _owner_query(tokens.WORDS),
         "weights_last_match": _weights_query("last_match", tokens.DEFAULT_RULES), "weights_multiply": _weights_query("multiply", tokens.OVERLAPPING_RULES), "weights_conflicts": _weights_query("error", tokens.OVERLAPPING_RULES),
@@ -383,4 +383,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | dialects.SQL | tensors.SQL
+    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL
