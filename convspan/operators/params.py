@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convspan.functions.exact import exact_sums
 
 @dataclass(frozen=True)
 class AdamW:
@@ -21,8 +22,10 @@ class AdamW:
             raise ValueError("optimizer constants are out of range")
 
 
-def global_norm(gradients: DataFrame) -> DataFrame:
-    """One row: norm, the square root of all gradients' squares."""
+def global_norm(gradients: DataFrame, exact: bool = False) -> DataFrame:
+    """One row: norm, the square root of the sum of all gradients' squares; exact: of their exact sum, the same under any partitioning."""
+    if exact:
+        return exact_sums(gradients, {"squares": F.col("grad") * F.col("grad")}).select(F.sqrt("squares").alias("norm"))
     return gradients.agg(F.sqrt(F.sum(F.col("grad") * F.col("grad"))).alias("norm"))
 
 

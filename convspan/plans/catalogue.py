@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convspan.operators import adapters, batch, classify, params, render, render_tools, stats, tokens, tool_units, truncate
-from convspan.plans import dialects, encoding, epochs, exchanges, oracle, records, tensors
+from convspan.plans import dialects, encoding, epochs, exchanges, matrices, oracle, records, tensors
 from convspan.sources import recipe, tables
 from convspan.streaming import cursor
 
@@ -326,10 +326,9 @@ def adamw_step(spark, sf_dir):
     return moved.groupBy("path").agg(F.round(F.sum("value"), 4).alias("value"), F.round(F.sum("m"), 4).alias("m"), F.round(F.sum("v"), 4).alias("v"))
 
 
-def _matrices(spark, sf_dir, rows=None):
-    """W of the vectors with vec_id < rows (of all without rows), A of its first 4 columns, B of its first 4 rows."""
+def _matrices(spark, sf_dir):
+    """W of all vectors, A of its first 4 columns, B of its first 4 rows."""
     e = tables.table(spark, sf_dir, "embeddings")
-    e = e if rows is None else e.where(F.col("vec_id") < rows)
     w = e.select(F.lit("w").alias("path"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).withColumn("value", F.col("x").cast("double")).drop("x")
     return w, w.where("j < 4"), w.where("i < 4")
 
@@ -338,16 +337,6 @@ def _merged(w: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return params.merge_lora(w, a, b, 8.0, 4).select(F.col("i").cast("long"), F.col("j").cast("long"), F.round("value", 6).alias("value"))
 
 
-def lora_merge(spark, sf_dir):
-    """The merge of the 64 vectors that its twin names."""
-    return _merged(*_matrices(spark, sf_dir, 64))
-
-
-def lora_param_count(spark, sf_dir):
-    _, a, b = _matrices(spark, sf_dir, 64)
-    return params.parameter_count(a, b)
-
-
 def lora_merge_all(spark, sf_dir):
     """The merge of all vectors."""
     return _merged(*_matrices(spark, sf_dir))
@@ -372,9 +361,9 @@ def queries() -> dict[str, Query]:
     named = [
         adapt_messages_roles, adapt_ultrachat_reject, adapter_reason_counts, adapt_prompt_completion, adapt_sharegpt_alias, sample_id_fallback, render_span_inventory, span_ranges, alignment_left_vs_right, rule_match_counts,
         require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, render_qwen35_tools, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
-        resume_cursor, epoch_rollover, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge, lora_param_count, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
+        resume_cursor, epoch_rollover, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
     ]
-    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | {
+    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | matrices.queries() | {
         "render_olmo2_text": _text_query("olmo2_instruct"), "render_math_text": _text_query("qwen2_5_math"), "render_qwen35_text": _text_query("qwen3_5_text"),
         "tokens_char_owner": _owner_query(tokens.CHARACTERS), "tokens_regex_owner": _owner_query(tokens.WORDS),
         "weights_last_match": _weights_query("last_match", tokens.DEFAULT_RULES), "weights_multiply": _weights_query("multiply", tokens.OVERLAPPING_RULES), "weights_conflicts": _weights_query("error", tokens.OVERLAPPING_RULES),
@@ -383,4 +372,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL
+    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL | matrices.SQL

@@ -63,7 +63,6 @@ LOGITS = "l AS (SELECT vec_id, label AS target, CAST(vec_id % 3 AS DOUBLE) AS we
 DAILY = """d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS step, event_id % 2 AS side, CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS value FROM events GROUP BY 1, 2),
 errors AS (SELECT coalesce(a.step, b.step) AS step, abs(a.value - b.value) AS abs_error, abs(a.value - b.value) / greatest(abs(b.value), 1e-12) AS rel_error, a.value IS NOT NULL AND b.value IS NOT NULL AS paired FROM (SELECT * FROM d WHERE side = 0) a FULL JOIN (SELECT * FROM d WHERE side = 1) b ON a.step = b.step)"""
 STATE = "s AS (SELECT path, i, CAST(v AS DOUBLE) AS value, CAST(v AS DOUBLE) * 0.5 - 0.1 AS grad FROM (SELECT vec_id % 4 AS path, vec_id AS i, unnest(embedding) AS v FROM embeddings)), g AS (SELECT sqrt(sum(grad * grad)) AS norm FROM s)"
-MATRICES = "w AS (SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings WHERE vec_id < 64)"
 ALL_MATRICES = "w AS (SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
 BLOCKS = WEIGHED + """,
 carried AS (SELECT *, coalesce(last_value(message_index IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY pos), 0) AS block FROM w),
@@ -133,8 +132,6 @@ SQL = {
     "cosine_schedule": "SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((range - 100) / 900.0, 0), 1))) END, 9) AS rate FROM range(0, 1000)",
     "grad_norm_clip": _with(STATE, "SELECT path, round(sqrt(sum((grad * least(1.0, 1.0 / (norm + 1e-6))) ** 2)), 6) AS clipped, round(any_value(norm), 4) AS norm FROM s, g GROUP BY path"),
     "adamw_step": _with(STATE + ", c AS (SELECT path, value, grad * least(1.0, 1.0 / (norm + 1e-6)) AS grad FROM s, g), n AS (SELECT path, value, 0.9 * value * 0.01 + 0.1 * grad AS m, 0.95 * value * value * 0.01 + 0.05 * grad * grad AS v FROM c)", "SELECT path, round(sum(value - 0.1 * ((m / (1 - 0.9 ** 3)) / (sqrt(v / (1 - 0.95 ** 3)) + 1e-8) + CASE WHEN path = 0 THEN 0 ELSE 0.1 * value END)), 4) AS value, round(sum(m), 4) AS m, round(sum(v), 4) AS v FROM n GROUP BY 1"),
-    "lora_merge": _with(MATRICES, "SELECT w.i, w.j, round(w.value + coalesce((SELECT sum(a.value * b.value) FROM w a JOIN w b ON a.j = b.i WHERE a.i = w.i AND b.j = w.j AND a.j < 4 AND b.i < 4), 0) * 2.0, 6) AS value FROM w"),
-    "lora_param_count": _with(MATRICES, "SELECT 'w' AS path, CAST(count(*) FILTER (j < 4) + count(*) FILTER (i < 4) AS BIGINT) AS parameters FROM w"),
     "lora_merge_all": _with(ALL_MATRICES + ", d AS (SELECT a.i, b.j, sum(a.value * b.value) AS delta FROM w a JOIN w b ON a.j = b.i WHERE a.j < 4 AND b.i < 4 GROUP BY ALL)", "SELECT w.i, w.j, round(w.value + coalesce(d.delta, 0) * 2.0, 6) AS value FROM w LEFT JOIN d ON w.i = d.i AND w.j = d.j"),
     "lora_param_count_all": _with(ALL_MATRICES, "SELECT 'w' AS path, CAST(count(*) FILTER (j < 4) + count(*) FILTER (i < 4) AS BIGINT) AS parameters FROM w"),
     "metrics_rollup": _with(WEIGHED, "SELECT role, span_class, CAST(count(*) AS BIGINT) AS token_count, CAST(sum(weight) AS DOUBLE) AS total_weight, CAST(grouping(role, span_class) AS BIGINT) AS level FROM w GROUP BY ROLLUP (role, span_class)"),

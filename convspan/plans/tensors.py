@@ -37,13 +37,6 @@ def _rows(spark, sf_dir) -> DataFrame:
     return e.select(F.lit("w").alias("path"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).withColumn("value", F.col("x").cast("double")).drop("x")
 
 
-def lora_linear(spark, sf_dir):
-    """All vectors through a layer whose matrices are given by a rule."""
-    grid = lambda n, m, value: spark.range(n * m).select(F.lit("w").alias("path"), F.floor(F.col("id") / m).alias("i"), (F.col("id") % m).alias("j")).withColumn("value", value)
-    w, a, b = grid(64, 8, ((F.col("i") * 3 + F.col("j")) % 7 - 3) / 8.0), grid(64, RANK, ((F.col("i") + F.col("j") * 2) % 5 - 2) / 4.0), grid(RANK, 8, ((F.col("i") * 2 + F.col("j")) % 3 - 1) / 2.0)
-    return low_rank.linear(_rows(spark, sf_dir), w, a, b, 2.0).select("i", F.col("j").cast("long"), F.round("value", 5).alias("value"))
-
-
 def parameter_names(spark, sf_dir):
     """Names of paths, and null for such as are none."""
     e = tables.table(spark, sf_dir, "embeddings").select("vec_id")
@@ -132,7 +125,7 @@ def adamw_first_step(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (lora_init, lora_faults, lora_linear, parameter_names, dtype_histogram, synthetic_batches, tape_audit, tape_identities, flatten_batch, source_report, key_audit, loss_statistics_causal, trajectory_report, adamw_first_step)}
+    return {f.__name__: f for f in (lora_init, lora_faults, parameter_names, dtype_histogram, synthetic_batches, tape_audit, tape_identities, flatten_batch, source_report, key_audit, loss_statistics_causal, trajectory_report, adamw_first_step)}
 
 
 SHAPES = "s AS (SELECT 'layers[' || label || '].attention.kernel' AS path, label, count(*) + 4 AS n_in, label % 5 + 4 AS n_out FROM embeddings GROUP BY label)"
