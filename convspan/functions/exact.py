@@ -18,25 +18,25 @@ from convspan.functions import packing
 BIN, LEAST = 32, 1074
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _rounded(bins: pd.Series, odd: pd.Series) -> pd.Series:
-    """Sums of the columns, from (column, bin, whole number) and, as text, the sum of what is not finite by column."""
+    """Sums of the columns as text, which tells NaN from null, from (column, bin, whole number) and, as text, the sum of what is not finite by column."""
 
-    def one(parts: list[dict], rest: list[str | None]) -> list[float | None]:
+    def one(parts: list[dict], rest: list[str | None]) -> list[str | None]:
         totals: dict[int, int] = {}
         for p in parts:
             totals[p["column"]] = totals.get(p["column"], 0) + (int(p["whole"]) << (BIN * p["bin"]))
         found = []
         for k, other in enumerate(rest):
             if other is not None:
-                found.append(float(other))
+                found.append(other)
             elif k not in totals:
                 found.append(None)
             else:
                 try:
-                    found.append(totals[k] / (1 << LEAST))
+                    found.append(repr(totals[k] / (1 << LEAST)))
                 except OverflowError:
-                    found.append(float("inf") if totals[k] > 0 else float("-inf"))
+                    found.append("Infinity" if totals[k] > 0 else "-Infinity")
         return found
 
     return pd.Series([one(list(b), list(o)) for b, o in zip(bins, odd, strict=True)])
@@ -64,4 +64,4 @@ def exact_sums(rows: DataFrame, columns: dict[str, Column], keys: list[str] | tu
     kept = F.collect_list(F.when(F.col("whole").isNotNull(), F.struct("column", "bin", F.col("whole").cast("string").alias("whole"))))
     groups = binned.groupBy(*keys).agg(kept.alias("bins"), F.array(*[of(k).cast("string") for k in range(len(names))]).alias("odd"))
     found = groups.withColumn("sums", _rounded("bins", "odd"))
-    return found.select(*keys, *[F.get("sums", F.lit(k)).alias(name) for k, name in enumerate(names)])
+    return found.select(*keys, *[F.get("sums", F.lit(k)).cast("double").alias(name) for k, name in enumerate(names)])
