@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from convspan.functions import packing
+
 
 def order_key(key: Column, seed: int, epoch: int = 0) -> Column:
     """A hash that orders samples differently for each seed and epoch, and alike in every engine."""
@@ -93,9 +95,9 @@ def tape_faults(tape: DataFrame, length: int) -> DataFrame:
 
 
 def row_digest() -> Column:
-    """Hash of a tape row's three arrays."""
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return F.sha2(F.concat_ws("\0", joined("input_ids"), joined("attention_mask"), joined("loss_weights")), 256)
+    """Hash of the bytes of a tape row's three arrays, little-endian 32-bit integers, single bytes and 32-bit floats, one after another."""
+    kinds = {"input_ids": "int", "attention_mask": "boolean", "loss_weights": "float"}
+    return packing.digest(*(packing.packed(F.col(c).cast(f"array<{kind}>"), kind) for c, kind in kinds.items()))
 
 
 def write_tape(tape: DataFrame, path: str) -> None:
@@ -129,11 +131,11 @@ def audit(expected: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("step", "item", fault.alias("fault")).where("fault is not null")
 
 
-def synthetic(spark: SparkSession, rows: int, length: int, vocabulary: int, seed: int) -> DataFrame:
-    """item, input_ids, attention_mask, loss_weights of rows of made-up tokens; the last half of each carries weight."""
+def synthetic(spark: SparkSession, rows: int | DataFrame, length: int, vocabulary: int, seed: int) -> DataFrame:
+    """item, input_ids, attention_mask, loss_weights of so many rows, or of those that a table(id) names, of made-up tokens; the last half of each carries weight."""
     token = lambda p: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), p.cast("string")), 256), 1, 8), 16, 10).cast("long") % vocabulary
     places = F.sequence(F.lit(0), F.lit(length - 1))
-    return spark.range(rows).select(
+    return (spark.range(rows) if isinstance(rows, int) else rows).select(
         F.col("id").alias("item"), F.transform(places, lambda p: token(p).cast("int")).alias("input_ids"), F.transform(places, lambda p: F.lit(True)).alias("attention_mask"),
         F.transform(places, lambda p: F.when(p >= length // 2, 1.0).otherwise(0.0).cast("float")).alias("loss_weights"),
     )

@@ -81,6 +81,11 @@ def errors(samples: DataFrame) -> DataFrame:
     nameless = F.exists("messages", lambda m: F.exists(m["parts"], lambda p: (p["kind"] == "tool_call") & (F.coalesce(p["tool_name"], F.lit("")) == "")))
     error = F.when(F.array_contains(roles, "developer"), "no developer role").when(F.array_contains(kinds, "media"), "text only").when(~F.array_contains(roles, "user"), "at least one user query is required")
     error = error.when(F.array_contains(F.slice(roles, F.lit(2), F.greatest(F.size(roles) - 1, F.lit(0))), "system"), "system message must be first").when(nameless, "a tool call needs a name")
+    shown = lambda m: strip(F.array_join(F.transform(F.filter(m["parts"], lambda p: p["kind"].isin("text", "code")), lambda p: p["value"]), ""))
+    query = lambda m: (m["role"] == "user") & ~(shown(m).startswith("<tool_response>") & shown(m).endswith("</tool_response>"))
+    last = F.array_max(F.transform("messages", lambda m, i: F.when(query(m), i)))
+    early = F.exists(F.transform("messages", lambda m, i: (m["role"] == "assistant") & (i <= last) & F.exists(m["parts"], lambda p: (p["kind"] == "reasoning") & (F.coalesce(p["value"], F.lit("")) != ""))), lambda x: x)
+    error = error.when(last.isNull(), "at least one user query is required").when(F.coalesce(early, F.lit(False)), "reasoning before the last user query is not shown")
     return samples.select("sample_id", error.alias("error")).where("error is not null")
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convspan.operators import adapters, batch, classify, params, render, render_tools, stats, tokens, tool_units, truncate
-from convspan.plans import dialects, encoding, epochs, exchanges, matrices, oracle, records, tensors
-from convspan.sources import recipe, tables
+from convspan.operators import adapters, batch, classify, params, render, stats, tokens, truncate
+from convspan.plans import dialects, encoding, epochs, exchanges, matrices, oracle, records, runs, tensors
+from convspan.sources import tables
 from convspan.streaming import cursor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,37 +156,6 @@ def trunc_semantic(spark, sf_dir):
     return found.select("sample_id", "start", "stop", F.col("first_block").cast("long"), F.col("last_block").cast("long"), "score")
 
 
-#: (sample, index, role, call ids, result ids) of the tool exchanges that the fixtures list.
-TOOL_FIXTURE = [
-    ("chained", 0, "user", [], []), ("chained", 1, "assistant", ["c1", "c2"], []), ("chained", 2, "tool", [], ["c2"]), ("chained", 3, "tool", [], ["c1"]), ("chained", 4, "assistant", ["c3"], []),
-    ("chained", 5, "tool", [], ["c3"]), ("chained", 6, "assistant", [], []), ("chained", 7, "user", [], []), ("unknown", 0, "user", [], []), ("unknown", 1, "assistant", ["c1"], []), ("unknown", 2, "tool", [], ["c9"]),
-    ("open", 0, "assistant", ["c1"], []), ("open", 1, "tool", [], ["c1"]), ("outside", 0, "user", ["c1"], []), ("again", 0, "assistant", ["c1"], []), ("again", 1, "tool", [], ["c1"]), ("again", 2, "assistant", ["c1"], []),
-]
-
-
-def tool_units_fixture(spark, sf_dir):
-    rows = spark.createDataFrame(TOOL_FIXTURE, "sample_id string, message_index int, role string, call_ids array<string>, result_ids array<string>")
-    return tool_units.tool_units(rows)
-
-
-#: A row of the messages dialect with tools, reasoning, parallel calls and results.
-TOOL_ROW = {
-    "id": "tools",
-    "tools": [{"type": "function", "function": {"name": "weather", "description": "Look up", "parameters": '{"type": "object"}'}}],
-    "messages": [
-        {"role": "user", "content": "Oslo and Rome?"},
-        {"role": "assistant", "reasoning_content": "look up", "tool_calls": [{"id": c, "type": "function", "function": {"name": "weather", "arguments": f'{{"city": "{n}"}}'}} for c, n in (("c1", "Oslo"), ("c2", "Rome"))]},
-        {"role": "tool", "content": "12", "tool_call_id": "c1"}, {"role": "tool", "content": "20", "tool_call_id": "c2"}, {"role": "assistant", "content": "Cold and warm."},
-    ],
-}
-
-
-def render_qwen35_tools(spark, sf_dir):
-    row = spark.createDataFrame([(json.dumps(TOOL_ROW),)], "value string").select(F.from_json("value", tables.DIALECTS["messages"]).alias("row")).select("row.*")
-    samples = adapters.messages_adapter(row).withColumnRenamed("id", "sample_id")
-    return render_tools.qwen3_5_with_tools(samples).select("span_index", "message_index", "span_class", _role(), "text", "default_weight", "call_id")
-
-
 def _classified(spark, sf_dir):
     """Every sample with its window, and whether a required rule matches none of its tokens, from one reading of the tokens."""
     rows = adapters.ultrachat_200k_adapter(_rows(spark, sf_dir)).select(F.col("conv_id").alias("sample_id"), "reason")
@@ -304,10 +272,6 @@ def trajectory_stability(spark, sf_dir):
     return s.select("steps", F.round("early_mean", 4).alias("early_mean"), F.round("late_mean", 4).alias("late_mean"), F.round("slope", 5).alias("slope"))
 
 
-def cosine_schedule(spark, sf_dir):
-    return spark.range(0, 1000).select(F.col("id").alias("step"), F.round(stats.cosine_rate(F.col("id"), 1.0, 1000, 100), 9).alias("rate"))
-
-
 def _state(spark, sf_dir):
     e = tables.table(spark, sf_dir, "embeddings")
     rows = e.select((F.col("vec_id") % 4).alias("path"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x"))
@@ -347,11 +311,6 @@ def lora_param_count_all(spark, sf_dir):
     return params.parameter_count(a, b)
 
 
-def recipe_identity(spark, sf_dir):
-    short, spelled = recipe.load('{"data": {"source": "x"}}'), recipe.load('{"data": {"source": "x", "max_length": 256}, "schema_version": 1}')
-    return spark.createDataFrame([(short.identity, short.identity == spelled.identity)], "identity string, same boolean")
-
-
 def metrics_rollup(spark, sf_dir):
     w = _weighed(spark, sf_dir)
     return w.rollup("role", "span_class").agg(F.count(F.lit(1)).alias("token_count"), F.sum("weight").alias("total_weight"), F.grouping_id().cast("long").alias("level"))
@@ -360,10 +319,10 @@ def metrics_rollup(spark, sf_dir):
 def queries() -> dict[str, Query]:
     named = [
         adapt_messages_roles, adapt_ultrachat_reject, adapter_reason_counts, adapt_prompt_completion, adapt_sharegpt_alias, sample_id_fallback, render_span_inventory, span_ranges, alignment_left_vs_right, rule_match_counts,
-        require_match_failures, zero_objective, message_blocks, trunc_semantic, tool_units_fixture, render_qwen35_tools, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
-        resume_cursor, epoch_rollover, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, cosine_schedule, grad_norm_clip, adamw_step, lora_merge_all, lora_param_count_all, recipe_identity, metrics_rollup,
+        require_match_failures, zero_objective, message_blocks, trunc_semantic, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
+        resume_cursor, epoch_rollover, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, grad_norm_clip, adamw_step, lora_merge_all, lora_param_count_all, metrics_rollup,
     ]
-    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | matrices.queries() | {
+    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | matrices.queries() | runs.queries() | {
         "render_olmo2_text": _text_query("olmo2_instruct"), "render_math_text": _text_query("qwen2_5_math"), "render_qwen35_text": _text_query("qwen3_5_text"),
         "tokens_char_owner": _owner_query(tokens.CHARACTERS), "tokens_regex_owner": _owner_query(tokens.WORDS),
         "weights_last_match": _weights_query("last_match", tokens.DEFAULT_RULES), "weights_multiply": _weights_query("multiply", tokens.OVERLAPPING_RULES), "weights_conflicts": _weights_query("error", tokens.OVERLAPPING_RULES),
@@ -372,4 +331,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL | matrices.SQL
+    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL | matrices.SQL | runs.SQL

@@ -114,7 +114,6 @@ SQL = {
   total AS (SELECT sample_id, sum(weight) AS weight FROM w GROUP BY 1),
   r AS (SELECT c.*, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, latest DESC, coalesce(earliest - start, 0) DESC, stop - start DESC, start) AS k FROM c JOIN total USING (sample_id) WHERE weight = 0 OR score > 0)
   SELECT total.sample_id, start, stop, first_block, last_block, CAST(score AS DOUBLE) AS score FROM total LEFT JOIN (SELECT * FROM r WHERE k = 1) r USING (sample_id)"""),
-    "tool_units_fixture": "SELECT * FROM (VALUES ('chained', 0, 0, 0, false, NULL), ('chained', 1, 1, 6, true, NULL), ('chained', 2, 7, 7, false, NULL), ('unknown', NULL, NULL, NULL, NULL, 'a result has an unknown id'), ('open', NULL, NULL, NULL, NULL, 'a tool exchange has no final answer'), ('outside', NULL, NULL, NULL, NULL, 'a tool call is outside an assistant message'), ('again', NULL, NULL, NULL, NULL, 'a call id is used again')) t(sample_id, unit, first_message, last_message, has_tool_call, reason)",
     "classify_rows": _with(CLASSES, "SELECT sample_id, class FROM classed"),
     "stream_counters": _with(CLASSES, "SELECT CAST(count(*) AS BIGINT) AS rows_seen, " + ", ".join(f"CAST(count(*) FILTER (class = '{c}') AS BIGINT) AS {c}" for c in ("adapter_error", "fatal", "semantic_rejection", "length_rejection", "zero_objective", "emitted")) + ", CAST(count(*) FILTER (n_tokens > 64 AND class IN ('zero_objective', 'emitted')) AS BIGINT) AS truncated_samples, CAST(coalesce(sum(n_tokens - (stop - start)) FILTER (n_tokens > 64 AND class IN ('zero_objective', 'emitted')), 0) AS BIGINT) AS tokens_dropped FROM classed"),
     "shuffle_rank_split": _with(ORDER, "SELECT sample_id, position, position % 4 AS rank FROM o"),
@@ -129,7 +128,6 @@ SQL = {
     "loss_ratio_of_sums": _with(LOGITS + ", p AS (SELECT target, sum(loss * weight) AS n, sum(weight) AS d FROM loss GROUP BY 1)", "SELECT round(sum(n) / sum(d), 5) AS ratio_of_sums, round(avg(n / d), 5) AS mean_of_ratios FROM p"),
     "trajectory_compare": _with(DAILY, "SELECT step, paired, round(abs_error, 4) AS abs_error, round(rel_error, 4) AS rel_error FROM errors"),
     "trajectory_stability": _with(DAILY + ", k AS (SELECT *, row_number() OVER (ORDER BY step) AS rank, count(*) OVER () AS n FROM errors WHERE paired)", "SELECT CAST(count(*) AS BIGINT) AS steps, round(avg(rel_error) FILTER (rank <= n // 2), 4) AS early_mean, round(avg(rel_error) FILTER (rank > n // 2), 4) AS late_mean, round(regr_slope(rel_error, step), 5) AS slope FROM k"),
-    "cosine_schedule": "SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((range - 100) / 900.0, 0), 1))) END, 9) AS rate FROM range(0, 1000)",
     "grad_norm_clip": _with(STATE, "SELECT path, round(sqrt(sum((grad * least(1.0, 1.0 / (norm + 1e-6))) ** 2)), 6) AS clipped, round(any_value(norm), 4) AS norm FROM s, g GROUP BY path"),
     "adamw_step": _with(STATE + ", c AS (SELECT path, value, grad * least(1.0, 1.0 / (norm + 1e-6)) AS grad FROM s, g), n AS (SELECT path, value, 0.9 * value * 0.01 + 0.1 * grad AS m, 0.95 * value * value * 0.01 + 0.05 * grad * grad AS v FROM c)", "SELECT path, round(sum(value - 0.1 * ((m / (1 - 0.9 ** 3)) / (sqrt(v / (1 - 0.95 ** 3)) + 1e-8) + CASE WHEN path = 0 THEN 0 ELSE 0.1 * value END)), 4) AS value, round(sum(m), 4) AS m, round(sum(v), 4) AS v FROM n GROUP BY 1"),
     "lora_merge_all": _with(ALL_MATRICES + ", d AS (SELECT a.i, b.j, sum(a.value * b.value) AS delta FROM w a JOIN w b ON a.j = b.i WHERE a.j < 4 AND b.i < 4 GROUP BY ALL)", "SELECT w.i, w.j, round(w.value + coalesce(d.delta, 0) * 2.0, 6) AS value FROM w LEFT JOIN d ON w.i = d.i AND w.j = d.j"),

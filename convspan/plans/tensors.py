@@ -54,32 +54,6 @@ def dtype_histogram(spark, sf_dir):
     return rows.groupBy("dtype").agg(F.count(F.lit(1)).alias("columns"), F.sum("values").alias("values"))
 
 
-def _tape(spark) -> DataFrame:
-    return batch.synthetic(spark, 512, 32, 50_000, SEED).withColumn("step", F.floor(F.col("item") / 16).cast("int"))
-
-
-def synthetic_batches(spark, sf_dir):
-    t = _tape(spark)
-    ids = F.aggregate(F.transform("input_ids", lambda x, p: x.cast("long") * (p + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return t.select("item", ids.alias("ids"), F.aggregate("loss_weights", F.lit(0.0), lambda s, x: s + x).alias("weight"))
-
-
-def tape_audit(spark, sf_dir):
-    """What a tape lacks, has beyond, twice or changed, after damage by item."""
-    t = _tape(spark)
-    kind = F.col("item") % 16
-    damaged = t.where(kind != 1).withColumn("item", F.when(kind == 2, F.col("item") + 10_000).otherwise(F.col("item")))
-    damaged = damaged.withColumn("input_ids", F.when(F.col("item") % 16 == 3, F.transform("input_ids", lambda x: x + 1)).otherwise(F.col("input_ids")))
-    return batch.audit(t, damaged.unionByName(damaged.where(F.col("item") % 16 == 4))).groupBy("fault").agg(F.count(F.lit(1)).alias("rows"), F.sum("item").alias("items"))
-
-
-def tape_identities(spark, sf_dir):
-    """How many identities the steps of a tape and of its copy with other partitions have between them."""
-    one, two = batch.manifest(_tape(spark)), batch.manifest(_tape(spark).repartition(7, "input_ids"))
-    both = one.unionByName(two).groupBy("step").agg(F.sum("rows").alias("rows"), F.count_distinct("identity").alias("identities"))
-    return both.select(F.col("step").cast("long"), "rows", "identities")
-
-
 def flatten_batch(spark, sf_dir):
     """The rows of an epoch by device and back."""
     o = batch.shuffled(tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id")).distinct(), 17)
@@ -125,21 +99,16 @@ def adamw_first_step(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (lora_init, lora_faults, parameter_names, dtype_histogram, synthetic_batches, tape_audit, tape_identities, flatten_batch, source_report, key_audit, loss_statistics_causal, trajectory_report, adamw_first_step)}
+    return {f.__name__: f for f in (lora_init, lora_faults, parameter_names, dtype_histogram, flatten_batch, source_report, key_audit, loss_statistics_causal, trajectory_report, adamw_first_step)}
 
 
 SHAPES = "s AS (SELECT 'layers[' || label || '].attention.kernel' AS path, label, count(*) + 4 AS n_in, label % 5 + 4 AS n_out FROM embeddings GROUP BY label)"
 DRAW = "CAST('0x' || substr(sha256('23:' || path || ':' || i || ':' || j), 1, 12) AS BIGINT) / 281474976710656.0"
-TAPE = "g AS (SELECT r.range AS item, p.range AS p, CAST('0x' || substr(sha256('23:' || r.range || ':' || p.range), 1, 8) AS BIGINT) % 50000 AS id FROM range(512) r, range(32) p)"
 SQL = {
     "lora_init": f"WITH {SHAPES}, r AS (SELECT path, n_in, unnest(range(n_in)) AS i FROM s), a AS (SELECT r.*, j.range AS j FROM r, range(4) j), v AS (SELECT path || '.lora_a' AS name, (({DRAW}) * 2 - 1) / sqrt(n_in) AS value FROM a UNION ALL SELECT path || '.lora_b', 0.0 FROM s, range(4) i, range(20) j WHERE j.range < n_out) SELECT name, CAST(count(*) AS BIGINT) AS values, round(sum(value), 6) AS total, round(max(abs(value)), 9) AS most FROM v GROUP BY 1",
     "lora_faults": f"WITH {SHAPES} SELECT path, 'b' AS part, CASE label % 4 WHEN 1 THEN 'missing' ELSE 'another shape' END AS fault FROM s WHERE label % 4 IN (1, 3) UNION ALL SELECT path, 'a', 'missing' FROM s WHERE label % 4 = 2 UNION ALL SELECT path || '_old', 'a', 'unexpected' FROM s WHERE label % 4 = 2",
-    "lora_linear": "WITH x AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT k.range AS k, c.range AS c, ((k.range * 3 + c.range) % 7 - 3) / 8.0 + 2.0 * (SELECT sum((((k.range + r.range * 2) % 5 - 2) / 4.0) * (((r.range * 2 + c.range) % 3 - 1) / 2.0)) FROM range(4) r) AS w FROM range(64) k, range(8) c) SELECT i, c AS j, round(sum(v * w), 5) AS value FROM x JOIN m ON x.j = m.k GROUP BY 1, 2",
     "parameter_names": "SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN 'layers[' || vec_id || '].mlp[0]' END AS name FROM embeddings",
     "dtype_histogram": "WITH e AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT count(*) AS n FROM conversations), k(dtype, n) AS (SELECT 'bigint', n FROM e UNION ALL SELECT 'array<float>', n FROM e UNION ALL SELECT 'int', n FROM e UNION ALL SELECT 'bigint', n FROM c UNION ALL SELECT 'bigint', n FROM c UNION ALL SELECT 'string', n FROM c UNION ALL SELECT 'string', n FROM c) SELECT dtype, CAST(count(*) AS BIGINT) AS columns, CAST(sum(n) AS BIGINT) AS values FROM k GROUP BY 1",
-    "synthetic_batches": f"WITH {TAPE} SELECT item, CAST(sum(id * (p + 1)) AS BIGINT) AS ids, 16.0 AS weight FROM g GROUP BY 1",
-    "tape_audit": "WITH i AS (SELECT range AS item FROM range(512)), f AS (SELECT item, 'missing' AS fault FROM i WHERE item % 16 IN (1, 2) UNION ALL SELECT item + 10000, 'unexpected' FROM i WHERE item % 16 = 2 UNION ALL SELECT item, 'changed' FROM i WHERE item % 16 = 3 UNION ALL SELECT item, 'twice' FROM i WHERE item % 16 = 4) SELECT fault, CAST(count(*) AS BIGINT) AS rows, CAST(sum(item) AS BIGINT) AS items FROM f GROUP BY 1",
-    "tape_identities": "SELECT range AS step, CAST(32 AS BIGINT) AS rows, CAST(1 AS BIGINT) AS identities FROM range(32)",
     "flatten_batch": "WITH o AS (SELECT conv_id AS sample_id, row_number() OVER (ORDER BY sha256('17:' || conv_id), conv_id) - 1 AS position FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT sample_id, position AS flat, position FROM o",
     "loss_statistics_causal": "WITH l AS (SELECT vec_id // 10 AS s, CAST(embedding AS DOUBLE[]) AS x, lead(label) OVER w AS target, CAST(lead(vec_id % 4) OVER w AS DOUBLE) AS weight FROM embeddings WINDOW w AS (PARTITION BY vec_id // 10 ORDER BY vec_id)), loss AS (SELECT *, ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[target + 1] AS loss FROM l WHERE target IS NOT NULL) SELECT round(sum(loss * weight), 3) AS numerator, sum(weight) AS denominator, sum(CASE WHEN list_position(x, list_max(x)) - 1 = target THEN weight ELSE 0 END) AS correct_weight, CAST(count(*) FILTER (weight > 0) AS BIGINT) AS token_count FROM loss",
     "trajectory_report": "WITH d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS step, event_id % 2 AS side, CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE) AS value FROM events GROUP BY 1, 2), e AS (SELECT coalesce(a.step, b.step) AS step, abs(a.value - b.value) AS ab, abs(a.value - b.value) / greatest(abs(b.value), 1e-12) AS re FROM (SELECT * FROM d WHERE side = 0) a FULL JOIN (SELECT * FROM d WHERE side = 1) b ON a.step = b.step) SELECT CAST(count(ab) AS BIGINT) AS paired_steps, CAST(count(*) - count(ab) AS BIGINT) AS unpaired_steps, round(max(ab), 4) AS most_abs, round(avg(ab), 4) AS mean_abs, round(max(re), 4) AS most_rel, round(avg(re), 4) AS mean_rel, (SELECT step FROM e ORDER BY re DESC NULLS LAST, step LIMIT 1) AS worst_step FROM e",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convspan.operators import adapters, batch, params, render, stats, tokens, tool_units, truncate, typed_blocks
-from convspan.sources import recipe, tables
+from convspan.sources import tables, training_recipe
 from convspan.streaming import cursor
 
 
@@ -227,10 +227,13 @@ def test_cursor_resumes(spark):
         cursor.Cursor.load(start.state() | {"world_size": 2}, start)
 
 
-def test_recipe_is_strict():
-    for text in ('{"data": {"source": "x", "source": "y"}}', '{"data": {"source": "x", "speed": 1}}', '{"data": {"source": "x"}, "more": 1}', '{"data": {"source": "x"}, "schema_version": 2}'):
-        with pytest.raises(ValueError):
-            recipe.load(text)
+def test_recipe_is_strict(spark):
+    sections = '"model": {"architecture": "olmo2", "repo_id": "a", "revision": "b"}, "training": {"max_length": 8, "steps": 2, "peak_learning_rate": 1}, "run": {"output_dir": "o"}'
+    data = '"repo_id": "a", "revision": "b", "split": "c", "adapter": "d"'
+    texts = [f'{{"schema_version": {v}, "data": {{{data}{more}}}, {sections}{last}}}' for v, more, last in ((1, "", ""), (1, ', "split": "y"', ""), (1, ', "speed": 1', ""), (1, "", ', "more": 1'), (2, "", ""))]
+    assert len(training_recipe.identity(training_recipe.resolve(json.loads(texts[0])))) == 64
+    found = [r.r for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").orderBy("k").select(training_recipe.resolved(F.col("text")).alias("r")).collect()]
+    assert found[0].identity and all(r.error and not r.identity for r in found[1:])
 
 
 def test_loss_closed_forms(spark):

@@ -3,9 +3,16 @@
 import pytest
 from compare import database, rows
 
+from convspan.operators import tool_units
 from convspan.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
+#: (sample, index, role, call ids, result ids) of tool exchanges.
+TOOL_FIXTURE = [
+    ("chained", 0, "user", [], []), ("chained", 1, "assistant", ["c1", "c2"], []), ("chained", 2, "tool", [], ["c2"]), ("chained", 3, "tool", [], ["c1"]), ("chained", 4, "assistant", ["c3"], []),
+    ("chained", 5, "tool", [], ["c3"]), ("chained", 6, "assistant", [], []), ("chained", 7, "user", [], []), ("unknown", 0, "user", [], []), ("unknown", 1, "assistant", ["c1"], []), ("unknown", 2, "tool", [], ["c9"]),
+    ("open", 0, "assistant", ["c1"], []), ("open", 1, "tool", [], ["c1"]), ("outside", 0, "user", ["c1"], []), ("again", 0, "assistant", ["c1"], []), ("again", 1, "tool", [], ["c1"]), ("again", 2, "assistant", ["c1"], []),
+]
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
@@ -23,10 +30,11 @@ def test_entry_and_lists():
 
 
 def test_rows_only_queries(spark):
-    units = {(r.sample_id, r.first_message): r for r in catalogue.queries()["tool_units_fixture"](spark, SF).collect()}
+    rows = spark.createDataFrame(TOOL_FIXTURE, "sample_id string, message_index int, role string, call_ids array<string>, result_ids array<string>")
+    units = {(r.sample_id, r.first_message): r for r in tool_units.tool_units(rows).collect()}
     assert units["chained", 1].last_message == 6 and units["chained", 1].has_tool_call
     assert all(units[name, None].reason for name in ("unknown", "open", "outside", "again"))
-    assert catalogue.queries()["recipe_identity"](spark, SF).first().same
+    assert len({r.identity for r in catalogue.queries()["recipe_identity"](spark, SF).where("error is null").collect()}) > 1
 
 
 def test_whole_tables(spark):

@@ -55,7 +55,8 @@ def test_errors(spark):
     schema = "sample_id string, messages array<struct<role:string,parts:array<struct<kind:string,value:string,call_id:string,tool_name:string>>>>, tools array<struct<type:string,function:struct<name:string,description:string,parameters:string>>>"
     text = [("text", "x", None, None)]
     rows = [("dev", [("developer", text)], None), ("none", [("assistant", text)], None), ("late", [("user", text), ("system", text)], None), ("call", [("user", text), ("assistant", [("tool_call", "{}", "c", "")])], None), ("ok", [("user", text)], None)]
-    assert {r.sample_id for r in render_tools.errors(spark.createDataFrame(rows, schema)).collect()} == {"dev", "none", "late", "call"}
+    rows += [("early", [("user", text), ("assistant", [("reasoning", "hm", None, None)]), ("user", text)], None), ("answer", [("user", [("text", " <tool_response>x</tool_response>", None, None)])], None), ("thought", [("user", text), ("assistant", [("reasoning", "hm", None, None)])], None)]
+    assert {r.sample_id for r in render_tools.errors(spark.createDataFrame(rows, schema)).collect()} == {"dev", "none", "late", "call", "early", "answer"}
 
 
 def test_calls_of_many_arguments(spark, tmp_path):
