@@ -1,6 +1,6 @@
 """Exchange of packed hashes between blocks of documents and ranges of hashes.
 
-Rows fall into blocks by a hash of doc_id, a few MB of text each. A block names what it holds by hashes; a hash belongs to a bucket, to
+Rows fall into blocks by a hash of doc_id and text, a few MB of text each, so rows of one doc_id with different texts are spread. A block names what it holds by hashes; a hash belongs to a bucket, to
 which every block sends its different hashes as one packed row. A bucket, knowing all blocks' hashes, answers every block with one
 packed row. A frequent hash is so one entry per block that holds it, however many documents do.
 
@@ -49,7 +49,7 @@ def deal(docs: DataFrame) -> tuple[DataFrame, int]:
     blocks, buckets = counts(size, partitions(docs.sparkSession))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_NULL) + F.shiftrightunsigned(F.xxhash64(text_or_empty()), 3))
     rows = docs.select("doc_id", doc.alias("doc"), text_or_empty().alias("text"))
-    return rows.select(F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "doc_id", "doc", "text"), buckets
+    return rows.select(F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).alias("block"), "doc_id", "doc", "text"), buckets
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -238,7 +238,7 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Of every marked word, by sum-product messages along all edges at once, damped."""
+        """Of every marked word, by sum-product messages along all edges at once, damped, which stop for each row when its own stand still."""
         n, k = len(g.row), len(LABELS)
         if not n:
             return np.zeros((0, k))
@@ -256,16 +256,20 @@ class Field:
         cuts = np.cumsum([0, *map(len, ends)])
         source, target = np.concatenate(ends).T
         back = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in (1, 0, 3, 2)])
-        messages = np.zeros((len(source), k))
+        messages, row = np.zeros((len(source), k)), np.array(g.row)[source]
+        moving = np.ones(int(max(g.row)) + 1, bool)
         for _ in range(ROUNDS):
             belief = local.copy()
             np.add.at(belief, target, messages)
             tell = _softmax(belief[source] - messages[back])
             out = np.concatenate([tell[x:y] @ t for x, y, t in zip(cuts, cuts[1:], tables, strict=False)])
             out = np.log(out + 1e-12)
-            step = 0.5 * (out - out.max(1, keepdims=True) - messages)
+            step = 0.5 * (out - out.max(1, keepdims=True) - messages) * moving[row, None]
             messages += step
-            if np.abs(step).max() < STILL:
+            most = np.zeros(len(moving))
+            np.maximum.at(most, row, np.abs(step).max(1))
+            moving &= most >= STILL
+            if not moving.any():
                 break
         belief = local.copy()
         np.add.at(belief, target, messages)

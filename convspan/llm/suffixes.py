@@ -39,7 +39,7 @@ SORTED_TOGETHER = 4_000
 SPAN = LENGTH - GRAM + 1
 #: Bytes before and after the run that two contents with a common string share, for every split of its LENGTH - GRAM other bytes one of these.
 SIDES = ((24, 0), (18, 1), (12, 7), (6, 13), (1, 19), (0, 24))
-#: The symbol of the run.
+#: The symbol of the run of the first least hash that is sorted together; those of others follow it.
 RUN = 300
 
 
@@ -329,7 +329,7 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     def sort(entries: np.ndarray, cut: bool) -> None:
         at_, stop, run_ = at[entries].tolist(), (at + sent)[entries].tolist(), run[entries].tolist()
         strings = [data[x:y].astype(np.int64) + 1 for x, y in zip(at_, stop, strict=True)]
-        middles = [[RUN]] * len(strings) if cut else [grams.get(k) for k in every[entries]]
+        middles = [[RUN + k] for k in np.unique(every[entries], return_inverse=True)[1].tolist()] if cut else [grams.get(k) for k in every[entries]]
         strings = [x if r < 0 else np.concatenate([x[:r], m, x[r:]]) for x, r, m in zip(strings, run_, middles, strict=True)]
         for k, owners in zip(same[entries].tolist(), least_owner(strings, least[same[entries]].tolist(), SPAN if cut else LENGTH), strict=True):
             found[k] = owners

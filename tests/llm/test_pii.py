@@ -95,3 +95,14 @@ def test_a_million_characters_without_spaces(field, text):
     began = time.time()
     pii.find_all([text], field)
     assert time.time() - began < 1
+
+
+def test_marginals_do_not_depend_on_other_texts():
+    """A text's messages stop when they stand still, whatever else is in its batch."""
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    field = pii.Field(rng.normal(size=(pii.N_FEATURES, k)) * 0.3, rng.normal(size=(k, k)), rng.normal(size=(k, k)))
+    texts = ["a1 b2 a1 c3", "x9", "q7 w8 q7 e5 q7 w8 r4 q7 " * 6, "12 a@b.co 12 99 12"]
+    alone = [field.marginals(pii.graph([t], [pii.base_spans(t)])) for t in texts]
+    together = field.marginals(pii.graph(texts, [pii.base_spans(t) for t in texts]))
+    assert np.allclose(np.concatenate(alone), together, atol=1e-12, rtol=0)

@@ -254,3 +254,37 @@ def test_sizes_of_blocks(real, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 5_000)
     assert found(passages.remove_repeated_passages(real)) == plain_passages(ordered(real))
     assert found(suffixes.remove_repeated_strings(real)) == plain_strings(ordered(real))
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """A third of all rows has one id and texts of its own: they fall into many blocks, with the same results."""
+    rng = random.Random(6)
+    shared = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(5)]
+    text = lambda k: " ".join(rng.choice([rng.choice(shared), *(f"t{k}x{rng.randint(0, 99)}" for _ in range(3))]) for _ in range(6))
+    rows = [(7 if k % 3 == 0 else k, text(k)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, _ = blocks.deal(docs)
+    held = {r.block: r["count"] for r in dealt.where("doc_id = 7").groupBy("block").count().collect()}
+    assert len(held) > 8 and max(held.values()) < 20
+    windows = {}
+    split = [(d, t.split()) for d, t in rows]
+    for d, words in split:
+        for j in range(len(words) - 19):
+            key = tuple(words[j : j + 20])
+            windows[key] = min(windows.get(key, (d, j)), (d, j))
+    want = []
+    for d, words in split:
+        gone = {x for j in range(len(words) - 19) if windows[tuple(words[j : j + 20])] < (d, j) for x in range(j, j + 20)}
+        want.append((d, len(words), len(gone), " ".join(w for x, w in enumerate(words) if x not in gone)))
+    assert sorted(tuple(r) for r in passages.remove_repeated_passages(docs).collect()) == sorted(want)
+    starts = {}
+    for d, t in rows:
+        data = t.encode()
+        for j in range(len(data) - 49):
+            starts[data[j : j + 50]] = min(starts.get(data[j : j + 50], d), d)
+    want = []
+    for d, t in rows:
+        data = t.encode()
+        gone = {x for j in range(len(data) - 49) if starts[data[j : j + 50]] < d for x in range(j, j + 50)}
+        want.append((d, len(data), len(gone), bytes(b for x, b in enumerate(data) if x not in gone)))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeated_strings(docs).collect()) == sorted(want)
