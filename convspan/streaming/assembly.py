@@ -39,7 +39,7 @@ class Assembler(StatefulProcessor):
         found = sorted((k[0], v[0], v[1]) for k, v in self.turns.iterator())
         return Row(conv_id=key[0], complete=complete, n_turns=held, repeated=repeated, last_arrived=latest, messages=[Row(role=r, text=t) for _, r, t in found])
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values) -> Iterator[Row]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         expected, held, repeated, latest, done = self.about.get() if self.about.exists() else (0, 0, 0, 0, False)
         for row in rows:
             latest = max(latest, int(row.arrived.timestamp() * 1000))
@@ -57,7 +57,7 @@ class Assembler(StatefulProcessor):
             yield self._given(key, True)
             self.turns.clear()
 
-    def handleExpiredTimer(self, key: tuple, timer_values, timer) -> Iterator[Row]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         if self.about.exists():
             if not self.about.get()[4]:
                 yield self._given(key, False)
