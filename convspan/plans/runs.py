@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convspan.functions import json_domain
 from convspan.operators import batch, render, render_tools, stats, tool_units
 from convspan.plans.exchanges import AUDIT, TOOLS, tool_messages
 from convspan.plans.oracle import ORDER, PADDED
@@ -70,6 +71,17 @@ def synthetic_batches(spark, sf_dir):
     return t.select("item", ids.alias("ids"), F.aggregate("loss_weights", F.lit(0.0), lambda s, x: s + x).alias("weight"))
 
 
+def json_values(spark, sf_dir):
+    """Rows of JSON text with keys in an order of their own and numbers in many spellings, one in three broken: as they stand, or where they break."""
+    m = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("sha"))
+    kind = (F.col("conv_id") + F.col("turn")) % 15
+    more = F.when(kind == 1, ', "z": {"a": 1}').when(kind == 2, ', "n": NaN').otherwise("")
+    last = F.when(kind == 3, " ]").otherwise("")
+    item = F.when(kind == 4, "-Infinity").when(kind == 0, "1e400").otherwise("1.50")
+    text = F.concat(F.lit(' { "z" : "'), "sha", F.lit('" , "a" : [ '), F.col("turn").cast("string"), F.lit(".0e+1 , { } , "), item, F.lit(" ]"), more, F.lit(" }"), last)
+    return m.select("conv_id", F.col("turn").cast("long"), json_domain.checked(text).alias("c")).select("conv_id", "turn", "c.value", "c.fault")
+
+
 def _tape(spark, sf_dir) -> DataFrame:
     """All padded samples as a tape of 16 rows a step, in the first epoch's order."""
     from convspan.plans.catalogue import _order, _padded
@@ -96,7 +108,7 @@ def tape_identities(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (tool_units_fixture, render_qwen35_tools, recipe_identity, cosine_schedule, synthetic_batches, tape_audit, tape_identities)}
+    return {f.__name__: f for f in (tool_units_fixture, render_qwen35_tools, recipe_identity, cosine_schedule, synthetic_batches, json_values, tape_audit, tape_identities)}
 
 
 def _text(value: str) -> str:
@@ -123,6 +135,7 @@ SQL = {
     "recipe_identity": f"SELECT conv_id, CASE WHEN conv_id % 10 < 7 THEN sha256('convspan-run' || chr(0) || {RECIPE}) END AS identity, CASE conv_id % 10 WHEN 7 THEN 'data has unknown keys [''speed'']' WHEN 8 THEN 'a key stands twice among [''repo_id'', ''split'', ''adapter'', ''revision'', ''split'']' WHEN 9 THEN 'training.max_length must be 2 or more' END AS error FROM (SELECT DISTINCT conv_id FROM conversations)",
     "cosine_schedule": "WITH t AS (SELECT coalesce(max(event_id), 0) + 2 AS n FROM events) SELECT CAST(event_id AS BIGINT) AS step, round(CASE WHEN event_id < n // 10 THEN CAST(event_id AS DOUBLE) / greatest(n // 10, 1) ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((event_id - n // 10) / CAST(n - n // 10 AS DOUBLE), 0), 1))) END, 9) AS rate FROM events, t",
     "synthetic_batches": "WITH g AS (SELECT item, p.range AS p, CAST('0x' || substr(sha256('23:' || item || ':' || p.range), 1, 8) AS BIGINT) % 50000 AS id FROM (SELECT DISTINCT conv_id AS item FROM conversations), range(32) p) SELECT item, CAST(sum(id * (p + 1)) AS BIGINT) AS ids, 16.0 AS weight FROM g GROUP BY 1",
+    "json_values": "WITH k AS (SELECT conv_id, turn, sha256(text) AS sha, (conv_id + turn) % 15 AS kind FROM conversations) SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN kind > 4 THEN '{\"z\":\"' || sha || '\",\"a\":[' || turn || '.0e+1,{},1.50]}' END AS value, CASE kind WHEN 0 THEN '$.a[2]: not a finite number' WHEN 1 THEN '$.z: a key stands twice' WHEN 2 THEN '$.n: not a finite number' WHEN 3 THEN '$: text after the value' WHEN 4 THEN '$.a[2]: not a finite number' END AS fault FROM k",
     "tape_audit": f"WITH {ITEMS}, f AS (SELECT item, 'missing' AS fault FROM p WHERE item % 16 IN (1, 2) UNION ALL SELECT item + 1000000000000, 'unexpected' FROM p WHERE item % 16 = 2 UNION ALL SELECT item, 'changed' FROM p WHERE item % 16 = 3 UNION ALL SELECT item, 'twice' FROM p WHERE item % 16 = 4) SELECT fault, CAST(count(*) AS BIGINT) AS rows, CAST(sum(item) AS BIGINT) AS items FROM f GROUP BY 1",
     "tape_identities": f"WITH {ITEMS} SELECT step, CAST(count(*) * 3 AS BIGINT) AS rows, CAST(CASE WHEN step % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS identities FROM p GROUP BY 1",
 }
