@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspan.operators.params import matmul
+from convspan.operators.params import matmul, small
 
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
@@ -42,9 +42,9 @@ def faults(shapes: DataFrame, adapters: DataFrame, rank: int) -> DataFrame:
 
 
 def linear(x: DataFrame, w: DataFrame, a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
-    """path, i, j, value of x w + scale (x a) b, all matrices as rows (path, i, j, value); w, a and b are the small sides."""
-    update = matmul(matmul(x, F.broadcast(a)), F.broadcast(b)).withColumnRenamed("value", "update")
-    return matmul(x, F.broadcast(w)).join(update, ["path", "i", "j"], "left").select("path", "i", "j", (F.col("value") + F.coalesce(F.col("update"), F.lit(0.0)) * scale).alias("value"))
+    """path, i, j, value of x w + scale (x a) b, all matrices as rows (path, i, j, value); w, a and b are broadcast where they are small."""
+    update = matmul(matmul(x, small(a)), small(b)).withColumnRenamed("value", "update")
+    return matmul(x, small(w)).join(update, ["path", "i", "j"], "left").select("path", "i", "j", (F.col("value") + F.coalesce(F.col("update"), F.lit(0.0)) * scale).alias("value"))
 
 
 def flat(adapters: DataFrame) -> DataFrame:

@@ -56,9 +56,14 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("a.path").alias("path"), F.col("a.i").alias("i"), F.col("b.j").alias("j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("value"))
 
 
+def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """The rows, to be broadcast if there are, counted first, at most so many (some 20 MB of numbers)."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def merge_lora(weights: DataFrame, a: DataFrame, b: DataFrame, alpha: float, rank: int) -> DataFrame:
-    """weights plus (alpha / rank) times a x b, where a path has adapters; b, of rank rows, is the small side."""
-    delta = matmul(a, F.broadcast(b)).withColumnRenamed("value", "delta")
+    """weights plus (alpha / rank) times a x b, where a path has adapters. b, of rank rows, is the side that is broadcast where it is small."""
+    delta = matmul(a, small(b)).withColumnRenamed("value", "delta")
     return weights.join(delta, ["path", "i", "j"], "left").select("path", "i", "j", (F.col("value") + F.coalesce(F.col("delta") * (alpha / rank), F.lit(0.0))).alias("value"))
 
 
