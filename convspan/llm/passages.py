@@ -93,25 +93,25 @@ def _windows(block: int, rows: pa.Table, answers: pa.Table, buckets: int) -> pa.
     at, which, held = groups(one, two)
     least, place = _least(which, len(at), doc, text.place[starts])
     one, two = one[at], two[at]
-    return blocks.messages(block, [(b, [one[k].tobytes(), np.concatenate([least[k], place[k]]).tobytes(), np.packbits(held[k] > 1).tobytes(), two[k].tobytes()]) for b, k in blocks.by_bucket(one, buckets)])
+    return blocks.messages(block, [(b, [one[k].tobytes(), least[k].tobytes() + place[k].astype(np.int32).tobytes(), np.packbits(held[k] > 1).tobytes(), two[k].tobytes()]) for b, k in blocks.by_bucket(one, buckets)])
 
 
 def _least(which: np.ndarray, n: int, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least doc of each of n groups, and the least place that the group has in it."""
-    least, first = np.full(n, blocks.LAST), np.full(n, blocks.LAST)
+    least, first = np.full(n, blocks.LAST), np.full(n, (1 << 31) - 1, np.int32)
     np.minimum.at(least, which, doc)
-    own = doc == least[which]
-    np.minimum.at(first, which[own], place[own].astype(np.int64))
+    own = np.flatnonzero(doc == least[which])
+    np.minimum.at(first, which[own], place[own].astype(np.int32))
     return least, first
 
 
 def _firsts(key: tuple, table: pa.Table) -> pa.Table:
     """Answers each block its windows that occur elsewhere too, or again in the block, and whether it holds the first one."""
-    hashes, places = blocks.received(table, "a", np.uint64), blocks.received(table, "b", np.int64)
+    hashes, firsts = blocks.received(table, "a", np.uint64), blocks.received(table, "b", np.int32)
     sizes = list(map(len, hashes))
     again = np.concatenate([np.unpackbits(x, count=n) for x, n in zip(blocks.received(table, "c", np.uint8), sizes, strict=True)]).astype(bool)
     others = blocks.received(table, "d", np.uint64)
-    doc, place = (np.concatenate([x[k * len(x) // 2 : (k + 1) * len(x) // 2] for x in places]) for k in (0, 1))
+    doc, place = np.concatenate([x[: 2 * n].view(np.int64) for x, n in zip(firsts, sizes, strict=True)]), np.concatenate([x[2 * n :] for x, n in zip(firsts, sizes, strict=True)])
     _, which, held = groups(np.concatenate(hashes), np.concatenate(others))
     least, least_place = _least(which, len(held), doc, place)
     tell, first = (held > 1)[which] | again, (doc == least[which]) & (place == least_place[which])
