@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convspan.operators import adapters, batch, classify, params, render, stats, tokens, truncate
-from convspan.plans import dialects, encoding, epochs, exchanges, matrices, oracle, records, runs, table_calls, tensors
+from convspan.plans import audits, dialects, encoding, epochs, exchanges, matrices, oracle, records, runs, table_calls, tensors
 from convspan.sources import tables
 from convspan.streaming import cursor
 
@@ -322,7 +322,7 @@ def queries() -> dict[str, Query]:
         require_match_failures, zero_objective, message_blocks, trunc_semantic, classify_rows, stream_counters, shuffle_rank_split, microbatch_index, tape_replay_slices, padded_batches, tape_validation,
         resume_cursor, epoch_rollover, explain_all_tokens, loss_statistics, loss_ratio_of_sums, trajectory_compare, trajectory_stability, grad_norm_clip, adamw_step, lora_merge_all, lora_param_count_all, metrics_rollup,
     ]
-    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | matrices.queries() | runs.queries() | table_calls.queries() | {
+    return {"flagship": flagship} | {f.__name__: f for f in named} | exchanges.queries() | encoding.queries() | records.queries() | epochs.queries() | dialects.queries() | tensors.queries() | matrices.queries() | runs.queries() | table_calls.queries() | audits.queries() | {
         "render_olmo2_text": _text_query("olmo2_instruct"), "render_math_text": _text_query("qwen2_5_math"), "render_qwen35_text": _text_query("qwen3_5_text"),
         "tokens_char_owner": _owner_query(tokens.CHARACTERS), "tokens_regex_owner": _owner_query(tokens.WORDS),
         "weights_last_match": _weights_query("last_match", tokens.DEFAULT_RULES), "weights_multiply": _weights_query("multiply", tokens.OVERLAPPING_RULES), "weights_conflicts": _weights_query("error", tokens.OVERLAPPING_RULES),
@@ -331,4 +331,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL | matrices.SQL | runs.SQL | table_calls.SQL
+    return oracle.SQL | exchanges.SQL | encoding.SQL | records.SQL | epochs.SQL | dialects.SQL | tensors.SQL | matrices.SQL | runs.SQL | table_calls.SQL | audits.SQL
