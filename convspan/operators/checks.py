@@ -66,7 +66,7 @@ def trajectory_verdict(a: DataFrame, b: DataFrame, atol: float, rtol: float, mos
     gates = trajectory_gates(a, b, atol, rtol)
     totals = gates.agg(
         F.count(F.lit(1)).alias("steps"), F.count("fault").alias("faults"), F.count_if(~F.coalesce("within", F.lit(False))).alias("outside"), F.max("rel_error").alias("most_rel"),
-        (F.lit(start_step) if start_step is not None else F.min(F.when(F.col("rate") > 0, F.col("step"))) + 1).cast("long").alias("start_step"),
+        (F.lit(start_step) if start_step is not None else (F.min(F.when(F.col("rate") > 0, F.col("step"))) + 1)).cast("long").alias("start_step"),
     )
     late = stats.stability(gates.crossJoin(F.broadcast(totals.select("start_step"))).where("step >= start_step and rel_error is not null").select("step", "rel_error"))
     found = totals.crossJoin(F.broadcast(late.select("slope", (F.col("late_mean") - F.col("early_mean")).alias("growth"))))

@@ -26,7 +26,7 @@ def test_verdicts(spark):
     for k, value in ((2, 10.1), (3, 99), (4, 0.2)):
         changed = verdict(lambda s, r: (*r[:k], value, *r[k + 1 :]) if s == 5 else r)
         assert changed.faults == 1 and not changed.passed
-    drift = verdict(lambda s, r: (s, r[1] * (1 + 0.002 * s), *r[2:]))
+    drift = verdict(lambda s, r: (s, r[1] * (1 + 0.0015 * s), *r[2:]))
     assert drift.outside == 0 and drift.slope > 0.001 and not drift.passed
     still = verdict(lambda s, r: (*r[:4], 0.0))
-    assert still.start_step is None and not still.passed and verdict(lambda s, r: r, start_step=5).start_step == 6
+    assert still.start_step is None and not still.passed and verdict(lambda s, r: r, start_step=5).start_step == 5
