@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from convspan.operators import batch, render, samples, tokens
+from convspan.operators import batch, samples, tokens
 
 SPANS = "sample_id int, span_index int, left long, right long, boundary_owner string"
 TEXTS = "sample_id string, span_index int, message_index int, span_class string, role string, text string, default_weight double"
