@@ -28,12 +28,13 @@ def align(tokens: DataFrame, spans: DataFrame, owner: str = "right") -> DataFram
     """
     at = {"right": F.col("end") - 1, "left": F.col("start")}[owner]
     more = [c for c in FIELDS if c in spans.columns and c not in ("role", "span_class", "message_index")]
+    fields = [c for c in tokens.columns if c != "sample_id"]  # that one stays beside, by which the rows are dealt
     own = F.struct("span_index", "message_index", "span_class", "role", "default_weight", *more)
-    starts = render.ranges(spans).where("right > left").select("sample_id", F.col("left").alias("__at"), own.alias("__span"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in tokens.schema) + ">").alias("__token"))
-    every = tokens.select("sample_id", at.cast("long").alias("__at"), F.lit(None).cast(starts.schema["__span"].dataType).alias("__span"), F.struct(*tokens.columns).alias("__token")).unionByName(starts)
+    starts = render.ranges(spans).where("right > left").select("sample_id", F.col("left").alias("__at"), own.alias("__span"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in tokens.select(*fields).schema) + ">").alias("__token"))
+    every = tokens.select("sample_id", at.cast("long").alias("__at"), F.lit(None).cast(starts.schema["__span"].dataType).alias("__span"), F.struct(*fields).alias("__token")).unionByName(starts)
     order = Window.partitionBy("sample_id").orderBy("__at", F.col("__token").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = every.withColumn("__span", F.last("__span", ignorenulls=True).over(order)).where("__token is not null and __span is not null")
-    return found.select("__token.*", "__span.*")
+    return found.select("sample_id", *[F.col("__token")[c].alias(c) for c in fields], "__span.*")
 
 
 OWNERS = ("right", "left", "reject")

@@ -40,12 +40,27 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.schema_of_variant(event) == "STRING").select(F.try_variant_get(event, "$", "string").alias("event"), F.col("value").alias("line"))
 
 
+#: Bytes of text that a task has: one row for each character are some hundred times as many bytes.
+TASK_BYTES = 1_000_000
+
+
+def dealt(messages: DataFrame) -> DataFrame:
+    """Messages (sample_id, text, ...) dealt by sample, about TASK_BYTES of text to a task, so there are more tasks for more text.
+
+    What is done by sample afterwards stays in these tasks; messages, small as they are, would be put together in a few tasks before
+    their tokens, many times as large, are made.
+    """
+    size = messages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return messages.repartition(max(messages.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "sample_id")
+
+
 def message_table(conversations: DataFrame) -> DataFrame:
-    """sample_id, message_index, role, text, n_messages of a table (conv_id, turn, role, text), numbered from 0 without gaps."""
+    """sample_id, message_index, role, text, n_messages of a table (conv_id, turn, role, text), numbered from 0 without gaps; dealt by sample."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    numbered = conversations.select(F.col("conv_id").alias("sample_id"), (F.row_number().over(order) - 1).alias("message_index"), "role", "text")
+    messages = dealt(conversations.select(F.col("conv_id").alias("sample_id"), "turn", "role", "text"))
+    order = Window.partitionBy("sample_id").orderBy("turn")
+    numbered = messages.select("sample_id", (F.row_number().over(order) - 1).alias("message_index"), "role", "text")
     return numbered.withColumn("n_messages", F.count(F.lit(1)).over(Window.partitionBy("sample_id")))
 
 

@@ -283,3 +283,16 @@ def test_streaming_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("roles").collect()} == {tuple(r) for r in cursor.role_counts(source).collect()}
+
+
+def test_more_text_more_tasks(spark, monkeypatch):
+    """Tokens, many times as large as their messages, stay dealt by the size of the text and are not shuffled again."""
+    monkeypatch.setattr(tables, "TASK_BYTES", 100)
+    text = "one two three " * 10
+    m = tables.message_table(spark.createDataFrame([(k, t, r, text) for k in range(20) for t, r in enumerate(("user", "assistant"))], "conv_id long, turn int, role string, text string"))
+    spans = render.qwen2_5_math(m)
+    weighed = tokens.weigh(tokens.align(tokens.tokenize(render.documents(spans)), spans))
+    assert weighed.rdd.getNumPartitions() == 40 * len(text) // 100
+    found = truncate.loss_aware(weighed, 8)
+    assert found.count() == 20
+    assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
