@@ -100,7 +100,11 @@ def tokenized_samples(spans: DataFrame, policy: Policy, encoder: Encoder | str =
     class is fatal, semantic_rejection, length_rejection, zero_objective or emitted. strict: a fatal sample fails the job with its reason.
     A sample's tokens meet in one task; windows bound the arrays.
     """
-    weighed = weighed_tokens(spans, policy, encoder)
+    return finished_samples(weighed_tokens(spans, policy, encoder), policy, refusals, units, strict)
+
+
+def finished_samples(weighed: DataFrame, policy: Policy, refusals: DataFrame | None = None, units: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """tokenized_samples() of weighed_tokens(), which are read three times; callers may write them once before."""
     reasons, cut = fatal_reasons(weighed, policy, refusals), windows(weighed, policy, units)
     inside = weighed.join(cut.select("sample_id", F.col("start").alias("from"), F.col("stop").alias("to")), "sample_id").where("pos >= from and pos < to")
     weight = F.when(F.col("pos") == F.col("from"), 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))

@@ -51,6 +51,11 @@ def owned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     A token overlaps the spans that begin before its end less those that end at its start or before, which are a run of indices: one
     sweep over the edges of spans and tokens in the order of their places counts both for each owner. No span meets a token in a join.
     """
+    return _swept(tokens, spans).drop("tokens")
+
+
+def _swept(tokens: DataFrame, spans: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """owned(), and tokens: the named columns of the tokens at that position, which come along on one of their edges."""
     by = Window.partitionBy("sample_id")
     s = spans.select("sample_id", "span_index", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), F.coalesce("boundary_owner", F.lit("right")).alias("owner"))
     order = by.orderBy("span_index")
@@ -60,29 +65,42 @@ def owned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     edge = lambda at, kind: F.struct(F.col(at).cast("long").alias("at"), F.lit(kind).alias("kind"))
     none = F.lit(None).cast("int").alias("pos")
     of_spans = s.select("sample_id", none, "owner", "back", F.explode(F.array(edge("right", 0), edge("left", 3))).alias("edge"))
-    of_tokens = tokens.select("sample_id", F.col("pos").cast("int").alias("pos"), F.lit(None).cast("string").alias("owner"), F.lit(False).alias("back"), F.explode(F.array(edge("start", 1), edge("end", 2))).alias("edge"))
+    own = [] if carried is None else [F.struct(*carried).alias("own")]
+    of_tokens = tokens.select("sample_id", F.col("pos").cast("int").alias("pos"), F.lit(None).cast("string").alias("owner"), F.lit(False).alias("back"), F.explode(F.array(edge("start", 1), edge("end", 2))).alias("edge"), *own)
+    if own:
+        of_tokens = of_tokens.withColumn("own", F.when(F.col("edge.kind") == 1, F.col("own")))
     sweep = by.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)
     seen = [F.count_if((F.col("edge.kind") == kind) & (F.col("owner") == owner)).over(sweep).alias(f"{owner}_{kind}") for kind in (0, 3) for owner in OWNERS]
-    rows = of_spans.unionByName(of_tokens).select("sample_id", "pos", "edge", *seen, F.max("back").over(by).alias("disordered")).where("pos is not null")
+    rows = of_spans.unionByName(of_tokens, allowMissingColumns=True).select("sample_id", "pos", "edge", *seen, F.max("back").over(by).alias("disordered"), *(["own"] if own else [])).where("pos is not null")
     at_start = lambda c: F.max(F.when(F.col("edge.kind") == 1, F.col(c)))
     at_end = lambda c: F.max(F.when(F.col("edge.kind") == 2, F.col(c)))
     found = rows.groupBy("sample_id", "pos").agg(
         at_start("edge.at").alias("start"), at_end("edge.at").alias("end"), F.max("disordered").alias("disordered"),
-        sum((at_start(f"{o}_0") for o in OWNERS[1:]), at_start("right_0")).alias("first"), *[(at_end(f"{o}_3") - at_start(f"{o}_0")).alias(o) for o in OWNERS],
+        sum((at_start(f"{o}_0") for o in OWNERS[1:]), at_start("right_0")).alias("first"), *[(at_end(f"{o}_3") - at_start(f"{o}_0")).alias(o) for o in OWNERS], F.collect_list("own" if own else F.lit(None)).alias("tokens"),
     )
     count = F.col("right") + F.col("left") + F.col("reject")
     fault = F.when((F.col("start") < 0) | (F.col("end") < F.col("start")), "a token has no valid range").when(F.col("end") == F.col("start"), "a token has no characters").when(F.col("disordered"), "spans are out of order")
     fault = fault.when(count <= 0, "a token lies outside the spans").when((count > 1) & (F.col("right") < count) & (F.col("left") < count), "a token crosses spans without one owner")
     owner = F.when((count == 1) | (F.col("left") == count), F.col("first")).otherwise(F.col("first") + count - 1)
-    return found.withColumn("fault", fault).select("sample_id", "pos", F.when(F.col("fault").isNull(), owner).cast("int").alias("span_index"), "fault")
+    return found.withColumn("fault", fault).select("sample_id", "pos", F.when(F.col("fault").isNull(), owner).cast("int").alias("span_index"), "fault", "tokens")
 
 
 def align_owned(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Tokens with the fields of the span that owns them by owned(), and fault; tokens at fault have no span."""
+    """Tokens with the fields of the span that owns them by owned(), and fault; tokens at fault have no span.
+
+    Tokens go along in the sweep, and each takes the fields behind which it comes in the order of its span: neither is a join, so rows
+    stay where they are dealt by sample.
+    """
     more = [c for c in FIELDS if c in spans.columns and c not in ("role", "span_class", "message_index")]
-    fields = spans.select("sample_id", "span_index", "message_index", "span_class", "role", "default_weight", *more)
+    fields = ["message_index", "span_class", "role", "default_weight", *more]
     placed = spans if "left" in spans.columns else render.ranges(spans)
-    return tokens.join(owned(tokens, placed), ["sample_id", "pos"]).join(fields, ["sample_id", "span_index"], "left")
+    carried = [c for c in tokens.columns if c != "sample_id"]
+    t = _swept(tokens, placed, carried).where("sample_id is not null").select("sample_id", F.col("span_index").alias("__at"), "fault", F.explode("tokens").alias("__token"))
+    s = spans.where("span_index is not null").select("sample_id", F.col("span_index").cast("int").alias("__at"), F.struct(*fields).alias("__span"))
+    by = Window.partitionBy("sample_id", "__at").orderBy(F.col("__token").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    every = t.unionByName(s, allowMissingColumns=True).withColumn("__span", F.last("__span", ignorenulls=True).over(by)).where("__token is not null")
+    rest = [c for c in carried if c != "pos"]
+    return every.select("sample_id", F.col("__at").alias("span_index"), *[F.col("__token")[c].alias(c) for c in ("pos", *rest)], "fault", *[F.col("__span")[c].alias(c) for c in fields])
 
 
 def alignment_faults(tokens: DataFrame, spans: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def _tool_windows(messages: DataFrame, w: DataFrame, context: int = CONTEXT) ->
 
 def _staged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Messages and their weighed tokens, each made once for all that reads them."""
-    messages = staged(tool_messages(spark, sf_dir))
-    return messages, staged(_tool_tokens(messages))
+    messages = tables.dealt(staged(tool_messages(spark, sf_dir)))
+    return messages, tables.dealt(staged(_tool_tokens(messages)), "token")
 
 
 TOKENS = AUDIT + r""",

@@ -24,7 +24,7 @@ def explain_tokens(spark, sf_dir):
 def _flawed(spark, sf_dir):
     """(spans, refusals): one sample in seven has no user, one tokens that cross spans whose owners differ."""
     m = tables.message_table(tables.table(spark, sf_dir, "conversations"))
-    m = staged(m.withColumn("role", F.when((F.col("sample_id") % 7 == 0) & (F.col("role") == "user"), "assistant").otherwise(F.col("role"))))
+    m = tables.dealt(staged(m.withColumn("role", F.when((F.col("sample_id") % 7 == 0) & (F.col("role") == "user"), "assistant").otherwise(F.col("role")))))
     header = render.span("role_header", F.concat(F.lit("<|"), "role", F.lit("|>")))
     spans = render.spans_of(m, [header, render.span("content", F.col("text"), F.when(F.col("role") == "assistant", 1.0).otherwise(0.0)), render.span("turn_end", F.lit("\n"))], None)
     owner = F.when((F.col("sample_id") % 7 == 1) & (F.col("span_class") == "content"), "left").otherwise("right")
@@ -34,7 +34,7 @@ def _flawed(spark, sf_dir):
 def fatal_causes(spark, sf_dir):
     """Class of every sample under strict rules, and why it is fatal."""
     spans, refusals = _flawed(spark, sf_dir)
-    found = samples.tokenized_samples(staged(spans), STRICT, refusals=refusals)
+    found = samples.finished_samples(staged(samples.weighed_tokens(tables.dealt(staged(spans)), STRICT)), STRICT, refusals)
     return found.select("sample_id", "class", "fatal_reason", "n_tokens", "selected", "total_weight")
 
 

@@ -44,14 +44,14 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 TASK_BYTES = 1_000_000
 
 
-def dealt(messages: DataFrame) -> DataFrame:
-    """Messages (sample_id, text, ...) dealt by sample, about TASK_BYTES of text to a task, so there are more tasks for more text.
+def dealt(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (sample_id, text, ...) dealt by sample, about TASK_BYTES of text to a task, so there are more tasks for more text.
 
     What is done by sample afterwards stays in these tasks; messages, small as they are, would be put together in a few tasks before
-    their tokens, many times as large, are made.
+    their tokens, many times as large, are made. Staged rows are not known to be dealt any more.
     """
-    size = messages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return messages.repartition(max(messages.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "sample_id")
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), "sample_id")
 
 
 def message_table(conversations: DataFrame) -> DataFrame:

@@ -122,3 +122,13 @@ def test_numbers_of_emitted_rows(spark):
         for d in range(2):
             for a in range(3):
                 assert r.sample_ids[d][a] == [by_number[r.rank, r.batch * 12 + a * 4 + d * 2 + e] for e in range(2)]
+
+
+def test_owners_without_joins(spark):
+    """Tokens reach their owners in the tasks they are dealt to: nothing is broadcast by the driver, no token is shuffled."""
+    spans = spark.createDataFrame([(k, i, i, c, "user", t, 0.0, "right") for k in range(9) for i, (c, t) in enumerate((("role_header", "<u>"), ("content", "a b")))], "sample_id long, span_index int, message_index int, span_class string, role string, text string, default_weight double, boundary_owner string")
+    found = samples.weighed_tokens(spans.repartition(5, "sample_id"), samples.Policy(8, "right"))
+    assert [(r.pos, r.span_index, r.span_class, r.token) for r in found.where("sample_id = 3").orderBy("pos").collect()] == [(0, 1, "content", "<u>a"), (1, 1, "content", " "), (2, 1, "content", "b")]
+    found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
