@@ -12,16 +12,14 @@ Contents are told apart by their least hash and by a cryptographic hash of their
 one content with several owners, and most of what exact copies share is settled so, before any sorting. Within a bucket the bytes of
 equal contents are compared as well.
 
-Suffixes are sorted by grouping (linear construction): suffixes start in groups by their first symbol and groups are processed from
-the greatest down. Each suffix of the current group points to the last suffix before it that is in a lower group; suffixes pointed to
-equally often leave their group together, for a new one right above it, those pointed to more often ending higher. When all groups are
-processed a group's suffixes share their longest Lyndon prefix, and reading the suffix order upwards emits each group's order: a suffix
-takes its group's next place when the suffix behind its Lyndon prefix is read. Nothing is renamed or sorted again.
+Suffixes are sorted by grouping, on arrays: they start in groups by as many first symbols as a number holds; then every group of several
+is split by the groups of the suffixes as far behind as is known to agree, which doubles what is known. Suffixes alone in their group stay
+where they are, and as strings of one length are looked for, groups that agree so far are split no more. It is done over many contents at
+once: their number is a matter of array sizes, not of the result.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +33,7 @@ from convspan.llm.textarrays import byte_sums, chunks, digests, groups, mix, run
 LENGTH = 50
 GRAM = 26
 #: Symbols of the strings whose suffixes are sorted together, a longer string alone.
-SORTED_TOGETHER = 4_000
+SORTED_TOGETHER = 50_000
 SPAN = LENGTH - GRAM + 1
 #: Bytes before and after the run that two contents with a common string share, for every split of its LENGTH - GRAM other bytes one of these.
 SIDES = ((24, 0), (18, 1), (12, 7), (6, 13), (1, 19), (0, 24))
@@ -43,108 +41,38 @@ SIDES = ((24, 0), (18, 1), (12, 7), (6, 13), (1, 19), (0, 24))
 RUN = 300
 
 
-def suffix_order(symbols: list[int]) -> list[int]:
-    """Starts of all suffixes in ascending order."""
+def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of all suffixes in ascending order by their first depth symbols, or more; those that agree in all these by their starts."""
     n = len(symbols)
-    members: list[list[int]] = []
-    length: list[int] = []
-    below: list[int] = []  # the next lower group of each group; -1 for none
-    group = [0] * n
-    places = defaultdict(list)
-    for i, x in enumerate(symbols):
-        places[x].append(i)
-    for number, x in enumerate(sorted(places)):
-        members.append(places[x])
-        length.append(1)
-        below.append(number - 1)
-        for i in places[x]:
-            group[i] = number
-    above = [k + 1 for k in range(len(members))]
-    if above:
-        above[-1] = -1
-    processed, smaller = bytearray(n), [-1] * n
-    live = list(map(len, members))  # of a group's members those that have not left it
-    current, order = len(members) - 1, []
-
-    def leave(starts: list[int], step: int) -> None:
-        split: dict[int, int] = {}
-        for i in starts:
-            old = group[i]
-            new = split.get(old)
-            if new is None:
-                new = split[old] = len(members)
-                members.append([])
-                live.append(0)
-                length.append(length[old] + step)
-                below.append(old)
-                above.append(above[old])
-                below[above[old]] = new
-                above[old] = new
-            group[i] = new
-            members[new].append(i)
-            live[old] -= 1
-            live[new] += 1
-
-    while current >= 0:
-        if live[current]:
-            own = members[current]
-            if len(own) > 1:
-                own = members[current] = sorted([i for i in own if group[i] == current])
-            order.append(current)
-            step = length[current]
-            for i in own:
-                processed[i] = 1
-            if len(own) == 1:
-                i = own[0]
-                at = i - 1
-                while at >= 0 and processed[at]:
-                    at = smaller[at]
-                smaller[i] = at
-                if at >= 0:
-                    old = group[at]
-                    if live[old] == 1:  # the whole group goes up, to where it is
-                        length[old] += step
-                        members[old] = [at]
-                    else:
-                        leave([at], step)
-            else:
-                pointed: dict[int, int] = {}
-                for i in own:
-                    at = i - 1
-                    while at >= 0 and processed[at]:
-                        at = smaller[at]
-                    smaller[i] = at
-                    if at >= 0:
-                        pointed[at] = pointed.get(at, 0) + 1
-                if pointed:
-                    if max(pointed.values()) == 1:
-                        leave(list(pointed), step)
-                    else:
-                        for times, starts in sorted(_invert(pointed).items(), reverse=True):
-                            leave(starts, times * step)
-        current = below[current]
-    order.reverse()
-    place, waiting, at = {}, defaultdict(list), 0
-    for number in order:
-        place[number] = at
-        at += len(members[number])
-        step = length[number]
-        for i in members[number]:
-            waiting[i + step].append(i)
-    out = [0] * n
-    for at in range(-1, n):
-        for i in waiting.get(n if at < 0 else out[at], ()):
-            number = group[i]
-            out[place[number]] = i
-            place[number] += 1
-    return out
+    values, symbol = np.unique(symbols, return_inverse=True)
+    bits = max(1, len(values).bit_length())
+    known = max(1, min(62 // bits, depth))
+    padded = np.zeros(n + known, np.int64)  # 0: behind the end
+    padded[:n] = symbol + 1
+    key = padded[:n]
+    for k in range(1, known):
+        key = key << bits | padded[k : n + k]
+    order = np.argsort(key, kind="stable")
+    group = np.zeros(n, np.int64)  # of each suffix: the place of its group's first
+    places, key = np.arange(n), key[order]
+    while len(places):
+        new = np.append(True, key[1:] != key[:-1])
+        group[order[places]] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        if known >= depth:
+            break
+        places = places[~(new & np.append(new[1:], True))]
+        starts = order[places]
+        behind = starts + known
+        key = group[starts] << 32 | np.where(behind < n, group[np.minimum(behind, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        order[places], key = starts[by], key[by]
+        known *= 2
+    return order
 
 
-def _invert(counts: dict[int, int]) -> dict[int, list[int]]:
-    out = defaultdict(list)
-    for i, c in counts.items():
-        out[c].append(i)
-    return out
+def suffix_order(symbols: list[int]) -> list[int]:
+    """Starts of all suffixes in ascending order."""
+    return sorted_suffixes(np.array(symbols, np.int64), len(symbols)).tolist()
 
 
 def least_owner(strings: list[np.ndarray], owners: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -155,7 +83,7 @@ def least_owner(strings: list[np.ndarray], owners: list[int], length: int = LENG
     symbols[runs(starts, sizes - 1)] = np.concatenate(strings)
     room = np.zeros(len(symbols), bool)
     room[runs(starts, np.maximum(sizes - length, 0))] = True
-    order = np.array(suffix_order(symbols[: sizes.sum()].tolist()), np.int64)
+    order = sorted_suffixes(symbols[: sizes.sum()], length)
     order = order[room[order]]
     found = np.full(len(symbols), blocks.LAST)
     if len(order):
@@ -323,16 +251,28 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
             raise RuntimeError("two contents share both hashes")
     least = np.full(len(held), blocks.LAST)
     np.minimum.at(least, same, doc)
-    found: dict[int, np.ndarray] = {}
+    # Of each content where its runs of starts with one owner begin in the lists, and how many; a content not sorted is one run, behind all of these.
+    lengths, owners, begin, count, done = [], [], np.zeros(len(held), np.int64), np.zeros(len(held), np.int64), 0
     grams: dict[np.uint64, np.ndarray] = {}
 
     def sort(entries: np.ndarray, cut: bool) -> None:
+        nonlocal done
         at_, stop, run_ = at[entries].tolist(), (at + sent)[entries].tolist(), run[entries].tolist()
         strings = [data[x:y].astype(np.int64) + 1 for x, y in zip(at_, stop, strict=True)]
         middles = [[RUN + k] for k in np.unique(every[entries], return_inverse=True)[1].tolist()] if cut else [grams.get(k) for k in every[entries]]
         strings = [x if r < 0 else np.concatenate([x[:r], m, x[r:]]) for x, r, m in zip(strings, run_, middles, strict=True)]
-        for k, owners in zip(same[entries].tolist(), least_owner(strings, least[same[entries]].tolist(), SPAN if cut else LENGTH), strict=True):
-            found[k] = owners
+        found = least_owner(strings, least[same[entries]].tolist(), SPAN if cut else LENGTH)
+        ends = np.cumsum(list(map(len, found)))
+        flat = np.concatenate(found)
+        new = np.append(True, flat[1:] != flat[:-1])
+        new[ends[:-1]] = True
+        edge = np.flatnonzero(new)
+        lengths.append(np.diff(np.append(edge, len(flat))))
+        owners.append(flat[edge])
+        stop = np.searchsorted(edge, ends)
+        count[same[entries]] = np.diff(np.append(0, stop))
+        begin[same[entries]] = done + np.append(0, stop[:-1])
+        done += len(edge)
 
     # Contents whose run was left out are sorted with it as one symbol, if all that meet are such.
     _, met, several = np.unique(every[first], return_inverse=True, return_counts=True)
@@ -362,23 +302,17 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
         for part in np.split(entries, cuts):
             if len(part):
                 sort(part, cut)
-    tell = np.flatnonzero((held[same] > 1) | np.isin(same, np.fromiter(found, np.int64, len(found))))
-    block = np.repeat(np.arange(len(keys)), counts)
+    tell = np.flatnonzero((held[same] > 1) | (count[same] > 0))
+    begin = np.where(count > 0, begin, done + np.arange(len(held)))
+    count = np.maximum(count, 1)
+    length, owner = np.concatenate([*lengths, size[first] - LENGTH + 1]).astype(np.int32), np.concatenate([*owners, least])
+    edges = np.searchsorted(tell, np.append(0, np.cumsum(counts)))
     parts = []
-    for k in range(len(keys)):
-        own = tell[np.searchsorted(block[tell], k) : np.searchsorted(block[tell], k + 1)]
-        lengths, owners, steps = [], [], []
-        for entry, s in zip(own.tolist(), same[own].tolist(), strict=True):
-            if (owner := found.get(s)) is None:
-                steps.append(1)
-                lengths.append(int(size[entry]) - LENGTH + 1)
-                owners.append(int(least[s]))
-            else:
-                edge = np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
-                steps.append(len(edge))
-                lengths += np.diff(np.append(edge, len(owner))).tolist()
-                owners += owner[edge].tolist()
-        parts.append((name[own].tobytes(), np.array(steps, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), np.array(owners, np.int64).tobytes()))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = tell[a:b]
+        steps = count[same[own]]
+        at_ = runs(begin[same[own]], steps)
+        parts.append((name[own].tobytes(), steps.astype(np.int32).tobytes(), length[at_].tobytes(), owner[at_].tobytes()))
     columns = [table.column("block").combine_chunks(), pa.array([key[0].as_py()] * len(parts), pa.int64())]
     columns += [pa.array([x[k] for x in parts], pa.binary()) for k in range(4)]
     return pa.table(columns, ["block", "bucket", *blocks.PARTS])

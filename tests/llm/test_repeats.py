@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -288,3 +289,24 @@ def test_rows_of_one_id_are_spread(spark):
         gone = {x for j in range(len(data) - 49) if starts[data[j : j + 50]] < d for x in range(j, j + 50)}
         want.append((d, len(data), len(gone), bytes(b for x, b in enumerate(data) if x not in gone)))
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeated_strings(docs).collect()) == sorted(want)
+
+
+def test_suffixes_by_arrays():
+    """Orders to a depth are those by so many symbols; and many contents are sorted at once, in a fraction of the time of a loop over symbols."""
+    rng = random.Random(5)
+    for n, letters, depth in ((1, 1, 1), (40, 1, 7), (300, 2, 5), (300, 2, 25), (200, 500, 3)):
+        s = np.array([rng.randrange(letters) for _ in range(n)])
+        got = suffixes.sorted_suffixes(s, depth)
+        assert sorted(got.tolist()) == list(range(n))
+        heads = [s[i : i + depth].tolist() for i in got]
+        assert heads == sorted(heads)
+    strings = [np.array([rng.randrange(1, 4) for _ in range(rng.randrange(6, 30))]) for _ in range(60)]
+    owners = [rng.randrange(9) for _ in strings]
+    least = {}
+    for s, o in zip(strings, owners, strict=True):
+        for i in range(len(s) - 5):
+            least[tuple(s[i : i + 6])] = min(o, least.get(tuple(s[i : i + 6]), o))
+    assert [x.tolist() for x in suffixes.least_owner(strings, owners, 6)] == [[least[tuple(s[i : i + 6])] for i in range(len(s) - 5)] for s in strings]
+    began = time.process_time()
+    suffixes.least_owner([np.array(rng.choices(range(1, 256), k=75)) for _ in range(8_000)], list(range(8_000)))
+    assert time.process_time() - began < 1.5
