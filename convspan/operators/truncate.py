@@ -70,10 +70,11 @@ def loss_aware(weighed: DataFrame, length: int, min_context: int = 0, keep: tupl
 def message_blocks(weighed: DataFrame) -> DataFrame:
     """sample_id, block, start, stop, first and last weighted position and sums of each message's run of tokens.
 
-    Tokens that no message owns belong to the message on their left, leading ones to the first message.
+    Tokens that no message owns belong to the message on their left, leading ones to the first message. That one is found once a sample:
+    a frame from each row to the end would be read anew for every token, the square of a sample's tokens.
     """
     by = Window.partitionBy("sample_id").orderBy("pos")
-    owner = F.coalesce(F.last("message_index", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("message_index", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    owner = F.coalesce(F.last("message_index", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("message_index", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rows = weighed.withColumn("block", owner)
     positive = F.when(F.col("weight") > 0, F.col("pos"))
     first = F.col("weight") * (F.col("pos") == F.min("pos").over(Window.partitionBy("sample_id", "block"))).cast("int")
