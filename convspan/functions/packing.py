@@ -1,10 +1,15 @@
 """Numbers as the bytes that other programs keep them in: little-endian packing of columns and arrays, and digests of those bytes.
 
-All are column functions: integers by shifting their bytes, floating-point numbers by taking sign, exponent and fraction apart exactly.
+Numbers and arrays are packed by column functions: integers by shifting their bytes, floating-point numbers by taking sign, exponent and fraction apart
+exactly. That is some microseconds a number, so whole rows of arrays are digested from Arrow batches, which hold these bytes already (array_digest).
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +66,24 @@ def packed(values: Column, kind: str) -> Column:
 def digest(*parts: Column) -> Column:
     """SHA-256 of binaries one after another, in hexadecimal digits."""
     return F.sha2(F.concat(*parts), 256)
+
+
+def _array_bytes(column: pa.Array) -> list[bytes]:
+    """The bytes of each array of a column of numbers or booleans."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("an array with nulls has no bytes")
+    values = flat.to_numpy(zero_copy_only=False)
+    values = np.where(np.isnan(values), values.dtype.type(np.nan), values) if values.dtype.kind == "f" else values
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) * values.itemsize
+    data = values.astype(values.dtype.newbyteorder("<")).tobytes()
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(column) else []
+
+
+def _array_digests(*columns: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(b"".join(parts)).hexdigest() for parts in zip(*map(_array_bytes, columns), strict=True)], pa.string())
+
+
+def array_digest(arrays: dict[str, str]) -> Column:
+    """digest(packed(...), ...) of array columns, given with their kinds."""
+    return F.arrow_udf(_array_digests, "string")(*(F.col(c).cast(f"array<{kind}>") for c, kind in arrays.items()))

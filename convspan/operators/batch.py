@@ -84,6 +84,15 @@ def padded(tokens: DataFrame, windows: DataFrame | None, length: int, pad_id: in
     )
 
 
+def placed(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """Padded rows with their position in an order (sample_id, position), in the tasks in which they are dealt by sample.
+
+    The order goes to the rows, by a merge: a small table's rows, by the size of its compressed files, would else be collected and broadcast to it,
+    arrays and all, and stand in as few tasks as the order does.
+    """
+    return rows.join(order.hint("merge"), "sample_id")
+
+
 def tape_faults(tape: DataFrame, length: int) -> DataFrame:
     """step, item, fault of every tape row that breaks a rule; empty for a sound tape."""
     size = (F.size("input_ids") != length) | (F.size("attention_mask") != length) | (F.size("loss_weights") != length)
@@ -96,8 +105,7 @@ def tape_faults(tape: DataFrame, length: int) -> DataFrame:
 
 def row_digest() -> Column:
     """Hash of the bytes of a tape row's three arrays, little-endian 32-bit integers, single bytes and 32-bit floats, one after another."""
-    kinds = {"input_ids": "int", "attention_mask": "boolean", "loss_weights": "float"}
-    return packing.digest(*(packing.packed(F.col(c).cast(f"array<{kind}>"), kind) for c, kind in kinds.items()))
+    return packing.array_digest({"input_ids": "int", "attention_mask": "boolean", "loss_weights": "float"})
 
 
 def write_tape(tape: DataFrame, path: str) -> None:
@@ -119,13 +127,13 @@ def flat_index(accumulation: int, processes: int, devices: int, examples: int) -
 
 def manifest(tape: DataFrame) -> DataFrame:
     """step, rows, identity of each step of a tape: the hash of its rows' digests in the order of their items, one row a step."""
-    listed = F.array_sort(F.collect_list(F.struct("item", row_digest().alias("digest"))))
-    return tape.groupBy("step").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), ","), 256).alias("identity"))
+    listed = F.array_sort(F.collect_list(F.struct("item", "digest")))
+    return tape.select("step", "item", row_digest().alias("digest")).groupBy("step").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(listed, lambda x: x["digest"]), ","), 256).alias("identity"))
 
 
 def audit(expected: DataFrame, found: DataFrame) -> DataFrame:
     """step, item, fault of rows that a tape lacks, has beyond another, has twice, or has with other arrays."""
-    own = lambda t, name: t.groupBy("step", "item").agg(F.min(row_digest()).alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
+    own = lambda t, name: t.select("step", "item", row_digest().alias("digest")).groupBy("step", "item").agg(F.min("digest").alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
     both = own(expected, "wanted").join(own(found, "present"), ["step", "item"], "full_outer")
     fault = F.when(F.col("present").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("present_rows") > 1, "twice").when(F.col("present") != F.col("wanted"), "changed")
     return both.select("step", "item", fault.alias("fault")).where("fault is not null")

@@ -86,7 +86,7 @@ def _tape(spark, sf_dir) -> DataFrame:
     """All padded samples as a tape of 16 rows a step, in the first epoch's order."""
     from convspan.plans.catalogue import _order, _padded
 
-    rows = _padded(spark, sf_dir).join(_order(spark, sf_dir), "sample_id")
+    rows = batch.placed(_padded(spark, sf_dir), _order(spark, sf_dir))
     return staged(rows.select(F.floor(F.col("position") / 16).cast("int").alias("step"), F.col("position").alias("item"), "input_ids", "attention_mask", "loss_weights"))
 
 
@@ -103,7 +103,7 @@ def tape_identities(spark, sf_dir):
     """How many identities the steps of a tape, of its copy with other partitions and of a changed copy have between them."""
     t = _tape(spark, sf_dir)
     changed = t.withColumn("loss_weights", F.when((F.col("step") % 2 == 1) & (F.col("item") % 16 == 0), F.transform("loss_weights", lambda w: w + F.lit(1).cast("float"))).otherwise(F.col("loss_weights")))
-    every = batch.manifest(t).unionByName(batch.manifest(t.repartition(7, "input_ids"))).unionByName(batch.manifest(changed))
+    every = batch.manifest(t).unionByName(batch.manifest(t.repartition("input_ids"))).unionByName(batch.manifest(changed))
     return every.groupBy("step").agg(F.sum("rows").alias("rows"), F.count_distinct("identity").alias("identities")).select(F.col("step").cast("long"), "rows", "identities")
 
 

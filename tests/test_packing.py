@@ -38,3 +38,15 @@ def test_bytes_like_numpy(spark, kind, numpy_kind):
         assert data == np.array(found, numpy_kind).tobytes() and digest == hashlib.sha256(data).hexdigest()
     with pytest.raises(Exception, match="nulls"):
         spark.createDataFrame([([None],)], f"v array<{kind}>").select(packing.packed(F.col("v"), kind)).collect()
+
+
+def test_digests_of_rows_are_those_of_packed_columns(spark):
+    numbers = floats("float", random.Random(3))
+    rows = [([k, -k, 1 << 30][: k % 4], [k % 2 == 0, True][: k % 3], numbers[7 * k : 7 * k + k % 5]) for k in range(len(numbers) // 7)] + [([], [], numbers)]
+    table = spark.createDataFrame(rows, "a array<int>, b array<boolean>, c array<float>").repartition(3)
+    kinds = {"a": "int", "b": "boolean", "c": "float"}
+    found = table.select(packing.array_digest(kinds).alias("rows"), packing.digest(*(packing.packed(F.col(c), kind) for c, kind in kinds.items())).alias("columns"))
+    assert found.count() == len(rows) and found.where("rows is null or rows <> columns").count() == 0
+    for bad in ([None], None):
+        with pytest.raises(Exception, match="nulls"):
+            spark.createDataFrame([(bad,)], "a array<int>").select(packing.array_digest({"a": "int"})).collect()

@@ -10,8 +10,11 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from convspan.operators import batch
+from convspan.plans import runs
 from convspan.sources import tape
 
+SF = "/root/testdata/sf0.001"
 RECIPE = hashlib.sha256(b"recipe").hexdigest()
 FACTS = {
     "recipe_identity": RECIPE, "tokenizer_identity": hashlib.sha256(b"tokenizer").hexdigest(), "model": {"repo_id": "a/b", "revision": "1"}, "pad_token_id": 0, "stream_counters": {"rows_seen": 24},
@@ -113,3 +116,13 @@ def test_what_is_not_written(spark, written, tmp_path):
     for facts in (FACTS | {"recipe_identity": "x"}, FACTS | {"pad_token_id": -1}, FACTS | {"data": {}}, {}):
         with pytest.raises(Exception, match="identity|padding|data|facts"):
             tape.write_tape(rows(spark), new(), facts, STEPS, SIZE, LENGTH)
+
+
+def test_rows_stay_in_the_tasks_in_which_they_are_dealt(spark):
+    # A small table's arrays were broadcast to its order, and stood in one task.
+    assert runs._tape(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    dealt = rows(spark).select((F.col("step") * SIZE + F.col("item")).alias("sample_id"), "input_ids").repartition(19, "sample_id")
+    found = batch.placed(dealt, batch.shuffled(spark.range(STEPS * SIZE).withColumnRenamed("id", "sample_id"), 17))
+    assert found.count() == STEPS * SIZE and found.rdd.getNumPartitions() == 19
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "input_ids" not in "".join(line for line in plan.splitlines() if "BroadcastExchange" in line)
