@@ -65,17 +65,16 @@ def _tape_rows(spark, sf_dir) -> DataFrame:
     """The whole steps of the first epoch's padded samples that carry weight: step, item and arrays."""
     from convspan.plans.catalogue import _order, _padded
 
-    rows = _padded(spark, sf_dir).join(_order(spark, sf_dir), "sample_id")
-    rows = rows.withColumns({"weighted": F.exists("loss_weights", lambda w: w > 0)}).where("weighted")
-    rows = batch.number_emitted(rows.withColumns({"rank": F.lit(0), "epoch": F.lit(0)}), F.lit(True))
-    total = staged(rows.select("emitted_index", *tape.ARRAYS))
-    whole = total.count() // BATCH * BATCH
-    return total.where(F.col("emitted_index") < whole).select(F.floor(F.col("emitted_index") / BATCH).alias("step"), (F.col("emitted_index") % BATCH).alias("item"), *tape.ARRAYS)
+    # Staged before they are numbered, as numbering reads them twice.
+    rows = staged(batch.placed(_padded(spark, sf_dir), _order(spark, sf_dir)).where(F.exists("loss_weights", lambda w: w > 0)).select("position", *tape.ARRAYS))
+    whole = rows.count() // BATCH * BATCH
+    numbered = batch.number_emitted(rows.withColumns({"rank": F.lit(0), "epoch": F.lit(0)}), F.lit(True))
+    return staged(numbered.where(F.col("emitted_index") < whole).select(F.floor(F.col("emitted_index") / BATCH).alias("step"), (F.col("emitted_index") % BATCH).alias("item"), *tape.ARRAYS))
 
 
 def tape_source(spark, sf_dir):
     """A tape of all samples, written and read by its data source; its first step is passed by a cursor."""
-    rows = staged(_tape_rows(spark, sf_dir))
+    rows = _tape_rows(spark, sf_dir)
     path = f"{shared_folder(spark)}/tape-{uuid.uuid4().hex}"
     name = lambda text: hashlib.sha256(text.encode()).hexdigest()
     facts = {

@@ -36,6 +36,8 @@ FIELDS = FACTS | {"schema_version", "kind", "shape", "parts", "leaf_sum", "ident
 MODEL, DATA = {"repo_id", "revision"}, {"repo_id", "revision", "config", "split", "adapter", "renderer", "loading_mode"}
 #: Rows of a batch that is written or read at once.
 ROWS = 1000
+#: Bytes of arrays that a part has, about, and those of one place of a row: a part is read whole, so larger tapes have more parts.
+PART_BYTES, PLACE_BYTES = 4_000_000, 9
 MODULUS = 1 << 256
 
 
@@ -281,7 +283,8 @@ def write_tape(tape: DataFrame, path: str, facts: dict, steps: int, batch_size:
     if bad := step_faults(tape, batch_size).orderBy("step").first():
         raise TapeError(f"step {bad.step}: {bad.fault}")
     shape = {"steps": steps, "batch_size": batch_size, "length": length}
-    rows = tape.select(F.col("step").cast("long"), F.col("item").cast("long"), *ARRAYS).repartitionByRange("step").sortWithinPartitions("step", "item")
+    parts = max(1, -(-steps * batch_size * length * PLACE_BYTES // PART_BYTES))
+    rows = tape.select(F.col("step").cast("long"), F.col("item").cast("long"), *ARRAYS).repartitionByRange(parts, "step").sortWithinPartitions("step", "item")
     rows.write.format("batch_tape").mode("append").option("facts", json.dumps(facts)).option("shape", json.dumps(shape)).option("path", path).save()
     return read_manifest(path)
 

@@ -126,3 +126,11 @@ def test_rows_stay_in_the_tasks_in_which_they_are_dealt(spark):
     assert found.count() == STEPS * SIZE and found.rdd.getNumPartitions() == 19
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "input_ids" not in "".join(line for line in plan.splitlines() if "BroadcastExchange" in line)
+
+
+def test_larger_tapes_have_more_parts(spark, tmp_path, monkeypatch):
+    # Parts, which are read whole, were as many as the session's partitions, or fewer, whatever the tape's size.
+    monkeypatch.setattr(tape, "PART_BYTES", SIZE * LENGTH * tape.PLACE_BYTES)
+    manifest = tape.write_tape(rows(spark), str(tmp_path / "tape"), FACTS, STEPS, SIZE, LENGTH)
+    assert len(manifest["parts"]) > STEPS // 2 and max(p["rows"] for p in manifest["parts"]) <= 2 * SIZE
+    assert sorted(map(tuple, tape.read_tape(spark, str(tmp_path / "tape"), RECIPE).collect())) == sorted(map(tuple, rows(spark).collect()))
