@@ -134,3 +134,13 @@ def test_larger_tapes_have_more_parts(spark, tmp_path, monkeypatch):
     manifest = tape.write_tape(rows(spark), str(tmp_path / "tape"), FACTS, STEPS, SIZE, LENGTH)
     assert len(manifest["parts"]) > STEPS // 2 and max(p["rows"] for p in manifest["parts"]) <= 2 * SIZE
     assert sorted(map(tuple, tape.read_tape(spark, str(tmp_path / "tape"), RECIPE).collect())) == sorted(map(tuple, rows(spark).collect()))
+
+
+def test_audit_of_digests(spark):
+    tape_rows = rows(spark).withColumn("loss_weights", F.when(F.col("item") == 3, F.array(F.lit(0.0), F.lit(float("nan")))).otherwise(F.col("loss_weights")).cast("array<float>"))
+    at = F.col("step") * SIZE + F.col("item")
+    other = tape_rows.where(at != 0).withColumn("input_ids", F.when(at == 5, F.array(F.lit(8))).otherwise(F.col("input_ids")))
+    found = batch.audit(tape_rows, other.unionByName(other.where(at == 6)).unionByName(other.where(at == 7).withColumn("step", F.lit(99).cast("long"))))
+    assert sorted(map(tuple, found.collect())) == [(0, 0, "missing"), (1, 1, "changed"), (1, 2, "twice"), (99, 3, "unexpected")]
+    # Digests by column functions took milliseconds a row.
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
