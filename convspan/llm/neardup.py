@@ -18,6 +18,7 @@ makes unlike ones agree, and a full set of 10,000 shingles holds two that agree
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convspan.llm.common import BROADCAST_ROWS, HUB_ROWS, checkpointed, join_hubs, small_arrow_batches, text_or_empty
-from convspan.llm.components import connected_components
+from convspan.llm.components import connected_components, parts_for
 from convspan.llm.textarrays import STEP, chunks, digests, mix, utf8, windows, word_hashes, words
 
 SHINGLE = 5
@@ -169,22 +170,25 @@ def _alike(a: str, b: str) -> Column:
 def _full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, shingles of the classes whose rep is among ids(id)."""
     wanted = checkpointed(classes.select(F.col("rep").alias("id"), "doc", "k1", "k2").join(ids.distinct(), "id"))
+    rows = wanted.count()
+    wanted = wanted.coalesce(parts_for(rows))
     own = wanted.select("doc").distinct()
-    own = F.broadcast(own) if wanted.count() <= BROADCAST_ROWS else own
+    own = F.broadcast(own) if rows <= BROADCAST_ROWS else own
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_or_empty().alias("text")).join(own, "doc")
     sets = texts.mapInArrow(_sets, "doc long, k1 long, k2 long, shingles binary")
     return sets.join(wanted, ["doc", "k1", "k2"]).select("id", "shingles").dropDuplicates(["id"])
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The links among pairs(u, v, nv) of classes, nv being the size of v's set, from the full sets of their texts.
+    """The links among pairs(u, v, nv) of classes, a frame from files, nv being the size of v's set, from the full sets of their texts.
 
     A v is in few pairs, a u may be in very many: the pairs of one u are dealt by v into parts of about GROUP_BYTES, and u's set goes
     once to each group that has a part of it.
     """
-    pairs = checkpointed(pairs)
-    size = pairs.agg(F.sum("nv")).first()[0]
-    groups = 1 + (size or 0) * 8 // GROUP_BYTES
+    size, rows = pairs.agg(F.sum("nv"), F.count(F.lit(1))).first()
+    if not rows:
+        return pairs.select("u", "v")
+    pairs, groups = pairs.coalesce(parts_for(rows)), 1 + size * 8 // GROUP_BYTES
     sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("id")))
     parts = pairs.groupBy("u").agg(F.ceil(F.sum("nv") * 8 / GROUP_BYTES).alias("parts")).where("parts > 1")
     dealt = pairs.join(F.broadcast(parts) if groups <= BROADCAST_ROWS else parts, "u", "left")  # fewer such u than groups
@@ -247,7 +251,8 @@ def find_components(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     pairs = stars.groupBy(F.least("rep", "centre").alias("low"), F.greatest("rep", "centre").alias("high")).agg(F.min("centre").alias("u"))
     pairs = checkpointed(pairs.select("u", F.when(F.col("u") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("v")))
     a, b = (sketches.select(F.col("rep").alias(side), F.struct("n", *SKETCH).alias(name)) for side, name in (("u", "a"), ("v", "b")))
-    pairs = join_hubs(pairs, a, "u", pairs.count()).join(b, "v").where(_alike("a", "b"))
+    rows = pairs.count()
+    pairs = join_hubs(pairs.coalesce(parts_for(rows)), a, "u", rows).join(b, "v").where(_alike("a", "b"))
     tried = checkpointed(pairs.select("u", "v", F.col("b.n").alias("nv")))
     links = _confirmed(docs, classes, tried)
     component = connected_components(links)
@@ -266,8 +271,10 @@ def find_components(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     known = tried.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("pair")).select("pair.u", "pair.v")
     more = more.join(known, ["u", "v"], "left_anti")
     large = checkpointed(several.where(F.col("size") > SMALL_BUCKET).select("main", "rep", "component").distinct())
-    links = links.unionByName(_confirmed(docs, classes, more)).unionByName(_links_in_blocks(docs, classes, large))
-    component = connected_components(links)
+    found = [_confirmed(docs, classes, checkpointed(more))] + ([] if large.isEmpty() else [_links_in_blocks(docs, classes, large)])
+    found = [f for f in found if not f.isEmpty()]
+    if found:
+        component = connected_components(functools.reduce(DataFrame.unionByName, found, links))
 
     named = names.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "doc", F.coalesce("component", "rep").alias("component"))
     # Components whose least node is no doc_id, or not their least.

@@ -157,6 +157,24 @@ def test_star_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [components.EDGES_PER_PART, 40])
+def test_components_of_few_edges_need_no_shuffle(spark, monkeypatch, most):
+    # Each round had as many tasks as the session has partitions, a dozen times over, and the driver kept account of them all.
+    monkeypatch.setattr(components, "EDGES_PER_PART", most)
+    edges = [(k, k + 1) for k in range(0, 60) if k % 20] + [(100, k) for k in range(101, 160)] + [(k * 7 % 50 + 300, k * 11 % 50 + 300) for k in range(30)]
+    links = spark.createDataFrame(edges, "u long, v long").where("u <> v")
+    least = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert {r.node: r.component for r in components.connected_components(links).collect()} == least
+    rows = links.count()
+    for star in (components._large_star, components._small_star):
+        plan = star(links.coalesce(components.parts_for(rows)), rows)._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (most == 40), plan
+
+
 def test_empty_tables(empty):
     for f in (suffixes.remove_repeated_strings, passages.remove_repeated_passages, neardup.find_components):
         assert f(empty).count() == 0
